@@ -5,8 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import toxicity
+from .common import scratch, table
+from .decontamination import contaminated
 from .minhash import near_duplicates
+from .secrets_scan import find_secrets
+from .sentencepieces import encode_documents
+from .urlfilter import judge
+from .warc import archived_pages
+
+
+def piece_model() -> str:
+    """Where the public SentencePiece model is on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model fitted on labels whose ids are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=toxicity.learnable)
+    found = toxicity.score_documents(docs, scorer)
+    return found.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through WARC archives and back, with revisits of equal payloads."""
+    found = archived_pages(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    revisit = F.col("response.type") == "revisit"
+    return found.select(
+        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
+        F.when(revisit, F.col("original.payload_bytes")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("original.payload_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.when(revisit, F.col("original.fields")["page-id"].cast("long")).alias("refers_to"),
+    )
+
+
+#: The rules (host, path, verdict) of the query.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the longest rule for every page."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge(table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "literal")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +68,34 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-QUERIES = {
-    "op7_minhash_near_dedup": op7_minhash_near_dedup,
-}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of benchmark items, with score and span."""
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
 
-ORACLES: dict[str, str] = {}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, spans and decoded text of every document, as digests."""
+    found = encode_documents(table(spark, sf_dir, "documents"), piece_model(), outputs=("n_tokens", "id_text", "covered", "decoded"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", digest("id_text").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"), F.col("covered").alias("span_bytes"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_warc, op4_url_filter, op5_secret_scan, op7_minhash_near_dedup, op9_decontamination, op10_sentencepiece)}
+
+_HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = r"coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
+
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+    "op4_url_filter": f"""
+        WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+        r(rh, rp, rv) AS (VALUES {", ".join(repr(r) for r in URL_RULES)}),
+        h AS (SELECT page_id, arg_max(rh || rp, len(string_split(rh, '.')) * 1000 + len(rp)) AS rule, arg_max(rv, len(string_split(rh, '.')) * 1000 + len(rp)) AS verdict
+              FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+        SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN h USING (page_id)""",
+}
