@@ -134,7 +134,7 @@ def _align(session, plain: DataFrame, items, index: GramIndex, lengths: list[int
                 fresh = np.ones(len(at), bool)
                 fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * size[item[1:]])
                 first = np.flatnonzero(fresh)
-                last = np.append(first[1:], len(at)) - 1
+                last = np.append(first, len(at))[1:] - 1
                 best: dict[tuple[int, int], tuple] = {}
                 for a, b in zip(first.tolist(), last.tolist(), strict=True):
                     d, k = int(doc[a]), int(item[a])

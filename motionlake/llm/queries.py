@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
+from .ann import search
 from .common import scratch, table
 from .decontamination import contaminated
+from .licenses import find_licenses
 from .minhash import near_duplicates
 from .secrets_scan import find_secrets
 from .sentencepieces import encode_documents
+from .tokencounts import section_tokens
 from .urlfilter import judge
 from .warc import archived_pages
 
@@ -30,6 +33,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token on a boundary goes where most of its bytes are."""
+    import public_tokenizers as public
+
+    found = section_tokens(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN, rule="most")
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through WARC archives and back, with revisits of equal payloads."""
     found = archived_pages(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
@@ -62,12 +73,22 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts in every document, with coverage and span."""
+    return find_licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, 100 * intersection >= 80 * union; one row per document."""
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector among all others."""
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with passages of benchmark items, with score and span."""
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -81,7 +102,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_tokens", digest("id_text").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"), F.col("covered").alias("span_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_warc, op4_url_filter, op5_secret_scan, op7_minhash_near_dedup, op9_decontamination, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_warc, op4_url_filter, op5_secret_scan, op6_license_scan, op7_minhash_near_dedup, op8_ann, op9_decontamination, op10_sentencepiece)}
 
 _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
