@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -20,6 +20,8 @@ from .textvec import SPACE_WORDS, mix, ngrams, slices, text_buffers, words
 
 #: Cross-component pairs of one bucket that are listed; larger buckets go by rare shingles.
 LISTED = 4096
+#: Bits of a set's parity sketch.
+SKETCH = 1024
 _BLOCK = 2048
 
 
@@ -55,7 +57,8 @@ def _minhashes(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """(id, n, hi, lo, a, b): set size, 128-bit digest of the set, the two collections of sub-keys."""
+    """(id, n, hi, lo, a, b, sketch): set size, 128-bit digest of the set, the two collections of
+    sub-keys, and for SKETCH bits whether an odd number of the set's members fall there."""
     count = 2 * bands * rows
 
     def sign(batches):
@@ -63,24 +66,35 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
         odd = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             for part in slices(batch, "text"):
-                size, digest, keys = [], [], []
+                size, digest, keys, sketch = [], [], [], []
                 for x in shingle_sets(part.column("text"), n):
                     size.append(len(x))
                     digest.append((int(mix(x ^ odd).sum(dtype=np.uint64)), int(mix(x + odd).sum(dtype=np.uint64))) if len(x) else (0, 0))
                     keys.append(_minhashes(x, a, b) if len(x) else np.zeros(count, np.uint64))
+                    sketch.append(np.packbits((np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)))
                 m = np.stack(keys).reshape(len(keys), 2 * bands, rows)
                 folded = m[:, :, 0]
                 for k in range(1, rows):
                     folded = mix(folded * odd + m[:, :, k])
-                as_list = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(v).view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
+                as_list = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(v).view(np.int64).ravel()), v.shape[1] * v.itemsize // 8).cast(pa.list_(pa.int64()))
                 d = np.array(digest, dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(size, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), as_list(folded[:, :bands]), as_list(folded[:, bands:])],
-                    names=["id", "n", "hi", "lo", "a", "b"],
+                    [part.column("id"), pa.array(size, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), as_list(folded[:, :bands]), as_list(folded[:, bands:]), as_list(np.stack(sketch))],
+                    names=["id", "n", "hi", "lo", "a", "b", "sketch"],
                 )
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(sign, "id long, n long, hi long, lo long, a array<long>, b array<long>")
+    return plain.mapInArrow(sign, "id long, n long, hi long, lo long, a array<long>, b array<long>, sketch array<long>")
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Necessary for a link: sketches differ in as many bits at most as sets of these sizes may.
+
+    Each bit that differs needs a member of its own in the symmetric difference, which for a link
+    is at most (100 - percent) / (100 + percent) of the sum of both sizes.
+    """
+    apart = f"aggregate(zip_with({x}.sketch, {y}.sketch, (p, q) -> bit_count(p ^ q)), 0, (t, v) -> t + v)"
+    return F.expr(f"greatest(abs({x}.n - {y}.n), {apart}) * {100 + percent} <= {100 - percent} * ({x}.n + {y}.n)")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -110,20 +124,27 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return held.mapInArrow(check, "x long, y long").distinct()
 
 
-def _cross_pairs(rows: DataFrame, listed: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of ids under one key and in different components; the rows of keys with too many.
+def _sifted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that may be linked for all their sketches say."""
+    side = lambda c: sketches.select(F.col("id").alias(c), F.struct("n", "sketch").alias(f"s{c}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").where(_may_link("sx", "sy", percent)).select("x", "y").distinct()
+
+
+def _cross_pairs(rows: DataFrame, sketches: DataFrame, listed: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of ids under one key, in different components, that may be linked; the rows of keys with too many.
 
     The commonest component of a key is never paired with itself: its rows meet only those of the
     others, so a large group of copies under a key adds one pair for each outsider and copy.
     """
     per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    keys = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("dom"), F.max("c").alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps"))
-    keys = keys.where("comps > 1")
-    rows = cut(rows.join(keys, "key"))
+    keys = per.groupBy("key").agg(F.max("c").alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    doms = per.join(keys, "key").where("c = top").groupBy("key", "top", "all").agg(F.min("comp").alias("dom"))
+    rows = cut(rows.join(doms, "key"))
     few, many = rows.where(F.expr(f"(all - top) * all <= {listed}")), rows.where(F.expr(f"(all - top) * all > {listed}"))
-    x = few.where("comp <> dom").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"))
-    y = few.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), "dom")
-    pairs = x.join(y, "key").where("cx <> cy and (cy = dom or x < y)")
+    few = few.join(sketches.select("id", F.struct("n", "sketch").alias("s")), "id")
+    x = few.where("comp <> dom").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("s").alias("sx"))
+    y = few.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), "dom", F.col("s").alias("sy"))
+    pairs = x.join(y, (x["key"] == y["key"]) & F.expr("cx <> cy and (cy = dom or x < y)") & _may_link("sx", "sy", percent))
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), many.select("key", "id", "comp")
 
 
@@ -171,8 +192,9 @@ def near_duplicates(
     Two ids are linked if rows of theirs have sets with 100 * common >= ``percent`` * union.
 
     * Equal sets are one class, named by its smallest id: copies are never paired.
-    * Table keys are grouped with pre-aggregation; each class is confirmed against the smallest
-      class under each of its keys, and components follow from those links.
+    * Table keys are grouped with pre-aggregation; each class is confirmed against one class under
+      each of its keys, and components follow from those links.
+    * Parity sketches of the sets rule out pairs that cannot be linked before any text moves.
     * Only pairs whose components still differ can change the result.  They are listed key by key,
       or, where a key has more than ``listed``, by an exact prefix filter on rare shingles.
 
@@ -183,12 +205,19 @@ def near_duplicates(
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signs = cut(signatures(docs, id_col, text_col, shingle_words, bands, rows, seed))
     real = signs.where("n > 0 and id is not null")
-    classes = cut(real.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")))
+    classes = cut(real.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("sketch").alias("sketch")))
     keyed = classes.select("rep", "b", F.posexplode("a").alias("i", "p")).select("rep", "i", "p", F.posexplode("b").alias("j", "q"))
-    keyed = keyed.select(F.xxhash64("i", "p", "j", "q").alias("key"), F.col("rep").alias("id"))
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(keyed.join(heads, "key").select("key", "id", "head", "size"))
-    star = members.where("id <> head").select(F.col("id").alias("x"), F.col("head").alias("y")).distinct()
+    # each band ranks ids in an order of its own, so that a class meets several heads of its group
+    order = np.random.default_rng(seed).integers(-(1 << 63), 1 << 63, size=bands).tolist()
+    salt = F.element_at(F.array(*map(F.lit, order)), F.col("i") + 1)
+    keyed = keyed.select(F.xxhash64("i", "p", "j", "q").alias("key"), F.col("rep").bitwiseXOR(salt).alias("rank"), F.col("rep").alias("id"))
+    heads = keyed.groupBy("key").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = cut(keyed.join(heads, "key").select("key", "id", F.col("least").bitwiseXOR(F.col("rank")).bitwiseXOR(F.col("id")).alias("head"), "size"))
+    sketches = classes.select(F.col("rep").alias("id"), "n", "sketch")
+    # only these may be linked, and only their texts move on
+    texts = cut(texts.join(members.select("id").distinct(), "id", "left_semi"))
+    star = members.where("id <> head").select(F.least("id", "head").alias("x"), F.greatest("id", "head").alias("y")).distinct()
+    star = _sifted(star, sketches, percent)
     links = cut(_confirm(star, texts, shingle_words, percent).select(F.col("x").alias("u"), F.col("y").alias("v")))
 
     # ids with rows of several classes tie these together
@@ -202,12 +231,12 @@ def near_duplicates(
         return rows_.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
     inner = placed(members.where("size > 2 and id <> head").select("key", "id"))
-    pairs, crowded = _cross_pairs(inner, listed)
+    pairs, crowded = _cross_pairs(inner, sketches, listed, percent)
     more = [_confirm(pairs, texts, shingle_words, percent)]
     crowded_ids = cut(crowded.select("id").distinct())
     if not crowded_ids.isEmpty():
         rare = placed(_rare_shingle_rows(crowded_ids, texts, shingle_words, percent))
-        pairs, _ = _cross_pairs(rare, 1 << 62)
+        pairs, _ = _cross_pairs(rare, sketches, 1 << 62, percent)
         more.append(_confirm(pairs, texts, shingle_words, percent))
     extra = more[0] if len(more) == 1 else more[0].unionByName(more[1])
     extra = cut(extra.select(F.col("x").alias("u"), F.col("y").alias("v")))
