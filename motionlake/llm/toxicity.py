@@ -24,6 +24,8 @@ _WORDS = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 PREFIXES = (4, 5, 6, 7)
 #: Features kept for the linear model, and voters that the mined ones are dealt into.
 FEATURES, GROUPS = 4096, 12
+#: A mined feature's log-odds of a toxic row at least, and those in units of their error.
+LEAST_ODDS, LEAST_Z = 1.5, 2.5
 
 #: Plain insults in four languages, a voter for each line.
 LEXICONS = (
@@ -123,22 +125,18 @@ def label_model(votes: np.ndarray, trusted: int | None, rounds: int = 30) -> tup
     return p, hit.sum(axis=0) / np.maximum(fired.sum(axis=0), 1), corr
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, size: tuple[int, int], target: np.ndarray, weight: np.ndarray, l2: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on a sparse 0/1 matrix, by Nesterov's method."""
+def logistic(rows: np.ndarray, cols: np.ndarray, size: tuple[int, int], target: np.ndarray, weight: np.ndarray, l2: float, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on a sparse 0/1 matrix, by Adam on all rows."""
     n, m = size
-    w, b = np.zeros(m), float(np.log((weight @ target + 0.5) / (weight @ (1 - target) + 0.5)))
-    vw, vb, total = np.zeros(m), 0.0, weight.sum()
-    most = np.bincount(rows, minlength=n).max(initial=0) + 1
-    rate = 4.0 / (most + 4 * l2)
-    for t in range(steps):
-        mu = t / (t + 3)
-        lw, lb = w + mu * vw, b + mu * vb
-        z = np.bincount(rows, lw[cols], minlength=n) + lb
+    x = np.append(np.zeros(m), np.log((weight @ target + 0.5) / (weight @ (1 - target) + 0.5)))
+    first, second, total = np.zeros(m + 1), np.zeros(m + 1), weight.sum()
+    for t in range(1, steps + 1):
+        z = np.bincount(rows, x[cols], minlength=n) + x[-1]
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / total
-        nw = lw - rate * (np.bincount(cols, g[rows], minlength=m) + l2 * lw)
-        nb = lb - rate * g.sum()
-        vw, vb, w, b = nw - w, nb - b, nw, nb
-    return w, b
+        grad = np.append(np.bincount(cols, g[rows], minlength=m) + l2 * x[:-1], g.sum())
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
+        x = x - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-10)
+    return x[:-1], float(x[-1])
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, learn, most: int) -> DataFrame:
@@ -194,9 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     per = sample.mapInArrow(count, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     n1, n0 = max(1, min(sample_rows, counts.get(1, 0))), max(1, min(sample_rows, counts.get(0, 0)))
     odds = F.log((F.col("pos") + 0.25) / n1) - F.log((F.col("neg") + 0.25) / n0)
-    # information that a feature carries: its log-odds times the rows it tells apart
-    strength = F.abs(odds) * F.sqrt(F.col("pos") / n1 + F.col("neg") / n0)
-    chosen = per.where("pos + neg >= 3").select("f", odds.alias("odds"), strength.alias("s")).orderBy(F.desc("s"), "f").limit(FEATURES)
+    # the log-odds in units of their own error
+    z = odds / F.sqrt(1 / (F.col("pos") + 0.25) + 1 / (F.col("neg") + 0.25))
+    chosen = per.select("f", odds.alias("odds"), z.alias("z")).where(f"odds >= {LEAST_ODDS} and z >= {LEAST_Z}").orderBy(F.desc("z"), "f").limit(FEATURES)
     mined = collect_bounded(chosen, FEATURES)
     keys = np.array([r.f for r in mined], np.int64).view(np.uint64)
     every = np.unique(np.concatenate([keys, fixed_keys]))
@@ -223,17 +221,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     r_at = np.repeat(np.arange(len(rows)), [len(r.seen) for r in rows])
     c_at = np.concatenate([np.array(r.seen, np.int64) for r in rows])
     votes = [y]
-    strong = np.argsort(-np.abs(odds_of), kind="stable")
-    for sign, value in ((1, 1), (-1, 0)):
-        ranked = [k for k in strong if sign * odds_of[k] > 1.0]
-        for g in range(GROUPS):
-            member = np.zeros(len(every), bool)
-            member[ranked[g::GROUPS]] = True
-            votes.append(np.where(np.bincount(r_at, member[c_at], minlength=len(rows)) > 0, value, -1))
+    ranked = [k for k in np.argsort(-odds_of, kind="stable") if odds_of[k] > 0]
+    for g in range(GROUPS):
+        member = np.zeros(len(every), bool)
+        member[ranked[g::GROUPS]] = True
+        votes.append(np.where(np.bincount(r_at, member[c_at], minlength=len(rows)) > 0, 1, -1))
     for line in range(len(LEXICONS)):
         member = np.isin(every, fixed_keys[line_of == line])
         votes.append(np.where(np.bincount(r_at, member[c_at], minlength=len(rows)) > 0, 1, -1))
-    toxic_any = np.bincount(r_at, (odds_of > 1.0)[c_at], minlength=len(rows)) > 0
+    toxic_any = np.bincount(r_at, (odds_of > 0)[c_at], minlength=len(rows)) > 0
     votes.append(np.where(toxic_any, -1, 0))
     votes = np.column_stack([*votes, np.array([r.rules for r in rows])])
     posterior, accuracy, correlation = label_model(votes, trusted=0)
