@@ -139,9 +139,13 @@ def logistic(rows: np.ndarray, cols: np.ndarray, size: tuple[int, int], target:
     return x[:-1], float(x[-1])
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, learn, most: int) -> DataFrame:
-    """(text, y): at most ``most`` rows of each label, picked by a hash of the id, and their shares."""
-    clean = labels.where(learn(F.col(id_col)) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
+def _clean(labels: DataFrame, id_col: str, label_col: str, learn) -> DataFrame:
+    """(__id, y): one usable label for each id."""
+    return labels.where(learn(F.col(id_col)) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
+
+
+def _sample(docs: DataFrame, clean: DataFrame, most: int) -> DataFrame:
+    """(text, y): at most ``most`` ids of each label, picked by a hash of the id."""
     picked = None
     for y in (0, 1):
         part = clean.where(F.col("y") == y).orderBy(F.xxhash64("__id", F.lit(11)), "__id").limit(most)
@@ -174,8 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     session = docs.sparkSession
     learn = learn or (lambda c: F.lit(True))
     plain = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).cast("string").alias("text"))
-    sample = _labelled(plain, labels, id_col, label_col, learn, sample_rows)
-    counts = {r.y: r["count"] for r in labels.where(learn(F.col(id_col)) & F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("y")).count().collect()}
+    clean = _clean(labels, id_col, label_col, learn)
+    sample = _sample(plain, clean, sample_rows)
+    counts = {r.y: r["count"] for r in clean.groupBy("y").count().collect()}
     fixed = [np.unique(features(*text_buffers(pa.array([w])))[1][:1]) for line in LEXICONS for w in line.split()]
     line_of = np.repeat(np.arange(len(LEXICONS)), [len(x.split()) for x in LEXICONS])
     fixed_keys = np.concatenate(fixed)

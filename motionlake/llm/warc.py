@@ -46,9 +46,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """Writes gzipped archives below ``path``: a request, a response or revisit, and metadata a row.
 
     Payload is the body in UTF-8, a null one empty.  Among equal payloads (by SHA-1 and length) of
-    at least ``min_revisit`` bytes one row of the largest id has the response and the others revisit
-    it; all smaller ones have responses.  The id goes into the metadata; spaces and control
-    characters of the target are written as %XX.  Rows that repeat are captures of their own.
+    at least ``min_revisit`` bytes the largest id has the response and the others revisit it, null ids
+    too; all smaller ones have responses.  The id goes into the metadata; spaces and control
+    characters of the target are written as %XX.  Rows that repeat an id and its payload are written
+    each, under the same record ids.
     Only ids, digests and lengths are grouped, with pre-aggregation; bodies move once, in the join
     that adaptive execution splits where one digest is very common.  An empty table gives no record.
     """
@@ -56,18 +57,17 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.col(id_col).cast("long").alias("id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"),
-        # the same in every reading of the same files
-        F.monotonically_increasing_id().alias("row"),
     )
     base = base.withColumn("sha1", F.sha1(F.col("body").cast("binary"))).withColumn("size", F.octet_length("body").cast("long"))
-    keys = cut(base.select("id", "row", "sha1", "size"))
+    keys = cut(base.select("id", "sha1", "size"))
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    groups = keys.where(F.col("size") >= min_revisit).groupBy("sha1", "size").agg(F.max(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = keys.where(F.col("size") >= min_revisit).groupBy("sha1", "size").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     joined = base.join(groups.select("sha1", "size", "first"), ["sha1", "size"], "left")
 
-    name = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("row").cast("string"))
-    first = F.concat_ws(":", F.coalesce(F.col("first.id").cast("string"), F.lit("null")), F.col("first.row").cast("string"))
-    revisit = F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))
+    # the same for rows that repeat in full, and for the response of a group whatever row has it
+    named = lambda i: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), F.col("sha1"))
+    name, first = F.concat_ws(":", named(F.col("id")), F.when(F.col("id").isNull(), F.xxhash64("url").cast("string"))), named(F.col("first"))
+    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     uid = _uuid("response", name)
     target = F.col("url")
     for code in (*range(33), 127):
@@ -190,6 +190,7 @@ def assemble(found: DataFrame) -> DataFrame:
     originals = shaped.where("response.type = 'response'").select(
         F.col("capture_id").alias("refers_to"), F.struct(*(F.col(f"response.{c}").alias(c) for c in ("record_id", "payload_bytes", "payload_digest")), F.col("metadata.fields").alias("fields")).alias("original")
     )
+    originals = originals.groupBy("refers_to").agg(F.first("original").alias("original"))
     plain = shaped.where("response.type = 'response'").withColumn("original", F.lit(None).cast(originals.schema["original"].dataType))
     again = shaped.where("response.type = 'revisit'").join(originals, "refers_to", "left")
     cols = ["capture_id", "target_uri", "date", "response", "request", "metadata", "original"]
