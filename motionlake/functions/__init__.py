@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +73,11 @@ def normal_cdf(z) -> Column:
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     tail = 0.3989422804014327 * F.exp(-z * z / 2.0) * poly
     return F.when(z >= 0, 1.0 - tail).otherwise(tail)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder in spark.checkpoint.dir, where lineage ends; a local one where that is unset."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+    return df.checkpoint()

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionlake.functions import cut
+
 #: Fixed values of the scoring rules.
 POINT_NAMES = ("0", "15", "30", "40")
 TIEBREAK_POINTS, MATCH_TIEBREAK_POINTS, END_CHANGE_POINTS = 7, 10, 6
@@ -140,10 +142,9 @@ def effective_events(events: DataFrame, key: str, event_id: str, sequence: str,
     for _ in range(rounds):
         up = heads.select(key, F.col("id").alias("head"), F.col("head").alias("next"))
         nxt = heads.join(up, [key, "head"], "left").select(key, "id", F.coalesce("next", "head").alias("new"), "head")
-        nxt = nxt.cache()
-        moved = nxt.where("new <> head").limit(1).count()
+        nxt = cut(nxt)
         heads = nxt.select(key, "id", F.col("new").alias("head"))
-        if not moved:
+        if nxt.where("new <> head").isEmpty():
             break
     d = events.join(heads.select(key, F.col("id").alias(event_id), "head"), [key, event_id])
     w = Window.partitionBy(key, "head").orderBy(F.desc(F.col(source) == "user"), F.desc(sequence))

@@ -77,11 +77,11 @@ def within_trend(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
     their medians and a slope of the same sign.  Keys with too few rows or too short a span are left out.
     """
     rows = df.select(key, col(time).alias("t"), finite(value).alias("v")).where("v is not null")
-    rows = rows.withColumn("k", F.row_number().over(over(key, "t", "v"))).withColumn("n", F.count(F.lit(1)).over(whole(key)))
+    rows = rows.withColumn("__i", F.row_number().over(over(key, "t", "v"))).withColumn("n", F.count(F.lit(1)).over(whole(key)))
     third = F.floor(F.col("n") / 3)
     ends = rows.groupBy(key).agg(
         F.first("n").alias("n"), (F.max("t") - F.min("t")).alias("span"),
-        F.median(F.when(F.col("k") <= third, F.col("v"))).alias("first_median"), F.median(F.when(F.col("k") > F.col("n") - third, F.col("v"))).alias("last_median"),
+        F.median(F.when(F.col("__i") <= third, F.col("v"))).alias("first_median"), F.median(F.when(F.col("__i") > F.col("n") - third, F.col("v"))).alias("last_median"),
     )
     ends = ends.where((F.col("n") >= TREND_MIN_N) & (F.col("span") >= TREND_MIN_SPAN_S))
     out = ends.join(theil_sen(df, key, time, value), key).join(robust_spread(df, key, value).select(key, "robust_sd"), key)
