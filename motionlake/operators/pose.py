@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionlake.functions import angle_deg, clip, over, ratio, whole, wrapped_deg
+from motionlake.functions import angle_deg, clip, cut, over, ratio, whole, wrapped_deg
 from motionlake.operators import series
 
 #: Landmark numbers, and the twelve that make the core of a body.
@@ -94,13 +94,13 @@ def handedness(fr: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     out = per.withColumn("hand", F.when(reach, "right").otherwise("left")).withColumn("confidence", F.when(path == reach, sure).otherwise(F.least(sure, F.lit(0.49))))
     if hints is not None:
         out = out.join(hints.select("seq_id", F.col("hand").alias("hint")), "seq_id", "left").withColumn("confidence", F.when(F.col("hint").isNotNull(), 1.0).otherwise(F.col("confidence"))).withColumn("hand", F.coalesce("hint", "hand"))
-    return out.select("seq_id", "hand", "confidence")
+    return cut(out.select("seq_id", "hand", "confidence"))  # read several times further on
 
 
 def racket_track(fr: DataFrame, hands: DataFrame) -> DataFrame:
     """The track of each sequence's racket wrist, with speed."""
     both = track(fr, WRISTS[0]).withColumn("hand", F.lit("left")).unionByName(track(fr, WRISTS[1]).withColumn("hand", F.lit("right")))
-    return speed(both.join(hands.select("seq_id", "hand"), ["seq_id", "hand"], "left_semi"))
+    return cut(speed(both.join(hands.select("seq_id", "hand"), ["seq_id", "hand"], "left_semi")))
 
 
 def contact(racket: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def contact(racket: DataFrame) -> DataFrame:
     prom = series.prominence(racket.where("reliable"), "seq_id", "frame", "speed").select("seq_id", "prominence")
     out = found.join(prom, "seq_id", "left").join(r.select("seq_id", F.col("pos").alias("at"), "frame", "ts_s"), ["seq_id", "at"])
     ramp = 0.35 + 0.65 * clip((F.coalesce("prominence", F.lit(1.0)) - 1.1) / 1.4, 0.0, 1.0)
-    return out.select("seq_id", "frame", "ts_s", "peak_frame", "peak_speed", "prominence", (ramp * F.col("observed")).alias("confidence"))
+    return out.select("seq_id", "frame", "ts_s", "peak_frame", "peak_speed", "prominence", (ramp * F.col("observed")).alias("confidence")).transform(cut)
 
 
 def phases(racket: DataFrame, contacts: DataFrame) -> DataFrame:
