@@ -124,7 +124,9 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     sample = collect_bounded(plain.select("v", F.xxhash64("id", F.lit(seed)).alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("v"), SAMPLE)
     sample = np.array([r.v for r in sample])
     middle = centres(sample, min(LISTS, max(1, math.isqrt(n))), seed=seed)
-    probes = probes_for(sample, middle, k, recall)
+    # even the smallest lists together hold k others, so that no query goes short
+    held = np.cumsum(np.sort(np.bincount(nearest(sample, middle, 1)[:, 0], minlength=len(middle))))
+    probes = min(len(middle), max(probes_for(sample, middle, k, recall), int(np.searchsorted(held, k, "right")) + 1))
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0]
     shared = session.sparkContext.broadcast((middle, rotation))
 

@@ -44,6 +44,14 @@ def test_recall_ties_and_bad_vectors(spark, monkeypatch):
     assert [j for _, j, _ in got[1000]] == list(range(1001, 1011))
 
 
+def test_few_rows_are_all_found(spark):
+    r = random.Random(6)
+    for n in (6, 11, 30):
+        df = spark.createDataFrame([(i, [r.gauss(0, 1) * (1 + 50 * (i % 3)) for _ in range(4)]) for i in range(n)], "vec_id long, embedding array<double>")
+        got = ann.search(df, F.col("vec_id") % 5 == 0).groupBy("query_id").count().collect()
+        assert {x["count"] for x in got} == {min(10, n - 1)} and len(got) == (n + 4) // 5
+
+
 def test_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (100, [4.0, 6.0]), (7, [1.0, 2.0])], "vec_id long, embedding array<double>")
     got = ann.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
