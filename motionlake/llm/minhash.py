@@ -215,7 +215,7 @@ def near_duplicates(
     members = cut(keyed.join(heads, "key").select("key", "id", F.col("least").bitwiseXOR(F.col("rank")).bitwiseXOR(F.col("id")).alias("head"), "size"))
     sketches = classes.select(F.col("rep").alias("id"), "n", "sketch")
     # only these may be linked, and only their texts move on
-    texts = cut(texts.join(members.select("id").distinct(), "id", "left_semi"))
+    texts = cut(texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
     star = members.where("id <> head").select(F.least("id", "head").alias("x"), F.greatest("id", "head").alias("y")).distinct()
     star = _sifted(star, sketches, percent)
     links = cut(_confirm(star, texts, shingle_words, percent).select(F.col("x").alias("u"), F.col("y").alias("v")))
@@ -228,7 +228,9 @@ def near_duplicates(
     comps = cut(connected_components(links))
 
     def placed(rows_: DataFrame) -> DataFrame:
-        return rows_.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        # a component is one row beside the keys of its id, as many as there are tables at most
+        both = rows_.select("key", "id", F.lit(None).cast("long").alias("c")).unionByName(comps.select(F.lit(None).cast("long").alias("key"), "id", F.col("component").alias("c")))
+        return both.withColumn("comp", F.coalesce(F.max("c").over(Window.partitionBy("id")), "id")).where("key is not null").drop("c")
 
     inner = placed(members.where("size > 2 and id <> head").select("key", "id"))
     pairs, crowded = _cross_pairs(inner, sketches, listed, percent)
