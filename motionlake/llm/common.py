@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver's cleaner drop shuffle and checkpoint files of frames that nothing holds any more.
+
+    It acts when the driver collects its garbage, which on a quiet driver may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class TooLarge(ValueError):
     """What was to be broadcast is over its bound."""
 

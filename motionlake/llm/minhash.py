@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .components import connected_components
 from .textvec import SPACE_WORDS, mix, ngrams, slices, text_buffers, words
 
@@ -213,6 +213,8 @@ def near_duplicates(
     keyed = keyed.select(F.xxhash64("i", "p", "j", "q").alias("key"), F.col("rep").bitwiseXOR(salt).alias("rank"), F.col("rep").alias("id"))
     heads = keyed.groupBy("key").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(keyed.join(heads, "key").select("key", "id", F.col("least").bitwiseXOR(F.col("rank")).bitwiseXOR(F.col("id")).alias("head"), "size"))
+    del keyed, heads
+    release(docs.sparkSession)
     sketches = classes.select(F.col("rep").alias("id"), "n", "sketch")
     # only these may be linked, and only their texts move on
     texts = cut(texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
@@ -220,6 +222,9 @@ def near_duplicates(
     star = _sifted(star, sketches, percent)
     links = cut(_confirm(star, texts, shingle_words, percent).select(F.col("x").alias("u"), F.col("y").alias("v")))
 
+    del star
+    release(docs.sparkSession)
+
     # ids with rows of several classes tie these together
     own = real.join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).select("id", "rep")
     several = own.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
@@ -233,13 +238,17 @@ def near_duplicates(
         return both.withColumn("comp", F.coalesce(F.max("c").over(Window.partitionBy("id")), "id")).where("key is not null").drop("c")
 
     inner = placed(members.where("size > 2 and id <> head").select("key", "id"))
+    release(docs.sparkSession)
     pairs, crowded = _cross_pairs(inner, sketches, listed, percent)
+    del inner
+    release(docs.sparkSession)
     more = [_confirm(pairs, texts, shingle_words, percent)]
     crowded_ids = cut(crowded.select("id").distinct())
     if not crowded_ids.isEmpty():
         rare = placed(_rare_shingle_rows(crowded_ids, texts, shingle_words, percent))
         pairs, _ = _cross_pairs(rare, sketches, 1 << 62, percent)
         more.append(_confirm(pairs, texts, shingle_words, percent))
+    release(docs.sparkSession)
     extra = more[0] if len(more) == 1 else more[0].unionByName(more[1])
     extra = cut(extra.select(F.col("x").alias("u"), F.col("y").alias("v")))
     if not extra.isEmpty():
