@@ -68,9 +68,13 @@ def probes_for(sample: np.ndarray, c: np.ndarray, k: int, recall: float, queries
 
 
 def scan(query: np.ndarray, rotated_query: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
-    """The k nearest of a block with their exact distances, nearest first, ties to the smaller id."""
+    """The k nearest ids of a block with their exact distances, nearest first, ties to the smaller id.
+
+    The bound is the k-th distance over distinct ids, each at its nearest row so far, so that rows
+    which repeat an id do not tighten it.
+    """
     n, d = rotated.shape
-    bound, kept, held = np.inf, [], np.zeros(0)
+    bound, kept, held, holds = np.inf, [], np.zeros(0), ids[:0]
     first = max(4 * k, 64)
     for lo in range(0, n, first if n <= first else 512):
         at = np.arange(lo, min(n, lo + (first if n <= first else 512)))
@@ -83,7 +87,10 @@ def scan(query: np.ndarray, rotated_query: np.ndarray, vectors: np.ndarray, rota
                 near = part <= bound * (b / d) * (1 + EPSILON / math.sqrt(b)) ** 2
                 at, part = at[near], part[near]
         kept.append(at)
-        held = np.sort(np.concatenate([held, part]))[:k]
+        held, holds = np.concatenate([held, part]), np.concatenate([holds, ids[at]])
+        order = np.argsort(held, kind="stable")
+        order = order[np.sort(np.unique(holds[order], return_index=True)[1])[:k]]
+        held, holds = held[order], holds[order]
         if len(held) == k:
             bound = held[-1] * (1 + 1e-9) + 1e-300
     at = np.concatenate(kept) if kept else np.zeros(0, np.int64)
@@ -109,7 +116,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     components, have a null id or another length than the commonest take no part.
 
     Centres (the root of the row count, at most LISTS) and the number of probed lists, the fewest
-    that reach ``recall`` there, come from at most SAMPLE rows; every row is indexed.  Lists are cut
+    that reach ``recall`` there, come from at most SAMPLE ids, one row of each; every row is indexed.  Lists are cut
     into blocks of about BLOCK rows and queries into blocks of QUERY_BLOCK, and blocks meet blocks,
     so that no list, however large, is gathered in one task.  An empty table gives no rows.
     """
@@ -121,7 +128,11 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
         return session.createDataFrame([], schema)
     d, n = sizes[0]
     plain = plain.where(F.size("v") == d)
-    sample = collect_bounded(plain.select("v", F.xxhash64("id", F.lit(seed)).alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("v"), SAMPLE)
+    # of the ids with the least hashes one row each: half as many again as SAMPLE if no id repeats
+    hashed = plain.select("v", F.xxhash64("id", F.lit(seed)).alias("h"), "id").where(F.col("h") <= min(2**63 - 1, -(2**63) + 3 * SAMPLE * 2**63 // n))
+    sample = collect_bounded(hashed.groupBy("h", "id").agg(F.min("v").alias("v")).orderBy("h", "id").limit(SAMPLE).select("v"), SAMPLE)
+    if not sample:  # few ids, all with greater hashes
+        sample = plain.select(F.min("v").alias("v")).collect()
     sample = np.array([r.v for r in sample])
     middle = centres(sample, min(LISTS, max(1, math.isqrt(n))), seed=seed)
     # even the smallest lists together hold k others, so that no query goes short

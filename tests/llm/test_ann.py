@@ -58,3 +58,22 @@ def test_small_and_empty(spark):
     assert [tuple(x) for x in got] == [(0, 1, 7, 0.0), (0, 2, 100, 5.0), (100, 1, 0, 5.0), (100, 2, 7, 5.0)]
     assert ann.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     assert ann.search(df.limit(1), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_an_id_of_many_rows_hides_no_other(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(0, 0.01, (600, 32)), r.normal(0, 1, (900, 32))])
+    ids = np.concatenate([np.full(600, 7), 100 + np.arange(900)])  # id 7 fills the first rows near the query
+    query = np.zeros(32)
+    d = np.sqrt((x**2).sum(axis=1))
+    want = [7, *(100 + np.argsort(d[600:])[:9]).tolist()]
+    assert [i for i, _ in ann.scan(query, query, x, x, ids, -1, 10)] == want
+    # through the whole search: one id with a third of the rows, others repeated ten times
+    rows = [(0, [0.0] * 7 + [0.001])] + [(7, r.normal(0, 0.01, 8).tolist()) for _ in range(600)]
+    for i in range(1, 121):
+        rows += [(20 * i + 1, r.normal(0, 1, 8).tolist())] * 10
+    monkeypatch.setattr(ann, "SAMPLE", 300)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [(x.score, x.vec_id) for x in ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    want = brute(rows, lambda i: i == 0, 10)[0]
+    assert len(got) == 10 and len({j for _, j in got} & {j for _, j in want}) >= 9 and got[0][1] == 7
