@@ -6,6 +6,8 @@ grams hit it, document and template words are aligned in a band around the diago
 
 from __future__ import annotations
 
+from bisect import bisect, insort
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,6 +68,40 @@ def winnow(grams: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return np.flatnonzero(inside & (chosen | ~covered))
 
 
+def copies(template: np.ndarray, text: np.ndarray, at: np.ndarray, place: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """(matched, start, end) of alignments of ``template`` with at least ``least`` matched words around hits.
+
+    at and place are the hits' words in text and template.  First comes the diagonal in the middle of
+    the hits.  Where it holds a copy, the hits before and after the copy are searched in the text on
+    their side of it, so that adjacent copies are all found; where it does not, each half of the hits.
+    """
+    band = max(8, len(template) // 4)
+    keys, count = np.unique(template, return_counts=True)
+    found, tried, todo = [], set(), [(np.argsort(at, kind="stable"), 0, len(text))]
+    while todo:
+        hits, lo, hi = todo.pop()
+        if not len(hits):
+            continue
+        diagonal = int(np.median(at[hits] - place[hits]))
+        a, b = max(lo, diagonal - band), min(hi, diagonal + len(template) + band)
+        matched = 0
+        if (diagonal, a, b) not in tried and b - a >= least:
+            tried.add((diagonal, a, b))
+            # no alignment matches more words than template and text have in common
+            key = np.minimum(np.searchsorted(keys, text[a:b]), len(keys) - 1)
+            common = np.bincount(key[keys[key] == text[a:b]], minlength=len(keys))
+            if np.minimum(common, count).sum() >= least:
+                _, matched, s, e = local_alignment(template, text[a:b], diagonal - a, band)
+        if matched and matched >= least:
+            found.append((matched, a + s, a + e))
+            todo.append((hits[at[hits] < a + s], lo, a + s))
+            todo.append((hits[at[hits] >= a + e], a + e, hi))
+        elif len(hits) > 1:
+            todo.append((hits[: len(hits) // 2], lo, hi))
+            todo.append((hits[len(hits) // 2 :], lo, hi))
+    return found
+
+
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, min_coverage: float = 0.8) -> DataFrame:
     """(id, license, template, coverage, start, end) of the license texts in each document.
 
@@ -106,14 +142,13 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for a, b in zip(first[:-1], first[1:], strict=True):
                     d, t = int(doc[a]), int(item[a])
                     lo, hi = int(w.ptr[d]), int(w.ptr[d + 1])
-                    diagonal = int(np.median(at[a:b] - place[a:b])) - lo
-                    _, matched, s, e = local_alignment(sequences[t], w.h[lo:hi], diagonal, max(8, len(sequences[t]) // 4))
-                    if matched >= min_coverage * len(sequences[t]):
+                    for matched, s, e in copies(sequences[t], w.h[lo:hi], at[a:b] - lo, place[a:b], min_coverage * len(sequences[t])):
                         found.append((d, -matched, -matched / len(sequences[t]), t, lo + s, lo + e))
                 ids, rows, taken = part.column("id").to_pylist(), [], []
                 for d, _, coverage, t, s, e in sorted(found):
-                    if not any(x == d and s < f and b < e for x, b, f in taken):
-                        taken.append((d, s, e))
+                    near = bisect(taken, (s, e))  # spans taken do not overlap, so only the neighbours can
+                    if not any(s < f and b < e for b, f in taken[max(0, near - 1) : near + 1]):
+                        insort(taken, (s, e))
                         text = data[offsets[d] : offsets[d + 1]]
                         start, end = code_points(text, [int(w.start[s] - offsets[d]), int(w.end[e - 1] - offsets[d])])
                         rows.append((ids[d], names[t], t, -coverage, start, end))

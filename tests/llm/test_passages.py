@@ -86,3 +86,19 @@ def test_licenses(spark):
         found = texts[x.id][x.start : x.end].lower()
         assert found.split()[-1].strip("./") == TEMPLATES[x.template][1].lower().split()[-1].strip("./") and x.coverage >= 0.8
     assert find_licenses(df.limit(0)).count() == 0
+
+
+def test_adjacent_copies_of_a_license_are_all_found(spark):
+    rows, want = [], {}
+    for k, (name, text) in enumerate(TEMPLATES):
+        for gap in (0, 1, 3):
+            lines = [text + " and" * gap for _ in range(7)]
+            lines[3:3] = ["By others."] * (gap == 3)
+            rows.append((10 * k + gap, "\n".join(lines)))
+            want[10 * k + gap] = [(name, 1.0)] * 7
+    rows.append((999, "\n".join(TEMPLATES[k % 2 * 14][1] for k in range(400))))
+    want[999] = [(TEMPLATES[k % 2 * 14][0], 1.0) for k in range(400)]
+    got = {}
+    for x in sorted(find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda x: x.start):
+        got.setdefault(x.id, []).append((x.license, x.coverage))
+    assert got == want
