@@ -34,7 +34,10 @@ SENSITIVE = {
 }
 #: What stands in a template where the secret goes.
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|none|null|nil|true|false|undefined|todo|changeme|change_me|example|sample|dummy|test|password|passwd|secret|token|your[\W_].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|\$\w+)$")
-_HINT = re.compile(r"pass|secret|token|key|cred|bearer|auth|salt|pwd|connectionstring", re.I | re.A)
+#: The parts of SENSITIVE that hold no other one: what is left of a text's letters and digits, lower-cased, has one of them if any name weighs.
+_HINTS = tuple(x for x in SENSITIVE if not any(y in x for y in SENSITIVE if y != x))
+_LOWER = bytes(range(256)).lower()
+_BETWEEN = bytes(c for c in range(256) if not chr(c).isalnum() or c > 127)
 
 _STRING = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\\n])*`'
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z0-9_]+)*"
@@ -69,13 +72,19 @@ def _unquoted(text: str, a: int, b: int) -> tuple[int, int]:
     return (a + 1, b - 1) if text[a] in "\"'`" and b - a > 1 else (a, b)
 
 
+def hinted(text: str) -> bool:
+    """Whether a name with sensitivity can be in the text, whatever stands between its parts."""
+    folded = text.encode("ascii", "ignore").translate(_LOWER, _BETWEEN).decode("ascii")
+    return any(x in folded for x in _HINTS)
+
+
 def literals(text: str, threshold: float = 0.55) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of the literals that reach a sensitive name.
 
     A name that is given another name's value passes it on, through any number of steps; each
     literal has the score of the most sensitive name it reaches.
     """
-    if not _HINT.search(text) or not any(c in text for c in "=:"):
+    if not any(c in text for c in "=:") or not hinted(text):
         return []
     values: dict[str, set[tuple[int, int]]] = {}
     reads: dict[str, set[str]] = {}

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from motionlake.llm.secrets_scan import base_spans, find_secrets, literals, redact
+from motionlake.llm.secrets_scan import SENSITIVE, base_spans, find_secrets, literals, redact
 
 PLAIN = {
     "assign": (r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
@@ -51,3 +51,16 @@ def test_frames(spark):
     assert [[(s.kind, s.start, s.end) for s in r.spans if s.kind != "literal"] for r in out] == [[], [], [("assign", 120000, 120024), ("access", 120027, 120048)], [("assign", 0, 26), ("hex", 9, 26)]]
     assert [r.clean for r in out] == [None, "", "x " * 60000 + "[REDACTED] é [REDACTED] tail", "[REDACTED] z"]
     assert find_secrets(df.limit(0)).count() == 0
+
+
+def test_prefilter_is_necessary():
+    """A line is found or not whatever else stands in the text."""
+    line = 'connection_string = "mongodb://app:Zx81qP02vv9L@db/prod"'
+    assert [line[a:b] for a, b, *_ in literals(line)] == ["mongodb://app:Zx81qP02vv9L@db/prod"]
+    for word in SENSITIVE:
+        for cut in range(len(word)):
+            for between in ("_", "-", "__"):
+                name = between.join(x for x in (word[:cut], word[cut:]) if x)
+                for shown in (name, name.upper(), f'"{name}"', f'"{name.replace(between, " é ")}"', name + "s"):
+                    line = shown + ' = "Zx81qP02vv9L/w3R-t6Y"'
+                    assert literals(line, 0.1) and literals(line, 0.1) == literals(line + "\nkey token", 0.1), line
