@@ -42,11 +42,15 @@ _BETWEEN = bytes(c for c in range(256) if not chr(c).isalnum() or c > 127)
 _STRING = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\\n])*`'
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z0-9_]+)*"
 _OPERAND = rf"(?:{_STRING}|{_NAME})"
-#: name, an assignment sign, then operands joined by + or one bare word.
+_ONE_TYPE = rf"[&*]*(?:'[a-z]+[ \t]+)?(?:(?:mut|const|readonly)[ \t]+)?{_NAME}(?:::{_NAME})*(?:<[^\n=\"`]{{0,80}}>|\[[^\n=\"`]{{0,80}}\])*[?!]?"
+#: What is between a typed name and its = : a colon and a type, before a string or a spaced =; or a common type's word.
+_TYPE = rf"""[ \t]*[?!]?:[ \t]*(?P<type>{_ONE_TYPE}(?:[ \t]*\|[ \t]*{_ONE_TYPE})*)(?=[ \t]*=[ \t]*["'`]|[ \t]+=[ \t]+[^\s=])|[ \t]+(?:(?i:as)[ \t]+)?\*?(?P<word>(?i:string|str|text|char|bytes?|object|any)|(?i:n?varchar2?))(?:\(\w+\))?(?=[ \t]*=(?![=>]))"""
+#: name, perhaps a type, an assignment sign, then operands joined by + or one bare word.
 ASSIGNMENT = re.compile(
-    rf"""(?:(?P<quoted>"[^"\n]{{1,80}}"|'[^'\n]{{1,80}}')\]?|(?P<name>{_NAME}))[ \t]*(?P<sign>:=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<value>(?:{_STRING}|{_NAME}(?=[ \t]*\+))(?:[ \t]*\+[ \t]*{_OPERAND})*|[A-Za-z0-9+/_.=$~!@%^&*-]+)""",
+    rf"""(?:(?P<quoted>"[^"\n]{{1,80}}"|'[^'\n]{{1,80}}')\]?|(?:(?<=\bvar )(?P<var>{_NAME})[ \t]+\*?(?={_NAME}[ \t]*=(?![=>])))?(?P<name>{_NAME})(?:{_TYPE})?)[ \t]*(?P<sign>:=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<value>(?:{_STRING}|{_NAME}(?=[ \t]*\+))(?:[ \t]*\+[ \t]*{_OPERAND})*|[A-Za-z0-9+/_.=$~!@%^&*-]+)""",
     re.A,
 )
+_BARE = re.compile(r"[A-Za-z0-9+/_.=$~!@%^&*-]+", re.A)
 _PART = re.compile(rf"{_STRING}|{_NAME}", re.A)
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -90,20 +94,25 @@ def literals(text: str, threshold: float = 0.55) -> list[tuple[int, int, str, fl
     reads: dict[str, set[str]] = {}
     shown: dict[str, str] = {}
     for m in ASSIGNMENT.finditer(text):
-        raw = m["name"] or m["quoted"][1:-1]
-        a, b = m.span("value")
-        name = raw.rpartition(".")[2] if m["name"] else raw
-        shown.setdefault(name, raw)
-        held = values.setdefault(name, set())
-        if text[a] in "\"'`" or "+" in text[a:b] and _PART.match(text, a):
-            for p in _PART.finditer(text, a, b):
-                if text[p.start()] in "\"'`":
-                    held.add(_unquoted(text, *p.span()))
-                else:
-                    reads.setdefault(name, set()).add(p[0].rpartition(".")[2])
-        elif m["sign"] != ":" or any(c.isdigit() for c in text[a:b]):
-            reads.setdefault(name, set()).add(text[a:b].rpartition(".")[2])
-            held.add((a, b))
+        given = [(m["name"] or m["quoted"][1:-1], m["sign"], *m.span("value"))]
+        if m["type"] and (bare := _BARE.match(text, m.start("type"))):  # name: value, should it be no type
+            given.append((m["name"], ":", *bare.span()))
+        for other in (m["var"], m["word"]):  # of two words before = either may be the name
+            if other:
+                given.append((other, *given[0][1:]))
+        for raw, sign, a, b in given:
+            name = raw.rpartition(".")[2] if m["name"] else raw
+            shown.setdefault(name, raw)
+            held = values.setdefault(name, set())
+            if text[a] in "\"'`" or "+" in text[a:b] and _PART.match(text, a):
+                for p in _PART.finditer(text, a, b):
+                    if text[p.start()] in "\"'`":
+                        held.add(_unquoted(text, *p.span()))
+                    else:
+                        reads.setdefault(name, set()).add(p[0].rpartition(".")[2])
+            elif sign != ":" or any(c.isdigit() for c in text[a:b]):
+                reads.setdefault(name, set()).add(text[a:b].rpartition(".")[2])
+                held.add((a, b))
     # the names whose values a name takes, followed backwards from the sensitive ones
     best: dict[tuple[int, int], tuple[float, str]] = {}
     for name in values:

@@ -64,3 +64,19 @@ def test_prefilter_is_necessary():
                 for shown in (name, name.upper(), f'"{name}"', f'"{name.replace(between, " é ")}"', name + "s"):
                     line = shown + ' = "Zx81qP02vv9L/w3R-t6Y"'
                     assert literals(line, 0.1) and literals(line, 0.1) == literals(line + "\nkey token", 0.1), line
+
+
+def test_typed_declarations():
+    secret = "Zx81qP02vv9L/w3R-t6Y"
+    for line in (
+        'password: str = "%s"', 'const apiToken: string = "%s";', "let api_key: &'static str = \"%s\";", 'let mut auth_token : Option<&str> = "%s"',
+        "db_password: str | None='%s'", 'token: Optional[str] = "a" + "%s"', "private readonly clientSecret?: string = '%s'", 'val apiKey: kotlin.String? = "%s"',
+        'var token string = "%s"', 'const signingKey string = "%s"', 'var apiKey *Secret = "%s"', 'Dim password As String = "%s"', "DECLARE @pwd varchar(40) = '%s'",
+        'String password = "%s"', 'std::string password = "%s"', 'const string password = "%s"', 'password: str = OTHER\nOTHER: Final = "%s"', 'String text = "%s"; password = text',
+    ):
+        text = line % secret
+        assert [text[a:b] for a, b, *_ in literals(text)] == [secret], line
+    # what is no type keeps its value
+    for text in ("password: aB3dE6gH9jK2mN5 = x", "token: aB3dE6gH9jK2=mN5pQ", "token: aB3dE6gH9jK2mN5p=", 'secret: aB3dE6gH9jK2mN5 = "x"'):
+        assert [text[a:b].startswith("aB3dE6gH9jK2") for a, b, *_ in literals(text)] == [True], text
+    assert literals('The secret formula = "none of it, ever"') == []
