@@ -1,4 +1,4 @@
-"""Benchmark passages in training documents: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark passages in training documents: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -47,7 +47,7 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     seed_words: int = 3,
-    kept_seeds: float = 0.75,
+    kept_seeds: float = 1.0,
     min_score: float = 0.5,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
@@ -55,7 +55,8 @@ def contaminated(
 
     Words are runs of letters and digits, with A-Z lower-cased.  Of each item's ``seed_words``-grams
     the rarest ``kept_seeds`` are seeds; rarity is the number of documents of the whole corpus that
-    have the gram, counted in a first pass.  Where seeds hit, the document's words around them are
+    have the gram, counted in a first pass unless all are kept.  A copy without any intact gram is
+    not found.  Where seeds hit, the document's words around them are
     aligned with the item's; score is the alignment score over that of a full match.  Rows have
     score >= ``min_score``; start and end are code points.
 
@@ -73,7 +74,7 @@ def contaminated(
         lengths = sorted({min(seed_words, len(w)) for _, w in items})
         every = [_grams(w, seed_words) for _, w in items]
         keys = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
-        counts = _document_counts(session, plain, keys, lengths)
+        counts = _document_counts(session, plain, keys, lengths) if kept_seeds < 1 else np.zeros(len(keys), np.int64)
         rare = [np.sort(np.lexsort((g, counts[np.searchsorted(keys, g)]))[: max(8, math.ceil(kept_seeds * len(g)))]) for g in every]
         index = GramIndex(
             np.concatenate([g[r] for g, r in zip(every, rare, strict=True)]) if every else keys,
@@ -118,6 +119,7 @@ def _align(session, plain: DataFrame, items, index: GramIndex, lengths: list[int
     def align(batches):
         items, index = shared.value
         size = np.array([len(w) for _, w in items], np.int64)
+        vocabulary: dict[int, tuple] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_buffers(part.column("text"))
@@ -140,6 +142,14 @@ def _align(session, plain: DataFrame, items, index: GramIndex, lengths: list[int
                     d, k = int(doc[a]), int(item[a])
                     reach = 2 * int(size[k])
                     lo, hi = max(int(w.ptr[d]), int(at[a]) - reach), min(int(w.ptr[d + 1]), int(at[b]) + reach)
+                    # no alignment matches more words than item and text have in common
+                    if k not in vocabulary:
+                        vocabulary[k] = np.unique(items[k][1], return_counts=True)
+                    known, count = vocabulary[k]
+                    key = np.minimum(np.searchsorted(known, w.h[lo:hi]), len(known) - 1)
+                    common = np.bincount(key[known[key] == w.h[lo:hi]], minlength=len(known))
+                    if np.minimum(common, count).sum() < min_score * size[k]:
+                        continue
                     score, matched, s, e = local_alignment(items[k][1], w.h[lo:hi])
                     if score >= min_score * MATCH * size[k] and score > best.get((d, k), (0,))[0]:
                         best[d, k] = score, matched, lo + s, lo + e

@@ -102,3 +102,12 @@ def test_adjacent_copies_of_a_license_are_all_found(spark):
     for x in sorted(find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda x: x.start):
         got.setdefault(x.id, []).append((x.license, x.coverage))
     assert got == want
+
+
+def test_common_seeds_find_copies_too(spark):
+    item = [f"w{k}" for k in range(40)]
+    copy = item[:11] + [w if k % 3 else "changed" for k, w in enumerate(item[11:])]  # intact 3-grams: those of the first 11 words
+    rows = [(k, " ".join(item[:11]) + f" and no more of it in {k}") for k in range(30)] + [(99, " ".join(copy))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    (x,) = contaminated(docs, bench).collect()
+    assert (x.id, x.matched_words, x.score) == (99, 30, smith_waterman(item, copy) / 80)
