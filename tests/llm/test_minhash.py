@@ -66,3 +66,21 @@ def test_large_bucket_goes_by_rare_shingles(spark):
     rows = [(k, " ".join(base[:59] + [f"t{k}"])) for k in range(80)] + [(200 + k, " ".join(base[:45] + [f"u{k}{j}" for j in range(15)])) for k in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, near_duplicates(df, shingle_words=2, listed=3).collect())) == brute(rows, 2, 80)
+
+
+def test_default_bands_miss_what_the_readme_states(spark):
+    """Pairs at 0.8 exactly, none tied by a third: each is missed with probability 0.0015."""
+    rows = []
+    for k in range(2000):
+        base = [f"p{k}w{j}" for j in range(9)]
+        rows += [(2 * k, " ".join([*base, "a"])), (2 * k + 1, " ".join([*base, "b"]))]
+    got = {x.id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2).collect()}
+    missed = sum(got[2 * k + 1] != 2 * k for k in range(2000))
+    assert missed <= 12 and all(got[2 * k] == 2 * k for k in range(2000))  # 3 expected
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_default_bands_against_brute_force(spark, n):
+    rows = corpus(n)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(df, shingle_words=n).collect())) == brute(rows, n, 80)
