@@ -16,3 +16,8 @@ def test_enforce(spark):
     df = spark.createDataFrame([("fine 2", "7 bad", "ok"), ("8", "9", "10")], "a string, b string, c string")
     got = g.enforce(df, ["a", "b", "c"], g.allowlist(F.array().cast("array<double>"))).collect()
     assert [tuple(r) for r in got] == [("fine 2", None, "ok", False), (None, None, None, True)]
+
+
+def test_percent_of_nothing_is_zero(spark):
+    df = spark.createDataFrame([(3, 0), (0, 0), (3, 8), (1, 8), (None, 5)], "part long, total long")
+    assert [r[0] for r in df.select(g.percent(F.col("part"), F.col("total"))).collect()] == [0, 0, 38, 12, 0]
