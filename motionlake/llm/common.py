@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,13 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a new local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder in spark.checkpoint.dir; where that is unset, a new local one, which only a local master may use."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-        spark.sparkContext.setCheckpointDir(path)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(path)
     return path
 
 
@@ -36,13 +38,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver's cleaner drop shuffle and checkpoint files of frames that nothing holds any more.
+def join_hot(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``many`` joined to ``one``, a row per key that was aggregated from it, where a key may be very common.
 
-    It acts when the driver collects its garbage, which on a quiet driver may be long after.
+    The join has a second key that follows from the first, so that ``one`` is shuffled again for the
+    join itself: adaptive execution splits hot keys only between two such shuffles.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    also = F.pmod(F.hash(key), F.lit(1 << 20))
+    return many.withColumn("__also", also).join(one.withColumn("__also", also), [key, "__also"], how).drop("__also")
+
+
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def id_type(df: DataFrame, col: str) -> str:
+    """The type of an id column, for the schemas of functions that hand ids on as they are."""
+    return dict(df.dtypes)[col]
+
+
+def numbered(df: DataFrame, col: str) -> DataFrame:
+    """(id, number) of the distinct ids that are not null; numbers are long and in the order of the ids."""
+    distinct = df.where(F.col(col).isNotNull()).select(F.col(col).alias("id")).distinct()
+    return cut(cut(distinct.orderBy("id")).withColumn("number", F.monotonically_increasing_id()))
 
 
 class TooLarge(ValueError):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -22,8 +22,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star links every larger neighbour of a node to the least node around it, small-star does
     so for the smaller ones; the depth of the trees halves, so rounds grow with the logarithm of the
-    longest path.  The minimum per node is pre-aggregated before its shuffle, and the joins are
-    plain sort-merge joins, which adaptive execution splits where one node has very many neighbours.
+    longest path.  The minimum per node is pre-aggregated before its shuffle, and adaptive execution
+    may split the joins where one node has very many neighbours.
     Edges from a node to itself and null ends are ignored; without edges the result is empty.
     """
     edges = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -32,10 +32,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state[0]:
         around = _both_ways(edges)
         least = around.groupBy("u").agg(F.min("v").alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = join_hot(around, least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = join_hot(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.where("u <> v").distinct())
         now = _state(edges)
         if now == state:

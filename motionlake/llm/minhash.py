@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import INTEGERS, cut, id_type, join_hot, numbered
 from .components import connected_components
 from .textvec import SPACE_WORDS, mix, ngrams, slices, text_buffers, words
 
@@ -200,21 +200,33 @@ def near_duplicates(
 
     Null, empty and blank texts have no shingles and are linked with nothing.  Rows that repeat an
     id are one vertex.  A null id keeps its own row: n_shingles is counted, component_id is null and
-    kept false.  Other columns are ignored; an empty table gives no rows.
+    kept false.  Other columns are ignored; an empty table gives no rows.  Ids keep their type; those
+    that are no integers are numbered in their order first.
     """
+    kind = id_type(docs, id_col)
+    if kind not in INTEGERS:
+        names = numbered(docs, id_col)
+        plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(names, "id", "left").select("number", "text")
+        found = near_duplicates(plain, "number", "text", shingle_words, percent, bands, rows, seed, listed)
+        found = found.join(names.select(F.col("number").alias("id"), F.col("id").alias("own")), "id", "left")
+        found = found.join(names.select(F.col("number").alias("component_id"), F.col("id").alias("least")), "component_id", "left")
+        return found.select(F.col("own").alias("id"), "n_shingles", F.col("least").alias("component_id"), "kept")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signs = cut(signatures(docs, id_col, text_col, shingle_words, bands, rows, seed))
     real = signs.where("n > 0 and id is not null")
     classes = cut(real.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("sketch").alias("sketch")))
-    keyed = classes.select("rep", "b", F.posexplode("a").alias("i", "p")).select("rep", "i", "p", F.posexplode("b").alias("j", "q"))
+    # a table key that two classes share has both halves shared: the others never make a key
+    halves = classes.select("rep", F.posexplode(F.concat("a", "b")).alias("t", "p")).select("rep", "t", F.xxhash64("t", "p").alias("half"))
+    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
+    halves = join_hot(halves, shared, "half").groupBy("rep").agg(F.collect_list(F.struct("t", "half")).alias("halves"))
+    side = lambda low: F.filter("halves", lambda h: (h["t"] < bands) if low else (h["t"] >= bands))
+    keyed = halves.select("rep", side(False).alias("b"), F.explode(side(True)).alias("x")).select("rep", "x", F.explode("b").alias("y"))
     # each band ranks ids in an order of its own, so that a class meets several heads of its group
     order = np.random.default_rng(seed).integers(-(1 << 63), 1 << 63, size=bands).tolist()
-    salt = F.element_at(F.array(*map(F.lit, order)), F.col("i") + 1)
-    keyed = keyed.select(F.xxhash64("i", "p", "j", "q").alias("key"), F.col("rep").bitwiseXOR(salt).alias("rank"), F.col("rep").alias("id"))
+    salt = F.element_at(F.array(*map(F.lit, order)), F.col("x.t") + 1)
+    keyed = keyed.select(F.xxhash64("x.half", "y.half").alias("key"), F.col("rep").bitwiseXOR(salt).alias("rank"), F.col("rep").alias("id"))
     heads = keyed.groupBy("key").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(keyed.join(heads, "key").select("key", "id", F.col("least").bitwiseXOR(F.col("rank")).bitwiseXOR(F.col("id")).alias("head"), "size"))
-    del keyed, heads
-    release(docs.sparkSession)
+    members = cut(join_hot(keyed, heads, "key").select("key", "id", F.col("least").bitwiseXOR(F.col("rank")).bitwiseXOR(F.col("id")).alias("head"), "size"))
     sketches = classes.select(F.col("rep").alias("id"), "n", "sketch")
     # only these may be linked, and only their texts move on
     texts = cut(texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
@@ -222,8 +234,6 @@ def near_duplicates(
     star = _sifted(star, sketches, percent)
     links = cut(_confirm(star, texts, shingle_words, percent).select(F.col("x").alias("u"), F.col("y").alias("v")))
 
-    del star
-    release(docs.sparkSession)
 
     # ids with rows of several classes tie these together
     own = real.join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).select("id", "rep")
@@ -238,17 +248,13 @@ def near_duplicates(
         return both.withColumn("comp", F.coalesce(F.max("c").over(Window.partitionBy("id")), "id")).where("key is not null").drop("c")
 
     inner = placed(members.where("size > 2 and id <> head").select("key", "id"))
-    release(docs.sparkSession)
     pairs, crowded = _cross_pairs(inner, sketches, listed, percent)
-    del inner
-    release(docs.sparkSession)
     more = [_confirm(pairs, texts, shingle_words, percent)]
     crowded_ids = cut(crowded.select("id").distinct())
     if not crowded_ids.isEmpty():
         rare = placed(_rare_shingle_rows(crowded_ids, texts, shingle_words, percent))
         pairs, _ = _cross_pairs(rare, sketches, 1 << 62, percent)
         more.append(_confirm(pairs, texts, shingle_words, percent))
-    release(docs.sparkSession)
     extra = more[0] if len(more) == 1 else more[0].unionByName(more[1])
     extra = cut(extra.select(F.col("x").alias("u"), F.col("y").alias("v")))
     if not extra.isEmpty():
@@ -257,6 +263,6 @@ def near_duplicates(
     of_rep = of_rep.select("hi", "lo", F.coalesce("component", "rep").alias("c"))
     joined = signs.select("id", "n", "hi", "lo").join(of_rep, ["hi", "lo"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("id")).otherwise(F.col("c"))
-    out = joined.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = joined.select(F.col("id").cast(kind).alias("id"), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 

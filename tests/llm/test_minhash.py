@@ -84,3 +84,11 @@ def test_default_bands_against_brute_force(spark, n):
     rows = corpus(n)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, near_duplicates(df, shingle_words=n).collect())) == brute(rows, n, 80)
+
+
+def test_ids_that_are_no_numbers(spark):
+    rows = corpus(4)
+    df = spark.createDataFrame([(f"d{i:05}", t) for i, t in rows] + [(None, "a b c")], "doc_id string, text string")
+    got = near_duplicates(df, shingle_words=2, bands=14).collect()
+    want = [(f"d{i:05}", n, f"d{c:05}", k) for i, n, c, k in brute(rows, 2, 80)] + [(None, 2, None, False)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
