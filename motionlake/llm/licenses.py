@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import GramIndex, code_points, local_alignment
-from .common import TooLarge
+from .common import TooLarge, id_type
 from .textvec import PLAIN_WORDS, slices, text_buffers, words
 
 #: Words of a gram and grams of a window: any run of GRAM + WINDOW - 1 equal words shares a fingerprint.
@@ -153,8 +153,8 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         start, end = code_points(text, [int(w.start[s] - offsets[d]), int(w.end[e - 1] - offsets[d])])
                         rows.append((ids[d], names[t], t, -coverage, start, end))
                 cols = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
+                kinds = [part.column("id").type, pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "license", "template", "coverage", "start", "end"])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(scan, "id long, license string, template int, coverage double, start long, end long")
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return plain.mapInArrow(scan, f"id {id_type(docs, id_col)}, license string, template int, coverage double, start long, end long")

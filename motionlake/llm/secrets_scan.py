@@ -1,8 +1,11 @@
 """Secrets in text: fixed base patterns, and assignment-aware lexing of source and configuration.
 
-The lexer finds ``name = literal`` in the forms that programming and configuration languages share,
-carries literals through names that stand for them and through concatenation, and scores each
-literal by how sensitive the names are that it reaches.
+The lexer cuts a text into strings, names, signs and marks and reads name-literal pairs in the forms
+that source code, JSON, YAML, XML and property files share: assignments, typed declarations, keys,
+elements and attributes, name and value halves, blocks of lines, lists and calls.  Comments and
+strings are read like code.  Literals are carried through names that stand for them, through
+concatenation and into strings, within the scopes that braces make, and each is scored by how
+sensitive the names are that it reaches.
 """
 
 from __future__ import annotations
@@ -39,19 +42,35 @@ _HINTS = tuple(x for x in SENSITIVE if not any(y in x for y in SENSITIVE if y !=
 _LOWER = bytes(range(256)).lower()
 _BETWEEN = bytes(c for c in range(256) if not chr(c).isalnum() or c > 127)
 
-_STRING = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\\n])*`'
-_NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z0-9_]+)*"
-_OPERAND = rf"(?:{_STRING}|{_NAME})"
-_ONE_TYPE = rf"[&*]*(?:'[a-z]+[ \t]+)?(?:(?:mut|const|readonly)[ \t]+)?{_NAME}(?:::{_NAME})*(?:<[^\n=\"`]{{0,80}}>|\[[^\n=\"`]{{0,80}}\])*[?!]?"
-#: What is between a typed name and its = : a colon and a type, before a string or a spaced =; or a common type's word.
-_TYPE = rf"""[ \t]*[?!]?:[ \t]*(?P<type>{_ONE_TYPE}(?:[ \t]*\|[ \t]*{_ONE_TYPE})*)(?=[ \t]*=[ \t]*["'`]|[ \t]+=[ \t]+[^\s=])|[ \t]+(?:(?i:as)[ \t]+)?\*?(?P<word>(?i:string|str|text|char|bytes?|object|any)|(?i:n?varchar2?))(?:\(\w+\))?(?=[ \t]*=(?![=>]))"""
-#: name, perhaps a type, an assignment sign, then operands joined by + or one bare word.
-ASSIGNMENT = re.compile(
-    rf"""(?:(?P<quoted>"[^"\n]{{1,80}}"|'[^'\n]{{1,80}}')\]?|(?:(?<=\bvar )(?P<var>{_NAME})[ \t]+\*?(?={_NAME}[ \t]*=(?![=>])))?(?P<name>{_NAME})(?:{_TYPE})?)[ \t]*(?P<sign>:=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<value>(?:{_STRING}|{_NAME}(?=[ \t]*\+))(?:[ \t]*\+[ \t]*{_OPERAND})*|[A-Za-z0-9+/_.=$~!@%^&*-]+)""",
-    re.A,
+#: Tokens of source and configuration.  Every alternative is possessive, and each kind of quote fails
+#: to close once a line at most, so the time is proportional to the text.
+_NAME = r"[A-Za-z_][A-Za-z0-9_]*+(?:[.-][A-Za-z0-9_]++)*+"
+_TOKEN = re.compile(
+    r"""(?P<text>(?<![A-Za-z0-9_])[bBrRuUfF@$]?(?:\"\"\"(?:[^"\\]|\\.|"(?!""))*+\"\"\"|\'\'\'(?:[^'\\]|\\.|'(?!''))*+\'\'\')"""
+    r"""|(?<![A-Za-z0-9_])[bBrRuUfF@$]?(?:"(?:[^"\\\n]|\\.)*+"|(?<!&)'(?:[^'\\\n]|\\.)*+')|"(?:[^"\\\n]|\\.)*+"|`(?:[^`\\\n]|\\.)*+`(?!`))"""
+    rf"""|(?P<name>{_NAME})"""
+    r"""|(?P<word>[0-9][A-Za-z0-9_]*+)"""
+    r"""|(?P<sign>:=|=>|\+=|\?\?=|\|\|=|=(?!=)|:(?![:/]))"""
+    r"""|(?P<join>\+|\|\||\?\?|\.\.)"""
+    r"""|(?P<line>\n|//|/\*|\*/|<!--|-->)"""
+    r"""|(?P<mark>::|==+|[][(){}<>|&*?!,;'])"""
+    r"""|(?P<other>\\.|[^ \t])""",
+    re.A | re.S,
 )
+_PLAIN = re.compile(_NAME, re.A)
 _BARE = re.compile(r"[A-Za-z0-9+/_.=$~!@%^&*-]+", re.A)
-_PART = re.compile(rf"{_STRING}|{_NAME}", re.A)
+#: A name in braces within a string: its value becomes part of the string.
+_WITHIN = re.compile(r"\{([A-Za-z_][A-Za-z0-9_]{0,80})\}", re.A)
+#: An element with nothing but text in it, and the attribute that may name it.
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)([^<>]*+)>([^<>]++)</", re.A)
+_NAMED_BY = re.compile(r"""(?<![A-Za-z0-9])(?:name|key|id)\s*+=\s*+["']([^"'\n]{1,80})["']""", re.A | re.I)
+#: A YAML block of lines after | or >.
+_BLOCK = re.compile(r"[|>][-+0-9]*+[ \t]*+\n", re.A)
+#: Words that are types where a name stands before them; calls whose first argument is
+#: the name of a value; names for the two halves of a pair.
+_TYPES = frozenset("string str text char byte bytes object any varchar nvarchar varchar2 nvarchar2".split())
+_GETTERS = frozenset("getenv env environ get getproperty getstring getenvironmentvariable lookup fetch config var input prompt print".split())
+_NAME_HALF, _VALUE_HALF = frozenset(("name", "key", "id", "variable")), frozenset(("value", "content", "default"))
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -72,62 +91,300 @@ def strength(literal: str) -> float:
     return min(1.0, len(literal) / 16) * 0.4 + min(1.0, bits / 4) * 0.4 + (mixed - 1) / 3 * 0.2
 
 
-def _unquoted(text: str, a: int, b: int) -> tuple[int, int]:
-    return (a + 1, b - 1) if text[a] in "\"'`" and b - a > 1 else (a, b)
-
-
 def hinted(text: str) -> bool:
     """Whether a name with sensitivity can be in the text, whatever stands between its parts."""
     folded = text.encode("ascii", "ignore").translate(_LOWER, _BETWEEN).decode("ascii")
     return any(x in folded for x in _HINTS)
 
 
+class Scope:
+    """Names of a block in braces: what each is given, and reads that no name of the block answers."""
+
+    def __init__(self):
+        self.given: dict[str, int] = {}
+        self.open: dict[str, list[int]] = {}
+
+
+class Lexer:
+    """Name-literal pairs of a text, and which names' values each name is given.
+
+    A variable is a name in a scope; braces open and close scopes.  A read is answered by the nearest
+    scope around it that gives the name a value, before or after (configuration has no order), failing
+    that by any.  ``a.token`` and ``b.token`` are different names.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.names: list[str] = []
+        self.spans: list[list[tuple[int, int]]] = []
+        self.reads: list[list[int]] = []
+        self.anywhere: dict[str, list[int]] = {}
+        self.scopes = [Scope()]
+        self.region(0, len(text), 0)
+        for m in _ELEMENT.finditer(text):
+            by = _NAMED_BY.search(m[2])
+            a, b = m.span(3)
+            body = m[3].strip()
+            if body:
+                a += m[3].index(body)
+                self.pair([by[1] if by else m[1]], [(a, a + len(body))], [])
+        while self.scopes:
+            self.close()
+
+    def variable(self, raw: str) -> int:
+        given = self.scopes[-1].given
+        k = given.get(raw)
+        if k is None:
+            k = given[raw] = len(self.names)
+            self.names.append(raw)
+            self.spans.append([])
+            self.reads.append([])
+            self.anywhere.setdefault(raw, []).append(k)
+        return k
+
+    def pair(self, names: list[str], spans: list[tuple[int, int]], reads: list[str]) -> None:
+        for raw in names:
+            k = self.variable(raw)
+            self.spans[k] += spans
+            for x in reads:
+                self.scopes[-1].open.setdefault(x, []).append(k)
+
+    def close(self) -> None:
+        """Answers the reads of the innermost scope; the others go to the scope around it, the smaller table into the larger."""
+        scope = self.scopes.pop()
+        left = {}
+        for x, readers in scope.open.items():
+            hit = scope.given.get(x)
+            if hit is None and not self.scopes:
+                hits = self.anywhere.get(x) or self.anywhere.get(x.rpartition(".")[2], ())
+            elif hit is None:
+                left[x] = readers
+                continue
+            else:
+                hits = (hit,)
+            for k in readers:
+                self.reads[k] += hits
+        if self.scopes:
+            around = self.scopes[-1]
+            if len(around.open) < len(left):
+                around.open, left = left, around.open
+            for x, readers in left.items():
+                held = around.open.get(x)
+                if held is None:
+                    around.open[x] = readers
+                elif len(held) < len(readers):
+                    readers += held
+                    around.open[x] = readers
+                else:
+                    held += readers
+
+    def region(self, lo: int, hi: int, depth: int) -> None:
+        """Reads statements of text[lo:hi]; strings are read again, as regions of their own, to a depth that quotes allow."""
+        text = self.text
+        toks = [(m.lastgroup, *m.span()) for m in _TOKEN.finditer(text, lo, hi)]
+        toks.append(("line", hi, hi))
+        typed: dict[int, str] = {}
+        bottom, named, k = len(self.scopes), (-99, ""), 0
+        while k < len(toks):
+            kind, a, b = toks[k]
+            if kind == "mark" and text[a] in "{}":
+                if text[a] == "{":
+                    self.scopes.append(Scope())
+                elif len(self.scopes) > bottom:
+                    self.close()
+            elif kind == "text":
+                self.inside(a, b, depth)
+            elif kind == "sign" and k:
+                names = self.before(toks, k, typed)
+                if names:
+                    spans, reads, end = self.after(toks, k, depth)
+                    if names and text[a:b] == ":" and k not in typed and (at := self.type_ends(toks, k)):
+                        typed[at] = names[0]
+                        end = k + 1
+                    if text[a:b] in ("+=", "||=", "??="):
+                        reads = reads + [names[0]]
+                    last = names[0].lower()
+                    if last in _VALUE_HALF and k - named[0] <= 12:
+                        names = [*names, named[1]]
+                    elif last in _NAME_HALF and k + 1 < len(toks):
+                        first = spans[0] if spans else m.span() if (m := _BARE.match(text, toks[k + 1][1], hi)) else (0, 0)
+                        if 0 < first[1] - first[0] <= 80:
+                            named = k, text[slice(*first)]
+                    self.pair(names, spans, reads)
+                    for j in range(k + 1, end):
+                        if toks[j][0] == "text":
+                            self.inside(toks[j][1], toks[j][2], depth)
+                    k = max(k + 1, end)
+                    continue
+            k += 1
+        while len(self.scopes) > bottom:
+            self.close()
+
+    def inside(self, a: int, b: int, depth: int) -> None:
+        lo, hi = self.inner(a, b)
+        if depth < 3 and hi - lo >= 8 and (self.text.find("=", lo, hi) >= 0 or self.text.find(":", lo, hi) >= 0):
+            self.scopes.append(Scope())
+            self.region(lo, hi, depth + 1)
+            self.close()
+
+    def inner(self, a: int, b: int) -> tuple[int, int]:
+        """What is between the quotes of a string, whatever its prefix."""
+        text = self.text
+        a += text[a] not in "\"'`"
+        n = 3 if b - a >= 6 and text[a] != "`" and text[a] * 3 == text[a : a + 3] else 1
+        return a + n, b - n
+
+    def before(self, toks, k: int, typed: dict[int, str]) -> list[str]:
+        """The names that the sign at k may give a value to."""
+        text = self.text
+        if k in typed:
+            return [typed[k]]
+        j = k - 1
+        if j and toks[j][0] == "mark" and (text[toks[j][1]] in "?!" or text[toks[j][1]] == "]" and toks[j - 1][0] == "text"):
+            j -= 1
+        kind, a, b = toks[j]
+        if kind == "text":
+            a, b = self.inner(a, b)
+            return [text[a:b]] if 0 < b - a <= 80 and "\n" not in text[a:b] else []
+        if text[a] == ")" and j >= 3 and text[toks[j - 2][1]] == "(":
+            j -= 3
+            kind, a, b = toks[j]
+            if text[a:b].lower() not in _TYPES:
+                return []
+        if kind != "name":
+            return []
+        names = [text[a:b]]
+        i = j - 1
+        while i >= 0 and (text[toks[i][1] : toks[i][2]] == "*" or text[toks[i][1] : toks[i][2]].lower() == "as") and j - i < 4:
+            i -= 1
+        if i >= 0 and toks[i][0] == "name" and (names[0].lower() in _TYPES or i and text[toks[i - 1][1] : toks[i - 1][2]] == "var"):
+            names.append(text[toks[i][1] : toks[i][2]])
+        return names
+
+    def type_ends(self, toks, k: int) -> int | None:
+        """The place of the = that follows a colon and a type."""
+        text, depth, j = self.text, 0, k + 1
+        while j < len(toks):
+            kind, a, b = toks[j]
+            x = text[a:b]
+            if kind == "sign":
+                spaced = text[a - 1] in " \t" and text[b : b + 1] in (" ", "\t")
+                ok = x == "=" and j > k + 1 and depth == 0 and j + 1 < len(toks) and (toks[j + 1][0] == "text" or spaced and toks[j + 1][0] != "line")
+                return j if ok else None
+            if kind not in ("name", "mark") or x in ("{", "}", ";", "==") or x == "," and not depth:
+                return None
+            depth += (x in "<[(") - (x in ">])")
+            if depth < 0:
+                return None
+            j += 1
+        return None
+
+    def after(self, toks, k: int, depth: int) -> tuple[list[tuple[int, int]], list[str], int]:
+        """Literal spans, names read, and the first token after the value of the sign at k."""
+        text, (_, sign, end) = self.text, toks[k]
+        colon = text[sign:end] == ":"
+        spans, reads, j = [], [], k + 1
+        if colon and (m := _BLOCK.match(text, toks[j][1])):
+            return self.block(toks, k, m.end())
+        while toks[j][0] == "line" and j + 1 < len(toks) and text[toks[j][1] : toks[j][2]] == "\n" and j - k <= 3:
+            j += 1
+        if j > k + 1 and (toks[j][0] != "text" or j + 1 < len(toks) and toks[j + 1][0] == "sign"):
+            return [], [], k + 1
+        listed, key = 0, False  # in how many brackets; whether the next string is the name of a value
+        while j < len(toks):
+            kind, a, b = toks[j]
+            x = text[a:b]
+            if kind == "text":
+                lo, hi = self.inner(a, b)
+                if key:
+                    reads.append(text[lo:hi])
+                else:
+                    spans.append((lo, hi))
+                    reads += _WITHIN.findall(text, lo, hi)
+                key = False
+                j += 1
+                more = toks[j][0] == "join" or toks[j][0] == "text" or listed and text[toks[j][1] : toks[j][2]] in (",", ")", "]", "\n")
+                if not more:
+                    return spans, reads, j
+                continue
+            if kind == "join" and (spans or reads):
+                j += 1
+                while toks[j][0] == "line" and j + 1 < len(toks):
+                    j += 1
+                continue
+            if x in ("(", "["):
+                listed += 1
+            elif x in (")", "]") and listed:
+                listed -= 1
+                if not listed and toks[j + 1][0] != "join":
+                    return spans, reads, j + 1
+            elif x == "," and listed:
+                pass
+            elif kind == "line" and listed and x == "\n":
+                pass
+            elif kind == "name" and text[b : b + 1] == "(":
+                key = x.rpartition(".")[2].lower() in _GETTERS
+                listed, j = listed + 1, j + 1
+            elif kind == "name" and text[b : b + 1] == "[" and j + 2 < len(toks) and toks[j + 2][0] == "text":
+                key, listed, j = True, listed + 1, j + 1
+            elif kind == "name" and (toks[j + 1][0] == "join" or listed):
+                reads.append(x)
+            elif not listed and kind in ("name", "word", "sign", "join", "mark", "other") and (m := _BARE.match(text, a, toks[-1][2])):
+                if not colon or any(c.isdigit() for c in m[0]):
+                    reads.append(m[0])
+                    spans.append(m.span())
+                while toks[j][1] < m.end() and j + 1 < len(toks):
+                    j += 1
+                return spans, reads, j
+            else:
+                return spans, reads, j
+            j += 1
+        return spans, reads, len(toks)
+
+    def block(self, toks, k: int, at: int) -> tuple[list[tuple[int, int]], list[str], int]:
+        """The lines of a YAML block: those further in than the line of the key."""
+        text, hi = self.text, toks[-1][2]
+        line = text.rfind("\n", 0, toks[k][1]) + 1
+        lead = len(text[line : toks[k][1]]) - len(text[line : toks[k][1]].lstrip(" -"))
+        spans, j = [], k + 1
+        while at < hi:
+            stop = text.find("\n", at, hi)
+            stop = hi if stop < 0 else stop
+            body = text[at:stop]
+            if body.strip() and len(body) - len(body.lstrip(" ")) <= lead:
+                break
+            if body.strip():
+                spans.append((stop - len(body.lstrip(" \t")), at + len(body.rstrip())))
+            at = stop + 1
+        while j < len(toks) - 1 and toks[j][1] < at:
+            j += 1
+        return spans, [], j
+
+
 def literals(text: str, threshold: float = 0.55) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of the literals that reach a sensitive name.
 
     A name that is given another name's value passes it on, through any number of steps; each
-    literal has the score of the most sensitive name it reaches.
+    literal has the score of the most sensitive name it reaches.  Time grows in proportion to the
+    text: names are visited once, the most sensitive first.
     """
-    if not any(c in text for c in "=:") or not hinted(text):
+    if not any(c in text for c in "=:<") or not hinted(text):
         return []
-    values: dict[str, set[tuple[int, int]]] = {}
-    reads: dict[str, set[str]] = {}
-    shown: dict[str, str] = {}
-    for m in ASSIGNMENT.finditer(text):
-        given = [(m["name"] or m["quoted"][1:-1], m["sign"], *m.span("value"))]
-        if m["type"] and (bare := _BARE.match(text, m.start("type"))):  # name: value, should it be no type
-            given.append((m["name"], ":", *bare.span()))
-        for other in (m["var"], m["word"]):  # of two words before = either may be the name
-            if other:
-                given.append((other, *given[0][1:]))
-        for raw, sign, a, b in given:
-            name = raw.rpartition(".")[2] if m["name"] else raw
-            shown.setdefault(name, raw)
-            held = values.setdefault(name, set())
-            if text[a] in "\"'`" or "+" in text[a:b] and _PART.match(text, a):
-                for p in _PART.finditer(text, a, b):
-                    if text[p.start()] in "\"'`":
-                        held.add(_unquoted(text, *p.span()))
-                    else:
-                        reads.setdefault(name, set()).add(p[0].rpartition(".")[2])
-            elif sign != ":" or any(c.isdigit() for c in text[a:b]):
-                reads.setdefault(name, set()).add(text[a:b].rpartition(".")[2])
-                held.add((a, b))
-    # the names whose values a name takes, followed backwards from the sensitive ones
+    lexer = Lexer(text)
+    weights = [sensitivity(x.rpartition(".")[2] if _PLAIN.fullmatch(x) else x) for x in lexer.names]
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    for name in values:
-        if not (weight := sensitivity(name)):
-            continue
-        seen, todo = {name}, [name]
+    seen = [False] * len(weights)
+    for k in sorted((k for k, w in enumerate(weights) if w), key=lambda k: -weights[k]):
+        todo = [k]
         while todo:
             at = todo.pop()
-            for span in values.get(at, ()):
-                if weight > best.get(span, (0.0,))[0] and text[span[0] : span[1]] not in values:
-                    best[span] = weight, shown[name]
-            for x in reads.get(at, ()):
-                if x in values and x not in seen:
-                    seen.add(x)
-                    todo.append(x)
+            if seen[at]:
+                continue
+            seen[at] = True
+            for span in lexer.spans[at]:
+                if weights[k] > best.get(span, (0.0,))[0] and text[span[0] : span[1]] not in lexer.anywhere:
+                    best[span] = weights[k], lexer.names[k]
+            todo += lexer.reads[at]
     scored = ((a, b, name, weight * (0.3 + 0.7 * s)) for (a, b), (weight, name) in best.items() if (s := strength(text[a:b])))
     return sorted(x for x in scored if x[3] >= threshold)
 
@@ -167,8 +424,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(k) for k in range(2, part.num_columns)), pa.array(rows, kind)], names=["id", *keep, "spans"])
 
     types = dict(docs.dtypes)
-    plain = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *(F.col(c) for c in keep))
-    schema = ", ".join(["id long", *(f"`{c}` {types[c]}" for c in keep), "spans array<struct<kind: string, start: long, end: long, name: string, score: double>>"])
+    plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *(F.col(c) for c in keep))
+    schema = ", ".join([f"id {types[id_col]}", *(f"`{c}` {types[c]}" for c in keep), "spans array<struct<kind: string, start: long, end: long, name: string, score: double>>"])
     return plain.mapInArrow(scan, schema)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TooLarge
+from .common import TooLarge, id_type
 from .textvec import slices
 
 #: Bytes of a model file that are broadcast at most.
@@ -319,8 +319,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 rows = codec.encode_all([x or "" for x in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(list(map(pick[k], rows)), types[k]) for k in wanted)], names=["id", *wanted])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, ", ".join(["id long", *(f"{k} {OUTPUTS[k]}" for k in wanted)]))
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return plain.mapInArrow(run, ", ".join([f"id {id_type(docs, id_col)}", *(f"{k} {OUTPUTS[k]}" for k in wanted)]))
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -333,4 +333,4 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "id", id
             texts = [library.decode(ids) if ids else "" for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "id long, text string")
+    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, f"id {id_type(encoded, id_col)}, text string")

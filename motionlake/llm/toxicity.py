@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     session = docs.sparkSession
     learn = learn or (lambda c: F.lit(True))
-    plain = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
     clean = _clean(labels, id_col, label_col, learn)
     sample = _sample(plain, clean, sample_rows)
     counts = {r.y: r["count"] for r in clean.groupBy("y").count().collect()}
@@ -260,8 +260,8 @@ def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", tex
             for part in slices(batch, "__text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(k) for k in range(2, part.num_columns)), pa.array(shared.value.score(part.column("__text"), lookup))], names=["id", *keep, "score"])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *(F.col(c) for c in keep))
-    return plain.mapInArrow(run, ", ".join(["id long", *(f"`{c}` {types[c]}" for c in keep), "score double"]))
+    plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *(F.col(c) for c in keep))
+    return plain.mapInArrow(run, ", ".join([f"id {types[id_col]}", *(f"`{c}` {types[c]}" for c in keep), "score double"]))
 
 
 def held_out(id_col):

@@ -1,12 +1,13 @@
 """Base spans against the contract's plain reading; lexing on small programs."""
 
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from motionlake.llm.secrets_scan import SENSITIVE, base_spans, find_secrets, literals, redact
+from motionlake.llm.secrets_scan import SENSITIVE, Lexer, base_spans, find_secrets, literals, redact, sensitivity, strength
 
 PLAIN = {
     "assign": (r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
@@ -80,3 +81,56 @@ def test_typed_declarations():
     for text in ("password: aB3dE6gH9jK2mN5 = x", "token: aB3dE6gH9jK2=mN5pQ", "token: aB3dE6gH9jK2mN5p=", 'secret: aB3dE6gH9jK2mN5 = "x"'):
         assert [text[a:b].startswith("aB3dE6gH9jK2") for a, b, *_ in literals(text)] == [True], text
     assert literals('The secret formula = "none of it, ever"') == []
+
+
+SECRET = "Zx81qP02vv9L/w3R-t6Y"
+
+
+def test_forms_of_configuration():
+    """Every form gives the literal; what is none of them gives nothing."""
+    for text in (
+        "db:\n  password: |\n    %s\n  host: h1", "<password>%s</password>", '<entry key="client_secret"> %s </entry>', '<add name="ApiKey" value="%s"/>',
+        "- name: DB_PASSWORD\n  value: %s", '{"name": "DB_PASSWORD", "value": "%s"}', 'password =\n    "%s"', 'token = os.getenv("APP_MODE", "%s")', 'password = decode("%s")',
+        'tokens = ["%s", "x"]', 'cmd = "run --mode=x password=%s"', 'apiKey = flag ? "" : x; apiKey = f"{part}"; part = "%s"', 'password = ("ab"\n  "%s")',
+        '"""\npassword = "%s"\n"""', 'self.token = self.part\nself.part = "%s"', 'pw = x ?? "%s"; password = pw', "# password = '%s'", "auth_token: >-\n   %s", 'k = u"%s"\nsecret_key = k',
+    ):
+        text = text % SECRET
+        assert SECRET in [text[a:b] for a, b, *_ in literals(text)], text
+    for text in ('x.part = "%s"; password = y.part; y.part = 12', "{ part = '%s' } { part = 1; password = part }", 'password = os.environ["%s"]', 'password = getenv("%s")', 'title = "%s"; password = other'):
+        assert literals(text % SECRET) == [], text
+
+
+def test_time_is_proportional_to_the_text():
+    n = 1_000_000
+    for part in ("A", "token=", "a.", '"\\"', "{token=a;", "'\"a", "token=(", "<token ", "a-", "token:[[", "password=\n", "api_key.", "'"):
+        text = "token = x " + part * (n // len(part))
+        start = time.process_time()
+        literals(text)
+        assert time.process_time() - start < 12, part
+    start = time.process_time()
+    literals("token = x " + "A" * n + " " + "a1.b2-" * (n // 6))
+    assert time.process_time() - start < 1.5
+
+
+PIECES = ["password", "k", "a.b", "x", "=", ":", "+", " ", "\n", "  ", '"', "'", '"Zx81qP02vv9L"', "'aB3dE6gH9jK2'", "{", "}", "(", ")", "[", "]", ",", "|", ">", "<", "</", '"""', "var ", "string", ";", "\\", "getenv", "é", "${k}", "12"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=24))
+def test_any_text_is_read_and_names_reach_literals_as_a_plain_search_finds(parts):
+    """The walk over names, each once, against the most sensitive name from which a search reaches each literal."""
+    text = "token = k " + "".join(parts)
+    lexer = Lexer(text)
+    want = {}
+    for k, name in enumerate(lexer.names):
+        weight, seen, todo = sensitivity(name.rpartition(".")[2]), set(), [k]
+        while weight and todo:
+            at = todo.pop()
+            if at not in seen:
+                seen.add(at)
+                todo += lexer.reads[at]
+                for a, b in lexer.spans[at]:
+                    if (s := strength(text[a:b])) and text[a:b] not in lexer.anywhere:
+                        want[a, b] = max(want.get((a, b), 0), weight * (0.3 + 0.7 * s))
+    got = literals(text, 0.1)
+    assert {(a, b): x for a, b, _, x in got} == {k: v for k, v in want.items() if v >= 0.1}
