@@ -138,8 +138,8 @@ def _cross_pairs(rows: DataFrame, sketches: DataFrame, listed: int, percent: int
     """
     per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     keys = per.groupBy("key").agg(F.max("c").alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    doms = per.join(keys, "key").where("c = top").groupBy("key", "top", "all").agg(F.min("comp").alias("dom"))
-    rows = cut(rows.join(doms, "key"))
+    doms = join_hot(per, keys, "key").where("c = top").groupBy("key", "top", "all").agg(F.min("comp").alias("dom"))
+    rows = cut(join_hot(rows, doms, "key"))
     few, many = rows.where(F.expr(f"(all - top) * all <= {listed}")), rows.where(F.expr(f"(all - top) * all > {listed}"))
     few = few.join(sketches.select("id", F.struct("n", "sketch").alias("s")), "id")
     x = few.where("comp <> dom").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("s").alias("sx"))
@@ -165,9 +165,9 @@ def _rare_shingle_rows(ids: DataFrame, texts: DataFrame, n: int, percent: int) -
 
     grams = cut(ids.join(texts, "id").select("id", "text").mapInArrow(explode, "id long, key long, n long").distinct())
     counts = grams.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(counts, "key").where("df > 1")
+    ranked = join_hot(grams, counts, "key").where("df > 1")
     # a shingle that only one id has never joins, but takes its place in the prefix
-    lone = grams.join(counts.where("df = 1"), "key").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+    lone = join_hot(grams, counts.where("df = 1"), "key").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
     ranked = ranked.join(lone, "id", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "key")) + F.col("lone")
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
