@@ -32,8 +32,26 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder: lineage ends there and lost executors cost nothing."""
+    """The rows, written to a table in the shared folder: lineage ends there and lost executors cost nothing.
+
+    Shuffle files behind the rows go once they are written.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "cut")
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ordered(df: DataFrame) -> DataFrame:
+    """The rows in a checkpoint, which keeps the order of rows and partitions."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -59,7 +77,7 @@ def id_type(df: DataFrame, col: str) -> str:
 def numbered(df: DataFrame, col: str) -> DataFrame:
     """(id, number) of the distinct ids that are not null; numbers are long and in the order of the ids."""
     distinct = df.where(F.col(col).isNotNull()).select(F.col(col).alias("id")).distinct()
-    return cut(cut(distinct.orderBy("id")).withColumn("number", F.monotonically_increasing_id()))
+    return cut(ordered(distinct.orderBy("id")).withColumn("number", F.monotonically_increasing_id()))
 
 
 class TooLarge(ValueError):
