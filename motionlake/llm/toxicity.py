@@ -1,13 +1,15 @@
 """Toxicity by weak supervision.
 
-Many voters look at a document: lexicons mined from labelled rows and dealt into groups, fixed
-lexicons, patterns, and the given labels.  A generative model estimates how each voter votes given
-the hidden label and how voters agree beyond it; its posteriors train a linear classifier over
-words and word beginnings, which scores every whole text.
+Many voters look at a bounded sample of documents, with and without a label: lexicons mined from the
+labelled ones and dealt into groups for either side, fixed lexicons, patterns, what is absent, and
+the given label as one more voter that may err.  A generative model with a tree of dependences
+between voters estimates how each votes given the hidden label; its posteriors, of rows with and
+without a label, choose the features of a linear classifier and train it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -15,17 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_bounded
+from .common import collect_bounded, cut, id_type
 from .textvec import _powers, byte_table, mix, slices, text_buffers, words
 
 #: Letters, digits and bytes of other alphabets make words; a word is one feature.
 _WORDS = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 #: Bytes of a word's beginning that are features of their own.
 PREFIXES = (4, 5, 6, 7)
-#: Features kept for the linear model, and voters that the mined ones are dealt into.
+#: Features mined for voters, and kept for the linear model; voters of either side that the mined ones are dealt into.
 FEATURES, GROUPS = 4096, 12
-#: A mined feature's log-odds of a toxic row at least, and those in units of their error.
-LEAST_ODDS, LEAST_Z = 1.5, 2.5
+#: For voters, then for the linear model: log-odds of a toxic and of a clean feature at least, and its
+#: root likelihood ratio, which is as rarely so great by chance as a normal deviate.
+VOTERS, MODEL = (3.0, 0.7, 4.5), (1.5, 0.7, 2.5)
+#: What the prior that a given label errs in a hundredth of the rows weighs, in labelled rows, and what
+#: a row without a label weighs beside one with a label.
+TRUST, UNLABELLED = 1.0, 0.1
 
 #: Plain insults in four languages, a voter for each line.
 LEXICONS = (
@@ -89,40 +95,75 @@ class Lookup:
         return pairs // len(self.keys), pairs % len(self.keys)
 
 
-def label_model(votes: np.ndarray, trusted: int | None, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row, accuracy of each voter, and correlation between voters.
+def dependences(joint: np.ndarray, rows: int) -> list[tuple[int, int]]:
+    """(voter, voter it depends on or -1) in an order in which the latter come first.
 
-    ``votes`` holds 1, 0 or -1 (abstains).  Expectation maximisation over a hidden label; each voter
-    has its own chances of every vote under either label.  Voters that agree beyond the label count
-    less, each by one over one plus its positive residual correlations with the others; correlations
-    are estimated from the residuals in every round.  The column ``trusted`` starts the labels off
-    where it votes, the majority elsewhere.
+    The tree of the greatest mutual information given the hidden label (Chow and Liu), without edges
+    that do not pay for their parameters.  ``joint`` has P(y, a of voter i, b of voter j) as [y, i, a, j, b].
+    """
+    m = joint.shape[1]
+    share = joint.sum(axis=(2, 4), keepdims=True)
+    given = joint / share
+    lone = np.einsum("yiaib->yia", given * np.eye(3)[None, None, :, None, :])
+    info = (joint * np.log(given / (lone[:, :, :, None, None] * lone[:, None, None, :, :]))).sum(axis=(0, 2, 4))
+    np.fill_diagonal(info, -np.inf)
+    left, order = set(range(m)), []
+    best = {j: (-np.inf, -1) for j in left}
+    while left:
+        j = max(left, key=lambda j: (best[j][0], -j))
+        left.discard(j)
+        order.append((j, best[j][1] if best[j][0] > 4 * math.log(rows + 1) / rows else -1))
+        for k in left:
+            if info[j, k] > best[k][0]:
+                best[k] = info[j, k], j
+    return order
+
+
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 40, trust: float = TRUST, unlabelled: float = UNLABELLED) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Posterior of each row, accuracy of each voter, the tree of dependences, chances of the label given.
+
+    ``votes`` holds 1, 0 or -1 (abstains) of each voter, ``given`` the label, -1 where there is none.
+    Expectation maximisation over a hidden label y: a voter votes by chances of its own that depend on
+    y and on the vote of one other voter, so that voters which say the same thing count once; the
+    given label errs with a chance that is learned too, from a prior that it seldom does, and says
+    nothing where it is missing.  Rows
+    with and without a label have a prior each.  It starts from the given label, elsewhere from the
+    share of votes for 1.
     """
     n, m = votes.shape
+    x = (votes[:, :, None] == np.array([-1, 0, 1])).astype(float).reshape(n, 3 * m)
     fired = votes >= 0
-    start = (np.where(fired, votes, 0).sum(axis=1) + 0.2) / (fired.sum(axis=1) + 1.0)
-    if trusted is not None:
-        start = np.where(votes[:, trusted] >= 0, 0.02 + 0.96 * votes[:, trusted], start)
-    p, share, corr = np.clip(start, 0.02, 0.98), np.ones(m), np.eye(m)
-    onehot = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)
+    p = (np.where(fired, votes, 0).sum(axis=1) + 0.2) / (fired.sum(axis=1) + 1.0)
+    p = np.clip(np.where(given >= 0, 0.05 + 0.9 * given, p), 0.02, 0.98)
+    tree, says, weight = [], np.zeros((2, 2)), np.where(given >= 0, 1.0, unlabelled)
     for _ in range(rounds):
-        both = np.stack([1 - p, p])
-        chance = np.einsum("yn,vnm->yvm", both, onehot) + np.array([1.0, 0.5, 0.5])[None, :, None]
-        chance /= chance.sum(axis=1, keepdims=True)
-        prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
-        residual = np.where(fired, votes, 0.0) - p[:, None] * chance[1, 2] - (1 - p)[:, None] * chance[0, 2]
-        scale = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-        corr = residual.T @ residual / n / scale[:, None] / scale[None, :]
-        share = 1 / (1 + np.clip(corr - np.eye(m), 0, 1).sum(axis=1))
-        if trusted is not None:
-            share[trusted] = 1.0
-        logit = np.log(prior / (1 - prior)) + np.einsum("vnm,vm->n", onehot, share * (np.log(chance[1]) - np.log(chance[0])))
+        both = np.stack([1 - p, p]) * weight
+        joint = np.stack([(x * w[:, None]).T @ x for w in both]).reshape(2, m, 3, m, 3)
+        # one row's worth of independent votes under each label
+        lone = (np.einsum("yiaia->yia", joint) + np.array([1.0, 0.5, 0.5])) / (both.sum(axis=1) + 2.0)[:, None, None]
+        soft = joint + lone[:, :, :, None, None] * lone[:, None, None, :, :]
+        tree = dependences(soft / soft[:, :1, :, :1, :].sum(), n)
+        says = np.array([[(w * (given == v)).sum() for v in (0, 1)] for w in both]) + trust * (1 + (given >= 0).sum()) * np.array([[0.99, 0.01], [0.01, 0.99]])
+        says /= says.sum(axis=1, keepdims=True)
+        logit = np.zeros(n)
+        for rows in (given >= 0, given < 0):
+            prior = np.clip((p[rows].sum() + 0.5) / (rows.sum() + 1), 1e-4, 1 - 1e-4)
+            logit[rows] = np.log(prior / (1 - prior))
+        for v in (0, 1):
+            logit[given == v] += np.log(says[1, v] / says[0, v])
+        for j, i in tree:
+            if i < 0:
+                logit += (np.log(lone[1, j]) - np.log(lone[0, j]))[votes[:, j] + 1]
+            else:
+                chance = soft[:, i, :, j, :] / soft[:, i, :, j, :].sum(axis=2, keepdims=True)
+                logit += (np.log(chance[1]) - np.log(chance[0]))[votes[:, i] + 1, votes[:, j] + 1]
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - p).max() < 1e-6:
-            break
+        done = np.abs(new - p).max() < 1e-6
         p = new
+        if done:
+            break
     hit = p[:, None] * (votes == 1) + (1 - p)[:, None] * (votes == 0)
-    return p, hit.sum(axis=0) / np.maximum(fired.sum(axis=0), 1), corr
+    return p, hit.sum(axis=0) / np.maximum(fired.sum(axis=0), 1), tree, says
 
 
 def logistic(rows: np.ndarray, cols: np.ndarray, size: tuple[int, int], target: np.ndarray, weight: np.ndarray, l2: float, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, float]:
@@ -144,21 +185,26 @@ def _clean(labels: DataFrame, id_col: str, label_col: str, learn) -> DataFrame:
     return labels.where(learn(F.col(id_col)) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
 
 
-def _sample(docs: DataFrame, clean: DataFrame, most: int) -> DataFrame:
-    """(text, y): at most ``most`` ids of each label, picked by a hash of the id."""
-    picked = None
-    for y in (0, 1):
-        part = clean.where(F.col("y") == y).orderBy(F.xxhash64("__id", F.lit(11)), "__id").limit(most)
-        picked = part if picked is None else picked.unionByName(part)
-    # bounded by 2 * most rows of two numbers
-    return docs.join(F.broadcast(picked), F.col("__doc") == F.col("__id")).select("text", "y")
+def _sample(docs: DataFrame, clean: DataFrame, learn, most: int) -> DataFrame:
+    """(id, text, y): at most ``most`` ids of each label and as many without, y -1, picked by a hash of the id; a row for each id."""
+    order = lambda c: (F.xxhash64(c, F.lit(11)), c)
+    parts = [clean.where(F.col("y") == y).orderBy(*order("__id")).limit(most) for y in (0, 1)]
+    # of ids with small hashes, eight times as many as wanted, those that no label names
+    rows = max(1, docs.count())
+    some = docs.where(learn(F.col("__doc")) & (F.xxhash64("__doc", F.lit(11)) <= min(2**63 - 1, -(2**63) + 8 * most * 2**64 // rows)))
+    some = some.select(F.col("__doc").alias("__id")).distinct().join(clean.select("__id"), "__id", "left_anti")
+    parts.append(some.orderBy(*order("__id")).limit(most).withColumn("y", F.lit(-1)))
+    picked = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # bounded by 3 * most rows of two numbers
+    joined = docs.join(F.broadcast(picked), F.col("__doc") == F.col("__id")).where("text is not null")
+    return joined.groupBy(F.col("__doc").alias("id")).agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 class Scorer:
     """The fitted classifier: sorted features, their weights, bias, and what the label model found."""
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, accuracy: np.ndarray, correlation: np.ndarray):
-        self.keys, self.weights, self.bias, self.accuracy, self.correlation = keys, weights, bias, accuracy, correlation
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, accuracy: np.ndarray, tree: list, says: np.ndarray):
+        self.keys, self.weights, self.bias, self.accuracy, self.tree, self.says = keys, weights, bias, accuracy, tree, says
 
     def score(self, column: pa.Array, lookup: Lookup) -> np.ndarray:
         data, offsets = text_buffers(column)
@@ -167,81 +213,127 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn=None, sample_rows: int = 4000, seed: int = 5) -> Scorer:
-    """Fits on at most ``sample_rows`` labelled rows of each label (bounded and documented here).
+def _mined(sample: DataFrame, share_of, least: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted features and log-odds of those that speak for a side (1 or -1) with odds and likelihood ratio of ``least`` at least.
 
-    ``learn`` maps the id column to the condition of rows whose labels may be used.  Labels other
-    than 0 and 1, null ids and ids without text count for nothing; of labels that contradict each
-    other under one id, toxic wins.  Without labelled rows of both kinds, the fixed lexicons and
-    patterns alone weigh the features that a default model knows.
+    ``share_of`` gives each row's share of being toxic from its id and label, nan for rows that do not
+    count.  At most FEATURES for each side, those first whose likelihood ratio is greatest.
     """
-    session = docs.sparkSession
-    learn = learn or (lambda c: F.lit(True))
-    plain = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
-    clean = _clean(labels, id_col, label_col, learn)
-    sample = _sample(plain, clean, sample_rows)
-    counts = {r.y: r["count"] for r in clean.groupBy("y").count().collect()}
-    fixed = [np.unique(features(*text_buffers(pa.array([w])))[1][:1]) for line in LEXICONS for w in line.split()]
-    line_of = np.repeat(np.arange(len(LEXICONS)), [len(x.split()) for x in LEXICONS])
-    fixed_keys = np.concatenate(fixed)
 
     def count(batches):
         for batch in batches:
             for part in slices(batch, "text"):
+                share = share_of(part)
+                held = ~np.isnan(share)
                 d, f = _distinct(*features(*text_buffers(part.column("text"))))
-                y = part.column("y").to_numpy()[d]
+                d, f = d[held[d]], f[held[d]]
                 keys, inverse = np.unique(f, return_inverse=True)
-                pos = np.bincount(inverse, y, minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(pos), pa.array(np.bincount(inverse, minlength=len(keys)) - pos)], names=["f", "pos", "neg"])
-
-    per = sample.mapInArrow(count, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    n1, n0 = max(1, min(sample_rows, counts.get(1, 0))), max(1, min(sample_rows, counts.get(0, 0)))
-    odds = F.log((F.col("pos") + 0.25) / n1) - F.log((F.col("neg") + 0.25) / n0)
-    # the log-odds in units of their own error
-    z = odds / F.sqrt(1 / (F.col("pos") + 0.25) + 1 / (F.col("neg") + 0.25))
-    chosen = per.select("f", odds.alias("odds"), z.alias("z")).where(f"odds >= {LEAST_ODDS} and z >= {LEAST_Z}").orderBy(F.desc("z"), "f").limit(FEATURES)
-    mined = collect_bounded(chosen, FEATURES)
-    keys = np.array([r.f for r in mined], np.int64).view(np.uint64)
-    every = np.unique(np.concatenate([keys, fixed_keys]))
-    odds_of = np.zeros(len(every))
-    odds_of[np.searchsorted(every, keys)] = [r.odds for r in mined]
-    shared = session.sparkContext.broadcast(every)
-
-    def vote(batches):
+                pos = np.bincount(inverse, share[d], minlength=len(keys))
+                neg = np.bincount(inverse, 1 - share[d], minlength=len(keys))
+                f = pa.array(np.append(0, keys.view(np.int64)), mask=np.arange(len(keys) + 1) == 0)
+                yield pa.RecordBatch.from_arrays([f, pa.array(np.append(share[held].sum(), pos)), pa.array(np.append((1 - share[held]).sum(), neg))], names=["f", "pos", "neg"])
+
+    # in thousandths, so that sums do not depend on their order; the row without a feature has the totals
+    per = sample.mapInArrow(count, "f long, pos double, neg double").groupBy("f").agg(*(F.sum(F.round(F.col(c) * 1000).cast("long")).alias(c) for c in ("pos", "neg")))
+    per = cut(per.select("f", F.col("pos") / 1000 + 0.25, F.col("neg") / 1000 + 0.25).toDF("f", "pos", "neg"))
+    totals = per.where("f is null").first()
+    found: dict[int, float] = {}
+    if totals:
+        odds = F.log(F.col("pos") / totals.pos) - F.log(F.col("neg") / totals.neg)
+        every, rows = F.col("pos") + F.col("neg"), totals.pos + totals.neg
+        fits = lambda seen, expected: seen * F.log(seen / expected)
+        ratio = sum(fits(F.col(c), every * n / rows) + fits(F.greatest(n - F.col(c), F.lit(0.25)), F.greatest(rows - every, F.lit(0.25)) * n / rows) for c, n in (("pos", totals.pos), ("neg", totals.neg)))
+        scaled = per.where("f is not null").select("f", odds.alias("odds"), F.sqrt(F.greatest(2 * ratio, F.lit(0.0))).alias("z")).where(f"z >= {least[2]}")
+        for side, odds in ((1, least[0]), (-1, least[1])):
+            chosen = scaled.where(F.col("odds") * side >= odds).orderBy(F.desc("z"), "f").limit(FEATURES)
+            found |= {r.f: r.odds for r in collect_bounded(chosen, FEATURES)}
+    keys = np.array(list(found), np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array(list(found.values()))[order]
+
+
+def _seen(sample: DataFrame, keys: np.ndarray, rows: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Rows (id, y, rules) in the order of ids, and row and feature of what they hold."""
+    shared = sample.sparkSession.sparkContext.broadcast(keys)
+
+    def look(batches):
         lookup = Lookup(shared.value)
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 d, k = lookup.find(*features(*text_buffers(part.column("text"))))
-                cut = np.searchsorted(d, np.arange(part.num_rows + 1))
-                seen = [k[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                rules = [[v if t and p.search(t) else -1 for p, v in PATTERNS] for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(seen, pa.list_(pa.int32())), pa.array(rules, pa.list_(pa.int32()))], names=["y", "seen", "rules"])
-
-    rows = collect_bounded(sample.mapInArrow(vote, "y int, seen array<int>, rules array<int>"), 2 * sample_rows * 16)
-    if not rows or not counts.get(1) or not counts.get(0):
-        weights = np.where(np.isin(every, fixed_keys), 4.0, 0.0)
-        return Scorer(every, weights, -2.5, np.zeros(0), np.zeros((0, 0)))
+                at = np.searchsorted(d, np.arange(part.num_rows + 1))
+                seen = [k[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+                rules = [[v if p.search(t) else -1 for p, v in PATTERNS] for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(seen, pa.list_(pa.int32())), pa.array(rules, pa.list_(pa.int32()))], names=["id", "y", "seen", "rules"])
+
+    found = sample.mapInArrow(look, f"id {id_type(sample, 'id')}, y int, seen array<int>, rules array<int>")
+    found = sorted(collect_bounded(found, rows), key=lambda r: r.id)
+    r_at = np.repeat(np.arange(len(found)), [len(r.seen) for r in found])
+    c_at = np.concatenate([np.array(r.seen, np.int64) for r in found]) if found else np.zeros(0, np.int64)
+    return found, r_at, c_at
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn=None, sample_rows: int = 4000) -> Scorer:
+    """Fits on at most ``sample_rows`` rows of each label and as many without a label (bounded and documented here).
+
+    ``learn`` maps the id column to the condition of rows that may be used at all.  Labels other
+    than 0 and 1, null ids and ids without text count for nothing; of labels that contradict each
+    other under one id, toxic wins; of texts under one id, the least.  Without labelled rows of both
+    kinds, the fixed lexicons alone weigh the features that a default model knows.
+    """
+    learn = learn or (lambda c: F.lit(True))
+    plain = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text")).where(F.col(id_col).isNotNull())
+    clean = cut(_clean(labels.where(F.col(id_col).isNotNull()), id_col, label_col, learn))
+    counts = {r.y: r["count"] for r in clean.groupBy("y").count().collect()}
+    fixed = [np.unique(features(*text_buffers(pa.array([w])))[1][:1]) for line in LEXICONS for w in line.split()]
+    line_of = np.repeat(np.arange(len(LEXICONS)), [len(x.split()) for x in LEXICONS])
+    fixed_keys = np.concatenate(fixed)
+    default = np.unique(fixed_keys)
+    sample = cut(_sample(plain, clean, learn, sample_rows))
+    found = {r.y for r in sample.select("y").distinct().collect()}
+    if not {0, 1} <= found:
+        return Scorer(default, np.full(len(default), 4.0), -2.5, np.zeros(0), [], np.eye(2))
+
+    def labelled(part):
+        y = part.column("y").to_numpy().astype(float)
+        return np.where(y < 0, np.nan, y)
+
+    mined, odds = _mined(sample, labelled, VOTERS)
+    every = np.unique(np.concatenate([mined, fixed_keys]))
+    odds_of = np.zeros(len(every))
+    odds_of[np.searchsorted(every, mined)] = odds
+    rows, r_at, c_at = _seen(sample, every, 3 * sample_rows)
     y = np.array([r.y for r in rows])
-    r_at = np.repeat(np.arange(len(rows)), [len(r.seen) for r in rows])
-    c_at = np.concatenate([np.array(r.seen, np.int64) for r in rows])
-    votes = [y]
-    ranked = [k for k in np.argsort(-odds_of, kind="stable") if odds_of[k] > 0]
-    for g in range(GROUPS):
-        member = np.zeros(len(every), bool)
-        member[ranked[g::GROUPS]] = True
-        votes.append(np.where(np.bincount(r_at, member[c_at], minlength=len(rows)) > 0, 1, -1))
+    holds = lambda member: np.bincount(r_at, member[c_at], minlength=len(rows)) > 0
+    votes = []
+    for side, vote in ((1, 1), (-1, 0)):
+        ranked = [k for k in np.argsort(-side * odds_of, kind="stable") if odds_of[k] * side > 0]
+        for g in range(GROUPS):
+            member = np.zeros(len(every), bool)
+            member[ranked[g::GROUPS]] = True
+            votes.append(np.where(holds(member), vote, -1))
     for line in range(len(LEXICONS)):
-        member = np.isin(every, fixed_keys[line_of == line])
-        votes.append(np.where(np.bincount(r_at, member[c_at], minlength=len(rows)) > 0, 1, -1))
-    toxic_any = np.bincount(r_at, (odds_of > 0)[c_at], minlength=len(rows)) > 0
-    votes.append(np.where(toxic_any, -1, 0))
+        votes.append(np.where(holds(np.isin(every, fixed_keys[line_of == line])), 1, -1))
+    votes.append(np.where(holds((odds_of > 0) | np.isin(every, fixed_keys)), -1, 0))
     votes = np.column_stack([*votes, np.array([r.rules for r in rows])])
-    posterior, accuracy, correlation = label_model(votes, trusted=0)
+    votes = votes[:, (votes >= 0).any(axis=0)]
+    posterior, accuracy, tree, says = label_model(votes, y)
+
+    # what speaks for either side among all rows of the sample, by their posteriors
+    share = sample.sparkSession.sparkContext.broadcast(dict(zip([r.id for r in rows], posterior.tolist(), strict=True)))
+
+    def by_posterior(part):
+        return np.array([share.value[i] for i in part.column("id").to_pylist()])
+
+    chosen, _ = _mined(sample, by_posterior, MODEL)
+    chosen = np.unique(np.concatenate([chosen, fixed_keys]))
+    rows, r_at, c_at = _seen(sample, chosen, 3 * sample_rows)
     # the sample is dealt by label; weights bring back the share of each among the labelled rows
     weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
-    w, b = logistic(r_at, c_at, (len(rows), len(every)), posterior, weight / weight.mean(), 1e-5)
-    return Scorer(every, w, b, accuracy, correlation)
+    weight[y < 0] = weight[y >= 0].mean() * UNLABELLED
+    w, b = logistic(r_at, c_at, (len(rows), len(chosen)), posterior, weight / weight.mean(), 1e-4)
+    return Scorer(chosen, w, b, accuracy, tree, says)
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
