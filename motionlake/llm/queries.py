@@ -46,11 +46,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archived_pages(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     revisit = F.col("response.type") == "revisit"
     return found.select(
-        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
+        F.col("metadata.fields")["page-id"][0].cast("long").alias("page_id"),
         F.when(revisit, F.col("original.payload_bytes")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("original.payload_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        F.when(revisit, F.col("original.fields")["page-id"].cast("long")).alias("refers_to"),
+        F.when(revisit, F.col("original.fields")["page-id"][0].cast("long")).alias("refers_to"),
     )
 
 

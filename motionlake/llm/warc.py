@@ -24,7 +24,7 @@ _DATE = "2020-01-01T00:00:00Z"
 
 RECORD = (
     "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, content_type string, "
-    "header_digest string, http_length long, payload_bytes long, payload_digest string, payload binary, fields map<string, string>"
+    "header_digest string, http_length long, payload_bytes long, payload_digest string, payload binary, fields map<string, array<string>>, error string"
 )
 
 
@@ -51,18 +51,24 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     characters of the target are written as %XX.  Rows that repeat an id and its payload are written
     each, under the same record ids.
     Only ids, digests and lengths are grouped, with pre-aggregation; bodies move once, in the join
-    that adaptive execution splits where one digest is very common.  An empty table gives no record.
+    that adaptive execution splits where one digest is very common; those too small for a revisit
+    have keys of their own there.  Bodies over a sixteenth of ``file_bytes`` have archives of their
+    own, so that none grows far beyond the greater of ``file_bytes`` and one record.  An archive is one gzip
+    member, as Spark's writer makes it, and cannot be entered in the middle.  An empty table gives no record.
     """
     base = pages.select(
-        F.col(id_col).cast("long").alias("id"),
+        F.col(id_col).alias("id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"),
     )
     base = base.withColumn("sha1", F.sha1(F.col("body").cast("binary"))).withColumn("size", F.octet_length("body").cast("long"))
     keys = cut(base.select("id", "sha1", "size"))
-    total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    big = F.col("size") > max(min_revisit, file_bytes >> 4)
+    measure = lambda of: (F.coalesce(F.sum(F.when(of, F.col("size"))), F.lit(0)), F.count(F.when(of, 1)))
+    total, rows, big_total, big_rows = keys.agg(*measure(~big), *measure(big)).first()
     groups = keys.where(F.col("size") >= min_revisit).groupBy("sha1", "size").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    joined = base.join(groups.select("sha1", "size", "first"), ["sha1", "size"], "left")
+    base = base.withColumn("key", F.when(F.col("size") >= min_revisit, F.col("sha1")).otherwise(F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string"))))
+    joined = base.join(groups.select(F.col("sha1").alias("key"), "size", "first"), ["key", "size"], "left")
 
     # the same for rows that repeat in full, and for the response of a group whatever row has it
     named = lambda i: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), F.col("sha1"))
@@ -88,65 +94,143 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     request = _record("request", _uuid("request", name), here + with_ + [("Content-Type", F.lit("application/http;msgtype=request"))], ask)
     facts = F.coalesce(F.concat(F.lit("page-id: "), F.col("id").cast("string"), F.lit("\r\n")), F.lit("\r\n"))
     metadata = _record("metadata", _uuid("metadata", name), here + with_ + [("Content-Type", F.lit("application/warc-fields"))], facts)
-    lines = joined.select(F.concat(request, F.lit(END), response, F.lit(END), metadata).alias("value"))
-    per_file = max(1, int(file_bytes * rows / (total + 1200 * rows))) if rows else 1
-    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    lines = joined.select("size", F.concat(request, F.lit(END), response, F.lit(END), metadata).alias("value"))
+    for of, total, rows in ((big, big_total, big_rows), (~big, total, rows)):
+        per_file = max(1, int(file_bytes * rows / (total + 1200 * rows))) if rows else 1
+        if rows or of is not big and not big_rows:  # of an empty table, one archive without records
+            lines.where(of).select("value").write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+
+
+_PIECE = 32 << 10
+
+
+def unpack(raw: bytes) -> tuple[bytes, str | None]:
+    """The bytes of an archive, its gzip members unpacked, and what is wrong with these.
+
+    A member that is damaged or cut short gives what can be read of it; reading goes on at the next.
+    """
+    if raw[:2] != b"\x1f\x8b":
+        return raw, None
+    out, at, error = [], 0, None
+    while 0 <= at < len(raw):
+        z, begin = zlib.decompressobj(31), at
+        try:
+            while at < len(raw) and not z.eof:
+                out.append(z.decompress(raw[at : at + _PIECE]))
+                at += min(_PIECE, len(raw) - at)
+            at -= len(z.unused_data)
+            if z.eof and (at >= len(raw) or raw[at : at + 2] == b"\x1f\x8b"):
+                continue
+            error = error or ("bytes after a gzip member" if z.eof else "truncated gzip member")
+            if not z.eof:
+                break
+        except zlib.error:
+            error = "damaged gzip member"
+        at = raw.find(b"\x1f\x8b\x08", max(at, begin + 1) if z.eof else begin + 1)
+    return b"".join(out), error
+
+
+def _next_record(data: bytes, at: int) -> int:
+    found = data.find(b"\r\nWARC/", at)
+    return len(data) if found < 0 else found + 2
 
 
 def records(raw: bytes):
-    """(header, block) of each record of an archive; gzip members and plain bytes are both read.
+    """(header, block, error) of each record of an archive; gzip members and plain bytes are both read.
 
-    Header names are lower-cased.  A record's length is what its header says, so blocks may hold
-    anything; what follows the last whole record is left out.
+    Header names are lower-cased; of a repeated one the first counts.  A record's length is what its
+    header says, so blocks may hold anything.  Where that cannot be, or bytes are no record at all,
+    ``error`` says so, the block is what there is up to the next record, and reading goes on there.
     """
-    if raw[:2] == b"\x1f\x8b":
-        out, rest = [], raw
-        while rest[:2] == b"\x1f\x8b":
-            z = zlib.decompressobj(31)
-            out.append(z.decompress(rest))
-            rest = z.unused_data
-        raw = b"".join(out)
+    data, broken = unpack(raw)
     at = 0
-    while (end := raw.find(b"\r\n\r\n", at)) >= 0:
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")
-        header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(header.get("content-length", 0))
-        if not lines[0].startswith("WARC/") or end + 4 + size > len(raw):
-            return
-        yield header, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        while raw[at : at + 2] == b"\r\n":
+    while at < len(data):
+        if data[at : at + 2] == b"\r\n":
             at += 2
+            continue
+        if data[at : at + 5] != b"WARC/":
+            stop = _next_record(data, at)
+            yield {}, data[at:stop], "not a record"
+            at = stop
+            continue
+        end = data.find(b"\r\n\r\n", at)
+        header = {}
+        for line in data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")[1:]:
+            k, _, v = line.partition(":")
+            header.setdefault(k.strip().lower(), v.strip())
+        size = header.get("content-length", "")
+        if end < 0:
+            yield header, b"", broken or "truncated"
+            return
+        stop = end + 4 + int(size) if size.isascii() and size.isdigit() and len(size) < 16 else -1
+        if 0 <= stop <= len(data):
+            yield header, data[end + 4 : stop], None
+        else:
+            why = "bad content-length" if stop < 0 else broken or "truncated"
+            stop = _next_record(data, end + 2)
+            yield header, data[end + 4 : stop], why
+        at = stop
+    if broken:
+        yield {}, b"", broken
+
+
+def dechunk(body: bytes) -> bytes | None:
+    """A chunked HTTP body put together; None if it is not well formed."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not size or len(size) > 15 or size.strip(b"0123456789abcdefABCDEF"):
+            return None
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        if end + 2 + n > len(body):
+            return None
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return None
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records of the archives below ``path``, with the schema RECORD.
+    """The records of the archives (.gz and .warc) below ``path``, with the schema RECORD.
 
     payload_bytes and payload_digest (SHA-1, hex) are of the bytes found in response records, after
     the HTTP header, and null for other types; ``payload`` false leaves out the bytes themselves.
-    ``http_length`` is the length that the HTTP header gives; ``fields`` those of metadata.
+    A chunked body is put together; a content coding such as gzip stays, as it is part of the payload.
+    ``http_length`` is the length that the HTTP header gives, null if it is no number; ``fields``
+    those of metadata, each with all its values.  What is damaged gives a row with ``error`` and no
+    payload, and the other records of the archive are read all the same.  An archive is one value of
+    at most 2 GB.
     """
 
     def parse(batches):
-        def row(header, block):
+        def row(header, block, error):
             of = lambda k: header.get(k)
             plain = lambda k: header[k].strip("<>").removeprefix("urn:uuid:") if k in header else None
             kind, body, length, facts = of("warc-type"), None, None, None
             if kind in ("response", "revisit"):
                 head, _, rest = block.partition(b"\r\n\r\n")
-                for line in head.split(b"\r\n")[1:]:
-                    if line.lower().startswith(b"content-length:"):
-                        length = int(line[15:])
-                body = rest if kind == "response" else None
+                for line in head.lower().split(b"\r\n")[1:]:
+                    name, _, value = (x.strip() for x in line.partition(b":"))
+                    if name == b"content-length":
+                        length = int(value) if value.isdigit() and len(value) < 16 else None
+                    elif name == b"transfer-encoding" and value.endswith(b"chunked"):
+                        whole = dechunk(rest)
+                        rest = rest if whole is None else whole
+                body = rest if kind == "response" and not error else None
             elif kind == "metadata":
-                facts = [(k.strip(), v.strip()) for k, m, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n")) if m]
+                lists: dict[str, list[str]] = {}
+                for k, m, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n")):
+                    if m:
+                        lists.setdefault(k.strip(), []).append(v.strip())
+                facts = list(lists.items())
             return (
                 plain("warc-record-id"), kind, plain("warc-concurrent-to"), plain("warc-refers-to"), of("warc-target-uri"), of("warc-date"), of("content-type"),
-                of("warc-payload-digest"), length, None if body is None else len(body), None if body is None else hashlib.sha1(body).hexdigest(), body if payload else None, facts,
+                of("warc-payload-digest"), length, None if body is None else len(body), None if body is None else hashlib.sha1(body).hexdigest(), body if payload else None, facts, error,
             )
 
-        kinds = [pa.string()] * 8 + [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.map_(pa.string(), pa.string())]
-        names = [x.split()[0] for x in RECORD.split(", ")[:12]] + ["fields"]
+        kinds = [pa.string()] * 8 + [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.map_(pa.string(), pa.list_(pa.string())), pa.string()]
+        names = [x.split()[0] for x in RECORD.split(", ")[:12]] + ["fields", "error"]
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -154,8 +238,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
         for batch in batches:
             for k in range(batch.num_rows):
                 rows, held = [], 0
-                for header, block in records(batch.column("content")[k].as_buffer().to_pybytes()):
-                    rows.append(row(header, block))
+                for header, block, error in records(batch.column("content")[k].as_buffer().to_pybytes()):
+                    rows.append(row(header, block, error))
                     held += len(block) if payload else 0
                     if len(rows) >= 4096 or held > 8 << 20:
                         yield batch_of(rows)
@@ -163,7 +247,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
                 if rows:
                     yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(parse, RECORD)
 
 
@@ -173,10 +257,11 @@ def assemble(found: DataFrame) -> DataFrame:
     Requests and metadata join the response or revisit that they name as concurrent; of several,
     the one with the least record id counts.  A revisit's ``original`` is the response it refers to,
     with that one's metadata; payload size and digest come from there.  Records that name no known
-    response form no capture; a revisit of an unknown record has a null original.
+    response form no capture, nor do those without an id; a revisit of an unknown record has a null
+    original.  A damaged response is a capture whose response.error says why.
     """
-    held = ["record_id", "payload_bytes", "payload_digest", "payload", "header_digest", "http_length"]
-    response = found.where("type in ('response', 'revisit')").select(
+    held = ["record_id", "payload_bytes", "payload_digest", "payload", "header_digest", "http_length", "error"]
+    response = found.where("type in ('response', 'revisit') and record_id is not null").select(
         F.col("record_id").alias("capture_id"), "target_uri", "date", "refers_to", F.struct("type", *held).alias("response")
     )
 
