@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TooLarge
+from .common import cut, id_type
 
-#: Characters of rules that are broadcast as a trie at most; more rules are joined by their keys.
+#: Characters of rules that are broadcast as a trie at most; more rules are joined by their keys, with the same result.
 TRIE_CHARS = 64 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,8 +28,9 @@ class RuleTrie:
     """Rules (host, path, verdict): a node per host label from the right, then one per path segment.
 
     A rule fits its host and all subdomains if the url's path starts with the rule's.  The longest
-    fitting rule wins: the one with the most host labels, then with the longest path; of equal
-    rules with different verdicts, block.  An empty host fits every host.
+    fitting rule wins: the one with the most host labels, then with the longest path.  An empty host
+    fits every host.  Under a node, what must follow the segments is looked up by each of its lengths
+    there, longest first, so a url costs as much as its own length whatever the number of rules.
     """
 
     def __init__(self, rules):
@@ -42,9 +43,14 @@ class RuleTrie:
             *whole, rest = path.split("/")
             for segment in whole:
                 node = node.setdefault(segment, {})
-            ends = node.setdefault(1, {})  # 1: what must follow the segments, and the rule
-            if rest not in ends or verdict == "block":
-                ends[rest] = (f"{host}{path}", verdict)
+            ends = node.setdefault(1, {})  # 1: by length, what must follow the segments, and the rule
+            ends.setdefault(len(rest), {})[rest] = f"{host}{path}", verdict
+        todo = [self.root]
+        while todo:
+            node = todo.pop()
+            if 1 in node:
+                node[1] = dict(sorted(node[1].items(), reverse=True))
+            todo += [child for key, child in node.items() if key != 1]
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest rule that fits."""
@@ -54,16 +60,16 @@ class RuleTrie:
             if node is None:
                 break
             nodes.append(node)
-        segments = path.split("/")
         for node in reversed(nodes):
-            paths, found = node.get(0), None
-            for depth in range(len(segments)):
-                if paths is None:
-                    break
-                for rest, hit in sorted(paths.get(1, {}).items(), key=lambda x: len(x[0])):
-                    if "/".join(segments[depth:]).startswith(rest):
+            node, at, found = node.get(0), 0, None
+            while node is not None:
+                for n, rests in node.get(1, {}).items():
+                    if n <= len(path) - at and (hit := rests.get(path[at : at + n])):
                         found = hit
-                paths = paths.get(segments[depth]) if depth < len(segments) - 1 else None
+                        break
+                end = path.find("/", at)
+                node = node.get(path[at:end]) if end >= 0 else None
+                at = end + 1
             if found:
                 return found
         return None
@@ -74,12 +80,14 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
     Null urls and urls without :// have an empty host and path, which no rule with a host fits.
     Without a fitting rule, rule is null and verdict is ``default``.  Rules with a null part are
-    left out.  Up to ``trie_chars`` characters of rules are broadcast as a trie; a longer list is
-    joined to the urls on every host suffix and path prefix that a rule of it has the shape of.
+    left out; of equal rules with different verdicts block counts, else the greatest.  Up to
+    ``trie_chars`` characters of rules are broadcast as a trie; a longer list, with the same result,
+    is joined to the urls on host suffixes and path prefixes.
     Rows are independent; repeated ids give repeated rows; an empty table gives none.
     """
-    rules = rules.where("host is not null and path is not null and verdict is not null").select(F.translate("host", _UPPER, _LOWER).alias("host"), "path", "verdict")
-    plain = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"))
+    rules = rules.where("host is not null and path is not null and verdict is not null").groupBy(F.translate("host", _UPPER, _LOWER).alias("host"), "path")
+    rules = rules.agg(F.when(F.bool_or(F.col("verdict") == "block"), "block").otherwise(F.max("verdict")).alias("verdict"))
+    plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     plain = plain.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     size = rules.agg(F.coalesce(F.sum(F.char_length("host") + F.char_length("path") + 16), F.lit(0))).first()[0]
     return _by_trie(plain, rules, default) if size <= trie_chars else _by_join(plain, rules, default)
@@ -90,28 +98,32 @@ def _by_trie(plain: DataFrame, rules: DataFrame, default: str) -> DataFrame:
 
     def run(batches):
         trie = shared.value
-        for pdf in batches:
-            found = [trie.match(h, p) or (None, default) for h, p in zip(pdf["host"], pdf["path"])]
-            yield pdf.assign(rule=pd.Series([x[0] for x in found], index=pdf.index, dtype=object), verdict=pd.Series([x[1] for x in found], index=pdf.index, dtype=object))
+        for batch in batches:
+            found = [trie.match(h, p) or (None, default) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            columns = [pa.array([x[k] for x in found], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["id", "host", "path", "rule", "verdict"])
 
-    return plain.mapInPandas(run, "id long, host string, path string, rule string, verdict string")
+    return plain.mapInArrow(run, f"id {id_type(plain, 'id')}, host string, path string, rule string, verdict string")
 
 
 def _by_join(plain: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same by equal keys: each url has a key for every host suffix and rule-path length."""
-    lengths = [r.n for r in rules.select(F.char_length("path").alias("n")).distinct().limit(4097).collect()]
-    if len(lengths) > 4096:
-        raise TooLarge("rule paths have over 4096 lengths")
+    """The same by equal keys: host suffix and whole path segments, then what must follow them, by its length."""
+    whole = "left(path, char_length(path) - char_length(substring_index(path, '/', -1)))"
+    rules = cut(rules.select("host", F.expr(whole).alias("whole"), "path", "verdict"))
+    lengths = rules.groupBy("host", "whole").agg(F.collect_set(F.char_length("path")).alias("lengths"))
     labels = F.split("host", r"\.")
     suffixes = F.when(F.col("host") == "", F.array(F.lit(""))).otherwise(
         F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
     )
-    rows = plain.withColumn("row", F.monotonically_increasing_id())
-    keys = rows.select("row", F.explode(suffixes).alias("host"), "path").select("row", "host", "path", F.explode(F.array(*map(F.lit, sorted(lengths)))).alias("n"))
-    keys = keys.where(F.char_length("path") >= F.col("n")).select("row", "host", F.expr("substring(path, 1, n)").alias("path"))
-    best = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    hits = keys.join(best, ["host", "path"])
-    rank = F.struct(F.when(F.col("host") == "", 0).otherwise(F.size(F.split("host", r"\."))).alias("labels"), F.char_length("path").alias("n"), F.concat("host", "path").alias("rule"), F.col("verdict"))
-    won = hits.groupBy("row").agg(F.max(rank).alias("w"))
-    out = rows.join(won, "row", "left")
+    segments = F.split("path", "/")
+    wholes = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.array_join(F.concat(F.slice(segments, 1, k - 1), F.array(F.lit(""))), "/"))
+    # each host and path once
+    rows = plain.select("host", "path").distinct()
+    keys = rows.select(F.col("host").alias("own"), "path", F.explode(suffixes).alias("host"))
+    keys = keys.select("own", F.col("path").alias("full"), "host", F.explode(wholes).alias("whole")).join(lengths, ["host", "whole"])
+    keys = keys.select("own", "full", "host", F.explode("lengths").alias("n")).where(F.char_length("full") >= F.col("n"))
+    hits = keys.withColumn("path", F.expr("left(full, n)")).join(rules.select("host", "path", "verdict"), ["host", "path"])
+    rank = F.struct(F.when(F.col("host") == "", 0).otherwise(F.size(labels)).alias("labels"), "n", F.concat("host", "path").alias("rule"), "verdict")
+    won = hits.groupBy(F.col("own").alias("host"), F.col("full").alias("path")).agg(F.max(rank).alias("w"))
+    out = plain.join(won, ["host", "path"], "left")
     return out.select("id", "host", "path", F.col("w.rule").alias("rule"), F.coalesce("w.verdict", F.lit(default)).alias("verdict"))

@@ -1,6 +1,7 @@
 """Trie and join against a slow reading of the rules."""
 
 import random
+import time
 
 from motionlake.llm.queries import URL_RULES
 from motionlake.llm.urlfilter import RuleTrie, judge
@@ -50,3 +51,30 @@ def test_random_rules():
         for _ in range(20):
             host, path = ".".join(r.choice(labels) for _ in range(r.randrange(0, 5))), r.choice(segs) + r.choice(segs)
             assert (trie.match(host, path) or (None, "allow")) == slow(rules, host, path), (rules, host, path)
+
+
+def test_random_rules_both_ways(spark):
+    """Trie and join agree with the slow reading, for any verdicts, equal rules and string ids."""
+    r = random.Random(8)
+    segs = ["", "/", "/x", "/x/", "/x/y", "/xy", "/é/", "/x/yz", "//", "/x//y"]
+    raw = [(".".join(r.choice(["a", "b", "C"]) for _ in range(r.randrange(0, 4))), r.choice(segs), r.choice(["allow", "block", "review", "hold"])) for _ in range(60)] + [(None, "/", "block"), ("a", None, "block"), ("a", "/", None)]
+    best = {}
+    for h, p, v in raw:
+        if None not in (h, p, v):
+            best.setdefault((h.lower(), p), []).append(v)
+    rules = [(h, p, "block" if "block" in vs else max(vs)) for (h, p), vs in best.items()]
+    urls = [None, "x", *("z://" + ".".join(r.choice(["a", "B", "c", ""]) for _ in range(r.randrange(0, 5))) + r.choice(segs) + r.choice(segs) for _ in range(300))]
+    df = spark.createDataFrame([(f"p{k}", u) for k, u in enumerate(urls)] + [("p3", urls[3]), (None, urls[4])], "page_id string, url string")
+    table = spark.createDataFrame(raw, "host string, path string, verdict string")
+    want = sorted(((f"p{k}", *split(u), *slow(rules, *split(u))) for k, u in [*enumerate(urls), (3, urls[3])]), key=str)
+    for bound in (1 << 20, 0):
+        got = [tuple(x) for x in judge(df, table, trie_chars=bound).collect()]
+        assert sorted((x for x in got if x[0]), key=str) == want and len(got) == len(want) + 1
+
+
+def test_many_rules_on_one_host():
+    trie = RuleTrie([("h.com", f"/p{k}", "block") for k in range(100_000)])
+    start = time.process_time()
+    for k in range(20_000):
+        assert trie.match("www.h.com", f"/p{k * 5}x/y")[0] == f"h.com/p{k * 5}"
+    assert time.process_time() - start < 2
