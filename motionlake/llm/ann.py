@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import collect_bounded, cut
+from .common import INTEGERS, cut, id_type, numbered
 
-#: Rows that centres and probes are fitted on at most, centres at most, vectors and queries in a block.
-SAMPLE, LISTS, BLOCK, QUERY_BLOCK = 20_000, 4096, 4096, 256
+#: Rows and bytes that centres and probes are fitted on at most, centres at most, vectors and queries in a block.
+SAMPLE, SAMPLE_BYTES, LISTS, BLOCK, QUERY_BLOCK = 20_000, 128 << 20, 4096, 4096, 256
 #: Dimensions of a column block, and the confidence parameter of the test.
 COLUMNS, EPSILON = 16, 2.1
 
@@ -67,11 +67,11 @@ def probes_for(sample: np.ndarray, c: np.ndarray, k: int, recall: float, queries
     return int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))]) + 1
 
 
-def scan(query: np.ndarray, rotated_query: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
+def scan(query: np.ndarray, rotated_query: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, ids: np.ndarray, own: int, k: int, work: list[int] | None = None) -> list[tuple[int, float]]:
     """The k nearest ids of a block with their exact distances, nearest first, ties to the smaller id.
 
     The bound is the k-th distance over distinct ids, each at its nearest row so far, so that rows
-    which repeat an id do not tighten it.
+    which repeat an id do not tighten it.  ``work`` gathers how many components are looked at.
     """
     n, d = rotated.shape
     bound, kept, held, holds = np.inf, [], np.zeros(0), ids[:0]
@@ -82,6 +82,8 @@ def scan(query: np.ndarray, rotated_query: np.ndarray, vectors: np.ndarray, rota
         part = np.zeros(len(at))
         for a in range(0, d, COLUMNS):
             b = min(d, a + COLUMNS)
+            if work is not None:
+                work[0] += len(at) * (b - a)
             part += ((rotated[at, a:b] - rotated_query[a:b]) ** 2).sum(axis=1)
             if b < d and np.isfinite(bound):
                 near = part <= bound * (b / d) * (1 + EPSILON / math.sqrt(b)) ** 2
@@ -116,24 +118,34 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     components, have a null id or another length than the commonest take no part.
 
     Centres (the root of the row count, at most LISTS) and the number of probed lists, the fewest
-    that reach ``recall`` there, come from at most SAMPLE ids, one row of each; every row is indexed.  Lists are cut
+    that reach ``recall`` there, come from at most SAMPLE ids and SAMPLE_BYTES, one row of each; every row is indexed.  Lists are cut
     into blocks of about BLOCK rows and queries into blocks of QUERY_BLOCK, and blocks meet blocks,
-    so that no list, however large, is gathered in one task.  An empty table gives no rows.
+    so that no list, however large, is gathered in one task.  An empty table gives no rows.  Ids that
+    are no integers are numbered in their order first.
     """
     session = vectors.sparkSession
+    kind = id_type(vectors, id_col)
+    if kind not in INTEGERS:
+        names = numbered(vectors, id_col)
+        own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), queries.alias("q")).join(names, "id").select("number", "v", "q")
+        found = search(own, F.col("q"), "number", "v", k, recall, seed)
+        for c in ("query_id", "vec_id"):
+            found = found.join(names.select(F.col("number").alias(c), F.col("id").alias(f"own_{c}")), c)
+        return found.select(F.col("own_query_id").alias("query_id"), "rank", F.col("own_vec_id").alias("vec_id"), "score")
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), queries.cast("boolean").alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     sizes = plain.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = f"query_id {kind}, rank int, vec_id {kind}, score double"
     if not sizes:
         return session.createDataFrame([], schema)
     d, n = sizes[0]
     plain = plain.where(F.size("v") == d)
     # of the ids with the least hashes one row each: half as many again as SAMPLE if no id repeats
-    hashed = plain.select("v", F.xxhash64("id", F.lit(seed)).alias("h"), "id").where(F.col("h") <= min(2**63 - 1, -(2**63) + 3 * SAMPLE * 2**63 // n))
-    sample = collect_bounded(hashed.groupBy("h", "id").agg(F.min("v").alias("v")).orderBy("h", "id").limit(SAMPLE).select("v"), SAMPLE)
-    if not sample:  # few ids, all with greater hashes
-        sample = plain.select(F.min("v").alias("v")).collect()
-    sample = np.array([r.v for r in sample])
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * d)))
+    hashed = plain.select("v", F.xxhash64("id", F.lit(seed)).alias("h"), "id").where(F.col("h") <= min(2**63 - 1, -(2**63) + 3 * most * 2**63 // n))
+    sample = hashed.groupBy("h", "id").agg(F.min("v").alias("v")).orderBy("h", "id").limit(most).select("v").toArrow()
+    if not sample.num_rows:  # few ids, all with greater hashes
+        sample = plain.select(F.min("v").alias("v")).toArrow()
+    sample = np.concatenate([x.flatten().to_numpy() for x in sample.column("v").chunks if len(x)]).reshape(-1, d)
     middle = centres(sample, min(LISTS, max(1, math.isqrt(n))), seed=seed)
     # even the smallest lists together hold k others, so that no query goes short
     held = np.cumsum(np.sort(np.bincount(nearest(sample, middle, 1)[:, 0], minlength=len(middle))))
@@ -147,7 +159,9 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
             x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             near = nearest(x, c, 1)[:, 0]
             ask = batch.column("q").fill_null(False).to_numpy(zero_copy_only=False)
-            probe = [p.tolist() if a else [] for a, p in zip(ask, nearest(x, c, probes) if ask.any() else [np.zeros(0)] * len(x), strict=True)]
+            probe: list = [[]] * len(x)
+            for row, lists in zip(np.flatnonzero(ask).tolist(), nearest(x[ask], c, probes).tolist(), strict=True):
+                probe[row] = lists
             packed = pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), packed, pa.array(near.astype(np.int32)), pa.array(probe, pa.list_(pa.int32()))], names=["id", "v", "list", "probes"])
 
@@ -182,4 +196,4 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     found = met.mapInArrow(measure, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select(F.col("query_id").cast(kind).alias("query_id"), "rank", F.col("vec_id").cast(kind).alias("vec_id"), "score")

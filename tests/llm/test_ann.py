@@ -4,9 +4,11 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from motionlake.llm import ann
+from motionlake.llm.ann import scan, search
 
 
 def brute(rows, is_query, k):
@@ -77,3 +79,49 @@ def test_an_id_of_many_rows_hides_no_other(spark, monkeypatch):
     got = [(x.score, x.vec_id) for x in ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
     want = brute(rows, lambda i: i == 0, 10)[0]
     assert len(got) == 10 and len({j for _, j in got} & {j for _, j in want}) >= 9 and got[0][1] == 7
+
+
+def test_scan_abandons_candidates_and_keeps_the_nearest():
+    """Many column blocks: most components are never looked at, and hardly a neighbour is lost."""
+    rng = np.random.default_rng(6)
+    d, n, k = 128, 4000, 10
+    middle = rng.standard_normal((40, d)) * 2
+    x = middle[rng.integers(0, 40, n)] + rng.standard_normal((n, d))
+    turn = np.linalg.qr(rng.standard_normal((d, d)))[0]
+    work, kept = [0], 0
+    for q in range(60):
+        got = scan(x[q], x[q] @ turn, x, x @ turn, np.arange(n), q, k, work)
+        exact = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        exact[q] = np.inf
+        want = np.argsort(exact)[:k]
+        kept += len({i for i, _ in got} & set(want.tolist()))
+        assert all(abs(s - exact[i]) < 1e-9 for i, s in got) and [s for _, s in got] == sorted(s for _, s in got)
+    assert work[0] < 0.5 * 60 * n * d and kept >= 0.99 * 60 * k
+
+
+@pytest.mark.parametrize("d,clusters", [(64, 0), (96, 25)])
+def test_recall_of_every_twentieth_row(spark, d, clusters):
+    """The whole operator at production parameters against brute force over all rows."""
+    rng = np.random.default_rng(d)
+    n = 3000
+    x = rng.standard_normal((n, d))
+    if clusters:
+        x += (rng.standard_normal((clusters, d)) * 3)[rng.integers(0, clusters, n)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in search(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    hits = 0
+    for q in range(0, n, 20):
+        exact = ((x - x[q]) ** 2).sum(axis=1)
+        exact[q] = np.inf
+        assert len(found[q]) == 10
+        hits += len(set(found[q]) & set(np.argsort(exact)[:10].tolist()))
+    assert hits / (10 * n / 20) >= 0.9
+
+
+def test_ids_that_are_no_numbers(spark):
+    rows = [(f"v{k:03}", [float(k), 1.0]) for k in range(60)] + [(None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in search(df, F.col("vec_id") == "v010", k=3, recall=1.0).collect()}
+    assert got == {("v010", 1): "v009", ("v010", 2): "v011", ("v010", 3): "v008"}
