@@ -91,6 +91,11 @@ class CharacterMap:
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
         self.pool = blob[4 + size :]
 
+    def leads(self) -> set[int]:
+        """Bytes that a key begins with."""
+        root = self._child(self.units[0]) if self.units else 0
+        return {b for b in range(256) if self.units and root ^ b < len(self.units) and self.units[root ^ b] & 0x800000FF == b}
+
     def longest(self, text: bytes, at: int) -> tuple[int, bytes] | None:
         """Length and replacement of the longest key that ``text`` has at ``at``."""
         units, found = self.units, None
@@ -121,6 +126,9 @@ class Normaliser:
         self.model, self.map = model, CharacterMap(model.charsmap)
         own = sorted((p for p, t in zip(model.pieces, model.types, strict=True) if t == USER_DEFINED), key=len, reverse=True)
         self.own = re.compile(b"|".join(map(re.escape, own))) if own else None
+        # ASCII that begins no key of the map and no piece of its own stands for itself
+        plain = set(range(1, 128)) - {32} - self.map.leads() - {p[0] for p in own}
+        self.plain = re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in sorted(plain)) + b"]+") if plain else None
 
     def _next(self, text: bytes, at: int) -> tuple[int, bytes]:
         if self.own and (m := self.own.match(text, at)):
@@ -131,8 +139,11 @@ class Normaliser:
         size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
         return size, text[at : at + size]
 
-    def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
-        """Normalised bytes and, for each and for the end, where in ``text`` they come from."""
+    def normalise(self, text: bytes, prefix: bool = True) -> tuple[bytes, np.ndarray]:
+        """Normalised bytes and, for each and for the end, where in ``text`` they come from.
+
+        Without ``prefix``, as for what follows other text, no dummy prefix is put in.
+        """
         model, out, source, at = self.model, bytearray(), [], 0
         bar = BAR if model.escape else b" "
         if model.remove_extra:
@@ -148,10 +159,15 @@ class Normaliser:
             out.extend(new)
             source.extend([origin] * len(new))
 
-        if model.dummy_prefix and not model.suffix:
+        if prefix and model.dummy_prefix and not model.suffix:
             put(bar, at)
         spaced = model.remove_extra
         while at < len(text):
+            if self.plain and (run := self.plain.match(text, at)):
+                out.extend(run[0])
+                source.extend(range(at, run.end()))
+                at, spaced = run.end(), False
+                continue
             size, new = self._next(text, at)
             if spaced:
                 new = new.lstrip(b" ")
@@ -185,7 +201,7 @@ class Codec:
         self.newline = bytes_.get(b"<0x0A>")
         # Segments end where no piece can go on: before a bar after another character, and around \n.
         # Then each may be encoded by itself.
-        whole = not (self.model.charsmap or self.model.remove_extra or self.model.suffix or USER_DEFINED in self.model.types)
+        whole = len(bytes_) == 256 and not (self.model.charsmap or self.model.remove_extra or self.model.suffix or USER_DEFINED in self.model.types)
         local = not any(re.search("[^▁]▁|\n", p.decode()) for p in plain)
         self.by_segment = whole and local and self.model.dummy_prefix and self.model.escape and self.newline is not None
         self.surface = [bytes([self.byte_of[k]]) if k in self.byte_of else p.replace(BAR, b" ") for k, p in enumerate(self.model.pieces)]
@@ -222,11 +238,12 @@ class Codec:
     def _learn(self, segments: list[str]) -> None:
         """Caches for each segment the ids as text, the original bytes of each piece, and the decoded text.
 
-        They are encoded many at a time, set apart by newlines, which no piece crosses.
+        They are encoded many at a time, set apart by newlines, which no piece crosses.  Original bytes
+        come from the source alignment of the normaliser, which has seen every segment.
         """
         if len(self.young) > CACHED:
             self.old, self.young = self.young, {}
-        young, old, surface, names, sizes = self.young, self.old, self.surface, self.names, self.sizes
+        young, old, surface, names, sizes, pieces = self.young, self.old, self.surface, self.names, self.sizes, self.model.pieces
         fresh = []
         for s in segments:
             if v := old.get(s):
@@ -244,7 +261,9 @@ class Codec:
                 end = ids.index(self.newline, at)
                 own = ids[at:end]
                 shown = [surface[i] for i in own]
-                size = bytes(map(len, shown) if self.bytes_.isdisjoint(own) else self.lengths(own, shown))
+                _, source = self.normaliser.normalise(s.encode(), prefix=False)
+                ends = np.cumsum(self.lengths(own, [pieces[i] for i in own]))
+                size = np.diff(source[ends], prepend=0).astype(np.uint8).tobytes()
                 decoded = b"".join(shown).decode("utf-8", "replace")
                 young[s] = ",".join([names[i] for i in own]), sizes.setdefault(size, size) if len(sizes) < CACHED else size, s if decoded == s else decoded
                 at = end + 1
