@@ -8,15 +8,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .alignment import MATCH, GramIndex, code_points, local_alignment
-from .common import collect_bounded
+from .common import TooLarge, collect_bounded, id_type
 from .textvec import PLAIN_WORDS, ngrams, slices, text_buffers, words
 
 #: Bytes of benchmark text that are broadcast at a time; more are searched in blocks, a pass each.
 BLOCK_BYTES = 16 << 20
-#: Rows of benchmark in a block at most.
-BLOCK_ROWS = 200_000
+#: Rows of benchmark in a block, and bytes of an item, at most.
+BLOCK_ROWS, ITEM_BYTES = 200_000, 256 << 20
+#: A gram is rare that at most so many documents have, or this share of all.
+RARE_DOCUMENTS, RARE_SHARE = 1000, 0.001
+#: Seed hits that are expanded to items at a time.
+_HITS_AT_A_TIME = 4_000_000
 
 
 def _hashed(items: list[tuple[int, str]], n: int):
@@ -32,11 +38,32 @@ def _grams(item: np.ndarray, n: int) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    count = max(1, math.ceil(size[0] / block_bytes), math.ceil(2 * size[1] / BLOCK_ROWS) if size[1] > BLOCK_ROWS else 1)
+    """Lists of (item, text): all of ``benchmark``, dealt by item and text, each list of a checked size."""
+    size = F.octet_length("text")
+    total, rows, most = benchmark.agg(F.coalesce(F.sum(size), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(size), F.lit(0))).first()
+    if most > ITEM_BYTES:
+        raise TooLarge(f"an item has over {ITEM_BYTES} bytes")
+    count = max(1, math.ceil(total / block_bytes), math.ceil(rows / BLOCK_ROWS))
+    part = lambda n: F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    while count > 1:
+        heavy = benchmark.groupBy(part(count)).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK_ROWS} or bytes > {2 * block_bytes + most}")
+        if heavy.isEmpty():
+            break
+        count *= 2
     for k in range(count):
-        part = benchmark if count == 1 else benchmark.where(F.pmod(F.xxhash64("item"), F.lit(count)) == k)
-        yield [(r.item, r.text) for r in collect_bounded(part.select("item", "text"), BLOCK_ROWS)]
+        block = benchmark if count == 1 else benchmark.where(part(count) == k)
+        yield [(r.item, r.text) for r in collect_bounded(block.select("item", "text"), BLOCK_ROWS)]
+
+
+def _ranges(doc: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray, size: np.ndarray):
+    """Hits, or ranges of hits, of one document and item put together where they are less than two lengths of the item apart."""
+    order = np.lexsort((first, item, doc))
+    doc, item, first, last = doc[order], item[order], first[order], last[order]
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (first[1:] - last[:-1] > 2 * size[item[1:]])
+    at = np.flatnonzero(fresh)
+    end = np.append(at, len(doc))[1:] - 1
+    return doc[at], item[at], first[at], last[end]
 
 
 def contaminated(
@@ -47,41 +74,52 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     seed_words: int = 3,
-    kept_seeds: float = 1.0,
+    rare_documents: int | None = None,
     min_score: float = 0.5,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(id, item_id, score, matched_words, start, end): the best alignment of an item with a document.
 
-    Words are runs of letters and digits, with A-Z lower-cased.  Of each item's ``seed_words``-grams
-    the rarest ``kept_seeds`` are seeds; rarity is the number of documents of the whole corpus that
-    have the gram, counted in a first pass unless all are kept.  A copy without any intact gram is
-    not found.  Where seeds hit, the document's words around them are
+    Words are runs of letters and digits, with A-Z lower-cased.  An item's ``seed_words``-grams are
+    seeds if they are rare, that is in at most ``rare_documents`` documents of the corpus (by default
+    the greater of RARE_DOCUMENTS and RARE_SHARE of all), counted over all of it, and the rarer half
+    of them, eight at least, whatever their counts, so that an item that very many documents copy keeps
+    its seeds.  A copy without any intact seed is not found.  Where seeds hit, the document's words around them are
     aligned with the item's; score is the alignment score over that of a full match.  Rows have
     score >= ``min_score``; start and end are code points.
 
     Items shorter than ``seed_words`` words are their own seed.  Null and empty texts have no
     passage.  Rows are independent: repeated ids give repeated rows, a null id stays null; items
-    with a null id are found too.  Empty tables give no rows.  The benchmark is searched in blocks
-    of bounded size, each broadcast; documents are never shuffled, so no key can be hot.
+    with a null id are found too, and rows that repeat item and text count once; items of equal words
+    are aligned once.  Empty tables give no rows.  The benchmark is searched in blocks
+    of checked size, each broadcast; documents are never shuffled, so no key can be hot.
     """
     session = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    found = None
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
+    found, kind = None, bench.schema["item"].dataType
+    if rare_documents is None:
+        rare_documents = max(RARE_DOCUMENTS, int(RARE_SHARE * docs.count()))
     for rows in _blocks(bench, block_bytes):
-        items = _hashed(rows, seed_words)
+        same: dict[bytes, tuple[list, np.ndarray]] = {}
+        for name, w in _hashed(rows, seed_words):
+            same.setdefault(w.tobytes(), ([], w))[0].append(name)
+        items = list(same.values())
         lengths = sorted({min(seed_words, len(w)) for _, w in items})
         every = [_grams(w, seed_words) for _, w in items]
         keys = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
-        counts = _document_counts(session, plain, keys, lengths) if kept_seeds < 1 else np.zeros(len(keys), np.int64)
-        rare = [np.sort(np.lexsort((g, counts[np.searchsorted(keys, g)]))[: max(8, math.ceil(kept_seeds * len(g)))]) for g in every]
+        counts = _document_counts(session, plain, keys, lengths)
+        rare = []
+        for g in every:
+            own = counts[np.searchsorted(keys, g)]
+            order = np.lexsort((g, own))
+            rare.append(np.sort(order[: max(8, (len(g) + 1) // 2, int((own <= rare_documents).sum()))]))
         index = GramIndex(
             np.concatenate([g[r] for g, r in zip(every, rare, strict=True)]) if every else keys,
             np.repeat(np.arange(len(items)), [len(r) for r in rare]),
             np.concatenate(rare) if rare else np.zeros(0, np.int64),
         )
-        part = _align(session, plain, items, index, lengths, min_score)
+        part = _align(session, plain, kind, items, index, lengths, min_score)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -108,13 +146,13 @@ def _document_counts(session, plain: DataFrame, keys: np.ndarray, lengths: list[
 
     out = np.zeros(len(keys), np.int64)
     counted = plain.select("text").mapInArrow(count, "key long, docs long").groupBy("key").agg(F.sum("docs").alias("docs"))
-    for row in collect_bounded(counted, len(keys)):
-        out[row.key] = row.docs
+    rows = counted.toArrow()  # two numbers for each gram of a block at most
+    out[rows.column("key").to_numpy()] = rows.column("docs").to_numpy()
     return out
 
 
-def _align(session, plain: DataFrame, items, index: GramIndex, lengths: list[int], min_score: float) -> DataFrame:
-    shared = session.sparkContext.broadcast((items, index))
+def _align(session, plain: DataFrame, kind: DataType, items, index: GramIndex, lengths: list[int], min_score: float) -> DataFrame:
+    shared, names = session.sparkContext.broadcast((items, index)), to_arrow_type(kind)
 
     def align(batches):
         items, index = shared.value
@@ -124,24 +162,26 @@ def _align(session, plain: DataFrame, items, index: GramIndex, lengths: list[int
             for part in slices(batch, "text"):
                 data, offsets = text_buffers(part.column("text"))
                 w = words(data, offsets, PLAIN_WORDS)
-                hits = []
+                hits = [(np.zeros(0, np.int64),) * 2]
                 for n in lengths:
                     grams, inside = w.shingles(n)
                     at, key = index.find(grams)
-                    hits.append(index.expand(at[inside[at]], key[inside[at]]))
-                at, item, _ = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 3
-                doc = np.searchsorted(w.ptr, at, "right") - 1
-                order = np.lexsort((at, item, doc))
-                at, item, doc = at[order], item[order], doc[order]
-                fresh = np.ones(len(at), bool)
-                fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * size[item[1:]])
-                first = np.flatnonzero(fresh)
-                last = np.append(first, len(at))[1:] - 1
+                    hits.append((at[inside[at]], key[inside[at]]))
+                at, key = (np.concatenate(x) for x in zip(*hits, strict=True))
+                order = np.argsort(at, kind="stable")
+                at, key = at[order], key[order]
+                # so many hits at a time, from left to right
+                total, lo, found = np.cumsum(index.last[key] - index.first[key]), 0, [(np.zeros(0, np.int64),) * 4]
+                while lo < len(at):
+                    hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _HITS_AT_A_TIME, "right")))
+                    place, item, _ = index.expand(at[lo:hi], key[lo:hi])
+                    found.append(_ranges(np.searchsorted(w.ptr, place, "right") - 1, item, place, place, size))
+                    lo = hi
+                doc, item, first, last = _ranges(*(np.concatenate(x) for x in zip(*found, strict=True)), size)
                 best: dict[tuple[int, int], tuple] = {}
-                for a, b in zip(first.tolist(), last.tolist(), strict=True):
-                    d, k = int(doc[a]), int(item[a])
+                for d, k, a, b in zip(doc.tolist(), item.tolist(), first.tolist(), last.tolist(), strict=True):
                     reach = 2 * int(size[k])
-                    lo, hi = max(int(w.ptr[d]), int(at[a]) - reach), min(int(w.ptr[d + 1]), int(at[b]) + reach)
+                    lo, hi = max(int(w.ptr[d]), a - reach), min(int(w.ptr[d + 1]), b + reach)
                     # no alignment matches more words than item and text have in common
                     if k not in vocabulary:
                         vocabulary[k] = np.unique(items[k][1], return_counts=True)
@@ -158,9 +198,9 @@ def _align(session, plain: DataFrame, items, index: GramIndex, lengths: list[int
                 for (d, k), (score, matched, s, e) in sorted(best.items()):
                     text = data[offsets[d] : offsets[d + 1]]
                     start, end = code_points(text, [int(w.start[s] - offsets[d]), int(w.end[e - 1] - offsets[d])])
-                    out.append((ids[d], items[k][0], score / (MATCH * int(size[k])), matched, start, end))
+                    out += [(ids[d], name, score / (MATCH * int(size[k])), matched, start, end) for name in items[k][0]]
                 cols = list(zip(*out, strict=True)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+                kinds = [part.column("id").type, names, pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "item_id", "score", "matched_words", "start", "end"])
 
-    return plain.mapInArrow(align, "id long, item_id long, score double, matched_words long, start long, end long")
+    return plain.mapInArrow(align, f"id {id_type(plain, 'id')}, item_id {kind.simpleString()}, score double, matched_words long, start long, end long")
