@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from motionlake.llm.tokencounts import RULES, Encoder, attribute, read_vocabulary, section_tokens
+from motionlake.llm.tokencounts import RULES, Encoder, attribute, field_tokens, read_vocabulary, section_tokens, span_tokens
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -69,3 +69,67 @@ def test_frames(spark):
     assert [r[:4] for r in got] == [(2, 0, 0, 4), (2, 1, 4, 5), (2, 2, 5, 14), (None, 0, 0, 100000)]
     assert sum(r[4] for r in got[:3]) == len(e.library.encode_ordinary(rows[2][1])) and got[3][4] == len(e.library.encode_ordinary(rows[3][1]))
     assert section_tokens(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+OTHER = r"\p{L}+| \p{N}|\s+|[^\s\p{L}]+"
+
+
+def test_other_patterns_encode_the_whole():
+    e = Encoder(read_vocabulary(PATH), OTHER)
+    assert not e.by_segment
+    for t in texts(4, 300):
+        assert e.lengths(t).tolist() == [e.size[i] for i in e.library.encode_ordinary(t)], t
+
+
+def plain_counts(e, text, spans, rule):
+    """Tokens of byte ranges, byte by byte; of ranges that overlap each by itself."""
+    sizes = [e.size[i] for i in e.library.encode_ordinary(text)]
+    out = []
+    for a, b in spans:
+        others = [(x, y) for x, y in spans if (x, y) != (a, b) and x < y and (y <= a or b <= x)]
+        total, at = 0.0, 0
+        for n in sizes:
+            own = max(0, min(at + n, b) - max(at, a))
+            rest = [max(0, min(at + n, y) - max(at, x)) for x, y in others]
+            if rule == "share":
+                total += own / n
+            elif rule == "first":
+                total += a <= at < b
+            elif rule == "last":
+                total += a <= at + n - 1 < b
+            at += n
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("rule", ["first", "last", "share"])
+def test_fields_and_spans(spark, rule, monkeypatch):
+    e = Encoder(read_vocabulary(PATH), P.PATTERN)
+    rows = [(k, t, None if k % 5 == 0 else t[::-1], k) for k, t in enumerate(texts(5, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, body string, id int")
+    got = {}
+    for x in field_tokens(docs, ("title", "body", "title"), PATH, P.PATTERN, rule=rule, separator=" é ").collect():
+        got.setdefault(x.id, []).append(x)
+    gap = len(" é ".encode())
+    for i, a, b, _ in rows:
+        parts = [a, b or "", a]
+        text, at, spans = " é ".join(parts), 0, []
+        for p in parts:
+            spans.append((at, at + len(p.encode())))
+            at = spans[-1][1] + gap
+        assert [(x.start, x.end) for x in got[i]] == spans and [x.field for x in got[i]] == ["title", "body", "title"]
+        assert np.allclose([x.n_tokens for x in got[i]], plain_counts(e, text, spans, rule))
+        assert [text[x.char_start : x.char_end] for x in got[i]] == parts
+    r = random.Random(7)
+    table = [(i, f"s{k}", *sorted((r.randrange(len(a) + 3), r.randrange(len(a) + 3)))) for i, a, _, _ in rows for k in range(6)]
+    table = [s for s in table if s[0] % 7] + [(3, "none", None, 4), (999, "gone", 0, 1), (None, "null", 0, 1)]
+    monkeypatch.setattr("motionlake.llm.tokencounts.SPANS", 4)
+    spans = spark.createDataFrame(table + table[:9], "id long, name string, start long, end long")
+    found = span_tokens(docs, spans, PATH, P.PATTERN, text_col="title", rule=rule).collect()
+    assert len(found) == len(set(table)) - 2
+    texts_ = {i: a for i, a, _, _ in rows}
+    for x in found:
+        t = texts_[x.id]
+        a, b = (len(t[:c].encode()) for c in (x.start or 0, x.end)) if x.start is not None else (0, 0)
+        assert abs(x.n_tokens - plain_counts(e, t, [(a, b)], rule)[0]) < 1e-9
+    assert span_tokens(docs.limit(0), spans, PATH, P.PATTERN, text_col="title").count() == 0 == span_tokens(docs, spans.limit(0), PATH, P.PATTERN, text_col="title").count()
