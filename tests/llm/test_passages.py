@@ -1,12 +1,14 @@
 """Alignment, decontamination and license scan against slow versions."""
 
 import random
+import re
 
 import numpy as np
 
+from motionlake.llm import decontamination
 from motionlake.llm.alignment import local_alignment
 from motionlake.llm.decontamination import contaminated
-from motionlake.llm.licenses import TEMPLATES, find_licenses
+from motionlake.llm.licenses import GRAM, TEMPLATES, WINDOW, find_licenses, winnow
 
 
 def smith_waterman(item, text):
@@ -43,8 +45,6 @@ def test_contaminated_equals_all_pairs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "id")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(((x.id, x.item_id, round(x.score, 9)) for x in contaminated(docs, bench, id_col="id").collect()), key=str)
-    import re
-
     want = []
     for i, t in rows:
         for j, s in items:
@@ -111,3 +111,89 @@ def test_common_seeds_find_copies_too(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
     (x,) = contaminated(docs, bench).collect()
     assert (x.id, x.matched_words, x.score) == (99, 30, smith_waterman(item, copy) / 80)
+
+
+def test_many_items_without_an_id(spark, monkeypatch):
+    """Blocks are dealt by item and text, whatever the ids; repeated rows count once, ids keep their type."""
+    monkeypatch.setattr(decontamination, "BLOCK_ROWS", 50)
+    items = [(None, f"quite special words number {k} of this benchmark") for k in range(120)] * 2 + [("q", "other words that stand here alone"), ("r", "Other words that stand here: alone")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([("d", "x quite special words number 7 of this benchmark y"), ("e", "some other words that stand here alone")], "doc_id string, text string")
+    got = [(x.id, x.item_id) for x in contaminated(docs, bench).collect() if x.score == 1.0]
+    assert sorted(got, key=str) == [("d", None), ("e", "q"), ("e", "r")]
+
+
+def test_rare_seeds(spark, monkeypatch):
+    """What is dropped are common grams beyond the rarer half; an item that all documents copy is still found in all."""
+    monkeypatch.setattr(decontamination, "_HITS_AT_A_TIME", 3)
+    r = random.Random(9)
+    item = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(r.choice(item) if r.random() < 0.1 else w for w in item)) for k in range(60)] + [(100 + k, " ".join(item[:12]) + f" t{k}") for k in range(60)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id int, text string")
+    every = {x.id: round(x.score, 9) for x in contaminated(docs, bench, rare_documents=10**9).collect()}
+    rare = {x.id: round(x.score, 9) for x in contaminated(docs, bench, rare_documents=0).collect()}
+    assert every == rare == {k: round(smith_waterman(item, t.split()) / 80, 9) for k, t in rows if k < 100}
+    assert dict(contaminated(docs, bench).dtypes)["item_id"] == "int"
+
+
+def slow_alignment(item, text, diagonal=None, band=0):
+    """(score, matched, start, end) cell by cell: the best score, then the most matches, then the latest start; of equal ends the first."""
+    best, zero = (0, 0, 0, 0), lambda j: (0, 0, j)
+    prev = [zero(j) for j in range(len(text) + 1)]
+    for i, a in enumerate(item):
+        now = [zero(0)]
+        for j, b in enumerate(text):
+            s, m, at = prev[j]
+            diag = (s + 2, m + 1, at) if a == b else (s - 1, m, at)
+            up, left = prev[j + 1], now[j]
+            cell = max(zero(j + 1), diag, (up[0] - 1, *up[1:]), (left[0] - 1, *left[1:]))
+            if diagonal is not None and abs(j - i - diagonal) > band:
+                cell = zero(j + 1)
+            now.append(cell)
+        for j, (s, m, at) in enumerate(now):
+            if (s, m) > best[:2]:
+                best = s, m, at, j
+        prev = now
+    return best
+
+
+def test_winnowing_against_a_slow_version():
+    r = random.Random(11)
+    for _ in range(300):
+        sizes = [r.randrange(0, 9) for _ in range(r.randrange(1, 5))]
+        ptr = np.cumsum([0, *sizes])
+        h = np.array([r.randrange(6) for _ in range(ptr[-1])], np.uint64)
+        grams = np.array([int("".join(map(str, h[k : k + GRAM]))) for k in range(max(0, len(h) - GRAM + 1))], np.uint64)
+        inside = np.array([any(a <= k and k + GRAM <= b for a, b in zip(ptr, ptr[1:])) for k in range(len(grams))], bool)
+        want = set()
+        for a, b in zip(ptr.tolist(), ptr[1:].tolist()):
+            own = list(range(a, b - GRAM + 1))
+            windows = [own[k : k + WINDOW] for k in range(len(own) - WINDOW + 1)] or [[k] for k in own]
+            for window in windows:
+                least = min(grams[k] for k in window)
+                want |= {k for k in window if grams[k] == least}
+        assert set(winnow(grams, inside).tolist()) == want
+
+
+def test_licenses_against_slow_alignments(spark):
+    """One edited copy in a document: coverage and span are those of the best alignment of its template."""
+    r = random.Random(12)
+    rows, want = [], {}
+    for k, (name, text) in enumerate(TEMPLATES):
+        words_ = [w for w in re.split(r"[^0-9A-Za-z]+", text.lower()) if w]
+        edited = list(words_)
+        for _ in range(len(words_) // 12):
+            at = r.randrange(len(edited))
+            edited[at : at + 1] = r.choice([[], ["edit"], [edited[at], "more"]])
+        doc = [f"t{r.randrange(500)}" for _ in range(15)] + edited + [f"t{r.randrange(500)}" for _ in range(15)]
+        score, matched, s, e = slow_alignment(words_, doc)
+        rows.append((k, " ".join(doc)))
+        want[k] = (round(matched / len(words_), 9), len(" ".join(doc[:s])) + 1, len(" ".join(doc[:e])), matched)
+    got = {}
+    for x in find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert x.id not in got
+        got[x.id] = x
+    assert set(got) == set(want)
+    for k, x in got.items():
+        # another template with as many matched words may win; it is the same license or a longer one
+        assert x.template == k and (round(x.coverage, 9), x.start, x.end) == want[k][:3] or x.coverage * len(re.split(r"[^0-9A-Za-z]+", TEMPLATES[x.template][1].strip(".\""))) > want[k][3] - 2, (k, x, want[k])
