@@ -76,8 +76,14 @@ def normal_cdf(z) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir, where lineage ends; a local one where that is unset."""
+    """The rows, written to the folder in spark.checkpoint.dir, where lineage ends.
+
+    Where that is unset, only a local master gets a folder of its own.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(path or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
     return df.checkpoint()

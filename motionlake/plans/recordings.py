@@ -274,10 +274,13 @@ def in_court_probability(read):
 @query()
 def point_inference(read):
     s = swings(read).withColumn("n", F.row_number().over(over("session", "frame")))
-    k = F.col("k")
+    k, v = F.col("k").cast("int"), F.col("value")
+    pick = lambda at, *names: F.element_at(F.array(*map(F.lit, names)), (at % len(names) + 1).cast("int"))
+    calls = ("in", "out", "too_close", None)
     r = s.select(
-        "session", "n", (k % 6).cast("int").alias("strokes"), F.when(k % 2 == 0, "out").otherwise("in").alias("serve_call"), F.when(F.col("value") < 20, "A").when(F.col("value") < 60, "B").alias("hitter"),
-        F.element_at(F.array(*map(F.lit, ("out", "net", "double_bounce", "lost"))), (k % 4 + 1).cast("int")).alias("reason"), F.when(k > 80, "low").otherwise("high").alias("confidence"),
+        "session", "n", (k % 6).alias("strokes"), pick(k, "net", "ball_out", "double_bounce", "timeout", "lost_track").alias("reason"), (k % 4).alias("landings"),
+        pick(v, "near", "far", None).alias("first_end"), pick(v * 3, *calls).alias("first_call"), pick(v * 7, "near", "far", None).alias("last_end"), pick(v * 5, *calls).alias("last_call"),
+        *(pick(v * (2 * j + 9), *calls[:3]).alias(f"box_{end}_{half}") for j, (end, half) in enumerate((e, h) for e in ("near", "far") for h in ("deuce", "ad"))),
     )
     fixed = s.where("kind = 'error'").select(F.col("session").alias("session"), F.col("n").alias("n"), F.lit("A").alias("winner"))
     return inference.infer_points(r, fixed, "session", "n")
