@@ -20,7 +20,7 @@ STREAK_DEG, TURN_DEG, MAX_COASTS, MIN_ACCEPTED = 25.0, 35.0, 2, 3
 PLAUSIBLE_MPH, SCALE_RANGE = (15, 160), (8.0, 300.0)
 STITCH_GAP_S, MIN_DETECTIONS, MIN_EXTENT_PX, SMOOTH_RMS_PX = 0.2, 6, 30.0, 3.0
 BREAK_RATIO, BREAK_SEPARATION, SIDE_SAMPLES, SIDE_SPAN_S = 0.5, 3, 8, 0.15
-PER_FRAME = 256
+PER_FRAME, EDGE_PX = 256, 12.0
 
 
 def direction_difference(a: Column, b: Column) -> Column:
@@ -41,9 +41,10 @@ def tier(area: Column, circularity: Column, aspect: Column, solidity: Column, fi
 
 
 def outside(df: DataFrame, boxes: DataFrame, key: str, frame: str) -> DataFrame:
-    """Candidates that lie in no exclusion box (x0, x1, y0, y1) of their frame."""
-    hit = df.join(boxes, [key, frame]).where("x between x0 and x1 and y between y0 and y1").select(df.columns).distinct()
-    return df.join(hit, df.columns, "left_anti")
+    """Candidates that lie in no exclusion box (x0, x1, y0, y1) of their frame; columns may be null, a null place lies in none."""
+    own = boxes.groupBy(key, frame).agg(F.collect_list(F.struct("x0", "x1", "y0", "y1")).alias("__boxes"))  # a player each
+    inside = F.exists("__boxes", lambda b: F.coalesce(F.col("x").between(b["x0"], b["x1"]) & F.col("y").between(b["y0"], b["y1"]), F.lit(False)))
+    return df.join(own, [key, frame], "left").where(F.col("__boxes").isNull() | ~inside).select(df.columns)
 
 
 def cap_per_frame(df: DataFrame, key: str, frame: str, most: int = PER_FRAME) -> DataFrame:
@@ -66,45 +67,87 @@ def rotate(x: Column, y: Column, degrees: Column) -> tuple[Column, Column]:
     return F.when(d == 90, 1 - y).when(d == 180, 1 - x).when(d == 270, y).otherwise(x), F.when(d == 90, x).when(d == 180, 1 - y).when(d == 270, 1 - x).otherwise(y)
 
 
-def track(candidates: DataFrame, key: str, frame: str, max_step_px: float, seed_gate_px: float) -> DataFrame:
-    """(key, frame, x, y): the track that grows greedily from the candidate nearest to the seed.
-
-    Columns: x, y, tier, orientation_deg, seed_x, seed_y.  Each next detection is the nearest within
-    a gate that widens with the frames since the last; streaks must point along the step; the track
-    ends after too many frames without one, or where it turns too sharply.  Fewer than MIN_ACCEPTED
-    detections are no track.  One clip is one group, bounded by its length and cap_per_frame.
-    """
-    types = dict(candidates.dtypes)
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, heading = [], None
-        for f, rows in sorted(pdf.groupby(frame), key=lambda g: g[0]):
-            xy = rows[["x", "y"]].to_numpy(float)
-            if not out:
-                far = np.hypot(*(xy - rows[["seed_x", "seed_y"]].to_numpy(float)).T)
-                k = int(np.argmin(far))
-                if far[k] <= seed_gate_px:
-                    out.append((f, *xy[k]))
-                continue
-            gap = f - out[-1][0]
-            if gap > MAX_COASTS + 1:
-                break
-            step = xy - np.array(out[-1][1:])
-            far = np.hypot(*step.T)
-            angle = np.degrees(np.arctan2(step[:, 1], step[:, 0]))
-            along = np.abs((rows["orientation_deg"].to_numpy(float) - angle + 90) % 180 - 90) <= STREAK_DEG
-            good = (far >= MIN_STEP_PX) & (far <= max(MIN_GATE_PX, GATE_SHRINK * max_step_px * gap) / (GATE_SHRINK if len(out) == 1 else 1)) & ((rows["tier"].to_numpy() != 2) | along)
+class _Clip:
+    """One clip's candidates as arrays in the order of frames, and the track that grows through them."""
+
+    def __init__(self, pdf: pd.DataFrame, frame: str, size: tuple[float, float] | None):
+        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        keep = np.isfinite(x) & np.isfinite(y)
+        if size is not None:  # a ball that the edge cuts has its centre in the wrong place
+            keep &= (x >= EDGE_PX) & (y >= EDGE_PX) & (x <= size[0] - 1 - EDGE_PX) & (y <= size[1] - 1 - EDGE_PX)
+        self.first = int(pdf[frame].min())
+        self.last = int(pdf[frame].max())
+        rows = pdf[keep].sort_values(frame, kind="stable")
+        self.xy = rows[["x", "y"]].to_numpy(float)
+        self.seed = rows[["seed_x", "seed_y"]].to_numpy(float)
+        self.streak, self.axis = rows["tier"].to_numpy() == 2, rows["orientation_deg"].to_numpy(float)
+        self.area = rows["area"].to_numpy(float) if "area" in rows else np.zeros(len(rows))
+        self.frames = rows[frame].to_numpy(np.int64)
+
+    def at(self, frame: int) -> slice:
+        return slice(*np.searchsorted(self.frames, [frame, frame + 1]))
+
+    def begin(self, gate: float) -> int | None:
+        """The candidate of the first frame that is nearest to the seed, or without a seed the largest."""
+        now = self.at(self.first)
+        if now.start == now.stop:
+            return None
+        far = np.hypot(*(self.xy[now] - self.seed[now]).T)
+        if np.isnan(far).all():
+            return now.start + int(np.argmax(self.area[now]))
+        k = int(np.nanargmin(far))
+        return now.start + k if far[k] <= gate else None
+
+    def grow(self, max_step: float, gate: float) -> tuple[list[int], str]:
+        """Indexes of the detections, and why the track ended."""
+        start = self.begin(gate)
+        if start is None:
+            return [], "no_seed"
+        path, speed, heading, missed = [start], None, None, 0
+        for frame in range(self.first + 1, self.last + 1):
+            here, now = self.xy[path[-1]], self.at(frame)
+            gap = frame - int(self.frames[path[-1]])
+            guess, reach = (here, max_step * gap) if speed is None else (here + speed * gap, max(MIN_GATE_PX, GATE_SHRINK * max_step * gap))
+            far, step = np.hypot(*(self.xy[now] - guess).T), self.xy[now] - here
+            good = (far <= reach) & (np.hypot(*step.T) >= MIN_STEP_PX)
+            if heading is not None:
+                off = np.abs((self.axis[now] - heading) % 180.0)
+                good &= ~self.streak[now] | (np.minimum(off, 180.0 - off) <= STREAK_DEG)
             if not good.any():
+                missed += 1
+                if missed > MAX_COASTS:
+                    return path, "coast_exhausted"
                 continue
             k = int(np.argmin(np.where(good, far, np.inf)))
-            if heading is not None and abs((angle[k] - heading + 180) % 360 - 180) > TURN_DEG:
-                break
-            heading = angle[k]
-            out.append((f, *xy[k]))
-        name = pdf[key].iloc[0]
-        return pd.DataFrame([(name, *o) for o in (out if len(out) >= MIN_ACCEPTED else [])], columns=[key, frame, "x", "y"])
+            turn = float(np.degrees(np.arctan2(step[k, 1], step[k, 0])))
+            if heading is not None and abs((turn - heading + 180.0) % 360.0 - 180.0) > TURN_DEG:
+                return path, "direction_change"
+            path.append(now.start + k)
+            speed, heading, missed = step[k] / gap, turn, 0
+        return path, "window_end"
+
+
+def track(candidates: DataFrame, key: str, frame: str, max_step_px: float, seed_gate_px: float, size: tuple[float, float] | None = None) -> DataFrame:
+    """(key, frame, x, y, ended): the track that grows from the first frame's candidate nearest to the seed.
+
+    Columns: x, y, tier, orientation_deg, seed_x, seed_y, and area, which picks the seed where no place is
+    given.  ``max_step_px`` is the way of the fastest ball in a frame.  The next detection is the
+    candidate nearest to where the last step leads, within a gate that is narrow once a step is known
+    and widens with the frames since the last detection; it must have moved, and a streak must point
+    along the last step.  Frames without one are coasted through, MAX_COASTS in a row at most; the
+    track ends there, where it turns too sharply, or with the clip.  With ``size`` (width, height)
+    candidates near the edge do not count.  Fewer than MIN_ACCEPTED detections are no track.  One clip is
+    one group, bounded by its length and cap_per_frame.
+    """
+    types = dict(candidates.dtypes)
 
-    return candidates.groupBy(key).applyInPandas(grow, f"`{key}` {types[key]}, `{frame}` {types[frame]}, x double, y double")
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        clip = _Clip(pdf, frame, size)
+        path, ended = clip.grow(max_step_px, seed_gate_px)
+        path = path if len(path) >= MIN_ACCEPTED else []
+        return pd.DataFrame([(pdf[key].iloc[0], int(clip.frames[k]), *clip.xy[k].tolist(), ended) for k in path], columns=[key, frame, "x", "y", "ended"])
+
+    return candidates.where(F.col(frame).isNotNull()).groupBy(key).applyInPandas(follow, f"`{key}` {types[key]}, `{frame}` {types[frame]}, x double, y double, ended string")
 
 
 def ball_speed(detections: DataFrame, context: DataFrame, key: str, time: str) -> DataFrame:
@@ -201,45 +244,79 @@ def accepted(points: DataFrame, key: str, time: str, least: int = MIN_DETECTIONS
     return points.groupBy(key).applyInPandas(judge, f"`{key}` {types[key]}, n long, extent double, rms double, accepted boolean")
 
 
+class _Sides:
+    """Fits of a flight around its possible breaks, all at once.
+
+    A row for each split k: the samples at most SIDE_SAMPLES and SIDE_SPAN_S away on either side,
+    within bounds that known breaks set, on a clock that is 0 at the split and 1 at SIDE_SPAN_S.
+    """
+
+    def __init__(self, t: np.ndarray, xy: np.ndarray):
+        self.t, self.xy, n = t, xy, len(t)
+        k = np.arange(n)
+        self.near = np.searchsorted(t, t - SIDE_SPAN_S)
+        self.far = np.searchsorted(t, t + SIDE_SPAN_S, "right")
+        self.first, self.last = np.zeros(n, np.int64), np.full(n, n)
+        self.ratio, self.left, self.right = np.full(n, np.inf), np.zeros((n, 3, 2)), np.zeros((n, 3, 2))
+        self.update(k)
+
+    @staticmethod
+    def fit(clock: np.ndarray, xy: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients and squares left of a parabola, of a line for three samples at most, through each row's samples."""
+        power = np.stack([np.ones_like(clock), clock, np.where(inside.sum(axis=1, keepdims=True) > 3, clock**2, 0.0)], axis=2) * inside[:, :, None]
+        normal = np.einsum("rsi,rsj->rij", power, power)
+        normal[:, 2, 2] += normal[:, 2, 2] == 0
+        c = np.linalg.solve(normal, np.einsum("rsi,rsc->ric", power, xy))
+        return c, (((np.einsum("rsi,ric->rsc", power, c) - xy) * inside[:, :, None]) ** 2).sum(axis=(1, 2))
+
+    def update(self, k: np.ndarray) -> None:
+        """The share of squares that a break at each of ``k`` leaves; infinite where none may be."""
+        self.ratio[k] = np.inf
+        k = k[(k >= self.first[k] + 2) & (k <= self.last[k] - 2)]
+        lo = np.maximum.reduce([self.near[k], k - SIDE_SAMPLES, self.first[k]])
+        hi = np.minimum.reduce([self.far[k], k + SIDE_SAMPLES, self.last[k]])
+        ok = (k - lo >= BREAK_SEPARATION) & (hi - k >= BREAK_SEPARATION) & (hi - lo >= 6)
+        k, lo, hi = k[ok], lo[ok], hi[ok]
+        if not len(k):
+            return
+        at = k[:, None] + np.arange(-SIDE_SAMPLES, SIDE_SAMPLES)
+        inside = (at >= lo[:, None]) & (at < hi[:, None])
+        at = np.clip(at, 0, len(self.t) - 1)
+        clock = (self.t[at] - self.t[k][:, None]) / SIDE_SPAN_S
+        before = at < k[:, None]
+        _, one = self.fit(clock, self.xy[at], inside)
+        self.left[k], a = self.fit(clock, self.xy[at], inside & before)
+        self.right[k], b = self.fit(clock, self.xy[at], inside & ~before)
+        # a single fit that is off by less than a pixel needs no break
+        self.ratio[k] = np.where(one > hi - lo, (a + b) / np.maximum(one, 1e-300), np.inf)
+
+    def breaks(self):
+        """(time, ratio, u, v, velocity before, velocity after), the clearest break first; each bounds the sides of the next."""
+        while len(self.t) and self.ratio.min() <= BREAK_RATIO:
+            k = int(np.argmin(self.ratio))
+            when = (self.t[k - 1] + self.t[k]) / 2
+            s = (when - self.t[k]) / SIDE_SPAN_S
+            at, slope = np.array([1.0, s, s * s]), np.array([0.0, 1.0, 2.0 * s]) / SIDE_SPAN_S
+            yield (when, self.ratio[k], *((at @ self.left[k] + at @ self.right[k]) / 2), *(slope @ self.left[k]), *(slope @ self.right[k]))
+            self.last[:k] = np.minimum(self.last[:k], k)
+            self.first[k:] = np.maximum(self.first[k:], k)
+            self.update(np.arange(max(0, k - SIDE_SAMPLES), min(len(self.t), k + SIDE_SAMPLES + 1)))
+
+
 def break_points(points: DataFrame, key: str, time: str) -> DataFrame:
     """(key, time_s, ratio, u, v, vbx, vby, vax, vay): where two smooth pieces fit far better than one.
 
     For each split the samples nearby on both sides are fitted, and the share of the squares that is
     left must be small.  The best split comes first and bounds the sides of the next ones.  One
-    flight is one group.
+    flight is one group; all its splits are fitted together, and after a break only those around it again.
     """
     types = dict(points.dtypes)
     cols = [key, "time_s", "ratio", "u", "v", "vbx", "vby", "vax", "vay"]
 
-    def best(t: np.ndarray, xy: np.ndarray, first: int, last: int):
-        found = None
-        for k in range(first + 2, last - 1):
-            lo = max(int(np.searchsorted(t, t[k] - SIDE_SPAN_S)), k - SIDE_SAMPLES, first)
-            hi = min(int(np.searchsorted(t, t[k] + SIDE_SPAN_S, "right")), k + SIDE_SAMPLES, last)
-            if k - lo < BREAK_SEPARATION or hi - k < BREAK_SEPARATION or hi - lo < 6:
-                continue
-            one = _fit(t[lo:hi], xy[lo:hi])[1]
-            (a, ra), (b, rb) = _fit(t[lo:k], xy[lo:k]), _fit(t[k:hi], xy[k:hi])
-            # a single fit that is off by less than a pixel needs no break
-            if one > hi - lo and (ra + rb) / one <= BREAK_RATIO and (found is None or (ra + rb) / one < found[0]):
-                found = (ra + rb) / one, k, (a, t[lo:k]), (b, t[k:hi])
-        return found
-
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(time)
-        t, xy = p[time].to_numpy(float), p[["x", "y"]].to_numpy(float)
-        out, todo = [], [(0, len(t))]
-        while todo:  # each break bounds the sides of those that follow
-            first, last = todo.pop()
-            if not (found := best(t, xy, first, last)):
-                continue
-            r, k, (a, ta), (b, tb) = found
-            m = (t[k - 1] + t[k]) / 2
-            at = lambda c, s, m=m: sum(c[j] * (m - s.mean()) ** j for j in range(len(c)))
-            slope = lambda c, s, m=m: sum(j * c[j] * (m - s.mean()) ** (j - 1) for j in range(1, len(c)))
-            out.append((pdf[key].iloc[0], m, r, *((at(a, ta) + at(b, tb)) / 2), *slope(a, ta), *slope(b, tb)))
-            todo += [(first, k), (k, last)]
-        return pd.DataFrame(sorted(out, key=lambda x: x[1]), columns=cols)
+        found = _Sides(p[time].to_numpy(float), p[["x", "y"]].to_numpy(float)).breaks()
+        return pd.DataFrame([(pdf[key].iloc[0], *x) for x in sorted(found)], columns=cols)
 
     return points.groupBy(key).applyInPandas(split, f"`{key}` {types[key]}, " + ", ".join(f"{c} double" for c in cols[1:]))
 

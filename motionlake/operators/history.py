@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionlake.functions import col, over, seconds
+from motionlake.functions import col, cut, over, seconds
 
 
 def pages(df: DataFrame, user: str, created: str, row_id: str, size: int) -> DataFrame:
@@ -41,12 +42,19 @@ def decode_cursor(cursor: Column) -> Column:
 def queue_positions(jobs: DataFrame, created: str, active, shard: str | None = None) -> DataFrame:
     """Adds ``ahead``: active jobs created strictly earlier; equal times do not count.
 
-    Counts per time are summed first, so that the one ordered pass sees a row for each distinct time.
+    Counts per time are summed first.  Without a shard, times are dealt by range; each range sums its
+    own, and what lies in the ranges before, a number for each of them, is added.
     """
     times = jobs.where(active).groupBy(*([shard] if shard else []), created).agg(F.count(F.lit(1)).alias("c"))
-    w = (Window.partitionBy(shard) if shard else Window.partitionBy()).orderBy(created).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = times.withColumn("ahead", F.coalesce(F.sum("c").over(w), F.lit(0))).drop("c")
-    return jobs.where(active).join(ahead, [*([shard] if shard else []), created])
+    before = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if shard:
+        ahead = times.withColumn("ahead", before(over(shard, created))).drop("c")
+        return jobs.where(active).join(ahead, [shard, created])
+    ranged = cut(times.repartitionByRange(created).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part").agg(F.sum("c").alias("c"))
+    starts = sums.select("__part", before(Window.partitionBy(F.lit(0)).orderBy("__part")).alias("__start"))  # a row for each range
+    ahead = ranged.withColumn("ahead", before(over("__part", created))).join(starts, "__part").select(created, (F.col("ahead") + F.col("__start")).alias("ahead"))
+    return jobs.where(active).join(ahead, created)
 
 
 def is_stale(status: Column, heartbeat: Column, now: Column, after_s: float = 180.0) -> Column:
@@ -69,11 +77,24 @@ def last_seen(opens: DataFrame, user: str, at: str, platform: str) -> DataFrame:
 def throttle(df: DataFrame, key: str, at_s: str, least_gap_s: float) -> DataFrame:
     """(key, at): the events that are recorded when each must follow the last recorded one by a gap.
 
-    A fold over the ordered times of a key; what it keeps depends on what it kept before.
+    What is kept depends on what was kept before: rows are dealt by key and sorted, and each task
+    folds over its stream with one time in hand.  Rows without a time are never recorded.
     """
-    times = df.groupBy(key).agg(F.array_sort(F.collect_list(at_s)).alias("a"))
-    kept = F.expr(f"aggregate(a, cast(array() as array<double>), (acc, x) -> if(size(acc) = 0 or x - element_at(acc, -1) >= {least_gap_s}D, concat(acc, array(x)), acc))")
-    return times.select(key, F.explode(kept).alias("at"))
+
+    def fold(batches):
+        last, held = object(), None
+        for batch in batches:
+            keep = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fresh = k != last
+                good = fresh or t - held >= least_gap_s
+                if good:
+                    last, held = k, t
+                keep.append(good)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    times = df.select(key, F.col(at_s).cast("double").alias("at")).where("at is not null").repartition(key).sortWithinPartitions(key, "at")
+    return times.mapInArrow(fold, times.schema)
 
 
 def transition(jobs: DataFrame, changes: DataFrame, on: str, allowed: dict[str, tuple[str, ...]], order: str) -> DataFrame:

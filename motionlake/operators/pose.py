@@ -63,7 +63,7 @@ def track(fr: DataFrame, landmark: int) -> DataFrame:
     """(seq_id, frame, ts_s, x, y, visible) of a landmark in torso lengths: filled, then smoothed."""
     t = fr.join(torso_scale(fr), "seq_id").select("seq_id", "frame", "ts_s", ratio(F.col("body")[landmark]["x"], F.col("scale")).alias("x"), ratio(F.col("body")[landmark]["y"], F.col("scale")).alias("y"), (F.col("valid") & (F.col("body")[landmark]["v"] >= VISIBLE)).alias("visible"))
     for c in ("x", "y"):
-        t = series.fill_linear(t, "seq_id", "frame", c, "visible").drop(c, "pos").withColumnRenamed("filled", c)
+        t = series.fill_short(t, "seq_id", "frame", c, "visible").drop(c, "pos").withColumnRenamed("filled", c)
         t = series.smooth(t, "seq_id", "frame", c).drop(c).withColumnRenamed("smoothed", c)
     return t
 
@@ -77,24 +77,31 @@ def speed(tr: DataFrame) -> DataFrame:
 
 
 def handedness(fr: DataFrame, hints: DataFrame | None = None) -> DataFrame:
-    """(seq_id, hand, confidence): the wrist that travels further and reaches wider; a hint overrides.
+    """(seq_id, hand, confidence, detected): the wrist that travels further and reaches wider; a hint overrides.
 
-    Where both votes agree confidence is half the sum of their margins times the worse visibility,
-    else the wider reach decides and confidence stays below a half.
+    Confidence is half the sum of both margins times the worse visibility.  Where the votes disagree,
+    the wrist further out decides in the frame where either is fastest, the right one if they are level,
+    and confidence stays below a half.  A hint replaces the hand and is certain.
     """
+    sides = {side: track(fr, k) for side, k in (("left", WRISTS[0]), ("right", WRISTS[1]))}
     per = None
-    for side, k in (("left", WRISTS[0]), ("right", WRISTS[1])):
-        t = track(fr, k)
+    for side, t in sides.items():
         radius = t.groupBy("seq_id").agg(F.coalesce(F.max(F.when(F.col("visible"), F.hypot("x", "y"))), F.lit(0.0)).alias(f"{side}_reach"), F.avg(F.col("visible").cast("double")).alias(f"{side}_seen"))
         one = radius.join(series.path_length(t, "seq_id", "frame", "x", "y", "visible").withColumnRenamed("length", f"{side}_path"), "seq_id")
         per = one if per is None else per.join(one, "seq_id")
+    fast = [speed(t).select("seq_id", "frame", F.struct("speed", F.hypot("x", "y").alias("out")).alias(side)) for side, t in sides.items()]
+    quick = F.greatest("left.speed", "right.speed")
+    at_peak = fast[0].join(fast[1], ["seq_id", "frame"]).groupBy("seq_id").agg(F.max(F.struct(quick.alias("speed"), (-F.col("frame")).alias("neg"), (F.col("right.out") >= F.col("left.out")).alias("right"))).alias("peak"))
+    per = per.join(at_peak, "seq_id", "left")
     margin = lambda a, b: clip(F.coalesce(2.0 * ratio(F.abs(a - b), a + b), F.lit(0.0)), 0.0, 1.0)
-    path, reach = F.col("right_path") >= F.col("left_path"), F.col("right_reach") >= F.col("left_reach")
-    sure = 0.5 * (margin(F.col("right_path"), F.col("left_path")) + margin(F.col("right_reach"), F.col("left_reach"))) * F.least("left_seen", "right_seen")
-    out = per.withColumn("hand", F.when(reach, "right").otherwise("left")).withColumn("confidence", F.when(path == reach, sure).otherwise(F.least(sure, F.lit(0.49))))
+    path, reach = F.col("right_path") > F.col("left_path"), F.col("right_reach") > F.col("left_reach")
+    sure = clip(0.5 * (margin(F.col("right_path"), F.col("left_path")) + margin(F.col("right_reach"), F.col("left_reach"))) * F.least("left_seen", "right_seen"), 0.0, 1.0)
+    right = F.when(path == reach, path).otherwise(F.coalesce("peak.right", F.lit(True)))
+    out = per.withColumn("detected", F.when(right, "right").otherwise("left")).withColumn("confidence", F.when(path == reach, sure).otherwise(F.least(sure, F.lit(0.49)))).withColumn("hand", F.col("detected"))
     if hints is not None:
-        out = out.join(hints.select("seq_id", F.col("hand").alias("hint")), "seq_id", "left").withColumn("confidence", F.when(F.col("hint").isNotNull(), 1.0).otherwise(F.col("confidence"))).withColumn("hand", F.coalesce("hint", "hand"))
-    return cut(out.select("seq_id", "hand", "confidence"))  # read several times further on
+        out = out.join(hints.select("seq_id", F.col("hand").alias("hint")), "seq_id", "left").withColumn("hand", F.coalesce("hint", "hand"))
+        out = out.withColumn("confidence", F.when(F.col("hint").isNotNull(), 1.0).otherwise(F.col("confidence")))
+    return cut(out.select("seq_id", "hand", "confidence", "detected"))  # read several times further on
 
 
 def racket_track(fr: DataFrame, hands: DataFrame) -> DataFrame:

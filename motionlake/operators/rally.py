@@ -76,25 +76,65 @@ def length_confidence(least: Column, most: Column) -> Column:
     return F.when(width == 0, "high").when(width == 1, "medium").otherwise("low")
 
 
-def stroke_counts(contacts: DataFrame, key: str, order: str, kind: str, half: str) -> DataFrame:
-    """(key, observed, inferred): hits, and the strokes that bounces in changing halves without a hit between imply."""
-    w = over(key, order)
-    d = contacts.where(F.col(kind).isin("hit", "bounce")).withColumn("__k", F.lag(kind).over(w)).withColumn("__h", F.lag(half).over(w))
-    implied = (F.col(kind) == "bounce") & (F.col("__k") == "bounce") & (F.col(half) != F.col("__h"))
-    return d.groupBy(key).agg(F.count_if(F.col(kind) == "hit").alias("observed"), F.count_if(implied).alias("inferred"))
+#: Fixed value: metres from the net within which a bounce may as well be the ball falling back from it.
+NEAR_NET_M = 1.0
+
 
+def stroke_counts(contacts: DataFrame, key: str, order: str, kind: str, half: str, net_m: str | None = None) -> DataFrame:
+    """(key, observed, inferred, ambiguous): strokes seen, strokes that must have been, strokes that may have been.
 
-def end_reason(contacts: DataFrame, key: str, order: str, kind: str, half: str, verdict: str) -> DataFrame:
-    """(key, reason): net, out or double bounce among what follows the last hit, else lost."""
+    Hits are seen.  The first contact, if it is a bounce, was launched by one; a bounce after a bounce
+    in the other half implies one, as does one near the net (``net_m``, metres from it, less than
+    NEAR_NET_M) after a bounce that is not; after a bounce near the net one is only possible, where the
+    half of the next is known.  Kinks (kind 'kink') between contacts may each be a hit that was not
+    named, those after the last contact one together.
+    """
+    w = over(key, order)
+    near = F.lit(False) if net_m is None else F.coalesce(F.abs(F.col(net_m)) < NEAR_NET_M, F.lit(False))
+    d = contacts.select(key, order, kind, half, near.alias("__near")).where(F.col(kind).isin("hit", "bounce", "kink"))
+    is_contact = F.col(kind) != "kink"
+    d = d.withColumn("__c", F.when(is_contact, F.struct(F.col(kind).alias("k"), F.col(half).alias("h"), F.col("__near").alias("near"))))
+    d = d.withColumn("__p", F.last("__c", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__q", F.first("__c", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    twice = (F.col(kind) == "bounce") & (F.col("__p.k") == "bounce")
+    sure = twice & ~F.col("__p.near") & (F.col("__near") | F.coalesce(F.col(half) != F.col("__p.h"), F.lit(False)))
+    maybe = twice & F.col("__p.near") & F.col(half).isNotNull()
+    kink = (F.col(kind) == "kink") & F.col("__p").isNotNull()
+    launched = (F.col(kind) == "bounce") & F.col("__p").isNull()
+    per = d.groupBy(key).agg(
+        F.count_if(F.col(kind) == "hit").alias("observed"),
+        (F.count_if(sure) + F.count_if(launched)).alias("inferred"),
+        (F.count_if(maybe) + F.count_if(kink & F.col("__q").isNotNull()) + F.coalesce(F.bool_or(kink & F.col("__q").isNull()), F.lit(False)).cast("long")).alias("ambiguous"),
+    )
+    return per
+
+
+def end_reason(contacts: DataFrame, key: str, order: str, kind: str, half: str, verdict: str, hitter: str | None = None) -> DataFrame:
+    """(key, reason): how a run of events ended, judged by what follows its last hit.
+
+    In this order: net, if the ball touched it or first bounced in its hitter's own half (``hitter``, an
+    end); timeout, if it did not bounce; ball_out, if its first bounce was called out; double_bounce,
+    if the first two bounces were in one half; else, and without any contact, lost_track.
+    """
+    contact = contacts.where(F.col(kind).isin("hit", "bounce", "net"))
     last = F.max(F.when(F.col(kind) == "hit", F.col(order))).over(Window.partitionBy(key))
-    after = contacts.withColumn("__l", last).where(F.col("__l").isNull() | (F.col(order) > F.col("__l")))
-    bounces = F.count_if(F.col(kind) == "bounce")
+    after = contact.withColumn("__l", last).withColumn("__after", F.col("__l").isNull() | (F.col(order) > F.col("__l")))
+    bounce = F.col("__after") & (F.col(kind) == "bounce")
+    own = F.lit(None).cast("string") if hitter is None else F.col(hitter)
+    after = after.withColumn("__b", F.when(bounce, F.struct(F.col(order).alias("t"), F.col(half).alias("half"), F.col(verdict).alias("call"), own.alias("own"))))
+    after = after.withColumn("__n", F.when(bounce, F.count("__b").over(over(key, order))))
     per = after.groupBy(key).agg(
-        F.bool_or(F.col(kind) == "net").alias("net"), F.bool_or(F.coalesce(F.col(verdict) == "out", F.lit(False))).alias("out"), bounces.alias("b"),
-        F.count_distinct(F.when(F.col(kind) == "bounce", F.col(half))).alias("halves"),
-    )
-    reason = F.when(F.col("net"), "net").when(F.col("out"), "out").when((F.col("b") >= 2) & (F.col("halves") == 1), "double_bounce").otherwise("lost")
-    return contacts.select(key).distinct().join(per.select(key, reason.alias("reason")), key, "left").select(key, F.coalesce("reason", F.lit("lost")).alias("reason"))
+        F.bool_or(F.col("__after") & (F.col(kind) == "net")).alias("net"), F.min_by("__b", F.col("__n")).alias("first"), F.max(F.when(F.col("__n") == 2, F.col("__b.half"))).alias("second")
+    )
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    reason = (
+        F.when(F.col("net"), "net")
+        .when(F.col("first").isNull(), "timeout")
+        .when(yes(F.col("first.half") == F.col("first.own")), "net")
+        .when(yes(F.col("first.call") == "out"), "ball_out")
+        .when(yes(F.col("first.half") == F.col("second")), "double_bounce")
+        .otherwise("lost_track")
+    )
+    return contacts.select(key).distinct().join(per.select(key, reason.alias("reason")), key, "left").select(key, F.coalesce("reason", F.lit("lost_track")).alias("reason"))
 
 
 def split_at_point_ends(events: DataFrame, key: str, order: str, kind: str, ends: str, restart: float = RESTART_S) -> DataFrame:

@@ -24,31 +24,65 @@ def bands_for(bands: DataFrame, kinds: DataFrame, kind: str, fallback: str = "ba
     own = kinds.join(bands, kind, "inner")
     missing = kinds.join(bands.select(kind).distinct(), kind, "left_anti")
     default = bands.where(F.col(kind) == fallback).drop(kind)  # one row for each metric
-    return own.unionByName(missing.join(F.broadcast(default), F.lit(True)))
+    return own.unionByName(missing.join(default, F.lit(True)))
 
 
-def score(value: Column, lower_is_better: Column | None = None) -> tuple[Column, Column]:
-    """(score, verdict) of a value against the columns of its band.
+def score(value: Column, lower_is_better: Column | None = None, band: dict[str, Column] | None = None) -> tuple[Column, Column]:
+    """(score, verdict) of a value against its band: the columns of that name, or those given.
 
     100 within the ideal range, 0 outside the hard one, on a straight line between; rounded to one
     digit with ties to even.  Where lower is better, nothing is too low.  Null and non-finite values
     have no score.
     """
     v = finite(value)
+    at = lambda name: F.col(name) if band is None else band[name]
     lower = F.coalesce(lower_is_better, F.lit(False)) if lower_is_better is not None else F.lit(False)
-    below = ~lower & (v < F.col("ideal_min"))
-    above = v > F.col("ideal_max")
-    fall = F.when(v >= F.col("hard_max"), 0.0).otherwise(100.0 * (F.col("hard_max") - v) / (F.col("hard_max") - F.col("ideal_max")))
-    rise = F.when(v <= F.col("hard_min"), 0.0).otherwise(100.0 * (v - F.col("hard_min")) / (F.col("ideal_min") - F.col("hard_min")))
+    below = ~lower & (v < at("ideal_min"))
+    above = v > at("ideal_max")
+    fall = F.when(v >= at("hard_max"), 0.0).otherwise(100.0 * (at("hard_max") - v) / F.nullif(at("hard_max") - at("ideal_max"), F.lit(0.0)))
+    rise = F.when(v <= at("hard_min"), 0.0).otherwise(100.0 * (v - at("hard_min")) / F.nullif(at("ideal_min") - at("hard_min"), F.lit(0.0)))
     points = F.when(v.isNull(), F.lit(None).cast("double")).when(below, rise).when(above, fall).otherwise(100.0)
     verdict = F.when(v.isNull(), "unavailable").when(below, "low").when(above, "high").otherwise("ideal")
     return half_even(points, 1), verdict
 
 
+def card(df: DataFrame, metrics: list[str], bands: DataFrame, weights: dict[str, float] | None = None, least: int = MIN_CATEGORIES) -> DataFrame:
+    """Adds ``scores`` (metric, category, value, score, verdict), ``categories`` (category, score, available, total) and ``overall``.
+
+    All metrics of a row are columns of it, so nothing is shuffled: the bands, one for each metric, are
+    read once and become constants of the expressions.  Every category of ``weights`` has an entry;
+    weights are renormalised over what has a score.
+    """
+    weights = weights or CATEGORY_WEIGHTS
+    found = {r.metric: r for r in bands.where(F.col("metric").isin(*metrics)).limit(len(metrics) + 1).collect()}
+    rows, of = [], {c: [] for c in weights}
+    for m in metrics:
+        if (r := found.get(m)) is None:
+            continue
+        band = {c: F.lit(None if r[c] is None else float(r[c])).cast("double") for c in ("ideal_min", "ideal_max", "hard_min", "hard_max")}
+        points, verdict = score(F.col(m).cast("double"), F.lit(bool(r.lower_is_better)), band)
+        df = df.withColumn(f"__s_{m}", points)
+        rows.append(F.struct(F.lit(m).alias("metric"), F.lit(r.category).alias("category"), F.col(m).cast("double").alias("value"), F.col(f"__s_{m}").alias("score"), verdict.alias("verdict")))
+        of.setdefault(r.category, []).append((F.col(f"__s_{m}"), float(r.weight)))
+
+    def mean(parts):
+        total = sum((F.coalesce(s * w, F.lit(0.0)) for s, w in parts), F.lit(0.0))
+        return total / F.nullif(sum((F.when(s.isNotNull(), w).otherwise(0.0) for s, w in parts), F.lit(0.0)), F.lit(0.0))
+
+    for c in weights:
+        df = df.withColumn(f"__c_{c}", half_even(mean(of[c]), 1) if of[c] else F.lit(None).cast("double"))
+    count = lambda xs: sum((x.isNotNull().cast("long") for x in xs), F.lit(0).cast("long"))
+    cats = [F.struct(F.lit(c).alias("category"), F.col(f"__c_{c}").alias("score"), count([s for s, _ in of[c]]).alias("available"), F.lit(len(of[c])).cast("long").alias("total")) for c in weights]
+    whole = [(F.col(f"__c_{c}"), w) for c, w in weights.items()]
+    overall_ = F.when(count([s for s, _ in whole]) >= least, half_even(F.round(mean(whole), 9), 1))
+    df = df.withColumn("scores", F.array(*rows)).withColumn("categories", F.array(*cats)).withColumn("overall", overall_)
+    return df.drop(*(f"__s_{m}" for m in metrics), *(f"__c_{c}" for c in weights))
+
+
 def metric_scores(df: DataFrame, key: str, metrics: list[str], bands: DataFrame) -> DataFrame:
     """Metric columns as rows (key, metric, value) joined to their bands, with score and verdict."""
     rows = df.select(key, F.explode(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*(F.col(m).cast("double") for m in metrics)))).alias("metric", "value"))
-    joined = rows.join(F.broadcast(bands), "metric")  # as many rows as there are metrics
+    joined = rows.join(bands, "metric")
     points, verdict = score(F.col("value"), F.col("lower_is_better"))
     return joined.withColumn("score", points).withColumn("verdict", verdict)
 
@@ -58,13 +92,14 @@ def categories(scored: DataFrame, key: str, names: DataFrame) -> DataFrame:
 
     ``names`` lists every category, so that one without metrics has a row too.
     """
-    has = F.col("score").isNotNull()
-    per = scored.groupBy(key, "category").agg(
-        (F.sum(F.when(has, F.col("weight") * F.col("score"))) / F.sum(F.when(has, F.col("weight")))).alias("raw"), F.count("score").alias("available"), F.count(F.lit(1)).alias("total")
-    )
-    grid = scored.select(key).distinct().join(F.broadcast(names), F.lit(True))  # a fixed handful of categories
-    out = grid.join(per, [key, "category"], "left")
-    return out.select(key, "category", half_even("raw", 1).alias("score"), F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("total", F.lit(0)).alias("total"))
+    has, cats = F.col("score").isNotNull(), [r[0] for r in names.limit(1000).collect()]
+    aggregates = []
+    for k, c in enumerate(cats):
+        own = F.col("category") == c
+        raw = F.sum(F.when(own & has, F.col("weight") * F.col("score"))) / F.sum(F.when(own & has, F.col("weight")))
+        aggregates.append(F.struct(F.lit(c).alias("category"), half_even(raw, 1).alias("score"), F.count(F.when(own, F.col("score"))).alias("available"), F.count_if(own).alias("total")).alias(f"c{k}"))
+    # one shuffle by key, whatever the number of categories
+    return scored.groupBy(key).agg(*aggregates).select(key, F.inline(F.array(*(f"c{k}" for k in range(len(cats))))))
 
 
 def overall(cats: DataFrame, key: str, weights: dict[str, float] | None = None, least: int = MIN_CATEGORIES) -> DataFrame:
@@ -90,4 +125,4 @@ def priorities(scored: DataFrame, key: str, most: int = 3) -> DataFrame:
 
 def coachable(scored: DataFrame, excluded: DataFrame) -> DataFrame:
     """Scores without those of excluded metrics."""
-    return scored.join(F.broadcast(excluded), "metric", "left_anti")
+    return scored.join(excluded, "metric", "left_anti")

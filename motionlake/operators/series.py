@@ -59,6 +59,22 @@ def fill_linear(df: DataFrame, key: str, order: str, value: str, valid) -> DataF
     return d.withColumn("filled", filled).drop("p", "q")
 
 
+def fill_short(df: DataFrame, key: str, order: str, value: str, valid, most: int = 3) -> DataFrame:
+    """Adds ``filled``, as fill_linear, but on the line only across gaps of at most ``most`` rows.
+
+    In a longer gap nothing is made up: its first half, less the middle row of an odd one, holds the
+    value before it, the rest the value after it.
+    """
+    w = over(key, order)
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    d = fill_linear(df, key, order, value, valid)
+    good = F.when(col(valid), F.struct("pos", F.col(value).alias("v")))
+    d = d.withColumn("p", F.last(good, True).over(before)).withColumn("q", F.first(good, True).over(after))
+    gap = F.col("q.pos") - F.col("p.pos") - 1
+    held = F.when(F.col("pos") - F.col("p.pos") <= F.floor(gap / 2), F.col("p.v")).otherwise(F.col("q.v"))
+    return d.withColumn("filled", F.when(~col(valid) & (gap > most), held).otherwise(F.col("filled"))).drop("p", "q")
+
+
 def smooth(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Adds ``smoothed``: the quadratic least-squares fit of five rows; shorter series stay as they are."""
     w = over(key, order)

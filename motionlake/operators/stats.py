@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,15 +61,88 @@ def consistency(df: DataFrame, key: str, value: str, band_width: float) -> DataF
     )
 
 
+#: Pairs of rows whose slopes are listed; of more, the median is found by counting.
+LISTED_PAIRS = 2_000_000
+
+
+def _pairs_below(t: np.ndarray, v: np.ndarray, slope: float) -> int:
+    """Pairs with t1 < t2 whose slope is at most ``slope``: inversions of v - slope * t, rows sorted by time.
+
+    A merge sort from the bottom up; rows of one time never count, as they come in falling order of v.
+    """
+    x = v - slope * t
+    rank = np.empty(len(x), np.int64)
+    rank[np.lexsort((-np.arange(len(x)), x))] = np.arange(len(x))  # of equal values the later row is the lower
+    total, width, n = 0, 1, len(x)
+    while width < n:
+        block = np.arange(n) // (2 * width)
+        right = np.arange(n) // width % 2 == 1
+        order = np.lexsort((rank, block))
+        lefts = np.cumsum(~right[order])
+        start = np.searchsorted(block, np.arange(block[-1] + 1))
+        in_block = lefts - np.append(0, lefts)[start[block[order]]]
+        size = np.bincount(block[~right], minlength=block[-1] + 1)[block[order]]
+        total += int((size - in_block)[right[order]].sum())
+        rank, width = rank[order], 2 * width
+    return total
+
+
+def _median_slope(t: np.ndarray, v: np.ndarray) -> float:
+    """Median slope of all pairs of rows with different times; 0 without one."""
+    order = np.lexsort((v, t))
+    t, v = t[order], v[order]
+    n = len(t)
+    if n * (n - 1) // 2 <= LISTED_PAIRS:
+        i, j = np.triu_indices(n, 1)
+        apart = t[j] > t[i]
+        return float(np.median((v[j[apart]] - v[i[apart]]) / (t[j[apart]] - t[i[apart]]))) if apart.any() else 0.0
+    # equal times in an order in which they are never inverted, whatever the slope
+    doubles = lambda counts: int((counts.astype(np.int64) * (counts - 1) // 2).sum())
+    pairs = n * (n - 1) // 2 - doubles(np.unique(t, return_counts=True)[1])
+    twins = doubles(np.unique(np.stack([t, v]), axis=1, return_counts=True)[1])  # equal rows count as inverted
+    if not pairs:
+        return 0.0
+    steps = np.diff(t)
+    limit = float((v.max() - v.min()) / steps[steps > 0].min())
+
+    def smallest(k: int) -> float:
+        lo, hi = -limit, limit
+        while (mid := (lo + hi) / 2) not in (lo, hi) and hi - lo > 1e-13 * max(1.0, abs(lo), abs(hi)):
+            lo, hi = (lo, mid) if _pairs_below(t, v, mid) - twins >= k else (mid, hi)
+        return hi
+
+    return (smallest((pairs + 1) // 2) + smallest(pairs // 2 + 1)) / 2
+
+
+def _trend(t: np.ndarray, v: np.ndarray) -> tuple:
+    """(n, span, first_median, last_median, slope, robust_sd) of the rows of one key."""
+    order = np.lexsort((v, t))
+    t, v = t[order], v[order]
+    n = len(v)
+    third = n // 3
+    ends = [float(np.median(x)) if len(x) else None for x in (v[:third], v[n - third :])]
+    spread = float(np.median(np.abs(v - np.median(v)))) * MAD_SCALE if n >= 2 else None
+    return n, float(t[-1] - t[0]), *ends, _median_slope(t, v), spread
+
+
+def _by_key(df: DataFrame, key: str, time: str, value: str, schema: str, of) -> DataFrame:
+    """``of(t, v)`` for the rows with a time and a finite value of each key, in one shuffle."""
+    kind = dict(df.dtypes)[key]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf[key].iloc[0], *of(pdf["t"].to_numpy(float), pdf["v"].to_numpy(float)))], columns=[key, *(x.split()[0] for x in schema.split(", "))])
+
+    rows = df.select(key, col(time).cast("double").alias("t"), finite(value).cast("double").alias("v")).where("t is not null and v is not null")
+    return rows.groupBy(key).applyInPandas(run, f"`{key}` {kind}, {schema}")
+
+
 def theil_sen(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """(key, slope): median slope of all pairs with different times, 0 where there is none.
 
-    Pairs exist within a key only; keys are sessions, whose rows are bounded by their length.
+    A key's rows are one group of two numbers each; up to LISTED_PAIRS slopes are listed, and of more
+    the median is found by counting those below a bound, in n log n steps a bound, without listing any.
     """
-    rows = df.select(key, col(time).alias("t"), finite(value).alias("v")).where("t is not null and v is not null")
-    a, b = rows.select(key, F.col("t").alias("t1"), F.col("v").alias("v1")), rows.select(key, F.col("t").alias("t2"), F.col("v").alias("v2"))
-    slopes = a.join(b, key).where("t1 < t2").groupBy(key).agg(F.median((F.col("v2") - F.col("v1")) / (F.col("t2") - F.col("t1"))).alias("slope"))
-    return rows.select(key).distinct().join(slopes, key, "left").select(key, F.coalesce("slope", F.lit(0.0)).alias("slope"))
+    return _by_key(df, key, time, value, "slope double", lambda t, v: (_median_slope(t, v),))
 
 
 def within_trend(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
@@ -76,15 +151,8 @@ def within_trend(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
     Thirds of the rows in time order are compared; a direction needs half a robust deviation between
     their medians and a slope of the same sign.  Keys with too few rows or too short a span are left out.
     """
-    rows = df.select(key, col(time).alias("t"), finite(value).alias("v")).where("v is not null")
-    rows = rows.withColumn("__i", F.row_number().over(over(key, "t", "v"))).withColumn("n", F.count(F.lit(1)).over(whole(key)))
-    third = F.floor(F.col("n") / 3)
-    ends = rows.groupBy(key).agg(
-        F.first("n").alias("n"), (F.max("t") - F.min("t")).alias("span"),
-        F.median(F.when(F.col("__i") <= third, F.col("v"))).alias("first_median"), F.median(F.when(F.col("__i") > F.col("n") - third, F.col("v"))).alias("last_median"),
-    )
-    ends = ends.where((F.col("n") >= TREND_MIN_N) & (F.col("span") >= TREND_MIN_SPAN_S))
-    out = ends.join(theil_sen(df, key, time, value), key).join(robust_spread(df, key, value).select(key, "robust_sd"), key)
+    schema = "n long, span double, first_median double, last_median double, slope double, robust_sd double"
+    out = _by_key(df, key, time, value, schema, _trend).where((F.col("n") >= TREND_MIN_N) & (F.col("span") >= TREND_MIN_SPAN_S))
     gap, least = F.col("last_median") - F.col("first_median"), F.col("robust_sd") * TREND_SD_FRACTION
     direction = F.when((gap > least) & (F.col("slope") > 0), "rising").when((gap < -least) & (F.col("slope") < 0), "falling").otherwise("steady")
     return out.select(key, "n", "first_median", "last_median", (F.col("slope") * TREND_SECONDS).alias("slope"), direction.alias("direction"))

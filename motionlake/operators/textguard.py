@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: How numbers look in text, and words that claim a measurement.
-NUMBER = r"\d+(?:\.\d+)?"
-BANNED_UNITS = ("km/h", "kph", "m/s", "fps", "rpm", "mph")
+#: How numbers look in text, with sign and percent, and words that claim a measurement
+#: which is never made; of mph see mph_binding.
+NUMBER = r"[-+]?\p{Nd}+(?:\.\p{Nd}+)?%?"
+BANNED_UNITS = ("km/h", "m/s", "kph", "rpm", "rally", "spin rate", "revolutions", "meters", "metres", "feet", "inches")
 
 
 def numeric_tokens(text: Column) -> Column:
+    """Numbers in a text, with sign and percent; of text that may not be ASCII, give nfkc(text)."""
     return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
 
 
@@ -44,8 +46,10 @@ def enforce(df: DataFrame, fields: list[str], allowed: Column, most_dropped: int
 
 def mph_binding(text: Column, mph: Column, most: int = 2) -> Column:
     """Whether all mentions of mph name the measured speed, at most ``most`` times."""
-    mentions, bound = F.regexp_count(text, F.lit(r"(?i)mph")), F.size(F.filter(F.regexp_extract_all(text, F.lit(r"(?i)(\d+)\s*mph"), F.lit(1)), lambda v: v == mph.cast("string")))
-    return (mentions <= most) & (mentions == bound)
+    # the word alone counts, and the whole number right before it, with a space at most between
+    mentions = F.regexp_count(text, F.lit(r"(?i)\bmph\b"))
+    bound = F.size(F.filter(F.regexp_extract_all(text, F.lit(r"(?i)\b(\d+)\s?mph\b"), F.lit(1)), lambda v: v == mph.cast("int").cast("string")))
+    return F.when(mentions == 0, True).otherwise(F.coalesce((mentions <= most) & (mentions == bound), F.lit(False)))
 
 
 def strip_fences(text: Column) -> Column:

@@ -126,6 +126,11 @@ def queue_position(read):
     return history.queue_positions(read("orders"), "o_orderdate", F.col("o_orderstatus").isin("O", "P"), "o_custkey").select("o_orderkey", "o_custkey", F.col("ahead").cast("long").alias("ahead"))
 
 
+@query("SELECT o_orderkey, rank() OVER (ORDER BY o_orderdate) - 1 AS ahead FROM orders WHERE o_orderstatus IN ('O', 'P')")
+def queue_position_of_all(read):
+    return history.queue_positions(read("orders"), "o_orderdate", F.col("o_orderstatus").isin("O", "P")).select("o_orderkey", F.col("ahead").cast("long").alias("ahead"))
+
+
 @query("SELECT event_id, event_type = 'view' AND ts < TIMESTAMP '2024-01-20' - INTERVAL 180 SECOND AS stale FROM events")
 def stale_jobs(read):
     return read("events").select("event_id", history.is_stale(F.when(F.col("event_type") == "view", "running").otherwise("done"), F.col("ts"), F.to_timestamp(F.lit("2024-01-20"))).alias("stale"))
@@ -142,7 +147,8 @@ def last_seen(read):
     return history.last_seen(e, "user_id", "ts", "p")
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT session, list(t ORDER BY t) AS ts FROM (SELECT user_id AS session, epoch_us(ts) / 1e6 AS t FROM events) GROUP BY session),
+k AS (SELECT session, ts, ts[1] AS at FROM a UNION ALL SELECT session, ts, list_filter(ts, lambda x: x - at >= 86400.0)[1] FROM k WHERE list_filter(ts, lambda x: x - at >= 86400.0)[1] IS NOT NULL) SELECT session, round(at, 6) AS at FROM k""")
 def throttle(read):
     return history.throttle(swings(read), "session", "t", 86400.0)
 
@@ -276,6 +282,11 @@ def scored_items(read) -> DataFrame:
     return scorecard.metric_scores(items, "item", [b[0] for b in BANDS], bands)
 
 
+def carded_items(read) -> DataFrame:
+    items = read("lineitem")
+    return scorecard.card(items, [b[0] for b in BANDS], scorecard.hard_bounds(items.sparkSession.createDataFrame(BANDS, BAND_COLUMNS)))
+
+
 _ITEM = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 SCORED = SCORED.replace("l_orderkey * 10 + l_linenumber AS item, l_orderkey, l_partkey, l_suppkey", _ITEM).replace("SELECT item, l_partkey, l_suppkey,", f"SELECT {_ITEM},")
 
@@ -295,17 +306,13 @@ def metric_scores(read):
 p AS (SELECT {_ITEM}, category, sum(weight * score) / sum(weight) AS raw, count(score) AS available, count(*) AS total FROM s GROUP BY ALL), i AS (SELECT DISTINCT {_ITEM} FROM s)
 SELECT {_ITEM}, category, round(round_even(raw, 1), 6) AS score, coalesce(available, 0) AS available, coalesce(total, 0) AS total FROM i CROSS JOIN k LEFT JOIN p USING ({_ITEM}, category)""")
 def category_scores(read):
-    scored = scored_items(read)
-    names = scored.sparkSession.createDataFrame([(c,) for c in scorecard.CATEGORY_WEIGHTS], "category string")
-    return _flat(scorecard.categories(scored, "item", names))
+    return carded_items(read).select(*_ITEM.split(", "), F.inline("categories"))
 
 
 @query(f"""WITH {SCORED}, p AS (SELECT {_ITEM}, category, round_even(sum(weight * score) / sum(weight), 1) AS sc FROM s GROUP BY ALL), w AS (SELECT *, CASE category WHEN 'contact' THEN 0.30 WHEN 'swing_path' THEN 0.25 ELSE 0.15 END::DOUBLE AS cw FROM p)
 SELECT {_ITEM}, CASE WHEN count(sc) >= 3 THEN round(round_even(round(sum(cw * sc) / sum(cw), 9), 1), 6) END AS overall FROM w GROUP BY {_ITEM}""")
 def overall_score(read):
-    scored = scored_items(read)
-    names = scored.sparkSession.createDataFrame([(c,) for c in scorecard.CATEGORY_WEIGHTS], "category string")
-    return _flat(scorecard.overall(scorecard.categories(scored, "item", names), "item"))
+    return carded_items(read).select(*_ITEM.split(", "), "overall")
 
 
 @query(f"WITH {SCORED} SELECT {_ITEM}, metric, verdict, round(CASE WHEN verdict = 'low' THEN imin - value ELSE value - imax END, 6) AS distance FROM s WHERE verdict <> 'ideal'")
@@ -427,43 +434,22 @@ def preceding_hit(read):
     return rally.preceding(contacts(read), "session", "t", "kind", "hit", "bounce", "frame").select("session", "frame", "preceding_id")
 
 
-@query(f"WITH {C}, p AS (SELECT *, lag(kind) OVER w AS pk, lag(half) OVER w AS ph, lag(t) OVER w AS pt FROM c WINDOW w AS (PARTITION BY session ORDER BY t)) SELECT session, frame FROM p WHERE kind = 'hit' AND pk = 'hit' AND half = ph AND t - pt < 20000")
-def split_strokes(read):
-    return rally.split_strokes(contacts(read), "session", "t", "kind", "half", 20000.0).select("session", "frame")
-
-
-@query(f"""WITH {C}, n AS (SELECT *, sum((kind = 'net')::INT) OVER (PARTITION BY session ORDER BY t) AS nets FROM c), p AS (SELECT *, lead(kind) OVER w AS nk, lead(half) OVER w AS nh, lead(t) OVER w AS nt, lead(nets) OVER w AS nn FROM n WHERE kind <> 'net' WINDOW w AS (PARTITION BY session ORDER BY t))
-SELECT session, frame FROM p WHERE kind = 'hit' AND nk = 'bounce' AND ((nh <> half AND nt - t < 20000) OR (nh = half AND nn = nets))""")
-def implausible_hits(read):
-    return rally.implausible_hits(contacts(read), "session", "t", "kind", "half", 20000.0).select("session", "frame")
-
-
-@query(f"WITH {C}, p AS (SELECT *, max(t) FILTER (kind IN ('bounce', 'net')) OVER (PARTITION BY session) AS l FROM c) SELECT session, frame FROM p WHERE kind = 'hit' AND (l IS NULL OR t > l)")
-def unconfirmed_hits(read):
-    return rally.unconfirmed_hits(contacts(read), "session", "t", "kind").select("session", "frame")
-
-
-@query(f"""WITH {SPANS}, g AS (SELECT session, z AS g0, lead(a) OVER (PARTITION BY session ORDER BY a, z) AS g1 FROM sp), h AS (SELECT * FROM g WHERE g1 - g0 > 7200),
-x AS (SELECT session, count(*) AS gaps FROM h WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.session = h.session AND c.kind = 'net' AND c.t BETWEEN h.g0 - 60 AND h.g1 + 60) GROUP BY session)
-SELECT session, coalesce(gaps, 0) AS gaps FROM (SELECT DISTINCT session FROM c) LEFT JOIN x USING (session)""")
-def lost_gaps(read):
-    return rally.lost_gaps(spans(read), contacts(read).where("kind = 'net'"), "session", "a", "z", "t", 7200.0, 60.0)
-
-
-@query(f"WITH {SPANS}, l AS (SELECT *, max(z) OVER (PARTITION BY session ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pz FROM sp) SELECT session, bool_or(coalesce(a < pz, false)) AS two_balls FROM l GROUP BY session")
-def two_balls(read):
-    return rally.overlapping(spans(read), "session", "a", "z")
-
-
-@query(f"WITH {C}, p AS (SELECT *, lag(kind) OVER w AS pk, lag(half) OVER w AS ph FROM c WHERE kind <> 'net' WINDOW w AS (PARTITION BY session ORDER BY t)) SELECT session, count(*) FILTER (kind = 'hit') AS observed, count(*) FILTER (kind = 'bounce' AND pk = 'bounce' AND half <> ph) AS inferred FROM p GROUP BY session")
+@query(f"""WITH {C}, x AS (SELECT session, t, half, k < 20 AS near, CASE kind WHEN 'net' THEN 'kink' ELSE kind END AS kind FROM c), z AS (SELECT *, CASE WHEN kind <> 'kink' THEN {{'k': kind, 'h': half, 'n': near}} END AS s FROM x),
+y AS (SELECT *, last_value(s IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(s IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM z WINDOW w AS (PARTITION BY session ORDER BY t))
+SELECT session, count(*) FILTER (kind = 'hit') AS observed, count(*) FILTER (kind = 'bounce' AND p IS NULL) + count(*) FILTER (kind = 'bounce' AND p.k = 'bounce' AND NOT p.n AND (near OR half <> p.h)) AS inferred,
+count(*) FILTER (kind = 'bounce' AND p.k = 'bounce' AND p.n) + count(*) FILTER (kind = 'kink' AND p IS NOT NULL AND q IS NOT NULL) + coalesce(bool_or(kind = 'kink' AND p IS NOT NULL AND q IS NULL), false)::BIGINT AS ambiguous FROM y GROUP BY session""")
 def stroke_counts(read):
-    return rally.stroke_counts(contacts(read), "session", "t", "kind", "half")
+    c = contacts(read).withColumn("kind", F.when(F.col("kind") == "net", "kink").otherwise(F.col("kind"))).withColumn("net_m", F.col("k") / 20)
+    return rally.stroke_counts(c, "session", "t", "kind", "half", "net_m")
 
 
-@query(f"""WITH {C}, l AS (SELECT *, max(t) FILTER (kind = 'hit') OVER (PARTITION BY session) AS lh FROM c), g AS (SELECT session, bool_or(kind = 'net') AS net, bool_or(verdict = 'out') AS o, count(*) FILTER (kind = 'bounce') AS b, count(DISTINCT half) FILTER (kind = 'bounce') AS h FROM l WHERE lh IS NULL OR t > lh GROUP BY session)
-SELECT session, CASE WHEN net THEN 'net' WHEN o THEN 'out' WHEN b >= 2 AND h = 1 THEN 'double_bounce' ELSE 'lost' END AS reason FROM (SELECT DISTINCT session FROM c) LEFT JOIN g USING (session)""")
+@query(f"""WITH {C}, l AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'near' ELSE 'far' END AS own, max(t) FILTER (kind = 'hit') OVER (PARTITION BY session) AS lh FROM c), a AS (SELECT * FROM l WHERE lh IS NULL OR t > lh),
+b AS (SELECT session, list({{'half': half, 'verdict': verdict, 'own': own}} ORDER BY t) AS b FROM a WHERE kind = 'bounce' GROUP BY session), n AS (SELECT session, bool_or(kind = 'net') AS net FROM a GROUP BY session)
+SELECT session, CASE WHEN net THEN 'net' WHEN b IS NULL THEN 'timeout' WHEN b[1].half = b[1].own THEN 'net' WHEN b[1].verdict = 'out' THEN 'ball_out' WHEN b[1].half = b[2].half THEN 'double_bounce' ELSE 'lost_track' END AS reason
+FROM (SELECT DISTINCT session FROM c) LEFT JOIN n USING (session) LEFT JOIN b USING (session)""")
 def rally_end_reason(read):
-    return rally.end_reason(contacts(read), "session", "t", "kind", "half", "verdict")
+    c = contacts(read).withColumn("own", F.when(F.col("k") % 3 == 0, "near").otherwise("far"))
+    return rally.end_reason(c, "session", "t", "kind", "half", "verdict", "own")
 
 
 @query()
@@ -565,18 +551,18 @@ def effective_events(read):
 # text ---------------------------------------------------------------------------------------------
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '\d+(?:\.\d+)?'))::BIGINT AS n, regexp_extract_all(text, '\d+(?:\.\d+)?')[1] AS first FROM documents")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[-+]?\p{Nd}+(?:\.\p{Nd}+)?%?'))::BIGINT AS n, regexp_extract_all(text, '[-+]?\p{Nd}+(?:\.\p{Nd}+)?%?')[1] AS first FROM documents")
 def numeric_tokens(read):
     t = textguard.numeric_tokens(F.col("text"))
     return read("documents").select("doc_id", F.size(t).cast("long").alias("n"), F.try_element_at(t, F.lit(1)).alias("first"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_sort(list_filter(['km/h', 'kph', 'm/s', 'fps', 'rpm', 'mph', 'on the'], lambda w: contains(lower(text), w))), ',') AS found FROM conversations")
+@query("SELECT conv_id, turn, array_to_string(list_sort(list_filter(['km/h', 'm/s', 'kph', 'rpm', 'rally', 'spin rate', 'revolutions', 'meters', 'metres', 'feet', 'inches', 'on the'], lambda w: contains(lower(text), w))), ',') AS found FROM conversations")
 def banned_terms(read):
     return read("conversations").select("conv_id", "turn", F.array_join(textguard.banned(F.col("text"), (*textguard.BANNED_UNITS, "on the")), ",").alias("found"))
 
 
-@query(r"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '\d+(?:\.\d+)?'), lambda x: x NOT IN ('1', '2', '3', '4', '5', '7', '7.0', '7.00'))))::BIGINT AS n FROM documents")
+@query(r"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '[-+]?\p{Nd}+(?:\.\p{Nd}+)?%?'), lambda x: x NOT IN ('1', '2', '3', '4', '5', '7', '7.0', '7.00'))))::BIGINT AS n FROM documents")
 def guard_violations(read):
     allowed = textguard.allowlist(F.array(F.lit(7.0)))
     return read("documents").select("doc_id", F.size(F.array_except(textguard.numeric_tokens(F.col("text")), allowed)).cast("long").alias("n"))

@@ -21,3 +21,13 @@ def test_enforce(spark):
 def test_percent_of_nothing_is_zero(spark):
     df = spark.createDataFrame([(3, 0), (0, 0), (3, 8), (1, 8), (None, 5)], "part long, total long")
     assert [r[0] for r in df.select(g.percent(F.col("part"), F.col("total"))).collect()] == [0, 0, 38, 12, 0]
+
+
+def test_sign_percent_and_units(spark):
+    """A sign or a percent is part of a number; each unit that is never measured is banned, mph only without its value."""
+    df = spark.createDataFrame([("-5 and 40%, +3.25 or 5",), ("a long rally at 30 kph, six feet",), ("61 mph",), ("no number",)], "t string")
+    allowed = g.allowlist(F.array(F.lit(5.0)))
+    got = [sorted(r[0]) for r in df.select(g.violations(F.col("t"), allowed)).collect()]
+    assert got == [["+3.25", "-5", "40%"], ["30", "feet", "kph", "rally"], ["61"], []]
+    for value, text, ok in ((61, "61mph", True), (61, "61  mph", False), (61, "161 mph", False), (None, "61 mph", False), (None, "graphs", True), (61, "MPH 61", False), (61, "nothing", True)):
+        assert spark.createDataFrame([(text, value)], "t string, v int").select(g.mph_binding(F.col("t"), F.col("v"))).first()[0] == ok, text
