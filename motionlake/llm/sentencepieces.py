@@ -127,7 +127,11 @@ class Normaliser:
         own = sorted((p for p, t in zip(model.pieces, model.types, strict=True) if t == USER_DEFINED), key=len, reverse=True)
         self.own = re.compile(b"|".join(map(re.escape, own))) if own else None
         # ASCII that begins no key of the map and no piece of its own stands for itself
-        plain = set(range(1, 128)) - {32} - self.map.leads() - {p[0] for p in own}
+        taken = self.map.leads() | {p[0] for p in own}
+        plain = set(range(1, 128)) - {32} - taken
+        # as does a space that is neither dropped nor the beginning of a key
+        self.spaces = not model.remove_extra and 32 not in taken
+        plain |= {32} if self.spaces else set()
         self.plain = re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in sorted(plain)) + b"]+") if plain else None
 
     def _next(self, text: bytes, at: int) -> tuple[int, bytes]:
@@ -164,8 +168,13 @@ class Normaliser:
         spaced = model.remove_extra
         while at < len(text):
             if self.plain and (run := self.plain.match(text, at)):
-                out.extend(run[0])
-                source.extend(range(at, run.end()))
+                if self.spaces and b" " in run[0]:
+                    out.extend(run[0].replace(b" ", bar))
+                    wide = np.where(np.frombuffer(run[0], np.uint8) == 32, len(bar), 1)
+                    source.extend(np.repeat(np.arange(at, run.end()), wide).tolist())
+                else:
+                    out.extend(run[0])
+                    source.extend(range(at, run.end()))
                 at, spaced = run.end(), False
                 continue
             size, new = self._next(text, at)
@@ -212,6 +221,8 @@ class Codec:
 
     def lengths(self, ids: list[int], pieces: list[bytes]) -> list[int]:
         """Normalised bytes of each piece; of bytes that spell a character, the last has them all."""
+        if self.bytes_.isdisjoint(ids):
+            return list(map(len, pieces))
         out, left = [], 0
         for i, piece in zip(ids, pieces, strict=True):
             if i in self.byte_of:
@@ -254,18 +265,19 @@ class Codec:
                 fresh.append(s)
         for lo in range(0, len(fresh), 256):
             some = fresh[lo : lo + 256]
-            ids = self.library.encode("\n" + "\n".join(some))
+            text = "\n" + "\n".join(some)
+            ids = self.library.encode(text)
+            _, source = self.normaliser.normalise(text.encode())
+            ends = np.cumsum(self.lengths(ids, [pieces[i] for i in ids]))
+            size = np.diff(source[ends], prepend=0).astype(np.uint8).tobytes()
             ids.append(self.newline)
             at = ids.index(self.newline) + 1
             for s in some:
                 end = ids.index(self.newline, at)
                 own = ids[at:end]
-                shown = [surface[i] for i in own]
-                _, source = self.normaliser.normalise(s.encode(), prefix=False)
-                ends = np.cumsum(self.lengths(own, [pieces[i] for i in own]))
-                size = np.diff(source[ends], prepend=0).astype(np.uint8).tobytes()
-                decoded = b"".join(shown).decode("utf-8", "replace")
-                young[s] = ",".join([names[i] for i in own]), sizes.setdefault(size, size) if len(sizes) < CACHED else size, s if decoded == s else decoded
+                decoded = b"".join([surface[i] for i in own]).decode("utf-8", "replace")
+                part = size[at:end]
+                young[s] = ",".join([names[i] for i in own]), sizes.setdefault(part, part) if len(sizes) < CACHED else part, s if decoded == s else decoded
                 at = end + 1
 
     def encode_all(self, texts: list[str]) -> list[tuple[str, int, np.ndarray, str]]:
