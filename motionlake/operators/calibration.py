@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 #: Gates in pixels and shares, and the ground keypoints in metres.
 MIN_TAPS, GATE_TAPS, CALL_TAPS, DUPLICATE_PX, COLLINEAR_PX, MIN_HULL_SHARE = 4, 6, 8, 8.0, 12.0, 0.05
 MAX_RMS_PX, MAX_ERROR_PX, MIN_CONDITION = 2.0, 4.0, 1e-3
+#: Pixels that a tap is moved either way to see what its error does.
+WOBBLE_PX = 1e-2
 VERDICT = "ok boolean, reason string, h array<double>, rms_px double, max_px double, taps int"
 
 
@@ -92,3 +94,65 @@ def calibrate(taps: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame([(pdf[key].iloc[0], reason is None, reason, h, rms, worst, len(uv))], columns=[key, "ok", "reason", "h", "rms_px", "max_px", "taps"])
 
     return taps.groupBy(key).applyInPandas(one, f"`{key}` {types[key]}, {VERDICT}")
+
+
+def camera(h: np.ndarray, width: float, height: float) -> dict | None:
+    """Focal length, place and projection of the camera behind a map from court to image; None where no camera fits.
+
+    Square pixels and a principal point in the middle leave one unknown in two linear constraints on
+    the columns of the map: the inverse square of the focal length, in units of the frame's long side.
+    """
+    long = float(max(width, height))
+    m = np.array([[1 / long, 0, -width / 2 / long], [0, 1 / long, -height / 2 / long], [0, 0, 1]]) @ h
+    m /= np.linalg.norm(m)
+    a, b = m[:, 0], m[:, 1]
+    # the first two columns are at right angles and of one length, once x and y are divided by the focal length
+    flat = np.array([a[:2] @ b[:2], a[:2] @ a[:2] - b[:2] @ b[:2]])
+    deep = np.array([a[2] * b[2], a[2] ** 2 - b[2] ** 2])
+    if flat @ flat <= 0 or (w := -(flat @ deep) / (flat @ flat)) <= 0:
+        return None
+    focal = 1 / np.sqrt(w)
+    g = m / np.array([focal, focal, 1.0])[:, None]
+    g *= 2 / (np.linalg.norm(g[:, 0]) + np.linalg.norm(g[:, 1]))
+    g *= 1 if g[2, 2] >= 0 else -1  # the court is in front of the camera
+    u, _, vt = np.linalg.svd(np.column_stack([g[:, 0], g[:, 1], np.cross(g[:, 0], g[:, 1])]))
+    turn = u @ vt
+    if np.linalg.det(turn) < 0:
+        return None
+    place = -turn.T @ g[:, 2]
+    lens = np.array([[focal * long, 0, width / 2], [0, focal * long, height / 2], [0, 0, 1]])
+    return {"focal_px": float(focal * long), "cam": place.tolist(), "projection": (lens @ np.column_stack([turn, g[:, 2]])).ravel().tolist()}
+
+
+def wobble(uv: np.ndarray, xy: np.ndarray) -> list[dict]:
+    """Image-to-court maps with one coordinate of one tap moved either way."""
+    out = []
+    for k in range(uv.size):
+        moved = []
+        for sign in (1, -1):
+            taps = uv.copy()
+            taps.flat[k] += sign * WOBBLE_PX
+            moved.append(fit(taps, xy)[0].ravel().tolist())
+        out.append({"plus": moved[0], "minus": moved[1], "step": 2 * WOBBLE_PX})
+    return out
+
+
+def court_maps(taps: DataFrame, key: str, sigma_tap_px: float = 1.5) -> DataFrame:
+    """(key, h, cam_x, cam_y, cam_z, focal_px, projection, sigma_tap_px, wobble, calls_allowed): what landings need of a session's taps.
+
+    h maps the image to the court.  Sessions whose taps are refused, or behind whose map no camera is
+    found, have no row; calls are allowed from CALL_TAPS taps on.
+    """
+    types = dict(taps.dtypes)
+    schema = f"`{key}` {types[key]}, h array<double>, cam_x double, cam_y double, cam_z double, focal_px double, projection array<double>, sigma_tap_px double, wobble array<struct<plus: array<double>, minus: array<double>, step: double>>, calls_allowed boolean"
+    good = calibrate(taps, key).where("ok").select(key)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        uv, xy = pdf[["u_px", "v_px"]].to_numpy(float), pdf[["x_m", "y_m"]].to_numpy(float)
+        seen = camera(fit(xy, uv)[0], pdf["frame_w"].iloc[0], pdf["frame_h"].iloc[0])
+        rows = []
+        if seen:
+            rows.append((pdf[key].iloc[0], fit(uv, xy)[0].ravel().tolist(), *seen["cam"], seen["focal_px"], seen["projection"], sigma_tap_px, wobble(uv, xy), len(uv) >= CALL_TAPS))
+        return pd.DataFrame(rows, columns=[key, "h", "cam_x", "cam_y", "cam_z", "focal_px", "projection", "sigma_tap_px", "wobble", "calls_allowed"])
+
+    return taps.join(good, key, "left_semi").groupBy(key).applyInPandas(one, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motionlake import sources
 from motionlake.functions import normal_cdf, over
-from motionlake.operators import ball, calibration, court, evaluation, history, inference, pose, segmentation, textguard
+from motionlake.operators import ball, calibration, court, evaluation, history, inference, landing, pose, rallies, segmentation, textguard
 from motionlake.plans.registry import C, E, W, contacts, query, swings
 
 
@@ -268,6 +268,62 @@ def in_court_probability(read):
     return contacts(read).select("session", "frame", normal_cdf((F.lit(court.HALF_LENGTH) - F.col("k") / 7) / (F.col("value") / 100)).alias("p"))
 
 
+def bounces(read) -> DataFrame:
+    """Contacts as events in an image: places by value and JSON number, one run a session."""
+    c = contacts(read)
+    flags = F.array_compact(F.array(F.when(F.col("frame") % 5 == 0, "weak_bounce"), F.when(F.col("frame") % 7 == 0, "one_sided_bounce")))
+    return c.select(
+        "session", F.lit(1).alias("run"), F.col("frame").alias("event_id"), "t", "kind", (F.col("value") * 10).alias("u"), (F.col("k") * 5).alias("v"), F.lit(4.0).alias("uu"), F.lit(0.5).alias("uv"), F.lit(9.0).alias("vv"),
+        (F.col("k") / 100 + 0.4).alias("confidence"), flags.alias("flags"), F.col("half").alias("end"), F.when(F.col("frame") % 4 == 0, "serve").otherwise("forehand").alias("shot_type"),
+    )
+
+
+def flat_maps(read) -> DataFrame:
+    """A map without perspective for each session."""
+    h = F.array(*(F.lit(float(x)) for x in (1 / 45, 0, -300 / 45, 0, 1 / 18, -250 / 18, 0, 0, 1)))
+    nothing = F.array().cast("array<struct<plus: array<double>, minus: array<double>, step: double>>")
+    return swings(read).select("session").distinct().select("session", h.alias("h"), F.lit(0.0).alias("cam_x"), F.lit(-20.0).alias("cam_y"), F.lit(8.0).alias("cam_z"), F.lit(0.0).alias("shake_px"), F.lit(1.0).alias("sigma_tap_px"), nothing.alias("wobble"), F.lit(True).alias("calls_allowed"))
+
+
+_SHARE = "((8.0 - 0.0335) / 8.0)::DOUBLE"
+LANDINGS = f"""{C}, g AS (SELECT *, {_SHARE} * ({1 / 45!r}::DOUBLE * (value * 10) + {-300 / 45!r}::DOUBLE) AS x, -20.0::DOUBLE + {_SHARE} * (({1 / 18!r}::DOUBLE * (k * 5) + {-250 / 18!r}::DOUBLE) + 20.0::DOUBLE) AS y, k / 100 + 0.4 AS conf, frame % 5 = 0 AS weak, frame % 7 = 0 AS one, 2.0::DOUBLE / 45 * {_SHARE} AS sx, 3.0::DOUBLE / 18 * {_SHARE} AS sy,
+last_value(CASE WHEN kind = 'hit' THEN {{'e': half, 't': t, 'serve': frame % 4 = 0}} END IGNORE NULLS) OVER w AS hit, max(CASE WHEN kind = 'net' THEN t END) OVER w AS net_t FROM c WINDOW w AS (PARTITION BY session ORDER BY t, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, CASE WHEN y < 0 THEN 'near' ELSE 'far' END AS ground FROM g WHERE kind = 'bounce'), h AS (SELECT *, CASE WHEN hit.e = ground AND NOT coalesce(net_t > hit.t, false) THEN NULL ELSE hit.e END AS hitter FROM b),
+ev AS (SELECT *, CASE hitter WHEN 'near' THEN 'far' WHEN 'far' THEN 'near' ELSE ground END AS side, abs(y) <= greatest(0.25, 1.96 * sy) AS at_net FROM h),
+m AS (SELECT *, [{{'e': 'x_max', 'l': 'right_singles_sideline', 'm': 4.115 - x + 0.02, 's': sx}}, {{'e': 'x_min', 'l': 'left_singles_sideline', 'm': x + 4.115 + 0.02, 's': sx}}, {{'e': 'y', 'l': side || '_baseline', 'm': CASE side WHEN 'near' THEN y + 11.885 ELSE 11.885 - y END + 0.02, 's': sy}}] AS j FROM ev),
+o AS (SELECT *, list_sort(list_transform(list_filter(j, lambda q: q.m <= -1.96 * q.s), lambda q: {{'m': q.m, 'e': q.e, 'l': q.l}})) AS beyond, list_sort(list_transform(j, lambda q: {{'n': abs(q.m) / (1.96 * q.s), 'e': q.e, 'l': q.l, 'm': q.m}})) AS near, len(list_filter(j, lambda q: q.m < 1.96 * q.s)) = 0 AS clear FROM m),
+d AS (SELECT *, CASE WHEN len(beyond) > 0 THEN beyond[1].l ELSE near[1].l END AS line, CASE WHEN len(beyond) > 0 THEN beyond[1].m ELSE near[1].m END AS margin, at_net OR coalesce(hitter = ground, false) AS uncalled FROM o),
+l AS (SELECT *, CASE WHEN uncalled THEN NULL WHEN conf < 0.5 OR weak OR (one AND line LIKE '%base%') THEN 'too_close' WHEN len(beyond) > 0 THEN 'out' WHEN clear THEN 'in' ELSE 'too_close' END AS ruling FROM d)"""
+
+
+@query(f"""WITH {LANDINGS} SELECT session, frame AS event_id, round(x, 3) AS x, round(y, 3) AS y, hitter AS hitter_end, at_net, ruling AS verdict, CASE WHEN NOT uncalled THEN line END AS line, round(CASE WHEN NOT uncalled THEN margin END, 3) AS margin_m,
+CASE WHEN hitter IS NOT NULL THEN hit.serve ELSE false END AS is_serve, CASE WHEN abs(y) <= 6.4 THEN 'short' WHEN abs(y) <= 9.1425 THEN 'mid' WHEN abs(y) <= 11.885 THEN 'deep' ELSE 'beyond' END AS depth_zone FROM l""")
+def court_landings(read):
+    found = landing.landings(bounces(read), flat_maps(read), "session")
+    return found.select("session", "event_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "hitter_end", "at_net", F.col("call.verdict").alias("verdict"), F.col("call.line").alias("line"), F.round("call.margin_m", 3).alias("margin_m"), "is_serve", "depth_zone")
+
+
+@query(f"""WITH {LANDINGS} SELECT session, count(*) AS count, count(*) FILTER (ruling = 'in') AS "in", count(*) FILTER (ruling = 'out') AS out, count(*) FILTER (ruling = 'too_close') AS too_close,
+count(*) FILTER (x < -4.115 / 3) AS "left", count(*) FILTER (x BETWEEN -4.115 / 3 AND 4.115 / 3) AS centre, count(*) FILTER (x > 4.115 / 3) AS "right", round(median(sy), 6) AS median_sigma_along FROM l GROUP BY session""")
+def landing_summary(read):
+    found = landing.summary(landing.landings(bounces(read), flat_maps(read), "session"), "session")
+    return found.drop(*(f"expected_{z}" for z in court.DEPTH_ZONES))
+
+
+@query(f"""WITH {LANDINGS}, n AS (SELECT session, frame, t, kind, lead(kind) OVER w AS nk, lead(t) OVER w AS nt, lead(frame) OVER w AS nf FROM c WHERE kind <> 'net' WINDOW w AS (PARTITION BY session ORDER BY t, frame))
+SELECT n.session, n.frame AS event_id, a.ground AS "end" FROM n JOIN l a ON a.frame = n.frame JOIN l b ON b.frame = n.nf WHERE n.kind = 'bounce' AND n.nk = 'bounce' AND a.ruling = 'out' AND a.ground <> b.ground AND n.nt - n.t <= 36000.0""")
+def played_on(read):
+    e = bounces(read)
+    return landing.played_on(e, landing.landings(e, flat_maps(read), "session"), "session", 36000.0)
+
+
+@query()
+def session_rallies(read):
+    e, found = landing.session_landings(bounces(read).withColumn("t", F.col("t") / 36000), flat_maps(read), "session")
+    f = swings(read).select("session", F.col("frame").alias("flight_id"), (F.col("t") / 36000).alias("t0"), (F.col("t") / 36000 + F.col("value") / 50).alias("t1"), F.when(F.col("k") < 50, "near").otherwise("far").alias("half"))
+    return rallies.segment(e, found, f, "session").withColumn("flags", F.array_join("flags", ","))
+
+
 # inference and evaluation -------------------------------------------------------------------------
 
 

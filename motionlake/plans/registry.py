@@ -148,7 +148,7 @@ def last_seen(read):
 
 
 @query("""WITH RECURSIVE a AS (SELECT session, list(t ORDER BY t) AS ts FROM (SELECT user_id AS session, epoch_us(ts) / 1e6 AS t FROM events) GROUP BY session),
-k AS (SELECT session, ts, ts[1] AS at FROM a UNION ALL SELECT session, ts, list_filter(ts, lambda x: x - at >= 86400.0)[1] FROM k WHERE list_filter(ts, lambda x: x - at >= 86400.0)[1] IS NOT NULL) SELECT session, round(at, 6) AS at FROM k""")
+k AS (SELECT session, ts, ts[1] AS held FROM a UNION ALL SELECT session, ts, list_filter(ts, lambda x: x - held >= 86400.0)[1] FROM k WHERE list_filter(ts, lambda x: x - held >= 86400.0)[1] IS NOT NULL) SELECT session, round(held, 6) AS "at" FROM k""")
 def throttle(read):
     return history.throttle(swings(read), "session", "t", 86400.0)
 
