@@ -47,7 +47,23 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path, by the file system that it is on."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the tables behind frames from ``cut`` that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_cut_path", None):
+            remove(df.sparkSession, path)
 
 
 def ordered(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import INTEGERS, cut, id_type, join_hot, numbered
+from .common import INTEGERS, cut, drop, id_type, join_hot, numbered
 from .components import connected_components
 from .textvec import SPACE_WORDS, mix, ngrams, slices, text_buffers, words
 
@@ -239,7 +239,7 @@ def near_duplicates(
     own = real.join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).select("id", "rep")
     several = own.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     ties = own.join(several, "id").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
-    links = cut(links.unionByName(ties))
+    confirmed, links = links, cut(links.unionByName(ties))
     comps = cut(connected_components(links))
 
     def placed(rows_: DataFrame) -> DataFrame:
@@ -258,7 +258,9 @@ def near_duplicates(
     extra = more[0] if len(more) == 1 else more[0].unionByName(more[1])
     extra = cut(extra.select(F.col("x").alias("u"), F.col("y").alias("v")))
     if not extra.isEmpty():
-        comps = cut(connected_components(links.unionByName(extra)))
+        first, comps = comps, cut(connected_components(links.unionByName(extra)))
+        drop(first)
+    drop(members, texts, confirmed, links, extra, crowded_ids)
     of_rep = classes.select("hi", "lo", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     of_rep = of_rep.select("hi", "lo", F.coalesce("component", "rep").alias("c"))
     joined = signs.select("id", "n", "hi", "lo").join(of_rep, ["hi", "lo"], "left")

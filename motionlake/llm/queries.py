@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .ann import search
-from .common import scratch, table
+from .common import remove, scratch, table
 from .decontamination import contaminated
 from .licenses import find_licenses
 from .minhash import near_duplicates
@@ -43,7 +43,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through WARC archives and back, with revisits of equal payloads."""
-    found = archived_pages(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    path = scratch(spark, "warc")
+    found = archived_pages(table(spark, sf_dir, "pages"), path)
+    remove(spark, path)  # what was read back is in a table of its own
     revisit = F.col("response.type") == "revisit"
     return found.select(
         F.col("metadata.fields")["page-id"][0].cast("long").alias("page_id"),
