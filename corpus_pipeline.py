@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionlake.llm import toxicity
-from motionlake.llm.common import cut, scratch, table
+from motionlake.llm.common import cut, remove, scratch, table
 from motionlake.llm.decontamination import contaminated
 from motionlake.llm.minhash import near_duplicates
 from motionlake.llm.queries import piece_model
@@ -71,10 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's table goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
