@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from motionlake import sources
 from motionlake.functions import normal_cdf, over
 from motionlake.operators import ball, calibration, court, evaluation, history, inference, landing, pose, rallies, segmentation, textguard
-from motionlake.plans.registry import C, E, W, contacts, query, swings
+from motionlake.plans.registry import C, E, W, contacts, normal_sql, query, swings
 
 
 def frames(read) -> DataFrame:
@@ -38,12 +38,21 @@ def pose_quality(read):
     return pose.quality(frames(read)).drop("usable")
 
 
-@query()
+_AT = lambda c, k: f"(embedding[{(2 * k + (c == 'y')) % 64 + 1}]::DOUBLE + {0.1 * (k % 3) if c == 'x' else 0.03 * k})"
+_MID = lambda c, pair: f"({_AT(c, pair[0])} + {_AT(c, pair[1])}) / 2"
+_BODY = f"""b AS (SELECT vec_id // 40 AS seq_id, vec_id % 40 AS frame, ({_VIS}) / 12 >= 0.5 AS valid, {_MID('x', pose.HIPS)} AS ox, -({_MID('y', pose.HIPS)}) AS oy,
+sqrt(power({_MID('x', pose.SHOULDERS)} - {_MID('x', pose.HIPS)}, 2) + power({_MID('y', pose.SHOULDERS)} - {_MID('y', pose.HIPS)}, 2)) AS torso FROM embeddings),
+sc AS (SELECT seq_id, coalesce(median(torso) FILTER (valid AND torso > 0), median(torso) FILTER (torso > 0), 0) AS scale FROM b GROUP BY seq_id)"""
+
+
+@query(f"WITH {_BODY} SELECT seq_id, round(scale, 6) AS scale FROM sc")
 def torso_scale(read):
     return pose.torso_scale(frames(read))
 
 
-@query()
+@query(f"""WITH {_BODY}, v AS (SELECT b.*, scale FROM b JOIN sc USING (seq_id) WHERE valid), u AS (SELECT seq_id, coalesce(sqrt(power(ox - lag(ox) OVER w, 2) + power(oy - lag(oy) OVER w, 2)) / nullif(scale, 0) > 0.25, false)
+OR coalesce(abs(torso - lag(torso) OVER w) / nullif(lag(torso) OVER w, 0) > 0.35, false) AS u FROM v WINDOW w AS (PARTITION BY seq_id ORDER BY frame)), g AS (SELECT seq_id, bool_or(u) AS u FROM u GROUP BY seq_id)
+SELECT s.seq_id, coalesce(u, false) AS unstable FROM (SELECT DISTINCT seq_id FROM b) s LEFT JOIN g USING (seq_id)""")
 def identity_unstable(read):
     return pose.identity_unstable(frames(read))
 
@@ -205,7 +214,8 @@ def ball_speed(read):
     return ball.ball_speed(s.select("session", "t", F.col("value").alias("x"), F.col("k").alias("y")), ctx, "session", "t")
 
 
-@query()
+@query(f"""WITH {E}, d AS (SELECT session, k::INT - 50 AS d FROM e), m AS (SELECT session, list(d ORDER BY d)[(count(*) + 1) // 2] AS m FROM d GROUP BY session),
+a AS (SELECT session, list(abs(d - m) ORDER BY abs(d - m))[(count(*) + 1) // 2] AS m FROM d JOIN m USING (session) GROUP BY session) SELECT session, greatest(8, ceil(4.0 * m))::INT AS threshold FROM a""")
 def mad_threshold(read):
     return ball.mad_threshold(swings(read).withColumn("d", F.col("k").cast("int") - 50), "session", "d")
 
@@ -263,7 +273,7 @@ def calibrate_court(read):
     return calibration.calibrate(rows, "vec_id").select("vec_id", "ok", "reason", "rms_px", "taps")
 
 
-@query()
+@query(f"WITH {C}, z AS (SELECT session, frame, (11.885 - k / 7) / (value / 100) AS z FROM c) SELECT session, frame, round({normal_sql('z')}, 6) AS p FROM z")
 def in_court_probability(read):
     return contacts(read).select("session", "frame", normal_cdf((F.lit(court.HALF_LENGTH) - F.col("k") / 7) / (F.col("value") / 100)).alias("p"))
 
@@ -401,7 +411,8 @@ def percents_and_labels(read):
     return read("orders").where("o_orderkey % 11 <> 0").select("o_orderkey", textguard.percent(k % 7, k % 11).alias("p"), plural(k % 7, "swing").alias("label"))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 1 HOUR)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g) SELECT user_id, run::INT AS run, count(*) AS n FROM r GROUP BY user_id, run""")
 def point_windows(read):
     """Runs of point events by Spark's own session windows: an hour of quiet ends one."""
     e = read("events")

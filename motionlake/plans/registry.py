@@ -373,7 +373,12 @@ def shot_mix_slices(read):
     return dashboard.mix_slices(swings(read), "session", "kind", 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, t AS (SELECT session, kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY session) AS total FROM e GROUP BY session, kind),
+g AS (SELECT session, n, count(*) AS ties, any_value(100 * n // total) AS fl, any_value((100 * n) % total) AS rest FROM t GROUP BY session, n),
+o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY rest DESC, n DESC) AS rn, 100 - sum(fl * ties) OVER (PARTITION BY session) AS free FROM g),
+r AS (SELECT session, rn, n, (ties <= free AND rest > 0)::INT AS won, free - CASE WHEN ties <= free AND rest > 0 THEN ties ELSE 0 END AS free FROM o WHERE rn = 1
+UNION ALL SELECT o.session, o.rn, o.n, (o.ties <= r.free AND o.rest > 0)::INT, r.free - CASE WHEN o.ties <= r.free AND o.rest > 0 THEN o.ties ELSE 0 END FROM r JOIN o ON o.session = r.session AND o.rn = r.rn + 1)
+SELECT t.session, t.kind, (100 * t.n // total + won)::BIGINT AS percent FROM t JOIN r ON r.session = t.session AND r.n = t.n""")
 def whole_percents(read):
     return dashboard.whole_percents(swings(read).groupBy("session", "kind").agg(F.count(F.lit(1)).alias("n")), "session", "kind", "n")
 
@@ -487,7 +492,17 @@ def shot_map(read):
     return court.shot_map(c, "session", "depth", zones)
 
 
-@query()
+def normal_sql(z: str) -> str:
+    """The normal distribution function in SQL: Abramowitz and Stegun 26.2.17, as the operator has it."""
+    t = f"(1.0::DOUBLE / (1.0 + 0.2316419 * abs({z})))"
+    poly = f"{t} * (0.319381530::DOUBLE + {t} * (-0.356563782::DOUBLE + {t} * (1.781477937::DOUBLE + {t} * (-1.821255978::DOUBLE + {t} * 1.330274429::DOUBLE))))"
+    return f"CASE WHEN {z} >= 0 THEN 1.0 - 0.3989422804014327::DOUBLE * exp(-{z} * {z} / 2.0) * {poly} ELSE 0.3989422804014327::DOUBLE * exp(-{z} * {z} / 2.0) * {poly} END"
+
+
+_BELOW = ", ".join(f"CASE WHEN s > 0 THEN {normal_sql(f'((({c} - d) / s)::DOUBLE)')} ELSE (d <= {c})::INT END AS b{j}" for j, c in enumerate((6.4, 9.1425, 11.885)))
+
+
+@query(f"WITH {C}, p AS (SELECT session, frame, k / 7 AS d, value / 100 AS s FROM c), b AS (SELECT session, frame, {_BELOW} FROM p) SELECT session, frame, round(b0, 6) AS short, round(b1 - b0, 6) AS mid, round(b2 - b1, 6) AS deep, round(1.0 - b2, 6) AS beyond FROM b")
 def depth_probabilities(read):
     p = court.depth_probabilities(F.col("k") / 7, F.col("value") / 100)
     return contacts(read).select("session", "frame", *(v.alias(k) for k, v in p.items()))
