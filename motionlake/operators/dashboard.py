@@ -143,3 +143,115 @@ def short_date(ts) -> Column:
 def seen_so_far(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Adds ``n_so_far``: measured rows up to the current one."""
     return df.withColumn("n_so_far", F.count(value).over(running(key, order)))
+
+
+def score_axis(values: Column, least_span: float = 20.0) -> Column:
+    """(min, max, step) of an axis from 0 to 100 for an array of scores: whole tens around them.
+
+    It grows downwards, then upwards, by ten until it spans ``least_span`` or everything; an empty
+    array has the whole scale in quarters.
+    """
+    shown = F.filter(values, lambda v: v.isNotNull())
+    lo = (F.floor(F.array_min(shown) / 10) * 10).cast("double")
+    hi = (F.ceil(F.array_max(shown) / 10) * 10).cast("double")
+    start = F.struct(lo.alias("lo"), (hi + F.when(hi == lo, 10.0).otherwise(0.0)).alias("hi"))
+
+    def grow(s, _):
+        short = (s["hi"] - s["lo"] < least_span) & ((s["lo"] > 0) | (s["hi"] < 100))
+        lower = F.when(short & (s["lo"] > 0), s["lo"] - 10.0).otherwise(s["lo"])
+        higher = F.when(short & (s["hi"] - lower < least_span) & (s["hi"] < 100), s["hi"] + 10.0).otherwise(s["hi"])
+        return F.struct(lower.alias("lo"), higher.alias("hi"))
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, grow)
+    low, high = (F.least(F.greatest(end[c], F.lit(0.0)), F.lit(100.0)) for c in ("lo", "hi"))
+    axis = F.struct(low.alias("min"), high.alias("max"), F.when(high - low > 40, 20.0).otherwise(10.0).alias("step"))
+    return F.when(F.size(shown) > 0, axis).otherwise(F.struct(F.lit(0.0).alias("min"), F.lit(100.0).alias("max"), F.lit(25.0).alias("step")))
+
+
+def version_at(versions: Column, index: Column) -> Column:
+    """The version of a place in an array, null beyond it."""
+    return F.get(versions, index)
+
+
+def band_side(value: Column, low: Column, high: Column) -> Column:
+    """-1 below a band, 1 above it, else 0."""
+    return F.when(F.coalesce(value < low, F.lit(False)), -1).when(F.coalesce(value > high, F.lit(False)), 1).otherwise(0)
+
+
+def shown_value(value: Column, low: Column, high: Column, decimals: Column) -> Column:
+    """A value with the fewest decimals, from ``decimals`` up to two, that leave it on its side of the band."""
+    side = band_side(value, low, high)
+    text = F.format_string("%.2f", value)
+    for d in (2, 1, 0):
+        rounded = F.round(value, d)
+        text = F.when((decimals <= d) & (band_side(rounded, low, high) == side), F.format_string(f"%.{d}f", rounded)).otherwise(text)
+    return text
+
+
+def shown_bound(value: Column) -> Column:
+    """A bound of a band: whole where it is whole, else with one decimal."""
+    return F.when(value == F.round(value), F.format_string("%.0f", value)).otherwise(F.format_string("%.1f", F.round(value, 1)))
+
+
+def far_outside(value: Column, low: Column, high: Column, widths: float = 1.0) -> Column:
+    """Whether a value is outside its band by ``widths`` times the band's width at least."""
+    outside = F.when(value < low, low - value).when(value > high, value - high).otherwise(0.0)
+    return F.coalesce((high > low) & (outside >= (high - low) * widths), F.lit(False))
+
+
+def advice(metrics: DataFrame, rules: DataFrame, unscored: tuple[str, ...] = (), widths: float = 1.0) -> DataFrame:
+    """Adds ``advice`` and ``is_praise`` to rows metric, value, low, high, verdict; null where nothing is to be said.
+
+    ``rules`` has for each metric the sentences below_near, below_far, in_range, above_near, above_far.  The
+    path's angle has two rules, the second under ``swing_path_angle_deg:slice`` for bands that are not above flat;
+    across flat there is none, nor for a path beyond a right angle, whose way is not known.
+    """
+    path = F.col("metric") == "swing_path_angle_deg"
+    flat = path & (F.col("low").isNull() | F.col("high").isNull() | ((F.col("low") < 0) & (F.col("high") > 0)))
+    key = F.when(flat, F.lit(None)).when(path & (F.col("low") < 0), "swing_path_angle_deg:slice").otherwise(F.col("metric"))
+    said = ("below_near", "below_far", "in_range", "above_near", "above_far")
+    d = metrics.withColumn("__rule", key).join(rules.select(F.col("metric").alias("__rule"), *(F.col(c).alias(f"__{c}") for c in said)), "__rule", "left")
+    far = far_outside(F.col("value"), F.col("low"), F.col("high"), widths)
+    lost = path & (F.abs("value") > 90)
+    text = (
+        F.when(F.col("value").isNull() | F.col("metric").isin(*unscored), F.lit(None).cast("string"))
+        .when(F.col("verdict") == "ideal", F.col("__in_range"))
+        .when(lost, F.lit(None))
+        .when(F.col("verdict") == "low", F.when(far, F.col("__below_far")).otherwise(F.col("__below_near")))
+        .when(F.col("verdict") == "high", F.when(far, F.col("__above_far")).otherwise(F.col("__above_near")))
+    )
+    return d.withColumn("advice", text).withColumn("is_praise", F.col("verdict") == "ideal").drop("__rule", *(f"__{c}" for c in said))
+
+
+def advice_bullets(advised: DataFrame, key: str, rank: str, most_praise: int, most_fixes: int | None = None) -> DataFrame:
+    """(key, place, metric, advice, is_praise): what to change first, in the order of ``rank``, then what is good."""
+    own = F.row_number().over(over([key, "is_praise"], rank))
+    most = F.when(F.col("is_praise"), F.lit(most_praise)).otherwise(F.lit(most_fixes if most_fixes is not None else 1 << 30))
+    d = advised.where(F.col("advice").isNotNull()).withColumn("__n", own).where(F.col("__n") <= most)
+    place = F.row_number().over(over(key, F.col("is_praise").cast("int"), "__n"))
+    return d.select(key, place.alias("place"), "metric", "advice", "is_praise")
+
+
+def skill_profile(categories: DataFrame, key: str, shot: str, previous: DataFrame) -> DataFrame:
+    """(key, category, current, previous): an axis for each category of an analysis, over that of a previous one.
+
+    ``categories`` and ``previous`` have rows key, shot, category, score; ``previous`` names under the key the
+    other analysis' scores.  It counts if it is of the same shot and has three scores at least on these axes.
+    """
+    before = previous.select(key, F.col(shot).alias("__shot"), "category", F.col("score").alias("previous"))
+    d = categories.join(before, [key, "category"], "left").withColumn("previous", F.when(F.col("__shot") == F.col(shot), F.col("previous")))
+    drawn = F.count("previous").over(whole(key)) >= 3
+    return d.select(key, "category", F.col("score").alias("current"), F.when(drawn, F.col("previous")).alias("previous"))
+
+
+def insights(sessions: DataFrame, user: str, shot: str, at: str, version: str, score: str, speed: str) -> DataFrame:
+    """(user, shot, sessions, versions, score_points, speed_points, dates, comparable): the series of each shot, oldest first.
+
+    ``comparable`` counts the sessions of the newest one's version, the only ones that categories are compared over.
+    """
+    d = sessions.groupBy(user, shot).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(version).alias("v"), F.col(score).alias("s"), F.col(speed).alias("m")))).alias("r"))
+    newest = F.element_at("r", -1)["v"]
+    return d.select(
+        user, shot, F.size("r").alias("sessions"), F.col("r.v").alias("versions"), F.col("r.s").alias("score_points"), F.col("r.m").alias("speed_points"), F.col("r.at").alias("dates"),
+        F.size(F.filter("r", lambda x: x["v"].eqNullSafe(newest))).alias("comparable"),
+    )

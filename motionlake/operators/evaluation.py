@@ -64,3 +64,40 @@ def length_scores(df: DataFrame) -> DataFrame:
 
 def median_error(df: DataFrame) -> DataFrame:
     return df.agg(F.median(F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))).alias("median_error"))
+
+
+def label_match(labels: DataFrame, candidates: DataFrame, frames: DataFrame, key: str, frame: str, scale: float, tolerance_px: float = 3.0) -> DataFrame:
+    """(key, total, matched): visible labels (u, v) on evaluated frames, and those with a candidate (x, y) near enough.
+
+    Distances are in the labels' pixels, of which a candidate's are ``scale`` each.
+    """
+    seen = labels.where("visible").join(frames.select(key, frame).distinct(), [key, frame]).withColumn("__label", F.monotonically_increasing_id())
+    far = F.hypot(F.col("x") / scale - F.col("u"), F.col("y") / scale - F.col("v"))
+    near = seen.join(candidates.select(key, frame, "x", "y"), [key, frame], "left").groupBy(key, frame, "u", "v", "__label").agg(F.min(far).alias("far"))
+    return near.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("far") <= tolerance_px).alias("matched"))
+
+
+def count_summary(per_frame: DataFrame, key: str, count: str) -> DataFrame:
+    """(key, frames_evaluated, total, mean, median, p95, max) of counts of each evaluated frame."""
+    c = F.col(count)
+    return per_frame.groupBy(key).agg(
+        F.count(c).alias("frames_evaluated"), F.coalesce(F.sum(c), F.lit(0)).alias("total"), F.round(F.coalesce(F.avg(c), F.lit(0.0)), 3).alias("mean"),
+        F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias("median"), F.coalesce(F.percentile(c, 0.95), F.lit(0.0)).alias("p95"), F.coalesce(F.max(c), F.lit(0)).alias("max"),
+    )
+
+
+def summarize(clips: DataFrame, game: str, gross_m: float = 3.0) -> DataFrame:
+    """(game, clips, recalls and precisions of bounces and hits, median_error, gross, errors): of each game and, under null, of all.
+
+    ``clips``: truth_, found_ and matched_ bounces and hits, errors (array).  Errors from ``gross_m`` on are counted, not averaged.
+    """
+    share = lambda a, b: F.round(F.sum(a) / F.greatest(F.sum(b), F.lit(1)), 2)
+    every = F.flatten(F.collect_list("errors"))
+    fine = F.array_sort(F.filter("__e", lambda e: e < gross_m))
+    n = F.size(fine)
+    middle = (F.get(fine, F.floor((n - 1) / 2).cast("int")) + F.get(fine, F.floor(n / 2).cast("int"))) / 2
+    d = clips.rollup(game).agg(
+        F.count(F.lit(1)).alias("clips"), share("matched_bounces", "truth_bounces").alias("bounce_recall"), share("matched_bounces", "found_bounces").alias("bounce_precision"),
+        share("matched_hits", "truth_hits").alias("hit_recall"), share("matched_hits", "found_hits").alias("hit_precision"), every.alias("__e"),
+    )
+    return d.withColumn("median_error", F.when(n > 0, F.round(middle, 2))).withColumn("gross", F.size(F.filter("__e", lambda e: e >= gross_m))).withColumn("errors", F.size("__e")).drop("__e")

@@ -117,3 +117,18 @@ def json_median(df: DataFrame, payload: str, path: str, divisor: str) -> DataFra
     number = lambda p: F.get_json_object(F.col(payload), p).cast("double")
     v = number(path) / F.nullif(number(divisor), F.lit(0.0))
     return df.agg(F.median(v).alias("median"), F.count(v).alias("n"))
+
+
+def own_row(df: DataFrame, row_id: str, user: str, wanted, who) -> DataFrame:
+    """The row of an id, if it is the user's; at most one."""
+    return df.where((F.col(row_id) == wanted) & (F.col(user) == who)).limit(1)
+
+
+def count_by_status(jobs: DataFrame, status: str, statuses: tuple[str, ...]) -> DataFrame:
+    """(n): how many jobs have one of the statuses; what a queue's depth and its admission check read."""
+    return jobs.where(F.col(status).isin(*statuses)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def range_total(header: Column) -> Column:
+    """The total in a range header such as 0-0/12; null where it has none."""
+    return F.regexp_extract(header, r"^[^/]*/\s*([+-]?\d+)\s*$", 1).try_cast("long")

@@ -126,3 +126,24 @@ def priorities(scored: DataFrame, key: str, most: int = 3) -> DataFrame:
 def coachable(scored: DataFrame, excluded: DataFrame) -> DataFrame:
     """Scores without those of excluded metrics."""
     return scored.join(excluded, "metric", "left_anti")
+
+
+def metric_names_for(bands: DataFrame, kind: str, shot, category) -> DataFrame:
+    """(metric) of a category that a kind of shot is scored by, in the order of ``place`` where the bands have one."""
+    own = bands.where((F.col(kind) == shot) & (F.col("category") == category))
+    return own.orderBy("place" if "place" in bands.columns else "metric").select("metric")
+
+
+def flagged(metric: Column, names: tuple[str, ...]) -> Column:
+    """Whether a metric is one of those, such as the view-sensitive ones."""
+    return F.coalesce(metric.isin(*names), F.lit(False)) if names else F.lit(False)
+
+
+def is_unscored_warning(warning: Column, flags: tuple[str, ...]) -> Column:
+    """Whether a warning, up to its colon, is about a metric that is never scored."""
+    return flagged(F.trim(F.substring_index(warning, ":", 1)), flags)
+
+
+def reference_ranges(bands: DataFrame, kind: str, shot) -> DataFrame:
+    """(metric, ideal_min, ideal_max, unit) that a shot's values are held against."""
+    return bands.where(F.col(kind) == shot).select("metric", "ideal_min", "ideal_max", *(c for c in ("unit",) if c in bands.columns))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motionlake import sources
 from motionlake.functions import normal_cdf, over
-from motionlake.operators import ball, calibration, court, evaluation, history, inference, landing, pose, rallies, segmentation, textguard
+from motionlake.operators import ball, calibration, court, dashboard, evaluation, history, inference, landing, pose, rallies, segmentation, textguard
 from motionlake.plans.registry import C, E, W, contacts, normal_sql, query, swings
 
 
@@ -418,3 +418,71 @@ def point_windows(read):
     e = read("events")
     s = e.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "1 hour")).agg(F.count(F.lit(1)).alias("n"))
     return s.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("session_window.start")).alias("run"), "n")
+
+
+# composition of dashboards, advice and evaluation ---------------------------------------------------
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderstatus IN ('O', 'P')")
+def active_jobs(read):
+    return history.count_by_status(read("orders"), "o_orderstatus", ("O", "P"))
+
+
+@query(f"""WITH RECURSIVE {E}, g AS (SELECT session, kind, floor(k / 25)::INT AS band, min(k) AS mn, max(k) AS mx FROM e GROUP BY ALL), s AS (SELECT session, kind, band, floor(mn / 10) * 10 AS lo, ceil(mx / 10) * 10 AS h0 FROM g),
+r AS (SELECT session, kind, band, lo, CASE WHEN h0 = lo THEN h0 + 10 ELSE h0 END AS hi, 0 AS n FROM s UNION ALL
+SELECT session, kind, band, l2, CASE WHEN (hi - lo < 20 AND (lo > 0 OR hi < 100)) AND hi - l2 < 20 AND hi < 100 THEN hi + 10 ELSE hi END, n + 1 FROM (SELECT *, CASE WHEN hi - lo < 20 AND lo > 0 THEN lo - 10 ELSE lo END AS l2 FROM r WHERE n < 20))
+SELECT session, kind, band, greatest(lo, 0) AS min, least(hi, 100) AS max, CASE WHEN least(hi, 100) - greatest(lo, 0) > 40 THEN 20.0 ELSE 10.0 END::DOUBLE AS step FROM r WHERE n = 20""")
+def score_axis(read):
+    g = swings(read).groupBy("session", "kind", F.floor(F.col("k") / 25).cast("int").alias("band")).agg(F.collect_list("k").alias("v"))
+    return g.select("session", "kind", "band", dashboard.score_axis(F.col("v")).alias("a")).select("session", "kind", "band", "a.*")
+
+
+_SIDE = lambda x: f"CASE WHEN {x} < 20.0 THEN -1 WHEN {x} > 34.5 THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {E} SELECT session, frame, CASE WHEN {_SIDE('round(value, 0)')} = {_SIDE('value')} THEN printf('%.0f', round(value, 0)) WHEN {_SIDE('round(value, 1)')} = {_SIDE('value')} THEN printf('%.1f', round(value, 1)) ELSE printf('%.2f', round(value, 2)) END AS shown,
+coalesce(CASE WHEN value < 20.0 THEN 20.0 - value WHEN value > 34.5 THEN value - 34.5 ELSE 0 END >= 14.5, false) AS far, CASE WHEN k = round(k) THEN printf('%.0f', k) ELSE printf('%.1f', round(k, 1)) END AS bound FROM e""")
+def shown_values(read):
+    low, high = F.lit(20.0), F.lit(34.5)
+    return swings(read).select("session", "frame", dashboard.shown_value(F.round("value", 2), low, high, F.lit(0)).alias("shown"), dashboard.far_outside(F.col("value"), low, high).alias("far"), dashboard.shown_bound(F.col("k")).alias("bound"))
+
+
+RULES = [("clean", "near below", "far below", "good", "near above", "far above"), ("swing_path_angle_deg", "lift a little", "lift more", "good path", "flatten a little", "flatten more"), ("swing_path_angle_deg:slice", "less down", "much less down", "good slice", "more down", "much more down")]
+
+
+@query(f"""WITH {E}, m AS (SELECT session, frame, CASE kind WHEN 'click' THEN 'clean' WHEN 'view' THEN 'swing_path_angle_deg' WHEN 'error' THEN 'odd' ELSE 'hidden' END AS metric, value * 2 AS value, CASE WHEN frame % 3 = 0 THEN -40.0 WHEN frame % 3 = 1 THEN 10.0 ELSE -5.0 END AS low, CASE WHEN frame % 3 = 0 THEN -2.0 WHEN frame % 3 = 1 THEN 30.0 ELSE 25.0 END AS high FROM e),
+v AS (SELECT *, CASE WHEN value < low THEN 'low' WHEN value > high THEN 'high' ELSE 'ideal' END AS verdict, CASE WHEN value < low THEN low - value WHEN value > high THEN value - high ELSE 0 END >= high - low AS far, metric = 'swing_path_angle_deg' AS path FROM m)
+SELECT session, frame, CASE WHEN metric NOT IN ('clean', 'swing_path_angle_deg') OR (path AND low < 0 AND high > 0) THEN NULL WHEN verdict = 'ideal' THEN CASE WHEN NOT path THEN 'good' WHEN low < 0 THEN 'good slice' ELSE 'good path' END WHEN path AND abs(value) > 90 THEN NULL
+WHEN verdict = 'low' THEN CASE WHEN NOT path THEN CASE WHEN far THEN 'far below' ELSE 'near below' END WHEN low < 0 THEN CASE WHEN far THEN 'much less down' ELSE 'less down' END ELSE CASE WHEN far THEN 'lift more' ELSE 'lift a little' END END
+ELSE CASE WHEN NOT path THEN CASE WHEN far THEN 'far above' ELSE 'near above' END WHEN low < 0 THEN CASE WHEN far THEN 'much more down' ELSE 'more down' END ELSE CASE WHEN far THEN 'flatten more' ELSE 'flatten a little' END END END AS advice, verdict = 'ideal' AS is_praise FROM v""")
+def swing_advice(read):
+    s = swings(read)
+    rest = F.col("frame") % 3
+    d = s.select("session", "frame", F.when(F.col("kind") == "click", "clean").when(F.col("kind") == "view", "swing_path_angle_deg").when(F.col("kind") == "error", "odd").otherwise("hidden").alias("metric"), (F.col("value") * 2).alias("value"), F.when(rest == 0, -40.0).when(rest == 1, 10.0).otherwise(-5.0).alias("low"), F.when(rest == 0, -2.0).when(rest == 1, 30.0).otherwise(25.0).alias("high"))
+    d = d.withColumn("verdict", F.when(F.col("value") < F.col("low"), "low").when(F.col("value") > F.col("high"), "high").otherwise("ideal"))
+    rules = s.sparkSession.createDataFrame(RULES, "metric string, below_near string, below_far string, in_range string, above_near string, above_far string")
+    return dashboard.advice(d, rules, ("hidden",)).select("session", "frame", "advice", "is_praise")
+
+
+@query(f"""WITH {E}, l AS (SELECT kind, session, frame, value AS u, k AS v FROM e WHERE k > 20 AND session IN (SELECT session FROM e WHERE value > 90)), d AS (SELECT l.kind, l.frame, min(sqrt(power(c.t % 97 / 1.5 - u, 2) + power(c.k / 1.5 - v, 2))) AS far FROM l JOIN e c ON c.kind = l.kind AND c.session = l.session GROUP BY l.kind, l.frame)
+SELECT kind, count(*) AS total, count(*) FILTER (far <= 12) AS matched FROM d GROUP BY kind""")
+def label_match(read):
+    s = swings(read)
+    labels = s.select("kind", F.col("session").alias("f"), F.col("value").alias("u"), F.col("k").alias("v"), (F.col("k") > 20).alias("visible"))
+    frames_ = s.where("value > 90").select(F.col("session").alias("f")).distinct().crossJoin(s.select("kind").distinct())
+    return evaluation.label_match(labels, s.select("kind", F.col("session").alias("f"), (F.col("t") % 97).alias("x"), F.col("k").alias("y")), frames_, "kind", "f", 1.5, 12.0)
+
+
+@query(f"""WITH {E}, c AS (SELECT kind, session, count(*) AS n FROM e GROUP BY ALL) SELECT kind, count(*) AS frames_evaluated, sum(n)::BIGINT AS total, round(avg(n), 3) AS mean, quantile_cont(n, 0.5) AS median, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS max FROM c GROUP BY kind""")
+def candidate_counts(read):
+    return evaluation.count_summary(swings(read).groupBy("kind", "session").agg(F.count(F.lit(1)).alias("n")), "kind", "n")
+
+
+@query(f"""WITH {E}, c AS (SELECT session, session % 5 AS game, count(*) FILTER (kind = 'click') AS a, count(*) FILTER (kind = 'view') AS b, count(*) FILTER (kind = 'error') AS x, count(*) FILTER (kind = 'purchase') AS y, list(value / 20) AS er FROM e GROUP BY session), f AS (SELECT *, unnest(er) AS er1 FROM c),
+g AS (SELECT game, count(*) AS clips, round(sum(least(a, b)) / greatest(sum(a), 1)::DOUBLE, 2) AS bounce_recall, round(sum(least(a, b)) / greatest(sum(b), 1)::DOUBLE, 2) AS bounce_precision, round(sum(least(x, y)) / greatest(sum(x), 1)::DOUBLE, 2) AS hit_recall, round(sum(least(x, y)) / greatest(sum(y), 1)::DOUBLE, 2) AS hit_precision FROM c GROUP BY ROLLUP (game)),
+h AS (SELECT game, round(median(er1) FILTER (er1 < 3), 2) AS median_error, count(*) FILTER (er1 >= 3)::INT AS gross, count(*)::INT AS errors FROM f GROUP BY ROLLUP (game)) SELECT g.*, median_error, gross, errors FROM g JOIN h ON g.game IS NOT DISTINCT FROM h.game""")
+def clip_summary(read):
+    n = lambda k: F.count_if(F.col("kind") == k)
+    clips = swings(read).groupBy("session").agg(n("click").alias("truth_bounces"), n("view").alias("found_bounces"), n("error").alias("truth_hits"), n("purchase").alias("found_hits"), F.collect_list(F.col("value") / 20).alias("errors"))
+    clips = clips.withColumn("matched_bounces", F.least("truth_bounces", "found_bounces")).withColumn("matched_hits", F.least("truth_hits", "found_hits")).withColumn("game", F.col("session") % 5)
+    return evaluation.summarize(clips, "game")
