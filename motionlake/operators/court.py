@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motionlake.functions import normal_cdf, over, ratio
@@ -11,7 +11,9 @@ from motionlake.functions import normal_cdf, over, ratio
 SERVICE_LINE, HALF_LENGTH, SINGLES_HALF, DOUBLES_HALF, CENTRE_HALF = 6.40, 11.885, 4.115, 5.485, 0.025
 DEEP_EDGE = (SERVICE_LINE + HALF_LENGTH) / 2
 CALL_Z, PATCH_M = 1.96, 0.02
-STABLE_P95, SHAKY_P95, MIN_FEATURES = 0.001, 0.003, 30.0
+STABLE_P95, SHAKY_P95, MIN_FEATURES, MIN_SAMPLES = 0.001, 0.003, 30.0, 2
+#: Fixed values of a bump: shares of the frame's long side, and seconds.
+BUMP, SETTLE, BUMP_S, SETTLE_IN_S, TICK_S = 0.002, 0.001, 1.0, 1.0, 0.05
 DEPTH_ZONES, WIDTH_ZONES, VERDICTS = ("short", "mid", "deep", "beyond"), ("left", "centre", "right"), ("in", "out", "too_close")
 
 
@@ -106,12 +108,47 @@ def filter_landings(landings: DataFrame, **wanted) -> DataFrame:
     return landings
 
 
-def camera_stability(samples: DataFrame, key: str, dx: str, dy: str, features: str, long_edge: float) -> DataFrame:
-    """(key, samples, p95_fraction, rms, verdict): how far the camera moved for 95 % of the samples."""
-    size = F.hypot(F.col(dx), F.col(dy))
-    out = samples.groupBy(key).agg(F.count(size).alias("samples"), (F.percentile(size, 0.95) / long_edge).alias("p95_fraction"), F.sqrt(F.avg(size * size)).alias("rms"), F.median(features).alias("features"))
-    verdict = F.when((F.col("samples") < 2) | (F.col("features") < MIN_FEATURES), "unknown").when(F.col("p95_fraction") <= STABLE_P95, "stable").when(F.col("p95_fraction") <= SHAKY_P95, "usable").otherwise("shaky")
-    return out.select(key, "samples", "p95_fraction", "rms", verdict.alias("verdict"))
+def bumps(samples: DataFrame, key: str, time: str, dx: str, dy: str, long_edge: float) -> DataFrame:
+    """(key, bumped_at): when the camera was first moved for good.
+
+    An excursion is a run of samples at least BUMP of the frame's long side away from the first one, for
+    BUMP_S seconds or more.  It counts if it settles: within SETTLE_IN_S of its start a window of BUMP_S
+    begins in which no sample is further than SETTLE from the window's median.
+    """
+    far = F.hypot(F.col(dx), F.col(dy)) >= BUMP * long_edge
+    w = over(key, time)
+    d = samples.select(key, time, dx, dy, far.alias("far"), F.round(F.col(time) * 1e6).cast("long").alias("__us"))
+    fresh = (F.col("far") != F.lag("far").over(w)).cast("int")
+    d = d.withColumn("run", F.coalesce(F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).where("far")
+    island = Window.partitionBy(key, "run")
+    second = island.orderBy("__us").rangeBetween(0, round(1e6 * (BUMP_S + TICK_S)))
+    middle = lambda a: (lambda s, n: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)(F.array_sort(a), F.size(a))
+    d = d.withColumn("start", F.min(time).over(island)).withColumn("end", F.max(time).over(island)).withColumn("last", F.max(time).over(second))
+    d = d.withColumn("xs", F.collect_list(dx).over(second)).withColumn("ys", F.collect_list(dy).over(second))
+    d = d.withColumn("mx", middle(F.col("xs"))).withColumn("my", middle(F.col("ys")))
+    spread = F.array_max(F.zip_with("xs", "ys", lambda x, y: F.hypot(x - F.col("mx"), y - F.col("my"))))
+    settled = (F.col("last") - F.col(time) >= BUMP_S - TICK_S) & (F.col(time) <= F.col("start") + SETTLE_IN_S + TICK_S) & (spread <= SETTLE * long_edge)
+    return d.where((F.col("end") - F.col("start") >= BUMP_S - TICK_S) & settled).groupBy(key).agg(F.min("start").alias("bumped_at"))
+
+
+def camera_stability(samples: DataFrame, key: str, time: str, dx: str, dy: str, features: str, long_edge: float) -> DataFrame:
+    """(key, samples, verdict, p95_fraction, rms, bumped_at): how far the camera moved for 95 % of the samples before a bump.
+
+    Samples whose shift or time is not finite count for the number of samples and the median of features
+    alone.  With too few features or samples, or a bump right at the start, nothing is known.
+    """
+    ok = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    good = samples.where(ok(F.col(time).cast("double")) & ok(F.col(dx)) & ok(F.col(dy)))
+    base = samples.groupBy(key).agg(F.count(F.lit(1)).alias("samples"), F.median(features).alias("features"))
+    d = good.join(bumps(good, key, time, dx, dy, long_edge), key, "left")
+    size, before = F.hypot(F.col(dx), F.col(dy)), F.col("bumped_at").isNull() | (F.col(time) < F.col("bumped_at"))
+    kept = F.when(before, size)
+    per = d.groupBy(key).agg((F.percentile(kept, 0.95) / long_edge).alias("p"), F.sqrt(F.avg(kept * kept)).alias("r"), F.count(kept).alias("n"), F.max("bumped_at").alias("at"))
+    j = base.join(per, key, "left")
+    known = (F.col("features") >= MIN_FEATURES) & (F.coalesce("n", F.lit(0)) >= MIN_SAMPLES)
+    verdict = F.when(F.col("p") <= STABLE_P95, "stable").when(F.col("p") <= SHAKY_P95, "shaky").otherwise("moving")
+    only = lambda c, v: F.when(known, v).alias(c)
+    return j.select(key, "samples", F.when(known, verdict).otherwise("unknown").alias("verdict"), only("p95_fraction", F.col("p")), only("rms", F.col("r")), only("bumped_at", F.col("at")))
 
 
 def sampler(df: DataFrame, key: str, time: str, interval: float, row_id: str) -> DataFrame:

@@ -509,10 +509,10 @@ def depth_probabilities(read):
 
 
 @query(f"""WITH {C}, m AS (SELECT session, sqrt(power(value / 100, 2) + power(k / 100, 2)) AS s, k FROM c), g AS (SELECT session, count(*) AS samples, quantile_cont(s, 0.95) / 1280.0 AS p, sqrt(avg(s * s)) AS rms, median(k) AS f FROM m GROUP BY session)
-SELECT session, samples, round(p, 6) AS p95_fraction, round(rms, 6) AS rms, CASE WHEN samples < 2 OR f < 30 THEN 'unknown' WHEN p <= 0.001 THEN 'stable' WHEN p <= 0.003 THEN 'usable' ELSE 'shaky' END AS verdict FROM g""")
+SELECT session, samples, CASE WHEN samples < 2 OR f < 30 THEN 'unknown' WHEN p <= 0.001 THEN 'stable' WHEN p <= 0.003 THEN 'shaky' ELSE 'moving' END AS verdict, CASE WHEN samples >= 2 AND f >= 30 THEN round(p, 6) END AS p95_fraction, CASE WHEN samples >= 2 AND f >= 30 THEN round(rms, 6) END AS rms, NULL::DOUBLE AS bumped_at FROM g""")
 def camera_stability(read):
-    c = contacts(read).select("session", (F.col("value") / 100).alias("dx"), (F.col("k") / 100).alias("dy"), "k")
-    return court.camera_stability(c, "session", "dx", "dy", "k", 1280.0)
+    c = contacts(read).select("session", "t", (F.col("value") / 100).alias("dx"), (F.col("k") / 100).alias("dy"), "k")
+    return court.camera_stability(c, "session", "t", "dx", "dy", "k", 1280.0)
 
 
 @query(f"WITH {C} SELECT session, frame FROM c QUALIFY row_number() OVER (PARTITION BY session, floor(t / 86400) ORDER BY t, frame) = 1")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from motionlake.operators import calibration, landing, rallies
+from motionlake.operators import calibration, court, landing, rallies
 
 EVENTS = "s string, run int, event_id int, t double, kind string, u double, v double, uu double, uv double, vv double, confidence double, flags array<string>, end string, shot_type string"
 
@@ -158,3 +158,40 @@ def test_rallies(spark):
         (0, 2, 0, 2, 2, "high", "double_bounce", []),
         (1, 1, 0, 1, 2, "medium", "timeout", ["unconfirmed_last_hit"]),  # the hit is where the tracks join
     ]
+
+
+def slow_bump(times, shifts, edge):
+    """When the first settled excursion begins, sample by sample."""
+    above, k = [np.hypot(*s) >= 0.002 * edge for s in shifts], 0
+    while k < len(times):
+        stop = k
+        while stop < len(times) and above[stop]:
+            stop += 1
+        if stop > k and times[stop - 1] - times[k] >= 0.95:
+            for first in range(k, stop):
+                inside = [j for j in range(first, stop) if times[j] - times[first] <= 1.05]
+                part = np.array([shifts[j] for j in inside])
+                steady = np.max(np.hypot(*(part - np.median(part, axis=0)).T)) <= 0.001 * edge
+                if times[first] <= times[k] + 1.05 and times[inside[-1]] - times[first] >= 0.95 and steady:
+                    return times[k]
+        k = max(stop, k + 1)
+    return None
+
+
+def test_camera_bumps_against_a_slow_reading(spark):
+    r = random.Random(8)
+    rows, want = [], {}
+    for s in range(40):
+        times, shifts, place = [], [], [0.0, 0.0]
+        for k in range(r.randrange(1, 40)):
+            if r.random() < 0.08:
+                place = [r.choice([0.0, 3.0, 8.0]), r.choice([0.0, 4.0])]
+            times.append(0.2 * k + r.choice([0.0, 0.01]))
+            shifts.append((place[0] + r.uniform(-0.3, 0.3), place[1] + r.choice([0.0, 0.0, 0.0, 2.0])))
+            rows.append((s, times[-1], *shifts[-1], 50.0))
+        want[s] = slow_bump(times, shifts, 1280.0)
+    df = spark.createDataFrame(rows, "s int, t double, dx double, dy double, n double")
+    got = {x.s: x.bumped_at for x in court.bumps(df, "s", "t", "dx", "dy", 1280.0).collect()}
+    assert got == {k: v for k, v in want.items() if v is not None} and 3 < len(got) < 40
+    still = spark.createDataFrame([("a", 0.0, 0.0, 0.0, 50.0), ("a", 1.0, 1.0, 0.0, 50.0), ("a", 2.0, float("nan"), 0.0, 50.0), ("b", 0.0, 0.0, 0.0, 50.0), ("c", 0.0, 0.0, 0.0, 3.0), ("c", 1.0, 0.0, 0.0, 3.0)], "s string, t double, dx double, dy double, n double")
+    assert [(x.s, x.samples, x.verdict) for x in court.camera_stability(still, "s", "t", "dx", "dy", "n", 1280.0).orderBy("s").collect()] == [("a", 3, "stable"), ("b", 1, "unknown"), ("c", 2, "unknown")]
