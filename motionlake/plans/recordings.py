@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motionlake import sources
 from motionlake.functions import normal_cdf, over
-from motionlake.operators import ball, calibration, court, dashboard, evaluation, history, inference, landing, pose, rallies, segmentation, textguard
+from motionlake.operators import ball, calibration, court, dashboard, evaluation, history, inference, landing, pose, rallies, segmentation, swing, textguard
 from motionlake.plans.registry import C, E, W, contacts, normal_sql, query, swings
 
 
@@ -486,3 +486,58 @@ def clip_summary(read):
     clips = swings(read).groupBy("session").agg(n("click").alias("truth_bounces"), n("view").alias("found_bounces"), n("error").alias("truth_hits"), n("purchase").alias("found_hits"), F.collect_list(F.col("value") / 20).alias("errors"))
     clips = clips.withColumn("matched_bounces", F.least("truth_bounces", "found_bounces")).withColumn("matched_hits", F.least("truth_hits", "found_hits")).withColumn("game", F.col("session") % 5)
     return evaluation.summarize(clips, "game")
+
+
+# swing metrics --------------------------------------------------------------------------------------
+
+
+def posed(read) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Marks of the pose frames, a racket hand and a contact for each sequence."""
+    marks = swing.in_torsos(frames(read))
+    each = marks.select("seq_id").distinct()
+    hands = each.withColumn("hand", F.when(F.col("seq_id") % 2 == 0, "right").otherwise("left"))
+    return marks, hands, each.withColumn("pos", (10 + F.col("seq_id") % 20).cast("int"))
+
+
+_X = lambda k: f"(({_AT('x', k)} - ox) / scale)"
+_Y = lambda k: f"((-{_AT('y', k)} - oy) / scale)"
+_S = lambda k: f"(valid AND embedding[{(k + 5) % 64 + 1}] > -0.25)"
+_OWN = lambda f, pair: f"CASE WHEN seq_id % 2 = 0 THEN {f(pair[1])} ELSE {f(pair[0])} END"
+_POSED = f"{_BODY}, q AS (SELECT b.*, embedding, scale, frame - (10 + b.seq_id % 20) AS rel FROM b JOIN embeddings e ON b.seq_id = e.vec_id // 40 AND b.frame = e.vec_id % 40 JOIN sc ON sc.seq_id = b.seq_id)"
+_WAY = "CASE WHEN seq_id % 2 = 0 THEN 1 ELSE -1 END"
+
+
+@query(f"""WITH {_POSED}, a AS (SELECT seq_id, {_WAY} * ({_X(12)} - {_X(11)}) AS ax, {_WAY} * ({_Y(12)} - {_Y(11)}) AS ay, {_OWN(_X, pose.WRISTS)} - ({_X(11)} + {_X(12)}) / 2 AS wx, {_OWN(_Y, pose.WRISTS)} - ({_Y(11)} + {_Y(12)}) / 2 AS wy,
+{_OWN(_S, pose.WRISTS)} AS w, {_S(11)} AND {_S(12)} AS sh, {_S(0)} AS ns, {_OWN(_Y, pose.WRISTS)} > {_Y(0)} AS up FROM q WHERE rel = 0)
+SELECT seq_id, round(CASE WHEN w AND sh THEN (wx * ax + wy * ay) / sqrt(ax * ax + ay * ay) END, 6) AS across_tu, CASE WHEN w AND ns THEN up END AS above_nose FROM a""")
+def wrist_at_contact(read):
+    marks, hands, contacts_ = posed(read)
+    return swing.at_contact(marks, contacts_, hands)
+
+
+@query(f"""WITH {_POSED} SELECT seq_id, round(max(CASE WHEN {_OWN(_S, pose.WRISTS)} AND {_S(11)} AND {_S(12)} THEN {_OWN(_Y, pose.WRISTS)} - ({_Y(11)} + {_Y(12)}) / 2 END), 6) AS height_tu FROM q WHERE rel > 0 GROUP BY seq_id""")
+def follow_through_height(read):
+    marks, hands, contacts_ = posed(read)
+    return swing.follow_through_height(marks, contacts_, hands)
+
+
+@query(f"""WITH {_POSED} SELECT seq_id, count(*) AS n, round(min(sqrt(power({_X(15)} - {_X(16)}, 2) + power({_Y(15)} - {_Y(16)}, 2))), 6) AS least FROM q WHERE abs(rel) <= 3 AND {_S(15)} AND {_S(16)} GROUP BY seq_id""")
+def wrist_separations(read):
+    marks, _, contacts_ = posed(read)
+    found = swing.wrist_separations(marks, contacts_)
+    return found.select("seq_id", F.size("separations").cast("long").alias("n"), F.array_min("separations").alias("least"))
+
+
+@query(f"""WITH {_POSED}, p AS (SELECT seq_id, frame, {_OWN(_X, pose.WRISTS)} AS x, {_OWN(_Y, pose.WRISTS)} AS y FROM q WHERE rel BETWEEN -6 AND 3 AND {_OWN(_S, pose.WRISTS)}),
+g AS (SELECT seq_id, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c, arg_max(x, frame) - arg_min(x, frame) AS dx, arg_max(y, frame) - arg_min(y, frame) AS dy FROM p GROUP BY seq_id HAVING count(*) >= 3),
+t AS (SELECT *, atan2(2 * c, a - b) / 2 AS t FROM g), d AS (SELECT *, CASE WHEN cos(t) * dx + sin(t) * dy < 0 THEN degrees(atan2(-sin(t), -cos(t))) ELSE degrees(atan2(sin(t), cos(t))) END AS d FROM t)
+SELECT seq_id, round(CASE WHEN d > 90 THEN 180 - d WHEN d < -90 THEN -180 - d ELSE d END, 6) AS angle_deg, round(sqrt(greatest((a + b) / 2 - sqrt(power((a - b) / 2, 2) + c * c), 0)), 6) AS deviation_tu FROM d""")
+def swing_path(read):
+    marks, hands, contacts_ = posed(read)
+    return swing.swing_path(marks, contacts_, hands)
+
+
+@query()
+def wrist_lag(read):
+    marks, hands, contacts_ = posed(read)
+    return swing.wrist_lag(marks, contacts_, hands)
