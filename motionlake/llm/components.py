@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         around = _both_ways(edges)
         least = around.groupBy("u").agg(F.min("v").alias("m"))
         large = join_hot(around, least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")  # a row for each edge at most
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = join_hot(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         before, edges = edges, cut(small.where("u <> v").distinct())
