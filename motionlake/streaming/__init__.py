@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from motionlake.operators.match import REPLAY, Rules, State, after_point, row, start
+from motionlake.operators.match import REPLAY, Rules, State, Walk
 
-_STATE = "points_a int, points_b int, games_a int, games_b int, sets_a int, sets_b int, server string, tiebreak_first string, ends_swapped boolean, winner string, last long"
+_STATE = "points_a int, points_b int, games_a int, games_b int, sets_a int, sets_b int, server string, tiebreak_first string, ends_swapped boolean, winner string, set_scores string, unresolved int, last long"
 
 
-def _pack(s: State, last: int) -> tuple:
-    return (*s.points, *s.games, *s.sets, s.server, s.tiebreak_first, s.ends_swapped, s.winner, last)
+def _pack(w: Walk, last: int) -> tuple:
+    s = w.state
+    return (*s.points, *s.games, *s.sets, s.server, s.tiebreak_first, s.ends_swapped, s.winner, w.sets, w.unresolved, last)
 
 
-def _unpack(v: tuple) -> tuple[State, int]:
-    return State(tuple(v[0:2]), tuple(v[2:4]), tuple(v[4:6]), v[6], v[7], v[8], v[9]), v[10]
+def _unpack(v: tuple, w: Walk) -> int:
+    w.state, w.sets, w.unresolved = State(tuple(v[0:2]), tuple(v[2:4]), tuple(v[4:6]), v[6], v[7], v[8], v[9]), v[10], v[11]
+    return v[12]
 
 
 def replay_stream(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -30,17 +32,17 @@ def replay_stream(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s, last = _unpack(state.get) if state.exists else (start(rules), -1)
+        walk = Walk(rules)
+        last = _unpack(state.get, walk) if state.exists else -1
         out = []
         rows = pd.concat(list(batches)).sort_values("sequence", kind="stable")
         for n, w in rows[["sequence", "winner"]].itertuples(index=False):
             if n <= last:
                 continue
-            if w in ("A", "B"):
-                s = after_point(s, w, rules)
+            walk.point(w)
             last = int(n)
-            out.append((key[0], last, *row(s, rules)))
-        state.update(_pack(s, last))
+            out.append((key[0], last, *walk.shown()))
+        state.update(_pack(walk, last))
         yield pd.DataFrame(out, columns=["match_id", "sequence", *(x.split()[0] for x in REPLAY.split(", "))])
 
     return events.groupBy("match_id").applyInPandasWithState(step, f"match_id string, sequence long, {REPLAY}", _STATE, "append", GroupStateTimeout.NoTimeout)
