@@ -174,6 +174,18 @@ def _rare_shingle_rows(ids: DataFrame, texts: DataFrame, n: int, percent: int) -
     return ranked.withColumn("place", place).where(F.col("place") <= keep).select("key", "id")
 
 
+def _joined(comps: DataFrame, extra: DataFrame) -> DataFrame:
+    """Components (id, component) once the links ``extra`` tie them together: only these links are contracted again."""
+    ends = extra.select(F.col("u").alias("id")).unionByName(extra.select(F.col("v").alias("id"))).distinct()
+    every = comps.unionByName(ends.join(comps, "id", "left_anti").select("id", F.col("id").alias("component")))
+    mapped = extra
+    for c in ("u", "v"):
+        mapped = mapped.join(every.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c)
+    merged = connected_components(mapped.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    merged = merged.select(F.col("id").alias("component"), F.col("component").alias("least"))
+    return join_hot(every, merged, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -258,7 +270,7 @@ def near_duplicates(
     extra = more[0] if len(more) == 1 else more[0].unionByName(more[1])
     extra = cut(extra.select(F.col("x").alias("u"), F.col("y").alias("v")))
     if not extra.isEmpty():
-        first, comps = comps, cut(connected_components(links.unionByName(extra)))
+        first, comps = comps, cut(_joined(comps, extra))
         drop(first)
     drop(members, texts, confirmed, links, extra, crowded_ids)
     of_rep = classes.select("hi", "lo", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
