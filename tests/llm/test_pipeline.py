@@ -61,5 +61,23 @@ def test_stages(spark, corpus, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, path).select("doc_id").collect()} == ids[4]
 
 
+def test_stages_take_odd_tables(spark, corpus):
+    """Nulls anywhere, repeated rows, very long texts, columns of clashing names, and no rows at all."""
+    path, _, _ = corpus
+    odd = [
+        (1, None, None, None, None, "x", 1, None), (2, "", "en", "s", 0, None, None, [1]), (2, "", "en", "s", 0, None, None, [1]), (None, "w1 w2 w3 w4 w5 w6", None, "s", 9, "y", 2, []),
+        (5, "w9 " * 90000 + "password=abcdefgh12345678", "en", None, 270000, "z", 3, None), (6, " \n\t ", "en", "s", 4, "x", 4, None), (7, "w7 w8 w9 é \u2581 \x00 w1", "de", "s", 20, "x", 5, None), (7, "w7 w8 w9 é \u2581 \x00 w1", "de", "s", 20, "x", 5, None),
+    ]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, id string, score long, spans array<int>")
+    for rows in (docs, docs.limit(0)):
+        count = rows.count()
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            found = stage(spark, rows, path)
+            assert found.columns == docs.columns and found.count() == count, name
+        assert corpus_pipeline.STAGES[4][1](spark, rows, path).count() == count
+    clean = corpus_pipeline.STAGES[3][1](spark, docs, path).where("doc_id = 5").first()
+    assert clean.text == "w9 " * 90000 + "[REDACTED]" and clean.n_chars == len(clean.text)
+
+
 def test_names():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 10 and corpus_pipeline.ORACLE_SQL is None
