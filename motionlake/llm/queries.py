@@ -9,6 +9,7 @@ from . import toxicity
 from .ann import search
 from .common import remove, scratch, table
 from .decontamination import contaminated
+from .infill import fill_in_middle, restore
 from .licenses import find_licenses
 from .minhash import near_duplicates
 from .secrets_scan import find_secrets
@@ -104,7 +105,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_tokens", digest("id_text").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"), F.col("covered").alias("span_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_warc, op4_url_filter, op5_secret_scan, op6_license_scan, op7_minhash_near_dedup, op8_ann, op9_decontamination, op10_sentencepiece)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and the text rebuilt from that, as digests."""
+    found = fill_in_middle(table(spark, sf_dir, "documents"), units="code_points", seed="1")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = restore(F.col("output"), F.col("form"))
+    return found.select(F.col("id").alias("doc_id"), "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_warc, op4_url_filter, op5_secret_scan, op6_license_scan, op7_minhash_near_dedup, op8_ann, op9_decontamination, op10_sentencepiece, op13_fill_in_middle)}
 
 _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
@@ -121,4 +130,13 @@ ORACLES: dict[str, str] = {
         h AS (SELECT page_id, arg_max(rh || rp, len(string_split(rh, '.')) * 1000 + len(rp)) AS rule, arg_max(rv, len(string_split(rh, '.')) * 1000 + len(rp)) AS verdict
               FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
         SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN h USING (page_id)""",
+    "op13_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        n AS (SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+              CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+        p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+               sha256(t) AS restored_sha256 FROM p""",
 }
