@@ -11,6 +11,7 @@ from .common import remove, scratch, table
 from .decontamination import contaminated
 from .infill import fill_in_middle, restore
 from .licenses import find_licenses
+from .merkle import leaf, prove
 from .minhash import near_duplicates
 from .secrets_scan import find_secrets
 from .sentencepieces import encode_documents
@@ -105,6 +106,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_tokens", digest("id_text").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"), F.col("covered").alias("span_bytes"))
 
 
+#: The fields of a leaf, in their order.
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and check of every document; a third of them claim a text with lower-case letters."""
+    tampered = leaf(*(F.translate("text", _UPPER, _LOWER) if c == "text" else F.col(c) for c in LEAF_FIELDS))
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, tampered)
+    return prove(table(spark, sf_dir, "documents"), LEAF_FIELDS, "lang", "doc_id", claimed).withColumnRenamed("id", "doc_id")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its middle moved to the end, and the text rebuilt from that, as digests."""
     found = fill_in_middle(table(spark, sf_dir, "documents"), units="code_points", seed="1")
@@ -113,12 +126,47 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_warc, op4_url_filter, op5_secret_scan, op6_license_scan, op7_minhash_near_dedup, op8_ann, op9_decontamination, op10_sentencepiece, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_warc, op4_url_filter, op5_secret_scan, op6_license_scan, op7_minhash_near_dedup, op8_ann, op9_decontamination, op10_sentencepiece, op12_merkle_manifest, op13_fill_in_middle)}
 
 _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
 
+#: crc32 of a decimal id in DuckDB: bit by bit over its characters.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, _: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+
+def _merkle_sql(levels: int = 9, top_levels: int = 4) -> str:
+    """Level by level, for groups of up to 8 ** levels rows and up to 8 ** top_levels groups."""
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    made = lambda text: "sha256(" + " || ".join(field(text if c == "text" else c) for c in LEAF_FIELDS) + ")"
+    parts = [
+        f"""d AS (SELECT doc_id, lang, {made("text")} AS leaf,
+            CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 3 = 0 THEN {made(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS other FROM documents)""",
+        """r0 AS (SELECT doc_id, lang AS g, leaf, coalesce(other, leaf) AS folded, '' AS proof,
+            row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, other NULLS FIRST) - 1 AS k FROM d)""",
+        "n0 AS (SELECT g, k, leaf AS h, count(*) OVER (PARTITION BY g) AS total FROM r0)",
+    ]
+
+    def climb(nodes: str, rows: str, count: int, own: str) -> None:
+        for j in range(count):
+            run = "PARTITION BY g, k // 8 ORDER BY k ROWS BETWEEN"
+            parts.append(f"""{nodes}a{j} AS (SELECT g, k, total, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {nodes}{j})""")
+            parts.append(f"""{rows}{j + 1} AS (SELECT {own}, r.g, r.k // 8 AS k, CASE WHEN total = 1 THEN folded ELSE sha256(before || folded || after) END AS folded, proof || before || after AS proof
+                FROM {rows}{j} r JOIN {nodes}a{j} n ON r.g IS NOT DISTINCT FROM n.g AND r.k = n.k)""")
+            parts.append(f"{nodes}{j + 1} AS (SELECT g, k // 8 AS k, CASE WHEN total = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY k)) END AS h, (total + 7) // 8 AS total FROM {nodes}{j} GROUP BY g, k // 8, total)")
+
+    climb("n", "r", levels, "doc_id, leaf")
+    parts.append(f"t AS (SELECT g AS of, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS k, count(*) OVER () AS total FROM n{levels})")
+    parts.append("m0 AS (SELECT '' AS g, k, h, total FROM t)")
+    parts.append(f"s0 AS (SELECT doc_id, leaf, t.h AS subroot, '' AS g, t.k, folded, proof FROM r{levels} r JOIN t ON r.g IS NOT DISTINCT FROM t.of)")
+    climb("m", "s", top_levels, "doc_id, leaf, subroot")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified FROM s{top_levels}, (SELECT h FROM m{top_levels})"
+
+
 ORACLES: dict[str, str] = {
+    "op12_merkle_manifest": _merkle_sql(),
     "op3_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM p)
