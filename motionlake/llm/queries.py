@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import exact_topk, toxicity
 from .ann import search
 from .common import remove, scratch, table
 from .decontamination import contaminated
@@ -106,6 +106,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_tokens", digest("id_text").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"), F.col("covered").alias("span_bytes"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer inner products of every hundredth vector among all others."""
+    return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 #: The fields of a leaf, in their order.
 LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -126,7 +131,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_warc, op4_url_filter, op5_secret_scan, op6_license_scan, op7_minhash_near_dedup, op8_ann, op9_decontamination, op10_sentencepiece, op12_merkle_manifest, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_warc, op4_url_filter, op5_secret_scan, op6_license_scan, op7_minhash_near_dedup, op8_ann, op9_decontamination, op10_sentencepiece, op11_exact_topk, op12_merkle_manifest, op13_fill_in_middle)}
 
 _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
@@ -166,6 +171,12 @@ def _merkle_sql(levels: int = 9, top_levels: int = 4) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op11_exact_topk": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AND len(embedding) > 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score::BIGINT AS score FROM s
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
     "op12_merkle_manifest": _merkle_sql(),
     "op3_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
