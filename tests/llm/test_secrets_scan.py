@@ -1,6 +1,7 @@
 """Base spans against the contract's plain reading; lexing on small programs."""
 
 import re
+import resource
 import time
 
 from hypothesis import given, settings
@@ -112,6 +113,17 @@ def test_time_is_proportional_to_the_text():
     assert time.process_time() - start < 1.5
 
 
+def test_names_of_many_scopes_that_are_read_from_outside():
+    """As many reads of a name as scopes that give it: pairs of both would be 10 ** 9."""
+    n = 30_000
+    text = "".join(f'x{i} {{\n  token = "aB3dE6gH9jK2v{i}"\n}}\n' for i in range(n)) + "".join(f"password{i} = token + other\n" for i in range(n))
+    assert len(text) > 1_800_000
+    start, before = time.process_time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = literals(text)
+    assert time.process_time() - start < 6 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
+    assert len(found) == n
+
+
 PIECES = ["password", "k", "a.b", "x", "=", ":", "+", " ", "\n", "  ", '"', "'", '"Zx81qP02vv9L"', "'aB3dE6gH9jK2'", "{", "}", "(", ")", "[", "]", ",", "|", ">", "<", "</", '"""', "var ", "string", ";", "\\", "getenv", "é", "${k}", "12"]
 
 
