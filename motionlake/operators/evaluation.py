@@ -92,12 +92,14 @@ def summarize(clips: DataFrame, game: str, gross_m: float = 3.0) -> DataFrame:
     ``clips``: truth_, found_ and matched_ bounces and hits, errors (array).  Errors from ``gross_m`` on are counted, not averaged.
     """
     share = lambda a, b: F.round(F.sum(a) / F.greatest(F.sum(b), F.lit(1)), 2)
-    every = F.flatten(F.collect_list("errors"))
-    fine = F.array_sort(F.filter("__e", lambda e: e < gross_m))
-    n = F.size(fine)
-    middle = (F.get(fine, F.floor((n - 1) / 2).cast("int")) + F.get(fine, F.floor(n / 2).cast("int"))) / 2
-    d = clips.rollup(game).agg(
-        F.count(F.lit(1)).alias("clips"), share("matched_bounces", "truth_bounces").alias("bounce_recall"), share("matched_bounces", "found_bounces").alias("bounce_precision"),
-        share("matched_hits", "truth_hits").alias("hit_recall"), share("matched_hits", "found_hits").alias("hit_precision"), every.alias("__e"),
+    total = F.grouping(game).alias("__total")  # tells the row of all from that of clips without a game
+    base = clips.rollup(game).agg(
+        total, F.count(F.lit(1)).alias("clips"), share("matched_bounces", "truth_bounces").alias("bounce_recall"), share("matched_bounces", "found_bounces").alias("bounce_precision"),
+        share("matched_hits", "truth_hits").alias("hit_recall"), share("matched_hits", "found_hits").alias("hit_precision"),
     )
-    return d.withColumn("median_error", F.when(n > 0, F.round(middle, 2))).withColumn("gross", F.size(F.filter("__e", lambda e: e >= gross_m))).withColumn("errors", F.size("__e")).drop("__e")
+    e = F.col("__e")
+    each = clips.select(game, F.explode("errors").alias("__e")).rollup(game).agg(total, F.round(F.percentile(F.when(e < gross_m, e), 0.5), 2).alias("median_error"), F.count_if(e >= gross_m).alias("gross"), F.count(F.lit(1)).alias("errors"))
+    each = each.withColumnsRenamed({game: "__game", "__total": "__all"})
+    met = base.join(each, F.col(game).eqNullSafe(F.col("__game")) & (F.col("__total") == F.col("__all")), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c)
+    return met.select(game, "clips", "bounce_recall", "bounce_precision", "hit_recall", "hit_precision", "median_error", zero("gross"), zero("errors"))

@@ -10,6 +10,8 @@ from motionlake.functions import finite, half_even
 #: Share of each category in the overall score, and categories it needs.
 CATEGORY_WEIGHTS = {"preparation": 0.20, "contact": 0.30, "swing_path": 0.25, "balance": 0.15, "follow_through": 0.10}
 MIN_CATEGORIES = 3
+#: Categories that are spread out as columns of one aggregate.
+MOST_CATEGORIES = 1000
 
 
 def hard_bounds(bands: DataFrame) -> DataFrame:
@@ -51,10 +53,14 @@ def card(df: DataFrame, metrics: list[str], bands: DataFrame, weights: dict[str,
 
     All metrics of a row are columns of it, so nothing is shuffled: the bands, one for each metric, are
     read once and become constants of the expressions.  Every category of ``weights`` has an entry;
-    weights are renormalised over what has a score.
+    weights are renormalised over what has a score.  Bands with several rows of a metric, as those of
+    several kinds of shot together, are refused; a metric without a band is left out.
     """
     weights = weights or CATEGORY_WEIGHTS
-    found = {r.metric: r for r in bands.where(F.col("metric").isin(*metrics)).limit(len(metrics) + 1).collect()}
+    read = bands.where(F.col("metric").isin(*metrics)).limit(len(metrics) + 1).collect()
+    found = {r.metric: r for r in read}
+    if len(found) < len(read):
+        raise ValueError("several bands for a metric: choose those of one kind first")
     rows, of = [], {c: [] for c in weights}
     for m in metrics:
         if (r := found.get(m)) is None:
@@ -90,9 +96,12 @@ def metric_scores(df: DataFrame, key: str, metrics: list[str], bands: DataFrame)
 def categories(scored: DataFrame, key: str, names: DataFrame) -> DataFrame:
     """(key, category, score, available, total): weights renormalised over the metrics that have a score.
 
-    ``names`` lists every category, so that one without metrics has a row too.
+    ``names`` lists every category, so that one without metrics has a row too; more than MOST_CATEGORIES
+    of them are refused.
     """
-    has, cats = F.col("score").isNotNull(), [r[0] for r in names.limit(1000).collect()]
+    has, cats = F.col("score").isNotNull(), [r[0] for r in names.limit(MOST_CATEGORIES + 1).collect()]
+    if len(cats) > MOST_CATEGORIES:
+        raise ValueError(f"over {MOST_CATEGORIES} categories")
     aggregates = []
     for k, c in enumerate(cats):
         own = F.col("category") == c
