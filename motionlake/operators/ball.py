@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionlake.functions import over, ratio
+from motionlake.operators.fits import smooth
 
 #: Gates in pixels, metres per second, degrees and seconds.
 MPH, WINDOW_S, MIN_STEP_PX, MIN_SEGMENT_PX = 2.23694, 0.25, 2.0, 60.0
 MAX_SPEED_M_S, STEP_SAFETY, MIN_GATE_PX, GATE_SHRINK = 71.5, 1.5, 8.0, 0.35
 STREAK_DEG, TURN_DEG, MAX_COASTS, MIN_ACCEPTED = 25.0, 35.0, 2, 3
 PLAUSIBLE_MPH, SCALE_RANGE = (15, 160), (8.0, 300.0)
-STITCH_GAP_S, MIN_DETECTIONS, MIN_EXTENT_PX, SMOOTH_RMS_PX = 0.2, 6, 30.0, 3.0
+STITCH_GAP_S, MIN_DETECTIONS, MIN_EXTENT_PX = 0.2, 6, 30.0
 BREAK_RATIO, BREAK_SEPARATION, SIDE_SAMPLES, SIDE_SPAN_S = 0.5, 3, 8, 0.15
 PER_FRAME, EDGE_PX = 256, 12.0
 
@@ -223,102 +224,25 @@ def stitch(tracklets: DataFrame, key: str, max_gap_s: float = STITCH_GAP_S, reac
     return tracklets.groupBy(key).cogroup(pairs.groupBy(key)).applyInPandas(chain, f"`{key}` {kinds[key]}, tracklet_id {kinds['tracklet_id']}, flight_id {kinds['tracklet_id']}")
 
 
-def _fit(t: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, float]:
-    """Least-squares line (up to 3 points) or parabola, and the sum of squares it leaves."""
-    a = np.vander(t - t.mean(), 2 if len(t) <= 3 else 3, increasing=True)
-    c, *_ = np.linalg.lstsq(a, xy, rcond=None)
-    return c, float(((a @ c - xy) ** 2).sum())
-
-
 def accepted(points: DataFrame, key: str, time: str, least: int = MIN_DETECTIONS) -> DataFrame:
-    """(key, n, extent, rms, accepted): flights with enough detections that move and are smooth."""
-    types = dict(points.dtypes)
-
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(time)
-        t, xy = p[time].to_numpy(float), p[["x", "y"]].to_numpy(float)
-        extent = float(np.hypot(*(xy.max(axis=0) - xy.min(axis=0))))
-        rms = float(np.sqrt(_fit(t, xy)[1] / len(t)))
-        return pd.DataFrame([(pdf[key].iloc[0], len(t), extent, rms, bool(len(t) >= least and extent >= MIN_EXTENT_PX and rms <= SMOOTH_RMS_PX))], columns=[key, "n", "extent", "rms", "accepted"])
+    """(key, n, extent, accepted): flights with enough detections that move and are smooth.
 
-    return points.groupBy(key).applyInPandas(judge, f"`{key}` {types[key]}, n long, extent double, rms double, accepted boolean")
-
-
-class _Sides:
-    """Fits of a flight around its possible breaks, all at once.
-
-    A row for each split k: the samples at most SIDE_SAMPLES and SIDE_SPAN_S away on either side,
-    within bounds that known breaks set, on a clock that is 0 at the split and 1 at SIDE_SPAN_S.
-    """
-
-    def __init__(self, t: np.ndarray, xy: np.ndarray):
-        self.t, self.xy, n = t, xy, len(t)
-        k = np.arange(n)
-        self.near = np.searchsorted(t, t - SIDE_SPAN_S)
-        self.far = np.searchsorted(t, t + SIDE_SPAN_S, "right")
-        self.first, self.last = np.zeros(n, np.int64), np.full(n, n)
-        self.ratio, self.left, self.right = np.full(n, np.inf), np.zeros((n, 3, 2)), np.zeros((n, 3, 2))
-        self.update(k)
-
-    @staticmethod
-    def fit(clock: np.ndarray, xy: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Coefficients and squares left of a parabola, of a line for three samples at most, through each row's samples."""
-        power = np.stack([np.ones_like(clock), clock, np.where(inside.sum(axis=1, keepdims=True) > 3, clock**2, 0.0)], axis=2) * inside[:, :, None]
-        normal = np.einsum("rsi,rsj->rij", power, power)
-        normal[:, 2, 2] += normal[:, 2, 2] == 0
-        c = np.linalg.solve(normal, np.einsum("rsi,rsc->ric", power, xy))
-        return c, (((np.einsum("rsi,ric->rsc", power, c) - xy) * inside[:, :, None]) ** 2).sum(axis=(1, 2))
-
-    def update(self, k: np.ndarray) -> None:
-        """The share of squares that a break at each of ``k`` leaves; infinite where none may be."""
-        self.ratio[k] = np.inf
-        k = k[(k >= self.first[k] + 2) & (k <= self.last[k] - 2)]
-        lo = np.maximum.reduce([self.near[k], k - SIDE_SAMPLES, self.first[k]])
-        hi = np.minimum.reduce([self.far[k], k + SIDE_SAMPLES, self.last[k]])
-        ok = (k - lo >= BREAK_SEPARATION) & (hi - k >= BREAK_SEPARATION) & (hi - lo >= 6)
-        k, lo, hi = k[ok], lo[ok], hi[ok]
-        if not len(k):
-            return
-        at = k[:, None] + np.arange(-SIDE_SAMPLES, SIDE_SAMPLES)
-        inside = (at >= lo[:, None]) & (at < hi[:, None])
-        at = np.clip(at, 0, len(self.t) - 1)
-        clock = (self.t[at] - self.t[k][:, None]) / SIDE_SPAN_S
-        before = at < k[:, None]
-        _, one = self.fit(clock, self.xy[at], inside)
-        self.left[k], a = self.fit(clock, self.xy[at], inside & before)
-        self.right[k], b = self.fit(clock, self.xy[at], inside & ~before)
-        # a single fit that is off by less than a pixel needs no break
-        self.ratio[k] = np.where(one > hi - lo, (a + b) / np.maximum(one, 1e-300), np.inf)
-
-    def breaks(self):
-        """(time, ratio, u, v, velocity before, velocity after), the clearest break first; each bounds the sides of the next."""
-        while len(self.t) and self.ratio.min() <= BREAK_RATIO:
-            k = int(np.argmin(self.ratio))
-            when = (self.t[k - 1] + self.t[k]) / 2
-            s = (when - self.t[k]) / SIDE_SPAN_S
-            at, slope = np.array([1.0, s, s * s]), np.array([0.0, 1.0, 2.0 * s]) / SIDE_SPAN_S
-            yield (when, self.ratio[k], *((at @ self.left[k] + at @ self.right[k]) / 2), *(slope @ self.left[k]), *(slope @ self.right[k]))
-            self.last[:k] = np.minimum(self.last[:k], k)
-            self.first[k:] = np.maximum(self.first[k:], k)
-            self.update(np.arange(max(0, k - SIDE_SAMPLES), min(len(self.t), k + SIDE_SAMPLES + 1)))
-
-
-def break_points(points: DataFrame, key: str, time: str) -> DataFrame:
-    """(key, time_s, ratio, u, v, vbx, vby, vax, vay): where two smooth pieces fit far better than one.
-
-    For each split the samples nearby on both sides are fitted, and the share of the squares that is
-    left must be small.  The best split comes first and bounds the sides of the next ones.  One
-    flight is one group; all its splits are fitted together, and after a break only those around it again.
+    Smooth is a flight in which every stretch of a quarter of a second lies along a parabola, the image of a
+    thrown ball, or two such pieces; one of a second or more may have one stretch that does not.  Samples
+    with a null or non-finite time or place do not count.
     """
     types = dict(points.dtypes)
-    cols = [key, "time_s", "ratio", "u", "v", "vbx", "vby", "vax", "vay"]
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(time)
-        found = _Sides(p[time].to_numpy(float), p[["x", "y"]].to_numpy(float)).breaks()
-        return pd.DataFrame([(pdf[key].iloc[0], *x) for x in sorted(found)], columns=cols)
+        t, xy = p[time].to_numpy(float), p[["x", "y"]].to_numpy(float)
+        good = np.isfinite(t) & np.isfinite(xy).all(axis=1)
+        t, xy = t[good], xy[good]
+        extent = float(np.hypot(*np.ptp(xy, axis=0))) if len(t) else 0.0
+        ok = len(t) >= least and extent >= MIN_EXTENT_PX and bool(smooth(t, xy, np.zeros(1, np.int64), np.array([len(t)]))[0])
+        return pd.DataFrame([(pdf[key].iloc[0], len(t), extent, ok)], columns=[key, "n", "extent", "accepted"])
 
-    return points.groupBy(key).applyInPandas(split, f"`{key}` {types[key]}, " + ", ".join(f"{c} double" for c in cols[1:]))
+    return points.groupBy(key).applyInPandas(judge, f"`{key}` {types[key]}, n long, extent double, accepted boolean")
 
 
 def grammar(events: DataFrame, key: str, order: str, cost_bounce: str, cost_hit: str, repeat: float = 1.0) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionlake import sources
 from motionlake.functions import normal_cdf, over
-from motionlake.operators import ball, calibration, court, dashboard, evaluation, history, inference, landing, pose, rallies, segmentation, swing, textguard
+from motionlake.operators import ball, ballevents, calibration, court, dashboard, evaluation, history, inference, landing, pose, rallies, segmentation, swing, textguard
+from motionlake.operators import flights as flights_
 from motionlake.plans.registry import C, E, W, contacts, normal_sql, query, swings
 
 
@@ -235,7 +237,60 @@ def flights(read):
 @query()
 def break_points(read):
     s = swings(read).withColumn("time", F.row_number().over(over("session", "frame")) / 60.0)
-    return ball.break_points(s.select("session", "time", F.col("value").alias("x"), F.col("k").alias("y")), "session", "time")
+    return ballevents.break_points(s.select("session", "time", F.col("value").alias("x"), F.col("k").alias("y")), "session", "time")
+
+
+def cameras(spark) -> DataFrame:
+    """(camera, h, projection, cam_x, cam_y, cam_z, focal_px): three places behind a baseline, looking at the net."""
+    rows = []
+    for n, (focal, cam) in enumerate([(1500.0, (0.0, -22.0, 6.0)), (1300.0, (1.5, -20.0, 8.0)), (1700.0, (-2.0, -25.0, 5.0))]):
+        ahead = -np.array(cam) / np.linalg.norm(cam)
+        across = np.array([ahead[1], -ahead[0], 0.0]) / np.hypot(*ahead[:2])
+        turn = np.stack([across, np.cross(ahead, across), ahead])
+        p = np.array([[focal, 0, 960.0], [0, focal, 540.0], [0, 0, 1]]) @ np.column_stack([turn, -turn @ cam])
+        rows.append((n, np.linalg.inv(p[:, [0, 1, 3]]).ravel().tolist(), p.ravel().tolist(), *cam, focal))
+    return spark.createDataFrame(rows, "camera int, h array<double>, projection array<double>, cam_x double, cam_y double, cam_z double, focal_px double")
+
+
+def session_maps(read) -> DataFrame:
+    s = swings(read).select("session").distinct().withColumn("camera", (F.col("session") % 3).cast("int"))
+    return s.join(F.broadcast(cameras(s.sparkSession)), "camera").drop("camera")  # three rows
+
+
+def seen_balls(read) -> tuple[DataFrame, DataFrame]:
+    """Candidates and frames of each session: a ball that flies from event to event in six frames, every eleventh flight unseen, among clutter."""
+    w = over("session", "frame")
+    s = swings(read).select("session", "frame", (500 + F.col("value")).alias("x"), (350 + 2 * F.col("k")).alias("y"), "value", F.row_number().over(w).alias("rn"))
+    s = s.withColumn("nx", F.lead("x").over(w)).withColumn("ny", F.lead("y").over(w)).where("nx is not null")
+    each = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j")).withColumn("at", ((F.col("rn") - 1) * 6 + F.col("j")).cast("int")).withColumn("s", F.col("j") / 6.0)
+    number = lambda name, v: v.cast("double").alias(name)
+    shape = lambda size, colour: (number("minor", F.lit(size)), number("major", F.lit(size)), number("orientation_deg", F.lit(0.0)), number("colour_score", F.lit(colour)), number("contrast", F.col("value")))
+    arc = F.col("y") + F.col("s") * (F.col("ny") - F.col("y")) - 60 * F.col("s") * (1 - F.col("s"))
+    balls = each.where("rn % 11 <> 0").select("session", "at", (F.col("x") + F.col("s") * (F.col("nx") - F.col("x"))).alias("x"), arc.alias("y"), *shape(5.0, 0.9))
+    noise = F.pmod(F.hash("session", "at"), F.lit(1_000_003))
+    clutter = each.where(F.pmod(F.hash("at", "session"), F.lit(3)) == 0).select("session", "at", (noise % 1900).cast("double").alias("x"), (noise % 1051).cast("double").alias("y"), *shape(4.0, 0.2))
+    return balls.unionByName(clutter), each.select("session", "at", (F.col("at") / 30.0).alias("time_s"))
+
+
+@query()
+def linked_flights(read):
+    candidates, shown = seen_balls(read)
+    return flights_.link(candidates, shown, session_maps(read), "session", "at")
+
+
+@query()
+def ball_events(read):
+    candidates, shown = seen_balls(read)
+    maps = session_maps(read)
+    found = flights_.link(candidates, shown, maps, "session", "at")
+    w = over("session", "frame")
+    clicks = swings(read).withColumn("rn", F.row_number().over(w)).where("kind = 'click'")
+    nothing = F.lit(None).cast("double")
+    hits = clicks.select(
+        "session", ((F.col("rn") - 1) / 5.0).alias("time_s"), F.when(F.col("frame") % 2 == 0, 500 + F.col("value")).alias("wrist_u"), F.when(F.col("frame") % 2 == 0, 350 + 2 * F.col("k")).alias("wrist_v"),
+        F.when(F.col("k") < 30, "near").when(F.col("k") > 60, "far").alias("end"), (F.col("k") / 100).alias("confidence"), F.lit("forehand").alias("shot_type"), nothing.alias("feet_u"), nothing.alias("feet_v"),
+    )
+    return ballevents.detect(found, maps, hits, "session")
 
 
 @query()

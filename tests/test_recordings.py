@@ -26,50 +26,6 @@ def test_median_slope_listed_and_counted(spark, monkeypatch, listed):
         assert set(got) == {0, 1, 2} and got[0] == 0.0
 
 
-def slow_breaks(t, xy):
-    """Every fit by itself, segment by segment."""
-
-    def fit(a, b):
-        m = np.vander(t[a:b] - t[a:b].mean(), 2 if b - a <= 3 else 3, increasing=True)
-        c, *_ = np.linalg.lstsq(m, xy[a:b], rcond=None)
-        return float(((m @ c - xy[a:b]) ** 2).sum())
-
-    out, todo = [], [(0, len(t))]
-    while todo:
-        first, last = todo.pop()
-        best = None
-        for k in range(first + 2, last - 1):
-            lo, hi = max(int(np.searchsorted(t, t[k] - ball.SIDE_SPAN_S)), k - ball.SIDE_SAMPLES, first), min(int(np.searchsorted(t, t[k] + ball.SIDE_SPAN_S, "right")), k + ball.SIDE_SAMPLES, last)
-            if k - lo < ball.BREAK_SEPARATION or hi - k < ball.BREAK_SEPARATION or hi - lo < 6:
-                continue
-            one, two = fit(lo, hi), fit(lo, k) + fit(k, hi)
-            if one > hi - lo and two / one <= ball.BREAK_RATIO and (best is None or two / one < best[0]):
-                best = two / one, k
-        if best:
-            out.append(((t[best[1] - 1] + t[best[1]]) / 2, best[0]))
-            todo += [(first, best[1]), (best[1], last)]
-    return sorted(out)
-
-
-def test_breaks_against_slow_fits(spark):
-    r = np.random.default_rng(4)
-    rows, want = [], {}
-    for k in range(6):
-        n = [0, 5, 30, 60, 99, 40][k]
-        t = np.cumsum(r.uniform(0.01, 0.03, n))
-        x = np.cumsum(r.choice([-15.0, 4.0, 15.0], n)) + (r.normal(0, 30, n) if k % 2 else 0)
-        xy = np.column_stack([x, r.normal(0, 5, n) + 200 * np.abs(np.sin(3 * t))]) if n else np.zeros((0, 2))
-        rows += [(k, float(a), float(b), float(c)) for a, (b, c) in zip(t, xy)]
-        if n:
-            want[k] = slow_breaks(t, xy)
-    got = {}
-    for x in ball.break_points(spark.createDataFrame(rows, "k int, t double, x double, y double"), "k", "t").orderBy("k", "time_s").collect():
-        got.setdefault(x.k, []).append((x.time_s, x.ratio))
-    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items() if v} and sum(map(len, want.values())) > 8
-    for k, v in got.items():
-        assert np.allclose(v, want[k], atol=1e-7)
-
-
 def candidates(rows):
     return [("c", f, float(x), float(y), tier, float(axis), 50.0, 50.0, float(area)) for f, x, y, tier, axis, area in rows]
 
