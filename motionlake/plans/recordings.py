@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionlake import sources
-from motionlake.functions import normal_cdf, over
+from motionlake.functions import cut, normal_cdf, over
 from motionlake.operators import ball, ballevents, calibration, court, dashboard, evaluation, history, inference, landing, pose, rallies, segmentation, swing, textguard
+from motionlake.operators import contacts as contacts_
 from motionlake.operators import flights as flights_
+from motionlake.operators import normalized, series
 from motionlake.plans.registry import C, E, W, contacts, normal_sql, query, swings
 
 
@@ -59,6 +61,90 @@ def identity_unstable(read):
     return pose.identity_unstable(frames(read))
 
 
+_LONG = f"""{_BODY}, lm AS (SELECT vec_id // 40 AS seq_id, vec_id % 40 AS frame, (vec_id % 40) / 30.0::DOUBLE AS t, k AS landmark, embedding[2 * k % 64 + 1]::DOUBLE + 0.1 * (k % 3) AS x, -(embedding[(2 * k + 1) % 64 + 1]::DOUBLE + 0.03 * k) AS y,
+CASE WHEN embedding[(k + 5) % 64 + 1] > -0.25 THEN 1.0 ELSE 0.0 END AS visibility FROM embeddings, range(33) r(k)),
+m0 AS (SELECT l.seq_id, l.frame, t, landmark, visibility, valid, (x - ox) / coalesce(nullif(scale, 0), 1) AS x, (y - oy) / coalesce(nullif(scale, 0), 1) AS y, row_number() OVER (PARTITION BY l.seq_id, landmark ORDER BY l.frame) AS pos FROM lm l JOIN b USING (seq_id, frame) JOIN sc ON sc.seq_id = l.seq_id),
+m1 AS (SELECT *, last_value(CASE WHEN valid THEN {{'p': pos, 'x': x, 'y': y}} END IGNORE NULLS) OVER (PARTITION BY seq_id, landmark ORDER BY frame ROWS UNBOUNDED PRECEDING) AS p,
+first_value(CASE WHEN valid THEN {{'p': pos, 'x': x, 'y': y}} END IGNORE NULLS) OVER (PARTITION BY seq_id, landmark ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM m0)"""
+
+
+def _fill_sql(c: str) -> str:
+    held = f"CASE WHEN pos - p.p <= (q.p - p.p - 1) // 2 THEN p.{c} ELSE q.{c} END"
+    return f"CASE WHEN valid OR (p IS NULL AND q IS NULL) THEN {c} WHEN p IS NULL THEN q.{c} WHEN q IS NULL THEN p.{c} WHEN q.p - p.p - 1 > 3 THEN {held} ELSE p.{c} + (q.{c} - p.{c}) * (pos - p.p) / (q.p - p.p) END AS {c}"
+
+
+def _smooth_sql(c: str) -> str:
+    fit = lambda weights, first: "(" + " + ".join(f"{w} * " + (f"lag({c}, {-j}) OVER w" if j < 0 else f"lead({c}, {j}) OVER w") for w, j in zip(weights, first, strict=True)) + ") / 35.0"
+    return f"""CASE WHEN n < 5 THEN {c} WHEN pos = 1 THEN {fit(series.SMOOTH_FIRST, range(5))} WHEN pos = 2 THEN {fit(series.SMOOTH_SECOND, range(-1, 4))} WHEN pos = n THEN {fit(series.SMOOTH_FIRST, range(0, -5, -1))}
+WHEN pos = n - 1 THEN {fit(series.SMOOTH_SECOND, range(1, -4, -1))} ELSE {fit(series.SMOOTH_MIDDLE, range(-2, 3))} END AS {c}"""
+
+
+def _slope_sql(c: str, to: str) -> str:
+    return f"coalesce((coalesce(lead({c}) OVER w, {c}) - coalesce(lag({c}) OVER w, {c})) / nullif(coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t), 0), 0) AS {to}"
+
+
+_ROW = "WINDOW w AS (PARTITION BY seq_id, landmark ORDER BY frame)"
+_NORM = f"""{_LONG}, m2 AS (SELECT seq_id, landmark, frame, t, pos, visibility, valid, count(*) OVER (PARTITION BY seq_id, landmark) AS n, {_fill_sql('x')}, {_fill_sql('y')} FROM m1),
+m3 AS (SELECT seq_id, landmark, frame, t, pos, visibility, valid, {_smooth_sql('x')}, {_smooth_sql('y')} FROM m2 {_ROW}), m4 AS (SELECT *, {_slope_sql('x', 'vx')}, {_slope_sql('y', 'vy')} FROM m3 {_ROW}),
+norm AS (SELECT *, {_slope_sql('vx', 'ax')}, {_slope_sql('vy', 'ay')} FROM m4 {_ROW})"""
+
+
+@query(f"WITH {_NORM} SELECT seq_id, landmark::INT AS landmark, frame, round(x, 6) AS x, round(y, 6) AS y, round(vx, 5) AS vx, round(vy, 5) AS vy, round(ax, 3) AS ax, round(ay, 3) AS ay, valid FROM norm")
+def normalized_marks(read):
+    d = normalized.normalized(frames(read))
+    r = lambda c, n: F.round(c, n).alias(c)
+    return d.select("seq_id", "landmark", "frame", r("x", 6), r("y", 6), r("vx", 5), r("vy", 5), r("ax", 3), r("ay", 3), "valid")
+
+
+@query(f"""WITH {_NORM}, s AS (SELECT seq_id, landmark, pos, x, sqrt(vx * vx + vy * vy) AS speed, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS step FROM norm WHERE landmark IN (15, 16) {_ROW}),
+f AS (SELECT seq_id, landmark, sum(step) AS path, arg_max(pos, {{'s': speed, 'p': -pos}}) AS peak, arg_max(x, {{'s': speed, 'p': -pos}}) AS px FROM s GROUP BY ALL),
+g AS (SELECT s.seq_id, s.landmark, any_value(path) AS path, any_value(px) - arg_min(x, {{'s': speed, 'p': pos}}) AS way FROM s JOIN f USING (seq_id, landmark) WHERE pos <= peak GROUP BY ALL)
+SELECT seq_id, CASE WHEN arg_max(way, {{'p': path, 'l': landmark}}) < 0 THEN -1 ELSE 1 END AS direction FROM g GROUP BY seq_id""")
+def swing_direction(read):
+    return normalized.swing_direction(normalized.normalized(frames(read)))
+
+
+_ENDS = "(SELECT count(*) FROM k f WHERE f.seq_id = {0}.seq_id AND f.t < {1})"
+
+
+def _span_sql(of: str) -> str:
+    """Start and end of the span about each row's time t in a sequence from t0 to t1 with n frames."""
+    t, t0, t1, n = (f"{of}.{c}" for c in ("t", "t0", "t1", "n"))
+    low = f"CASE WHEN {t} - 1 < {t0} THEN {t0} WHEN {t} - 1 + 2 > {t1} THEN greatest({t0}, {t1} - 2) ELSE {t} - 1 END"
+    high = f"CASE WHEN {t} - 1 < {t0} THEN least({t1}, {t0} + 2) WHEN {t} - 1 + 2 > {t1} THEN {t1} ELSE {t} - 1 + 2 END"
+    start = f"least({_ENDS.format(of, low)}, {n} - 1)"
+    return f"{start} AS a, greatest({start} + 1, CASE WHEN {high} >= {t1} THEN {n} ELSE {_ENDS.format(of, high)} END) AS z"
+
+
+_REACH = " + ".join(f"sqrt(power({_AT('x', k)} - ox, 2) + power(-({_AT('y', k)}) - oy, 2))" for k in pose.WRISTS)
+
+
+@query(f"""WITH {_BODY}, k AS (SELECT b.seq_id, b.frame AS pos, b.frame / 15.0::DOUBLE AS t, valid, CASE WHEN torso > 0 THEN ({_REACH}) / torso ELSE 0 END AS reach, count(*) OVER (PARTITION BY b.seq_id) AS n, min(b.frame / 15.0::DOUBLE) OVER (PARTITION BY b.seq_id) AS t0, max(b.frame / 15.0::DOUBLE) OVER (PARTITION BY b.seq_id) AS t1
+FROM b JOIN embeddings ON vec_id = seq_id * 40 + frame), i AS (SELECT *, pos - row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS isl FROM k WHERE valid),
+r AS (SELECT seq_id, min(pos) AS first, max(pos) + 1 AS last FROM i GROUP BY seq_id, isl QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY count(*) DESC, min(pos)) = 1),
+c AS (SELECT k.*, r.first, r.last, {_span_sql('k')} FROM k LEFT JOIN r USING (seq_id) WHERE pos = coalesce((first + last - 1) // 2, n // 2)),
+w AS (SELECT c.seq_id, CASE WHEN c.last - c.first > c.z - c.a THEN (SELECT arg_max(k.pos, {{'r': k.reach, 'p': -k.pos}}) FROM k WHERE k.seq_id = c.seq_id AND k.pos >= c.first AND k.pos < c.last) ELSE c.pos END AS anchor, first IS NULL AS empty FROM c),
+o AS (SELECT k.*, abs(k.t - q.t) AS off, {_span_sql('k')} FROM k JOIN w USING (seq_id) JOIN k q ON q.seq_id = w.seq_id AND q.pos = w.anchor WHERE abs(k.t - q.t) <= 0.5 AND (NOT empty OR k.pos = anchor)),
+v AS (SELECT o.seq_id, o.pos, o.a, o.z, o.off, (SELECT count(*) FROM k WHERE k.seq_id = o.seq_id AND k.pos >= o.a AND k.pos < o.z AND k.valid) / (o.z - o.a)::DOUBLE AS cover FROM o)
+SELECT seq_id, a::INT AS start, z::INT AS "end", round(cover, 6) AS coverage FROM v QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY cover DESC, off, pos) = 1""")
+def core_windows(read):
+    """Frames fifteen a second, so that a sequence is longer than its core."""
+    d = normalized.core_windows(frames(read).withColumn("ts_s", F.col("frame") / 15.0))
+    return d.select("seq_id", "start", "end", F.round("coverage", 6).alias("coverage"))
+
+
+@query()
+def core_quality(read):
+    return normalized.core_quality(frames(read))
+
+
+@query()
+def selected_contacts(read):
+    f = frames(read)
+    norm = cut(normalized.normalized(f))
+    return contacts_.select(norm, pose.handedness(f), normalized.swing_direction(norm), pose.identity_unstable(f))
+
+
 @query()
 def handedness(read):
     return pose.handedness(frames(read))
