@@ -26,6 +26,10 @@ def dealt(df: DataFrame, key: str, *order) -> DataFrame:
 def by_key(df: DataFrame, key: str, order: list, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """The rows that ``f`` makes of each key's rows, which come in order; rows with a null key are left out."""
 
+    def together(parts: list[pd.DataFrame]) -> dict[str, list]:
+        parts = [p for p in parts if len(p)]
+        return {c: [v for p in parts for v in p[c].tolist()] for c in parts[0].columns} if parts else {}
+
     def stream(batches):
         held: list[pd.DataFrame] = []
         for batch in batches:
@@ -39,12 +43,9 @@ def by_key(df: DataFrame, key: str, order: list, f: Callable[[pd.DataFrame], pd.
                     out.append(f(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)))
                     held = []
                 held.append(batch.iloc[a:b])
-            out = [x for x in out if len(x)]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-        if held:
-            last = f(pd.concat(held, ignore_index=True))
-            if len(last):
-                yield last
+            if found := together(out):
+                yield pd.DataFrame(found)
+        if held and (found := together([f(pd.concat(held, ignore_index=True))])):
+            yield pd.DataFrame(found)
 
     return dealt(df.where(F.col(key).isNotNull()), key, *order).mapInPandas(stream, schema)

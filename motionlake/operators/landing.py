@@ -189,7 +189,7 @@ def session_landings(events: DataFrame, calibrations: DataFrame, key: str, doubl
     d = events.join(hits, [key, "event_id"], "left")
     was = F.col("__end").isNotNull()
     d = d.withColumn("kind", F.when(was, "hit").otherwise(F.col("kind"))).withColumn("end", F.when(was, F.col("__end")).otherwise(F.col("end")))
-    d = d.withColumn("flags", F.when(was, F.array_append(F.coalesce("flags", F.array().cast("array<string>")), "relabelled_hit")).otherwise(F.col("flags"))).select(events.columns)
+    d = d.withColumn("flags", F.when(was, F.array_append(F.coalesce("flags", F.array().cast("array<string>")), "out_bounce_relabelled_hit")).otherwise(F.col("flags"))).select(events.columns)
     d = cut(d)
     return d, cut(landings(d, calibrations, key, doubles))
 

@@ -7,7 +7,7 @@ runs over one run of activity, which silence bounds.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructType
 
@@ -17,6 +17,8 @@ from motionlake.operators.rally import MAX_QUIET_S, NEAR_NET_M, RESTART_S
 
 #: Fixed values, in seconds: how long a ball is followed after a hit that counts, and how far an event may be from a track's end.
 FOLLOWED_S, JOIN_S = 0.4, 0.05
+#: The flags of a rally.
+AFTER_POINT, AT_NET, IMPLAUSIBLE, UNCONFIRMED, LOST_TRACK, TWO_BALLS = "contacts_after_point_end", "bounce_at_net", "implausible_hit_dropped", "last_hit_unconfirmed", "lost_track_gap", "two_balls"
 
 
 def runs(events: DataFrame, flights: DataFrame, key: str, quiet: float = MAX_QUIET_S) -> tuple[DataFrame, DataFrame]:
@@ -73,25 +75,36 @@ def segment(events: DataFrame, landings: DataFrame, flights: DataFrame, key: str
     """(key, rally, start, end, observed, inferred, length_min, length_max, confidence, reason, flags): a row for each rally.
 
     ``events``: event_id, t, kind (hit, bounce, net, kink), end; ``landings``: event_id, y, half, hitter_end, call;
-    ``flights``: flight_id, t0, t1, half, where each was last seen.  A point without a hit or bounce is none.
+    ``flights``: flight_id, t0, t1, half, where each was last seen.  A point without a hit or bounce is none.  The
+    first point of a run begins with it, flights included, and the last ends with it; others by their events.
     """
     found = landings.select(key, "event_id", "half", "hitter_end", F.col("call.verdict").alias("verdict"), F.abs("y").alias("net_m"))
     e, f = runs(events.select(key, "event_id", "t", "kind", "end").join(found, [key, "event_id"], "left"), flights, key)
+    around = e.select(key, "run", F.col("t").alias("t0"), F.col("t").alias("t1")).unionByName(f.select(key, "run", "t0", "t1")).groupBy(key, "run").agg(F.min("t0").alias("__from"), F.max("t1").alias("__to"))
     e = cut(points(e, key).where("point is not null").withColumn("rally", F.concat_ws(":", F.col(key), "run", "point")))
     contact = F.col("kind").isin("hit", "bounce")
-    span = e.groupBy(key, "run", "rally").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.bool_or(contact).alias("any"), F.bool_or("dropped").alias("dropped"), F.bool_or(F.coalesce(F.col("net_m") < NEAR_NET_M, F.lit(False))).alias("near_net"))
-    span = cut(span.where("any").drop("any"))
+    span = e.groupBy(key, "run", "rally", "point").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.bool_or(contact).alias("any"), F.bool_or("dropped").alias("dropped"), F.bool_or(F.coalesce(F.col("net_m") < NEAR_NET_M, F.lit(False))).alias("near_net"))
+    # the first point begins with its run and the last ends with it
+    every = Window.partitionBy(key, "run")
+    first, last = F.col("point") == F.min("point").over(every), F.col("point") == F.max("point").over(every)
+    span = span.withColumn("__first", first).withColumn("__last", last).join(around, [key, "run"])
+    span = span.withColumn("start", F.when(F.col("__first"), F.col("__from")).otherwise(F.col("start"))).withColumn("end", F.when(F.col("__last"), F.col("__to")).otherwise(F.col("end")))
+    span = cut(span.where("any").drop("any", "point", "__from", "__to"))
     e = cut(e.join(span.select("rally"), "rally", "left_semi").withColumn("side", F.coalesce("half", "end")))
-    # flights of a rally: those of its run that reach into it
-    f = f.join(span.select(key, "run", "rally", F.col("start").alias("__s"), F.col("end").alias("__z")), [key, "run"]).where((F.col("t1") >= F.col("__s") - JOIN_S) & (F.col("t0") <= F.col("__z") + JOIN_S)).select("rally", "flight_id", "t0", "t1", "half").transform(cut)
-
-    gone = rally.implausible_hits(e.where(contact | (F.col("kind") == "net")), "rally", "t", "kind", "side").select("event_id", "rally").unionByName(rally.split_strokes(e.where(contact), "rally", "t", "kind", "end").select("event_id", "rally")).distinct()
-    gone = cut(gone)
+    # flights of a rally: all of its run where that is one point, else those that reach into it
+    reach = (F.col("__first") & F.col("__last")) | (F.col("t1") >= F.col("__s") - JOIN_S) & (F.col("t0") <= F.col("__z") + JOIN_S)
+    f = f.join(span.select(key, "run", "rally", "__first", "__last", F.col("start").alias("__s"), F.col("end").alias("__z")), [key, "run"]).where(reach).select("rally", "flight_id", "t0", "t1", "half").transform(cut)
+
+    gone = cut(rally.implausible_hits(e.where(contact | (F.col("kind") == "net")), "rally", "t", "kind", "side").select("rally", "event_id"))
+    left = e.where(contact).join(gone, ["rally", "event_id"], "left_anti")
+    again = lambda d: rally.split_strokes(d, "rally", "t", "kind", "end").select("rally", "event_id")
+    flagged = cut(gone.unionByName(again(e.where(contact))).distinct())  # repeats among all hits are flagged, those among the others dropped
+    gone = cut(gone.unionByName(again(left)))
     kept = cut(e.join(gone, ["rally", "event_id"], "left_anti"))
     late = rally.unconfirmed_hits(kept, "rally", "t", "kind").select("rally", "event_id", F.col("t").alias("hit_t"), F.col("end").alias("hit_end"))
     followed = late.join(f, "rally").where((F.col("t1") >= F.col("hit_t") + FOLLOWED_S) & (F.col("t0") <= F.col("hit_t") + JOIN_S) & (F.col("half") != F.col("hit_end"))).select("rally", "event_id").distinct()
     late = cut(late.join(followed, ["rally", "event_id"], "left_anti"))
-    open_hits = late.groupBy("rally").agg(F.count(F.lit(1)).alias("unconfirmed"))
+    open_hits = late.join(flagged.withColumn("__gone", F.lit(1)), ["rally", "event_id"], "left").groupBy("rally").agg(F.count(F.lit(1)).alias("unconfirmed"), F.count_if(F.col("__gone").isNull()).alias("open"))
     last = kept.where(contact).groupBy("rally").agg(F.max(F.struct("t", "event_id", "kind", "half")).alias("c")).where("c.kind = 'bounce' and c.half is not null")
     after = last.join(f, "rally").where((F.col("t1") > F.col("c.t") + JOIN_S) & F.col("half").isNotNull()).groupBy("rally").agg(F.max(F.struct("t1", "flight_id", "half")).alias("f"), F.first("c.half").alias("own"))
     crossed = after.where("f.half <> own").select("rally", F.col("f.half").alias("crossed"))
@@ -102,7 +115,7 @@ def segment(events: DataFrame, landings: DataFrame, flights: DataFrame, key: str
     gaps = rally.lost_gaps(f, e, "rally", "t0", "t1", "t", tolerance=JOIN_S)
     two = rally.overlapping(f, "rally", "t0", "t1")
     reason = rally.end_reason(e, "rally", "t", "kind", "half", "verdict", "hitter_end")
-    lost = gone.groupBy("rally").agg(F.count(F.lit(1)).alias("implausible"))
+    lost = flagged.groupBy("rally").agg(F.count(F.lit(1)).alias("implausible"))
     d = span
     for more in (counts, seen, gaps, two, reason, open_hits, crossed, lost):
         d = d.join(more, "rally", "left")
@@ -113,8 +126,8 @@ def segment(events: DataFrame, landings: DataFrame, flights: DataFrame, key: str
     flag = lambda name, of: F.when(F.coalesce(of, F.lit(False)), name)
     flags = F.array_compact(
         F.array(
-            flag("after_point", F.col("dropped")), flag("near_net", F.col("near_net")), flag("implausible_hit", zero("implausible") > 0), flag("unconfirmed_last_hit", zero("unconfirmed") > 0),
-            flag("lost_track_gap", zero("gaps") > 0), flag("two_balls", F.col("two_balls")),
+            flag(AFTER_POINT, F.col("dropped")), flag(AT_NET, F.col("near_net")), flag(IMPLAUSIBLE, zero("implausible") > 0), flag(UNCONFIRMED, zero("open") > 0),
+            flag(LOST_TRACK, zero("gaps") > 0), flag(TWO_BALLS, F.col("two_balls")),
         )
     )
     least = F.col("observed") + F.col("inferred")

@@ -66,23 +66,37 @@ def card(df: DataFrame, metrics: list[str], bands: DataFrame, weights: dict[str,
         if (r := found.get(m)) is None:
             continue
         band = {c: F.lit(None if r[c] is None else float(r[c])).cast("double") for c in ("ideal_min", "ideal_max", "hard_min", "hard_max")}
-        points, verdict = score(F.col(m).cast("double"), F.lit(bool(r.lower_is_better)), band)
-        df = df.withColumn(f"__s_{m}", points)
-        rows.append(F.struct(F.lit(m).alias("metric"), F.lit(r.category).alias("category"), F.col(m).cast("double").alias("value"), F.col(f"__s_{m}").alias("score"), verdict.alias("verdict")))
-        of.setdefault(r.category, []).append((F.col(f"__s_{m}"), float(r.weight)))
+        value = F.col(m).cast("double")
+        points, verdict = score(value, F.lit(bool(r.lower_is_better)), band)
+        of.setdefault(r.category, []).append((len(rows), float(r.weight)))
+        rows.append(F.struct(F.lit(m).alias("metric"), F.lit(r.category).alias("category"), value.alias("value"), points.alias("score"), verdict.alias("verdict")))
 
     def mean(parts):
         total = sum((F.coalesce(s * w, F.lit(0.0)) for s, w in parts), F.lit(0.0))
         return total / F.nullif(sum((F.when(s.isNotNull(), w).otherwise(0.0) for s, w in parts), F.lit(0.0)), F.lit(0.0))
 
-    for c in weights:
-        df = df.withColumn(f"__c_{c}", half_even(mean(of[c]), 1) if of[c] else F.lit(None).cast("double"))
     count = lambda xs: sum((x.isNotNull().cast("long") for x in xs), F.lit(0).cast("long"))
-    cats = [F.struct(F.lit(c).alias("category"), F.col(f"__c_{c}").alias("score"), count([s for s, _ in of[c]]).alias("available"), F.lit(len(of[c])).cast("long").alias("total")) for c in weights]
-    whole = [(F.col(f"__c_{c}"), w) for c, w in weights.items()]
-    overall_ = F.when(count([s for s, _ in whole]) >= least, half_even(F.round(mean(whole), 9), 1))
-    df = df.withColumn("scores", F.array(*rows)).withColumn("categories", F.array(*cats)).withColumn("overall", overall_)
-    return df.drop(*(f"__s_{m}" for m in metrics), *(f"__c_{c}" for c in weights))
+
+    def category(scores: Column, c: str) -> Column:
+        own = [(scores[k]["score"], w) for k, w in of[c]]
+        value = half_even(mean(own), 1) if own else F.lit(None).cast("double")
+        return F.struct(F.lit(c).alias("category"), value.alias("score"), count([s for s, _ in own]).alias("available"), F.lit(len(own)).cast("long").alias("total"))
+
+    def whole(z: Column) -> Column:
+        means = [(z["categories"][k]["score"], w) for k, w in enumerate(weights.values())]
+        total = F.when(count([s for s, _ in means]) >= least, half_even(F.round(mean(means), 9), 1))
+        return F.struct(z["scores"].alias("scores"), z["categories"].alias("categories"), total.alias("overall"))
+
+    empty = F.array().cast("array<struct<metric: string, category: string, value: double, score: double, verdict: string>>")
+    scored = F.struct((F.array(*rows) if rows else empty).alias("scores"))
+    both = once(scored, lambda z: F.struct(z["scores"].alias("scores"), F.array(*(category(z["scores"], c) for c in weights)).alias("categories")))
+    names = [c for c in df.columns if c not in ("scores", "categories", "overall")]
+    return df.withColumn("__card", once(both, whole)).select(*names, "__card.scores", "__card.categories", "__card.overall")
+
+
+def once(value: Column, f) -> Column:
+    """f(value), where the value is worked out once however often ``f`` reads it: the optimiser copies plain expressions."""
+    return F.transform(F.array(value), f)[0]
 
 
 def metric_scores(df: DataFrame, key: str, metrics: list[str], bands: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from motionlake import sources
 from motionlake.functions import cut, normal_cdf, over
-from motionlake.operators import ball, ballevents, calibration, court, dashboard, evaluation, history, inference, landing, pose, rallies, segmentation, swing, textguard
+from motionlake.operators import ball, ballevents, calibration, court, courtsession, dashboard, evaluation, history, inference, landing, pose, rallies, segmentation, swing, textguard
 from motionlake.operators import contacts as contacts_
 from motionlake.operators import flights as flights_
 from motionlake.operators import normalized, series
@@ -395,6 +395,41 @@ def background_samples(read):
     return ball.even_samples(swings(read), "session", "frame", 5).select("session", "frame")
 
 
+def whole_sessions(read) -> courtsession.Analysis:
+    """Sessions of the ball's flights: every seventh has a moving camera, every fifth is bumped half way, every eleventh has no map."""
+    candidates, shown = seen_balls(read)
+    last = shown.groupBy("session").agg(F.max("time_s").alias("last"))
+    verdict = F.when(F.col("session") % 7 == 3, "moving").when(F.col("session") % 13 == 5, "unknown").otherwise("stable")
+    stability = last.select("session", verdict.alias("verdict"), F.when(F.col("session") % 5 == 1, F.col("last") / 2).alias("bumped_at"), F.lit(1.0).alias("rms"))
+    wobble = F.array().cast("array<struct<plus: array<double>, minus: array<double>, step: double>>")
+    maps = session_maps(read).where("session % 11 <> 4").withColumn("sigma_tap_px", F.lit(1.0)).withColumn("wobble", wobble).withColumn("calls_allowed", F.lit(True))
+    w = over("session", "frame")
+    nothing = F.lit(None).cast("double")
+    hits = swings(read).withColumn("rn", F.row_number().over(w)).where("kind = 'click'").select(
+        "session", ((F.col("rn") - 1) / 5.0).alias("time_s"), nothing.alias("wrist_u"), nothing.alias("wrist_v"), F.when(F.col("k") < 50, "near").otherwise("far").alias("end"), (F.col("k") / 100).alias("confidence"),
+        F.lit("forehand").alias("shot_type"), nothing.alias("feet_u"), nothing.alias("feet_v"),
+    )
+    return courtsession.analyze(candidates, shown, stability, maps, hits, "session", "at")
+
+
+@query(f"""WITH {E}, n AS (SELECT session, count(*) - 1 AS n FROM e GROUP BY session HAVING count(*) > 1), v AS (SELECT *, (n * 6 - 1) / 30.0::DOUBLE AS last, CASE WHEN session % 5 = 1 THEN (n * 6 - 1) / 30.0::DOUBLE / 2 END AS bump,
+CASE WHEN session % 7 = 3 THEN 'camera_moving' WHEN session % 13 = 5 THEN 'camera_unknown' WHEN session % 11 = 4 THEN 'not_calibrated' END AS reason FROM n)
+SELECT session, CASE WHEN reason IS NOT NULL THEN 'refused' WHEN bump IS NOT NULL THEN 'partial' ELSE 'complete' END AS status, reason AS refusal_reason, round(CASE WHEN reason IS NULL THEN coalesce(bump, last) END, 6) AS analysed_until_s FROM v""")
+def session_verdicts(read):
+    _, shown = seen_balls(read)
+    last = shown.groupBy("session").agg(F.max("time_s").alias("last"))
+    verdict = F.when(F.col("session") % 7 == 3, "moving").when(F.col("session") % 13 == 5, "unknown").otherwise("stable")
+    stability = last.select("session", verdict.alias("verdict"), F.when(F.col("session") % 5 == 1, F.col("last") / 2).alias("bumped_at"), F.lit(1.0).alias("rms"))
+    d = courtsession.verdicts(shown, stability, session_maps(read).where("session % 11 <> 4"), "session")
+    return d.select("session", "status", "refusal_reason", F.round("analysed_until_s", 6).alias("analysed_until_s"))
+
+
+@query()
+def court_sessions(read):
+    """Rallies of whole sessions, from candidates on."""
+    return whole_sessions(read).rallies
+
+
 # court --------------------------------------------------------------------------------------------
 
 

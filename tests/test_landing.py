@@ -156,7 +156,7 @@ def test_rallies(spark):
     got = [x.asDict() for x in rallies.segment(e, found, flights, "s").orderBy("rally").collect()]
     assert [(x["rally"], x["observed"], x["inferred"], x["length_min"], x["length_max"], x["confidence"], x["reason"], x["flags"]) for x in got] == [
         (0, 2, 0, 2, 2, "high", "double_bounce", []),
-        (1, 1, 0, 1, 2, "medium", "timeout", ["unconfirmed_last_hit"]),  # the hit is where the tracks join
+        (1, 1, 0, 1, 2, "medium", "timeout", ["last_hit_unconfirmed"]),  # the hit is where the tracks join
     ]
 
 
