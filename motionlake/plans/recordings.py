@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from motionlake import sources
 from motionlake.functions import cut, normal_cdf, over
-from motionlake.operators import ball, ballevents, calibration, court, courtsession, dashboard, evaluation, history, inference, landing, pose, rallies, segmentation, swing, textguard
+from motionlake.operators import ball, ballevents, calibration, court, courtfit, courtsession, dashboard, evaluation, history, inference, landing, pose, rallies, segmentation, swing, textguard
 from motionlake.operators import contacts as contacts_
 from motionlake.operators import flights as flights_
 from motionlake.operators import normalized, series
@@ -395,6 +395,33 @@ def background_samples(read):
     return ball.even_samples(swings(read), "session", "frame", 5).select("session", "frame")
 
 
+def court_segments(read) -> DataFrame:
+    """Segments of a frame for each vector: the court's lines from one of three cameras, each in two pieces, shaken by the vector, and clutter."""
+    e = read("embeddings")
+    v = lambda k: F.col("embedding")[k % 64].cast("double")
+    pieces = []
+    for n in range(3):
+        m = np.array(cameras(e.sparkSession).where(F.col("camera") == n).first().h).reshape(3, 3)
+        to_image = np.linalg.inv(m)
+        own = []
+        for k, (x0, y0, x1, y1) in enumerate(courtfit.LINES.tolist()):
+            for j, (a, b) in enumerate(((0.0, 0.48), (0.52, 1.0))):
+                ends = []
+                for c, share in enumerate((a, b)):
+                    p = to_image @ [x0 + share * (x1 - x0), y0 + share * (y1 - y0), 1.0]
+                    ends += [F.lit(float(p[0] / p[2])) + v(4 * k + 2 * j + c), F.lit(float(p[1] / p[2])) + v(4 * k + 2 * j + c + 7)]
+                own.append(F.struct(*(x.alias(name) for x, name in zip(ends, ("x0", "y0", "x1", "y1"), strict=True))))
+        pieces.append(F.array(*own))
+    clutter = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(*(((F.element_at("embedding", (i * 4 + c) % 64 + 1).cast("double") + 1) * half).alias(n) for c, (n, half) in enumerate((("x0", 960), ("y0", 540), ("x1", 960), ("y1", 540))))))
+    lines = F.when(F.col("vec_id") % 4 == 0, pieces[0]).when(F.col("vec_id") % 4 == 1, pieces[1]).when(F.col("vec_id") % 4 == 2, pieces[2]).otherwise(F.slice(pieces[0], 1, 3))
+    return e.select("vec_id", F.inline(F.concat(lines, clutter)))
+
+
+@query()
+def court_hypotheses(read):
+    return courtfit.fit_courts(court_segments(read), "vec_id", 1920, 1080)
+
+
 def whole_sessions(read) -> courtsession.Analysis:
     """Sessions of the ball's flights: every seventh has a moving camera, every fifth is bumped half way, every eleventh has no map."""
     candidates, shown = seen_balls(read)
