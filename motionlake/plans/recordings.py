@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from motionlake import sources
 from motionlake.functions import cut, normal_cdf, over
-from motionlake.operators import ball, ballevents, calibration, court, courtfit, courtsession, dashboard, evaluation, history, inference, landing, pose, rallies, segmentation, swing, textguard
+from motionlake.operators import ball, ballevents, calibration, court, courtfit, courtsession, dashboard, evaluation, history, inference, landing, pose, rallies, segmentation, sessions, swing, textguard
 from motionlake.operators import contacts as contacts_
 from motionlake.operators import flights as flights_
 from motionlake.operators import normalized, series
@@ -138,6 +138,23 @@ def core_quality(read):
     return normalized.core_quality(frames(read))
 
 
+def long_sessions(read) -> tuple[DataFrame, DataFrame]:
+    """Sessions of 240 frames whose hips and torso hold, so that one body is followed, and the hand by the session's number."""
+    e = frames(read).withColumn("frame", (F.col("seq_id") % 6 * 40 + F.col("frame")).cast("int")).withColumn("seq_id", F.floor(F.col("seq_id") / 6).cast("long")).withColumn("ts_s", F.col("frame") / 30.0)
+    e = e.withColumn("ox", F.col("ox") * 0.01).withColumn("oy", F.col("oy") * 0.01).withColumn("torso", F.lit(0.5))
+    return e, e.select("seq_id").distinct().withColumn("hand", F.when(F.col("seq_id") % 2 == 0, "right").otherwise("left"))
+
+
+@query()
+def session_windows(read):
+    return sessions.swing_windows(*long_sessions(read))
+
+
+@query()
+def session_swings(read):
+    return sessions.segment_session(*long_sessions(read))
+
+
 @query()
 def selected_contacts(read):
     f = frames(read)
