@@ -167,13 +167,13 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
 
     dealt = cut(plain.mapInArrow(deal, "id long, v binary, list int, probes array<int>").withColumn("row", F.monotonically_increasing_id()))
     counts = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    stored = dealt.join(F.broadcast(counts), "list").select("list", F.pmod("row", "blocks").cast("int").alias("block"), "id", "v")  # at most LISTS rows
+    stored = dealt.join(F.broadcast(counts), "list").select("list", F.pmod(F.xxhash64("row"), "blocks").cast("int").alias("block"), "id", "v")  # at most LISTS rows
     stored = stored.groupBy("list", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     asked = dealt.where(F.size("probes") > 0).select("id", "v", "row", F.explode("probes").alias("list"))
     asks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
     asked = asked.join(F.broadcast(asks), "list").join(F.broadcast(counts), "list")
     # a query meets each block of a probed list
-    asked = asked.groupBy("list", F.pmod("row", "parts").alias("part"), "blocks").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
+    asked = asked.groupBy("list", F.pmod(F.xxhash64("row"), "parts").alias("part"), "blocks").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
     asked = asked.select("list", "asked", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def measure(batches):

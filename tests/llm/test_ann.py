@@ -125,3 +125,20 @@ def test_ids_that_are_no_numbers(spark):
     df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
     got = {(r.query_id, r["rank"]): r.vec_id for r in search(df, F.col("vec_id") == "v010", k=3, recall=1.0).collect()}
     assert got == {("v010", 1): "v009", ("v010", 2): "v011", ("v010", 3): "v008"}
+
+
+def test_blocks_are_even_where_rows_recur(spark, monkeypatch):
+    """Vectors of a list in every seventh row: blocks dealt by row number would put them all in one."""
+    monkeypatch.setattr(ann, "BLOCK", 70)
+    seen = []
+    keep = ann.cut
+    monkeypatch.setattr(ann, "cut", lambda df: seen.append(keep(df)) or seen[-1])
+    r = random.Random(3)
+    middle = [[10.0 * (k == j) for j in range(4)] for k in range(7)]
+    rows = [(i, [c + r.gauss(0, 0.1) for c in middle[i % 7 % 4]]) for i in range(2100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = ann.search(df, F.col("vec_id") % 100 == 0)
+    assert got.groupBy("query_id").count().where("count = 10").count() == 21
+    stored = seen[0].groupBy("list").agg(F.ceil(F.count(F.lit(1)) / 70).cast("int").alias("blocks"), F.collect_list("row").alias("rows")).select("list", "blocks", F.explode("rows").alias("row"))
+    sizes = [x["count"] for x in stored.groupBy("list", F.pmod(F.xxhash64("row"), "blocks").alias("b")).count().collect()]
+    assert max(sizes) < 2.5 * 70

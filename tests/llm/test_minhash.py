@@ -92,3 +92,9 @@ def test_ids_that_are_no_numbers(spark):
     got = near_duplicates(df, shingle_words=2, bands=14).collect()
     want = [(f"d{i:05}", n, f"d{c:05}", k) for i, n, c, k in brute(rows, 2, 80)] + [(None, 2, None, False)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_components_do_not_depend_on_how_candidates_are_listed(spark):
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(df, shingle_words=2, listed=0).collect())) == sorted(map(tuple, near_duplicates(df, shingle_words=2, listed=4096).collect()))
