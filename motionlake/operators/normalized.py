@@ -133,8 +133,8 @@ def core_quality(fr: DataFrame, height: str = "height_px") -> DataFrame:
 
 
 def marks_of(norm: DataFrame) -> DataFrame:
-    """(seq_id, frame, ts_s, pos, marks): the landmarks of each frame as one array, as the measures of a swing take them."""
-    mark = F.struct("landmark", "x", "y", (F.col("valid") & (F.col("visibility") >= VISIBLE)).alias("seen"))
+    """(seq_id, frame, ts_s, pos, marks): the landmarks of each frame as one array, as the measures of a swing take them; seen are those visible by themselves."""
+    mark = F.struct("landmark", "x", "y", F.coalesce(F.col("visibility") >= VISIBLE, F.lit(False)).alias("seen"))
     d = norm.groupBy("seq_id", "frame", "ts_s").agg(F.array_sort(F.collect_list(mark)).alias("m"))  # 33 of them
     d = d.withColumn("pos", F.row_number().over(over("seq_id", "frame")) - 1)
     return d.select("seq_id", "frame", "ts_s", "pos", F.transform("m", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["seen"].alias("seen"))).alias("marks"))

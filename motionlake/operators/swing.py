@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from motionlake.functions import angle_deg, over, ratio
 from motionlake.operators import series
-from motionlake.operators.pose import ELBOWS, NOSE, SHOULDERS, VISIBLE, WRISTS, torso_scale
+from motionlake.operators.pose import ANKLES, ELBOWS, HIPS, KNEES, NOSE, SHOULDERS, VISIBLE, WRISTS, axial_mean, torso_scale
 
 #: Frames before and after contact of the path's fit, points that a fit needs, frames
 #: before contact where the wrist's lag is read, frames around contact for the wrists' distance.
 PATH_BEFORE, PATH_AFTER, FIT_POINTS, LAG_LEAD, NEAR_CONTACT, LEAST_NORM = 6, 3, 3, 3, 3, 1e-9
+#: Torso lengths that a line of the body has at least, frames that a turn needs, and those of its start.
+SHOULDER_LINE_TU, HIP_LINE_TU, TURN_FRAMES, TURN_START = 0.10, 0.08, 5, 3
 
 
 def in_torsos(fr: DataFrame) -> DataFrame:
@@ -146,3 +148,60 @@ def swing_length(marks: DataFrame, phases: DataFrame, hands: DataFrame) -> DataF
     way = series.path_length(d, "seq_id", "pos", "x", "y", "seen").withColumnRenamed("length", "__way")
     g = d.groupBy("seq_id").agg(F.count_if("seen").alias("n"), (F.max("ts_s") - F.min("ts_s")).alias("duration_s")).join(way, "seq_id", "left")
     return g.select("seq_id", F.when(F.col("n") >= 2, F.col("__way")).alias("length_tu"), "duration_s")
+
+
+def line_turn(marks: DataFrame, phases: DataFrame, pair: tuple[int, int] = SHOULDERS, least_tu: float = SHOULDER_LINE_TU, line: str = "shoulder_line") -> DataFrame:
+    """(seq_id, turn_deg, flag): how far the line between two landmarks turns during the swing, 0 to 90 degrees.
+
+    A frame counts if both are seen and the line is not foreshortened below ``least_tu``.  The start is the mean
+    direction of the first TURN_START such frames; the turn is the largest difference from it, once each has
+    given way to the median of itself and its neighbours.  A line has no direction along itself, so that
+    swapped landmarks change nothing.  With fewer than TURN_FRAMES such frames there is no turn, and a flag says
+    whether foreshortening took any; sequences without a swing have no row.
+    """
+    m = F.col("marks")
+    dx, dy = m[pair[1]]["x"] - m[pair[0]]["x"], m[pair[1]]["y"] - m[pair[0]]["y"]
+    d = within(marks, swing_span(phases)).select("seq_id", "pos", seen(*pair).alias("both"), F.hypot(dx, dy).alias("long"), F.degrees(F.atan2(dy, dx)).alias("angle"))
+    finite = F.coalesce(~F.isnan("long") & (F.col("long") < float("inf")), F.lit(False))
+    d = d.withColumn("good", F.col("both") & finite & (F.col("long") >= least_tu)).withColumn("short", F.col("both") & finite & (F.col("long") < least_tu))
+    per = d.groupBy("seq_id").agg(F.count_if("good").alias("n"), F.bool_or("short").alias("short"))
+    g = d.where("good").withColumn("k", F.row_number().over(over("seq_id", "pos")))
+    start = axial_mean(g.where(F.col("k") <= TURN_START), "seq_id", "angle").withColumnRenamed("mean", "start")
+    off = F.abs(F.pmod(F.col("angle") - F.col("start") + 90.0, F.lit(180.0)) - 90.0)
+    w = over("seq_id", "k")
+    g = g.join(start, "seq_id").withColumn("b", off).withColumn("a", F.lag("b").over(w)).withColumn("c", F.lead("b").over(w))
+    middle = F.col("a") + F.col("b") + F.col("c") - F.greatest("a", "b", "c") - F.least("a", "b", "c")
+    peak = g.where("a is not null and c is not null").groupBy("seq_id").agg(F.max(middle).alias("peak"))
+    few = F.col("n") < TURN_FRAMES
+    flag = F.when(few & F.col("short"), f"{line}_foreshortened").when(few, f"{line}_too_few_frames")
+    return per.join(peak, "seq_id", "left").select("seq_id", F.when(~few, F.least(F.greatest("peak", F.lit(0.0)), F.lit(90.0))).alias("turn_deg"), flag.alias("flag"))
+
+
+def hip_turn(marks: DataFrame, phases: DataFrame) -> DataFrame:
+    """The turn of the line of the hips."""
+    return line_turn(marks, phases, HIPS, HIP_LINE_TU, "hip_line")
+
+
+def turn_warning(metric: Column, flag: Column) -> Column:
+    """The warning for a turn's flag; it begins with the flag."""
+    return F.concat(flag, F.lit(": "), metric, F.lit(f" unavailable, fewer than {TURN_FRAMES} reliable frames in the swing (a frame needs both landmarks visible and the body line not foreshortened)"))
+
+
+def front_leg(marks: DataFrame, contacts: DataFrame, directions: DataFrame) -> DataFrame:
+    """(seq_id, side): left or right, the leg whose knee is further towards the target at contact, of those seen whole; the left if level."""
+    at = marks.join(contacts.select("seq_id", "pos"), ["seq_id", "pos"]).join(directions.select("seq_id", "direction"), "seq_id")
+    ahead = [F.when(seen(HIPS[k], KNEES[k], ANKLES[k]), F.col("marks")[KNEES[k]]["x"] * F.col("direction")) for k in (0, 1)]
+    side = F.when(ahead[0].isNull() & ahead[1].isNull(), None).when(ahead[1].isNull() | (ahead[0] >= ahead[1]), "left").otherwise("right")
+    return at.select("seq_id", side.alias("side")).where("side is not null")
+
+
+def knee_flexion(marks: DataFrame, phases: DataFrame, contacts: DataFrame, directions: DataFrame) -> DataFrame:
+    """(seq_id, angle_deg): the least angle at the front knee during the forward swing, of frames in which that leg is seen whole."""
+    d = within(marks, phase_span(phases, "forward_swing")).join(front_leg(marks, contacts, directions), "seq_id")
+    m = F.col("marks")
+
+    def bend(k: int) -> Column:
+        hip, knee, ankle = m[HIPS[k]], m[KNEES[k]], m[ANKLES[k]]
+        return F.when(seen(HIPS[k], KNEES[k], ANKLES[k]), angle_deg(hip["x"] - knee["x"], hip["y"] - knee["y"], ankle["x"] - knee["x"], ankle["y"] - knee["y"]))
+
+    return d.groupBy("seq_id").agg(F.min(F.when(F.col("side") == "left", bend(0)).otherwise(bend(1))).alias("angle_deg")).where("angle_deg is not null")

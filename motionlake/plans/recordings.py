@@ -711,6 +711,45 @@ def clip_summary(read):
 # swing metrics --------------------------------------------------------------------------------------
 
 
+_TURN_SPAN = "pos BETWEEN 5 AND 30"
+
+
+def turned(read) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Normalised marks, phases at fixed frames, a contact and a direction for each sequence."""
+    norm = cut(normalized.normalized(frames(read)))
+    each = norm.select("seq_id").distinct()
+    spans = F.array(*(F.struct(F.lit(n).alias("phase"), F.lit(a).alias("start"), F.lit(z).alias("end")) for n, a, z in (("takeback", 5, 12), ("forward_swing", 12, 20), ("follow_through", 22, 31))))
+    return normalized.marks_of(norm), each.select("seq_id", F.inline(spans)), each.withColumn("pos", F.lit(19)), normalized.swing_direction(norm)
+
+
+def _turn_sql(a: int, b: int, least: float, line: str) -> str:
+    half = lambda x: f"({x}) + 90 - 180 * floor((({x}) + 90) / 180) - 90"
+    return f"""WITH {_NORM}, p AS (SELECT seq_id, frame AS pos, max(x) FILTER (landmark = {b}) - max(x) FILTER (landmark = {a}) AS dx, max(y) FILTER (landmark = {b}) - max(y) FILTER (landmark = {a}) AS dy,
+min(visibility) FILTER (landmark IN ({a}, {b})) >= 0.5 AS shown FROM norm GROUP BY ALL), q AS (SELECT *, shown AND sqrt(dx * dx + dy * dy) >= {least} AS good, shown AND sqrt(dx * dx + dy * dy) < {least} AS short, degrees(atan2(dy, dx)) AS angle FROM p WHERE {_TURN_SPAN} AND seq_id IN (SELECT seq_id FROM p GROUP BY seq_id HAVING max(pos) >= 5)),
+g AS (SELECT seq_id, angle, row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS k FROM q WHERE good), s AS (SELECT seq_id, degrees(atan2(avg(sin(radians(2 * angle))), avg(cos(radians(2 * angle))))) / 2 AS start FROM g WHERE k <= 3 GROUP BY seq_id),
+o AS (SELECT seq_id, k, abs({half('angle - start')}) AS v FROM g JOIN s USING (seq_id)), m AS (SELECT seq_id, lag(v) OVER w AS a, v AS b, lead(v) OVER w AS c FROM o WINDOW w AS (PARTITION BY seq_id ORDER BY k)),
+t AS (SELECT seq_id, max(a + b + c - greatest(a, b, c) - least(a, b, c)) AS peak FROM m WHERE a IS NOT NULL AND c IS NOT NULL GROUP BY seq_id), n AS (SELECT seq_id, count(*) FILTER (good) AS n, bool_or(short) AS short FROM q GROUP BY seq_id)
+SELECT seq_id, round(CASE WHEN n >= 5 THEN least(greatest(peak, 0), 90) END, 6) AS turn_deg, CASE WHEN n < 5 AND short THEN '{line}_foreshortened' WHEN n < 5 THEN '{line}_too_few_frames' END AS flag FROM n LEFT JOIN t USING (seq_id)"""
+
+
+@query(_turn_sql(11, 12, swing.SHOULDER_LINE_TU, "shoulder_line"))
+def shoulder_turn(read):
+    marks, ph, _, _ = turned(read)
+    return swing.line_turn(marks, ph).withColumn("turn_deg", F.round("turn_deg", 6))
+
+
+@query(_turn_sql(23, 24, swing.HIP_LINE_TU, "hip_line"))
+def hip_turn(read):
+    marks, ph, _, _ = turned(read)
+    return swing.hip_turn(marks, ph).withColumn("turn_deg", F.round("turn_deg", 6))
+
+
+@query()
+def knee_flexion(read):
+    marks, ph, at, ways = turned(read)
+    return swing.knee_flexion(marks, ph, at, ways)
+
+
 def posed(read) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Marks of the pose frames, a racket hand and a contact for each sequence."""
     marks = swing.in_torsos(frames(read))

@@ -73,7 +73,7 @@ def test_normalised_marks_against_a_slow_reading(spark):
             for k in (0, 11, 15, 28):
                 g = got[i, k, f]
                 assert np.allclose([g.x, g.y, g.vx, g.vy, g.ax, g.ay], [*x[f, k], *v[f, k], *a[f, k]], atol=1e-7), (i, f, k)
-                assert marks[i, f][k].x == g.x and marks[i, f][k].seen == (bool(valid[f]) and rows[f][6][k][3] >= 0.5)
+                assert marks[i, f][k].x == g.x and marks[i, f][k].seen == (rows[f][6][k][3] >= 0.5)
         path = {k: np.linalg.norm(np.diff(x[:, k], axis=0), axis=1).sum() for k in (15, 16)}
         k = 16 if path[16] >= path[15] else 15
         speed = np.linalg.norm(v[:, k], axis=1)

@@ -1,6 +1,7 @@
 """Swing metrics against numpy on arrays."""
 
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -85,3 +86,69 @@ def test_folds_and_signs(spark):
     assert [r[0] for r in df.select(swing.forward_fold(F.col("a"))).collect()] == [45.0, -45.0, 20.0, 90.0, None, 4.0, -7.0, 5.0]
     got = {r.k: r.a for r in swing.largest_signed(df, "k", "a").collect()}
     assert abs(got[1]) == 135.0 and got[2] == 90.0 and got[3] is None and got[4] == -7.0
+
+
+def slow_turn(frames, a, b, least, line):
+    """(turn, flag) of one sequence's frames within the swing: (marks, seen) of both landmarks."""
+    good, short = [], False
+    for (ax, ay, sa), (bx, by, sb) in ((f[a], f[b]) for f in frames):
+        if sa and sb:
+            if math.hypot(bx - ax, by - ay) >= least:
+                good.append(math.degrees(math.atan2(by - ay, bx - ax)))
+            else:
+                short = True
+    if len(good) < 5:
+        return None, f"{line}_foreshortened" if short else f"{line}_too_few_frames"
+    s, c = (sum(f(math.radians(2 * x)) for x in good[:3]) / 3 for f in (math.sin, math.cos))
+    start = math.degrees(math.atan2(s, c)) / 2
+    off = [abs((x - start + 90) % 180 - 90) for x in good]
+    return max(sorted(off[k - 1 : k + 2])[1] for k in range(1, len(off) - 1)), None
+
+
+def test_turns_and_knees_against_slow_readings(spark):
+    r = random.Random(6)
+    rows, spans, want, knees, sides = [], [], {}, {}, {}
+    for i in range(40):
+        n, turn = r.choice([4, 12, 30]), r.uniform(-4, 4)
+        frames = []
+        for f in range(n):
+            size = r.choice([0.05, 0.3, 0.3, 0.3])
+            angle = math.radians(turn * f + r.gauss(0, 2))
+            marks = [(r.gauss(0, 1), r.gauss(0, 1), r.random() < 0.9) for _ in range(33)]
+            for a, b in ((11, 12), (23, 24)):
+                marks[b] = (marks[a][0] + size * math.cos(angle), marks[a][1] + size * math.sin(angle), marks[b][2])
+            frames.append(marks)
+            rows.append((i, f, f / 30, f, [{"x": x, "y": y, "seen": s} for x, y, s in marks]))
+        spans += [(i, "takeback", 1, 4), (i, "forward_swing", 3, min(n, 8)), (i, "follow_through", 5, n)]
+        inside = frames[1:n] if n > 5 else None
+        if inside:
+            want[i] = [slow_turn(inside, 11, 12, 0.10, "shoulder_line"), slow_turn(inside, 23, 24, 0.08, "hip_line")]
+        way = 1 if i % 2 else -1
+        at = frames[3]
+        legs = [(at[k][0] * way, -j, (h, k, a)) for j, (h, k, a) in enumerate(((23, 25, 27), (24, 26, 28))) if at[h][2] and at[k][2] and at[a][2]]
+        if legs:
+            leg = max(legs)[2]
+            sides[i] = "left" if leg[0] == 23 else "right"
+            bends = []
+            for m in frames[3 : min(n, 8)]:
+                h, k, a = (m[j] for j in leg)
+                if h[2] and k[2] and a[2]:
+                    u, v = (h[0] - k[0], h[1] - k[1]), (a[0] - k[0], a[1] - k[1])
+                    bends.append(math.degrees(math.acos(max(-1, min(1, (u[0] * v[0] + u[1] * v[1]) / (math.hypot(*u) * math.hypot(*v)))))))
+            if bends:
+                knees[i] = min(bends)
+    marks = spark.createDataFrame(rows, "seq_id int, frame int, ts_s double, pos int, marks array<struct<x: double, y: double, seen: boolean>>")
+    ph = spark.createDataFrame(spans, "seq_id int, phase string, start int, end int")
+    contacts = marks.select("seq_id").distinct().withColumn("pos", F.lit(3))
+    ways = contacts.select("seq_id", F.when(F.col("seq_id") % 2 == 1, 1).otherwise(-1).alias("direction"))
+    for k, found in enumerate((swing.line_turn(marks, ph), swing.hip_turn(marks, ph))):
+        got = {x.seq_id: (x.turn_deg, x.flag) for x in found.collect()}
+        assert set(got) == set(want)
+        for i, (turn, flag) in ((i, w[k]) for i, w in want.items()):
+            assert got[i][1] == flag and (got[i][0] is None if turn is None else abs(got[i][0] - turn) < 1e-6)
+    assert {w[0][1] for w in want.values()} == {None, "shoulder_line_foreshortened"} or len({w[0][1] for w in want.values()}) >= 2
+    assert {x.seq_id: x.side for x in swing.front_leg(marks, contacts, ways).collect()} == sides
+    got = {x.seq_id: x.angle_deg for x in swing.knee_flexion(marks, ph, contacts, ways).collect()}
+    assert set(got) == set(knees) and all(abs(got[i] - v) < 1e-5 for i, v in knees.items())
+    warned = spark.range(1).select(swing.turn_warning(F.lit("hip_rotation_deg"), F.lit("hip_line_foreshortened")).alias("w")).first().w
+    assert warned.startswith("hip_line_foreshortened: hip_rotation_deg unavailable")
