@@ -306,7 +306,8 @@ def metric_scores(read):
 p AS (SELECT {_ITEM}, category, sum(weight * score) / sum(weight) AS raw, count(score) AS available, count(*) AS total FROM s GROUP BY ALL), i AS (SELECT DISTINCT {_ITEM} FROM s)
 SELECT {_ITEM}, category, round(round_even(raw, 1), 6) AS score, coalesce(available, 0) AS available, coalesce(total, 0) AS total FROM i CROSS JOIN k LEFT JOIN p USING ({_ITEM}, category)""")
 def category_scores(read):
-    return carded_items(read).select(*_ITEM.split(", "), F.inline("categories"))
+    # every item has all categories; inline would have the optimiser ask for that by working them out once more
+    return carded_items(read).select(*_ITEM.split(", "), F.inline_outer("categories"))
 
 
 @query(f"""WITH {SCORED}, p AS (SELECT {_ITEM}, category, round_even(sum(weight * score) / sum(weight), 1) AS sc FROM s GROUP BY ALL), w AS (SELECT *, CASE category WHEN 'contact' THEN 0.30 WHEN 'swing_path' THEN 0.25 ELSE 0.15 END::DOUBLE AS cw FROM p)
