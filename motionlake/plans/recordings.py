@@ -495,7 +495,10 @@ def calibrate_court(read):
 
 @query(f"WITH {C}, z AS (SELECT session, frame, (11.885 - k / 7) / (value / 100) AS z FROM c) SELECT session, frame, round({normal_sql('z')}, 6) AS p FROM z")
 def in_court_probability(read):
-    return contacts(read).select("session", "frame", normal_cdf((F.lit(court.HALF_LENGTH) - F.col("k") / 7) / (F.col("value") / 100)).alias("p"))
+    room, sigma = F.lit(court.HALF_LENGTH) - F.col("k") / 7, F.col("value") / 100
+    # without deviation all is on one side
+    z = F.when(sigma == 0, room * float("inf")).otherwise(room / F.nullif(sigma, F.lit(0.0)))
+    return contacts(read).select("session", "frame", normal_cdf(z).alias("p"))
 
 
 def bounces(read) -> DataFrame:

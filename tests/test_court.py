@@ -21,6 +21,16 @@ def test_normal_cdf(spark):
     assert all(abs(g[0] - 0.5 * (1 + math.erf(z / math.sqrt(2)))) < 1e-7 for g, z in zip(got, zs))
 
 
+def test_in_court_probability_without_deviation(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, 7, "click", 0.0, '{"k": 3}'), (2, 7, "view", 0.0, '{"k": 99}'), (3, 7, "view", 900.0, '{"k": 70}'), (4, 7, "view", None, '{"k": 70}')]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.frame: r.p for r in entry.queries()["in_court_probability"](spark, str(tmp_path)).collect()}
+    assert got[1] == 1.0 and got[2] == 0.0 and abs(got[3] - 0.5 * (1 + math.erf(1.885 / 9 / math.sqrt(2)))) < 1e-6 and got[4] is None
+
+
 def test_covariance_and_calls(spark):
     h = (1.2, 0.1, 3.0, 0.05, 0.9, -2.0, 0.01, 0.02, 1.0)
     df = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
