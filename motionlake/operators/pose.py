@@ -188,7 +188,9 @@ def axial_mean(df: DataFrame, key: str, angle: str) -> DataFrame:
 
 def net_turn(df: DataFrame, key: str, order: str, angle: str) -> DataFrame:
     """(key, turn): sum of the shortest turns of a line from row to row."""
-    step = F.pmod(F.col(angle) - F.lag(angle).over(over(key, order)) + 90.0, F.lit(180.0)) - 90.0
+    ahead = F.col(angle) - F.lag(angle).over(over(key, order)) + 90.0
+    # a hair below 0 stays a turn of +90: pmod would round it up to 180 and then to 0
+    step = ahead - 180.0 * F.floor(ahead / 180.0) - 90.0
     return df.withColumn("__s", step).groupBy(key).agg(F.sum("__s").alias("turn"))
 
 

@@ -67,6 +67,12 @@ def test_lines(spark):
     assert abs(abs(pose.axial_mean(df, "k", "a").first()["mean"]) - 86.5) < 0.2
 
 
+def test_net_turn_a_hair_below_a_quarter(spark):
+    # 83.58 - 173.58 + 90 is a hair below 0: a turn by +90, as its SQL says
+    df = spark.createDataFrame([("k", 0, 173.58), ("k", 1, 83.58)], "k string, f int, a double")
+    assert 83.58 - 173.58 + 90 < 0 and abs(pose.net_turn(df, "k", "f", "a").first().turn - 90) < 1e-9
+
+
 def test_segmentation(spark):
     speed = [0.5 + 9 * math.exp(-((f - 60) ** 2) / 20) + 8 * math.exp(-((f - 150) ** 2) / 20) + 1.2 * math.exp(-((f - 100) ** 2) / 20) for f in range(200)]
     df = spark.createDataFrame([("s", f, f / 30, v) for f, v in enumerate(speed)], "k string, f int, t double, v double")
