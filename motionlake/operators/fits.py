@@ -33,9 +33,18 @@ class Stretches:
 
     def polynomial(self, degree: np.ndarray) -> np.ndarray:
         """The sum of squares beside a polynomial of each stretch's degree, 2 at most."""
-        s = (self.t - self.start[:, None]) / self.span[:, None]
-        basis = np.stack([np.ones_like(s), s, s * s], axis=2) * (self.inside[:, :, None] & (np.arange(3) <= degree[:, None, None]))
-        return self.left(basis @ (np.linalg.pinv(basis) @ self.xy))
+        s = np.where(self.inside, (self.t - self.start[:, None]) / self.span[:, None], 0.0)
+        x, y = self.xy[:, :, 0], self.xy[:, :, 1]
+        dot = lambda a, b: np.einsum("rs,rs->r", a, b)[:, None]
+        known: list[np.ndarray] = []
+        for d, power in enumerate((self.inside.astype(float), s, s * s)):
+            for q in known + known:  # twice, for what rounding leaves
+                power = power - dot(power, q) * q
+            size = np.sqrt(dot(power, power))
+            q = np.where((size > 1e-14) & (degree[:, None] >= d), power / np.maximum(size, 1e-14), 0.0)
+            x, y = x - dot(x, q) * q, y - dot(y, q) * q
+            known.append(q)
+        return (dot(x, x) + dot(y, y))[:, 0]
 
     def centred(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A clock from -1 to 1 about the mean time, places about their mean, and the size and mean of the latter."""
@@ -83,11 +92,12 @@ def _parts(lo: np.ndarray, hi: np.ndarray):
         yield order[a : a + TOGETHER]
 
 
-def deviation(t: np.ndarray, xy: np.ndarray, lo: np.ndarray, hi: np.ndarray, spare: bool = False) -> np.ndarray:
+def deviation(t: np.ndarray, xy: np.ndarray, lo: np.ndarray, hi: np.ndarray, spare: bool = False, thrown: bool = True) -> np.ndarray:
     """Root mean squares beside a quadratic, or beside a thrown ball's image where that is nearer.
 
-    The second is tried from THROWN_SAMPLES on where the first deviates too far.  With ``spare`` one
-    degree of freedom is left to shorter stretches, and one or two samples deviate by nothing.
+    The second is tried from THROWN_SAMPLES on where the first deviates too far, unless ``thrown`` is not
+    set.  With ``spare`` one degree of freedom is left to shorter stretches, and one or two samples deviate
+    by nothing.
     """
     out = np.zeros(len(lo))
     for k in _parts(lo, hi):
@@ -99,7 +109,7 @@ def deviation(t: np.ndarray, xy: np.ndarray, lo: np.ndarray, hi: np.ndarray, spa
             continue
         rms = np.sqrt(Stretches(t, xy, lo[k], hi[k]).polynomial(degree) / n)
         far = (rms > SMOOTH_PX) & (n >= THROWN_SAMPLES)
-        if far.any():
+        if thrown and far.any():
             squares = Stretches(t, xy, lo[k[far]], hi[k[far]]).thrown(free=True)
             rms[far] = np.minimum(rms[far], np.sqrt(squares / n[far]))
         out[k] = rms
@@ -110,26 +120,29 @@ def rough_windows(t: np.ndarray, xy: np.ndarray, first: np.ndarray, last: np.nda
     """Per flight [first, last), how many stretches of SMOOTH_S deviate too far, with a kink in them or without.
 
     A kink explains a stretch if some cut into two pieces fits; a piece of one or two samples cannot be
-    judged and counts as fitting.
+    judged and counts as fitting.  Thrown balls are tried only for stretches that no quadratics explain,
+    as they bring any stretch nearer.
     """
     flight = np.repeat(np.arange(len(first)), last - first)
     lo = np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)]) if len(first) else np.zeros(0, np.int64)
     hi = np.concatenate([a + np.searchsorted(t[a:b], t[a:b] + SMOOTH_S + 1e-9, "right") for a, b in zip(first, last, strict=True)]) if len(first) else lo
     long = hi - lo >= SMOOTH_SAMPLES
     flight, lo, hi = flight[long], lo[long], hi[long]
-    far = deviation(t, xy, lo, hi) > SMOOTH_PX
-    flight, lo, hi = flight[far], lo[far], hi[far]
-    n = hi - lo
-    stretch = np.repeat(np.arange(len(lo)), n - 1)
-    cut = np.concatenate([np.arange(1, k) for k in n]) if len(n) else np.zeros(0, np.int64)
-    begin, end = lo[stretch], hi[stretch]
-    if len(cut):
-        a = deviation(t, xy, begin, begin + cut, spare=True)
-        b = deviation(t, xy, begin + cut, end, spare=True)
+    for thrown in (False, True):
+        far = deviation(t, xy, lo, hi, thrown=thrown) > SMOOTH_PX
+        flight, lo, hi = flight[far], lo[far], hi[far]
+        if not len(lo):
+            break
+        n = hi - lo
+        stretch = np.repeat(np.arange(len(lo)), n - 1)
+        cut = np.concatenate([np.arange(1, k) for k in n])
+        begin, end = lo[stretch], hi[stretch]
+        a = deviation(t, xy, begin, begin + cut, spare=True, thrown=thrown)
+        b = deviation(t, xy, begin + cut, end, spare=True, thrown=thrown)
         both = np.sqrt((a**2 * cut + b**2 * (end - begin - cut)) / (end - begin))
         kinked = np.zeros(len(lo), bool)
         np.logical_or.at(kinked, stretch, both <= SMOOTH_PX)
-        flight = flight[~kinked]
+        flight, lo, hi = flight[~kinked], lo[~kinked], hi[~kinked]
     return np.bincount(flight, minlength=len(first))
 
 

@@ -7,6 +7,8 @@ points lie on one curve, and lose what they took when the trial fails.
 
 from __future__ import annotations
 
+from math import atan2, degrees, hypot, sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,14 +24,41 @@ LEAST_GATE_PX, LED_BY, STREAK_ASPECT, STREAK_MINOR_PX = 4.0, 5, 1.6, 3.0
 COAST_S, DETECTIONS, DETECTIONS_SLOW, SLOW_FPS = 0.1, 6, 4, 45.0
 #: Third points tried for a seed, points of a trial, and the acceleration that passes it.
 SEED_THIRDS, TRIAL, MAX_M_S2, NOISE_PX_PER_FRAME2 = 4, 6, 600.0, 3.0
+#: Products of tracks and candidates, or of three frames' candidates, up to which numbers one by one are faster than arrays.
+FEW = 64
 _EPS = 1e-9
 
 
+def parabola(u: list[float], v: list[float], w: list[float]) -> tuple[float, ...]:
+    """Coefficients of v, then of w, by the least squares of three samples or more, lowest first."""
+    n, a, b, c, d = float(len(u)), 0.0, 0.0, 0.0, 0.0
+    v0 = v1 = v2 = w0 = w1 = w2 = 0.0
+    for t, x, y in zip(u, v, w, strict=True):
+        q = t * t
+        a += t
+        b += q
+        c += q * t
+        d += q * q
+        v0 += x
+        v1 += t * x
+        v2 += q * x
+        w0 += y
+        w1 += t * y
+        w2 += q * y
+    i00, i01, i02, i11, i12, i22 = b * d - c * c, b * c - a * d, a * c - b * b, n * d - b * b, a * b - n * c, n * b - a * a
+    det = n * i00 + a * i01 + b * i02
+    return (
+        (i00 * v0 + i01 * v1 + i02 * v2) / det, (i01 * v0 + i11 * v1 + i12 * v2) / det, (i02 * v0 + i12 * v1 + i22 * v2) / det,
+        (i00 * w0 + i01 * w1 + i02 * w2) / det, (i01 * w0 + i11 * w1 + i12 * w2) / det, (i02 * w0 + i12 * w1 + i22 * w2) / det,
+    )
+
+
 class Scale:
     """Pixels a metre, across the line of sight, of what is seen before a point of the ground."""
 
     def __init__(self, h: list[float], cam: tuple[float, float, float], focal: float):
         self.h, self.cam, self.focal = np.asarray(h, float).reshape(3, 3), cam, focal
+        self.rows = self.h.tolist()
 
     def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         with np.errstate(all="ignore"):
@@ -37,17 +66,27 @@ class Scale:
             far = np.sqrt((ground[0] / ground[2] - self.cam[0]) ** 2 + (ground[1] / ground[2] - self.cam[1]) ** 2 + self.cam[2] ** 2)
             return np.nan_to_num(self.focal / far, nan=0.0, posinf=0.0)
 
+    def one(self, x: float, y: float) -> float:
+        """The same of one place."""
+        (a, b, c), (d, e, f), (g, h, i) = self.rows
+        w = g * x + h * y + i
+        if w == 0:
+            return 0.0
+        far = sqrt(((a * x + b * y + c) / w - self.cam[0]) ** 2 + ((d * x + e * y + f) / w - self.cam[1]) ** 2 + self.cam[2] ** 2)
+        return self.focal / far if far > 0 else 0.0
+
 
 class Track:
-    """Candidates in the order of time; ``led_from`` and ``trial_from`` are places in them."""
+    """Candidates in the order of time; ``led_from`` and ``trial_from`` are places in them, ``curve`` is where the last ones lead."""
 
     def __init__(self, points: list[int]):
         self.points, self.led_from, self.trial_from = points, 0, 0
         self.may_jump, self.proven, self.open = True, False, True
+        self.curve: tuple[float, ...] | None = None
 
     def step(self, candidate: int) -> None:
         self.points.append(candidate)
-        self.may_jump = True
+        self.may_jump, self.curve = True, None
 
     def jump(self, candidate: int) -> None:
         """A step that does not follow from the last ones: they lead no more, and what follows is on trial."""
@@ -55,7 +94,7 @@ class Track:
         if self.proven:
             self.proven, self.trial_from = False, len(self.points)
         self.points.append(candidate)
-        self.may_jump = False
+        self.may_jump, self.curve = False, None
 
     def fail(self) -> list[int]:
         """Gives back what is on trial; the track ends before it, if anything is left."""
@@ -78,8 +117,11 @@ class Linker:
         self.dt = float(np.median(gaps)) if len(gaps) else 0.0
         self.least = DETECTIONS if self.dt > 0 and 1 / self.dt >= SLOW_FPS else DETECTIONS_SLOW
         self.trial = min(TRIAL, self.least)
-        self.begin = np.searchsorted(frame, np.arange(len(times) + 1))
-        self.free = np.ones(len(frame), bool)
+        self.begin = np.searchsorted(frame, np.arange(len(times) + 1)).tolist()
+        self.unused = bytearray(b"\1" * len(frame))
+        self.free = np.frombuffer(self.unused, bool)  # the same bytes
+        self.clock, self.when, self.scales = times.tolist(), self.at.tolist(), self.px_per_m.tolist()
+        self.xs, self.ys, self.streaks, self.axes = self.xy[:, 0].tolist(), self.xy[:, 1].tolist(), self.streak.tolist(), self.axis.tolist()
         self.tracks: list[Track] = []
 
     def along(self, candidates: np.ndarray, origin: np.ndarray) -> np.ndarray:
@@ -101,71 +143,164 @@ class Linker:
         normal[:, range(3), range(3)] += np.arange(3) >= n[:, None]  # degrees that are not there
         return np.linalg.solve(normal, basis.transpose(0, 2, 1) @ self.xy[at]).sum(axis=1)  # the next frame is 1 on that clock
 
+    def along_one(self, c: int, x: float, y: float) -> bool:
+        """The same of one candidate."""
+        if not self.streaks[c]:
+            return True
+        dx, dy = self.xs[c] - x, self.ys[c] - y
+        if dx == 0 and dy == 0:
+            return True
+        off = abs(self.axes[c] - degrees(atan2(dy, dx))) % 180.0
+        return min(off, 180.0 - off) <= STREAK_DEG
+
+    def lead_one(self, track: Track, now: float) -> tuple[float, float]:
+        """The same of one track."""
+        end = track.points[-1]
+        last, x, y = self.when[end], self.xs[end], self.ys[end]
+        if track.curve is None:
+            own = track.points[max(track.led_from, len(track.points) - LED_BY) :]
+            if len(own) >= 3:
+                track.curve = parabola([(self.when[p] - last) / self.dt for p in own], [self.xs[p] - x for p in own], [self.ys[p] - y for p in own])
+            elif len(own) == 2:
+                s = (self.when[own[0]] - last) / self.dt
+                track.curve = (0.0, (self.xs[own[0]] - x) / s, 0.0, 0.0, (self.ys[own[0]] - y) / s, 0.0)
+            else:
+                track.curve = (0.0,) * 6
+        a, b, c, d, e, f = track.curve
+        s = (now - last) / self.dt
+        return x + a + s * (b + s * c), y + d + s * (e + s * f)
+
+    def fitted(self, points: list[int]) -> tuple[list[float], list[float], list[float], tuple[float, ...], float]:
+        """Samples from the first one's place, on a clock from it that ends at 1, their parabolas, and the clock's unit."""
+        t, x, y = self.when[points[0]], self.xs[points[0]], self.ys[points[0]]
+        span = self.when[points[-1]] - t
+        u, v, w = [(self.when[p] - t) / span for p in points], [self.xs[p] - x for p in points], [self.ys[p] - y for p in points]
+        return u, v, w, parabola(u, v, w), span
+
     def on_one_curve(self, points: list[int]) -> bool:
-        at = np.array(points)
-        s = (self.at[at] - self.at[at[0]]) / (self.at[at[-1]] - self.at[at[0]] or 1.0)
-        basis = np.stack([np.ones_like(s), s, s * s][: min(3, len(at))], axis=1)
-        c = np.linalg.lstsq(basis, self.xy[at], rcond=None)[0]
-        return bool(np.sqrt(((basis @ c - self.xy[at]) ** 2).sum() / len(at)) <= SMOOTH_PX)
+        if len(points) < 3:
+            return True
+        u, v, w, (a, b, c, d, e, f), _ = self.fitted(points)
+        left = sum((a + s * (b + s * c) - x) ** 2 + (d + s * (e + s * f) - y) ** 2 for s, x, y in zip(u, v, w, strict=True))
+        return sqrt(left / len(points)) <= SMOOTH_PX
 
     def can_fly(self, points: list[int]) -> bool:
         """Whether the acceleration in the image is one that a ball can have there."""
-        at = np.array(points)
-        s = self.at[at] - self.at[at[0]]
-        c = np.linalg.pinv(np.stack([np.ones_like(s), s, s * s], axis=1)) @ self.xy[at]
-        middle = self.xy[at].mean(axis=0)
-        limit = MAX_M_S2 * float(self.scale(middle[:1], middle[1:])[0]) + (NOISE_PX_PER_FRAME2 / self.dt**2 if self.dt > 0 else 0.0)
-        return bool(2.0 * np.hypot(*c[2]) <= limit)
-
-    def offers(self, tracks: list[int], near: np.ndarray, cost: np.ndarray, here: np.ndarray):
+        _, _, _, (_, _, c, _, _, f), span = self.fitted(points)
+        x, y = (sum(v[p] for p in points) / len(points) for v in (self.xs, self.ys))
+        limit = MAX_M_S2 * self.scale.one(x, y) + (NOISE_PX_PER_FRAME2 / self.dt**2 if self.dt > 0 else 0.0)
+        return 2.0 * hypot(c, f) / span**2 <= limit
+
+    def offers(self, tracks: list[int], near: np.ndarray, cost: np.ndarray, first: int):
         """(track, candidate) by cost, then track, then candidate."""
         row, column = np.nonzero(near)
         for k in np.lexsort((column, row, cost[row, column])):
-            yield tracks[row[k]], int(here[column[k]])
+            yield tracks[row[k]], first + int(column[k])
+
+    def offers_of_few(self, live: list[int], frame: int) -> list[tuple[bool, list, list]]:
+        """For proven tracks and for others, if there are any: steps and jumps as (cost, track, candidate)."""
+        now, here = self.clock[frame], range(self.begin[frame], self.begin[frame + 1])
+        tiers: tuple = ((True, [], []), (False, [], []))
+        for k in live:
+            track = self.tracks[k]
+            end = track.points[-1]
+            x, y = self.xs[end], self.ys[end]
+            reach = MAX_SPEED_M_S * STEP_SAFETY * self.scales[end] * (now - self.when[end])
+            gate = max(LEAST_GATE_PX, GATE_SHRINK * reach)
+            ahead_x, ahead_y = self.lead_one(track, now)
+            _, steps, jumps = tiers[not track.proven]
+            for c in here:
+                cost = hypot(self.xs[c] - ahead_x, self.ys[c] - ahead_y)
+                step, jump = cost <= gate, track.may_jump and hypot(self.xs[c] - x, self.ys[c] - y) <= reach
+                if (step or jump) and self.along_one(c, x, y):
+                    if step:
+                        steps.append((cost, k, c))
+                    if jump:
+                        jumps.append((cost, k, c))
+        return [(proven, sorted(steps), sorted(jumps)) for proven, steps, jumps in tiers]
 
     def extend(self, live: list[int], frame: int) -> list[int]:
         """Steps and jumps of the tracks ``live`` to the frame's candidates; those that moved, in that order."""
-        here = np.arange(self.begin[frame], self.begin[frame + 1])
+        first, beyond = self.begin[frame], self.begin[frame + 1]
+        if first == beyond or not live:
+            return []
         moved: list[int] = []
-        if not len(here) or not live:
-            return moved
-        own = [self.tracks[k] for k in live]
-        ends = np.array([t.points[-1] for t in own])
-        reach = MAX_SPEED_M_S * STEP_SAFETY * self.px_per_m[ends] * (self.times[frame] - self.at[ends])
-        ahead = self.lead(own, self.times[frame])
-        cost = np.hypot(*(self.xy[here][None] - ahead[:, None]).transpose(2, 0, 1))
-        far = np.hypot(*(self.xy[here][None] - self.xy[ends][:, None]).transpose(2, 0, 1))
-        along = self.along(here[None].repeat(len(own), 0), self.xy[ends][:, None])
         done: set[int] = set()
 
         def take(k: int, c: int, how) -> None:
             how(c)
-            self.free[c] = False
+            self.unused[c] = 0
             done.add(k)
             moved.append(k)
 
-        for proven in (True, False):
-            tier = np.array([t.proven is proven for t in own])
-            gate = np.maximum(LEAST_GATE_PX, GATE_SHRINK * reach)[:, None]
-            for k, c in self.offers(live, tier[:, None] & along & (cost <= gate), cost, here):
+        def steps(offers) -> None:
+            for k, c in offers:
                 track = self.tracks[k]
-                if k in done or not self.free[c]:
+                if k in done or not self.unused[c]:
                     continue
-                lead = track.points[track.led_from :]
-                if track.proven and len(lead) >= LED_BY and not self.on_one_curve([*lead[-LED_BY:], c]):
+                if track.proven and len(track.points) - track.led_from >= LED_BY and not self.on_one_curve([*track.points[-LED_BY:], c]):
                     continue
                 take(k, c, track.step)
-            jumps = tier & np.array([t.may_jump and k not in done for k, t in zip(live, own, strict=True)])
-            for k, c in self.offers(live, jumps[:, None] & along & (far <= reach[:, None]), cost, here):
-                if k not in done and self.free[c]:
+
+        def jumps(offers) -> None:
+            for k, c in offers:
+                if k not in done and self.unused[c]:
                     take(k, c, self.tracks[k].jump)
+
+        if len(live) * (beyond - first) <= FEW:
+            for _, near, far in self.offers_of_few(live, frame):
+                steps((k, c) for _, k, c in near)
+                jumps((k, c) for _, k, c in far)
+            return moved
+        here = np.arange(first, beyond)
+        own = [self.tracks[k] for k in live]
+        ends = np.array([t.points[-1] for t in own])
+        reach = MAX_SPEED_M_S * STEP_SAFETY * self.px_per_m[ends] * (self.times[frame] - self.at[ends])
+        ahead = self.lead(own, self.times[frame])
+        cost = np.hypot(*(self.xy[here][None] - ahead[:, None]).transpose(2, 0, 1))
+        far = np.hypot(*(self.xy[here][None] - self.xy[ends][:, None]).transpose(2, 0, 1))
+        along = self.along(here[None].repeat(len(own), 0), self.xy[ends][:, None])
+        for proven in (True, False):
+            tier = np.array([t.proven is proven for t in own])
+            gate = np.maximum(LEAST_GATE_PX, GATE_SHRINK * reach)[:, None]
+            steps(self.offers(live, tier[:, None] & along & (cost <= gate), cost, first))
+            may = tier & np.array([t.may_jump and k not in done for k, t in zip(live, own, strict=True)])
+            jumps(self.offers(live, may[:, None] & along & (far <= reach[:, None]), cost, first))
         return moved
 
+    def seeds_of_few(self, first: list[int], second: list[int], third: list[int], frame: int) -> list[tuple[float, int, int, int]]:
+        """(distance from the straight line, candidates), one for each pair of the first two frames at most."""
+        t0, t1, t2 = self.clock[frame - 2 : frame + 1]
+        xs, ys, found = self.xs, self.ys, []
+        for a in first:
+            reach = MAX_SPEED_M_S * STEP_SAFETY * self.scales[a]
+            step = reach * (t2 - t1)
+            gate = max(LEAST_GATE_PX, GATE_SHRINK * step)
+            for b in second:
+                dx, dy = xs[b] - xs[a], ys[b] - ys[a]
+                if hypot(dx, dy) > reach * (t1 - t0) or not self.along_one(b, xs[a], ys[a]):
+                    continue
+                x, y = xs[b] + dx * ((t2 - t1) / (t1 - t0)), ys[b] + dy * ((t2 - t1) / (t1 - t0))
+                for off, c in sorted((hypot(xs[c] - x, ys[c] - y), c) for c in third)[:SEED_THIRDS]:
+                    if off <= gate and hypot(xs[c] - xs[b], ys[c] - ys[b]) <= step and self.along_one(c, xs[b], ys[b]):
+                        found.append((off, a, b, c))  # the nearest that will do
+                        break
+        return found
+
     def seeds(self, frame: int) -> None:
         """New tracks out of free candidates of three frames in a row, the straightest first."""
-        first, second, third = (k[self.free[k]] for k in (np.arange(self.begin[f], self.begin[f + 1]) for f in (frame - 2, frame - 1, frame)))
-        if not (len(first) and len(second) and len(third)):
+        few = [[c for c in range(self.begin[f], self.begin[f + 1]) if self.unused[c]] for f in (frame, frame - 1, frame - 2)]
+        if not all(few):
             return
+        third, second, first = few
+        found = self.seeds_of_few(first, second, third, frame) if len(first) * len(second) * len(third) <= FEW else self.seeds_of_many(*map(np.array, (first, second, third)), frame)
+        for _, a, b, c in sorted(found):
+            if self.unused[a] and self.unused[b] and self.unused[c]:
+                self.unused[a] = self.unused[b] = self.unused[c] = 0
+                self.tracks.append(Track([a, b, c]))
+
+    def seeds_of_many(self, first: np.ndarray, second: np.ndarray, third: np.ndarray, frame: int) -> list[tuple[float, int, int, int]]:
+        """The same with arrays."""
         t0, t1, t2 = self.times[frame - 2 : frame + 1]
         reach = MAX_SPEED_M_S * STEP_SAFETY * self.px_per_m[first]
         far = np.hypot(*(self.xy[second][None] - self.xy[first][:, None]).transpose(2, 0, 1))
@@ -184,18 +319,15 @@ class Linker:
             best = np.argmax(good, axis=1)  # the nearest that will do
             pick = np.arange(len(i))
             found += zip(off[pick, best][any_].tolist(), a[any_].tolist(), b[any_].tolist(), c[pick, best][any_].tolist(), strict=True)
-        for _, a, b, c in sorted(found):
-            if self.free[a] and self.free[b] and self.free[c]:
-                self.free[[a, b, c]] = False
-                self.tracks.append(Track([a, b, c]))
+        return found
 
     def run(self) -> None:
         active: list[int] = []
-        for frame, now in enumerate(self.times):
+        for frame, now in enumerate(self.clock):
             live = []
             for k in active:
                 track = self.tracks[k]
-                if now - self.at[track.points[-1]] - self.dt <= COAST_S + _EPS:
+                if now - self.when[track.points[-1]] - self.dt <= COAST_S + _EPS:
                     live.append(k)
                 elif track.proven:
                     track.open = False
@@ -223,13 +355,13 @@ class Linker:
         """Pieces joined end to start, one to one, by gap, then distance."""
         starts, ends = (np.array([p[k] for p in pieces], np.int64) for k in (0, -1))
         order = np.argsort(self.at[starts], kind="stable")
-        options = []
-        for a, end in enumerate(ends):
-            lo, hi = np.searchsorted(self.at[starts[order]], [self.at[end], self.at[end] + STITCH_GAP_S + self.dt + _EPS], "right")
-            for b in order[lo:hi].tolist():
-                gap = float(self.at[starts[b]] - self.at[end])
-                far = float(np.hypot(*(self.xy[starts[b]] - self.xy[end])))
-                if b != a and gap > 0 and gap - self.dt <= STITCH_GAP_S + _EPS and far <= MAX_SPEED_M_S * STEP_SAFETY * self.px_per_m[end] * gap:
+        lows, highs = (np.searchsorted(self.at[starts[order]], self.at[ends] + later, "right").tolist() for later in (0.0, STITCH_GAP_S + self.dt + _EPS))
+        options, order, begins = [], order.tolist(), starts.tolist()
+        for a, (end, lo, hi) in enumerate(zip(ends.tolist(), lows, highs, strict=True)):
+            for b in order[lo:hi]:
+                gap = self.when[begins[b]] - self.when[end]
+                far = hypot(self.xs[begins[b]] - self.xs[end], self.ys[begins[b]] - self.ys[end])
+                if b != a and gap > 0 and gap - self.dt <= STITCH_GAP_S + _EPS and far <= MAX_SPEED_M_S * STEP_SAFETY * self.scales[end] * gap:
                     options.append((gap, far, a, b))
         after, before = {}, {}
         for _, _, a, b in sorted(options):
@@ -251,7 +383,7 @@ class Linker:
         sizes = np.array([len(f) for f in flights])
         last = np.cumsum(sizes)
         at = np.concatenate([np.array(f, np.int64) for f in flights])
-        extent = np.array([np.hypot(*np.ptp(self.xy[f], axis=0)) for f in flights])
+        extent = np.hypot(*(np.maximum.reduceat(self.xy[at], last - sizes) - np.minimum.reduceat(self.xy[at], last - sizes)).T)
         ok = (sizes >= self.least) & (extent >= MIN_EXTENT_PX)
         ok[ok] = smooth(self.at[at], self.xy[at], (last - sizes)[ok], last[ok])
         return ok
@@ -288,37 +420,57 @@ def link(candidates: DataFrame, frames: DataFrame, maps: DataFrame, key: str, fr
     """
     kinds = dict(candidates.dtypes)
     seen = frames.select(key, F.col(frame).alias("frame"), F.col(time).cast("double").alias("time_s")).where("frame is not null and not isnan(time_s) and time_s is not null")
-    seen = seen.join(maps.select(key, "h", "cam_x", "cam_y", "cam_z", "focal_px"), key)
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(None if c in ("x", "y") else 0.0)).alias(c) for c in _COLUMNS]
-    found = candidates.select(key, F.col(frame).alias("frame"), *numbers)
+    found = candidates.select(key, F.col(frame).alias("frame"), *numbers).where("frame is not null and abs(x) < double('inf') and abs(y) < double('inf')")
+    mapped = maps.select(key, "h", "cam_x", "cam_y", "cam_z", "focal_px", F.lit(0).cast(dict(frames.dtypes)[frame]).alias("frame"))  # whole numbers stay whole without a null
+    of = lambda d, n: d.withColumn("__of", F.lit(n))
+    rows = of(seen, 0).unionByName(of(found, 1), allowMissingColumns=True).unionByName(of(mapped, 2), allowMissingColumns=True)
     kind = dict(frames.dtypes)[frame]
     names = [key, "flight_id", "frame", "time_s", "x", "y", "minor", "detected", "confidence"]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        shown = rows["time_s"].notna()  # frames; the others are candidates
-        of, clip = rows[~shown], rows[shown].sort_values(["frame", "time_s"], kind="stable")
-        later = clip["time_s"] > clip["time_s"].cummax().shift(fill_value=-np.inf)
-        clip = clip[later].drop_duplicates("frame")
-        of = of[np.isfinite(of["x"].astype(float)) & np.isfinite(of["y"].astype(float))].copy()
-        if clip.empty or of.empty:
+        of, labels = rows["__of"].to_numpy(), rows["frame"].to_numpy()
+        clip, mapped = np.flatnonzero(of == 0), np.flatnonzero(of == 2)
+        if not len(clip) or not len(mapped) or not (of == 1).any():
+            return pd.DataFrame(columns=names)
+        times = rows["time_s"].to_numpy(float)
+        clip = clip[np.lexsort((times[clip], labels[clip]))]
+        later = np.ones(len(clip), bool)
+        later[1:] = times[clip][1:] > np.maximum.accumulate(times[clip])[:-1]
+        clip = clip[later]
+        new = np.ones(len(clip), bool)
+        new[1:] = labels[clip][1:] != labels[clip][:-1]
+        clip = clip[new]
+        times, labels, taken = times[clip], labels[clip], labels
+        own = np.flatnonzero(of == 1)
+        at = np.minimum(np.searchsorted(labels, taken[own]), len(labels) - 1)
+        own, at = own[labels[at] == taken[own]], at[labels[at] == taken[own]]
+        if not len(own):
             return pd.DataFrame(columns=names)
-        at = pd.Series(np.arange(len(clip)), index=clip["frame"])
-        of["at"] = of["frame"].map(at)
-        of = of[of["at"].notna()].sort_values(["at", "colour_score", "contrast", "x", "y"], ascending=[True, False, False, True, True], kind="stable")
-        of = of[of.groupby("at").cumcount() < PER_FRAME].sort_values(["at", "x", "y"], kind="stable")
-        r = clip.iloc[0]
-        times = clip["time_s"].to_numpy(float)
-        linker = Linker(times, of["at"].to_numpy(np.int64), {c: of[c].to_numpy(float) for c in _COLUMNS}, Scale(r["h"], (r["cam_x"], r["cam_y"], r["cam_z"]), r["focal_px"]))
-        rows = []
-        minor, labels = of["minor"].to_numpy(float), clip["frame"].to_numpy()
+        columns = {c: rows[c].to_numpy(float)[own] for c in _COLUMNS}
+        down = lambda c: np.where(np.isnan(columns[c]), np.inf, -columns[c])
+        best = np.lexsort((columns["y"], columns["x"], down("contrast"), down("colour_score"), at))
+        rank = np.arange(len(best)) - np.searchsorted(at[best], at[best])
+        best = best[rank < PER_FRAME]
+        best = best[np.lexsort((columns["y"][best], columns["x"][best], at[best]))]
+        r = rows.iloc[mapped[0]]
+        columns = {c: v[best] for c, v in columns.items()}
+        linker = Linker(times, at[best], columns, Scale(r["h"], (r["cam_x"], r["cam_y"], r["cam_z"]), r["focal_px"]))
+        places, minor, out = at[best].tolist(), columns["minor"].tolist(), {c: [] for c in names}
+        labels = labels.tolist()
         for number, points in enumerate(linker.flights()):
-            place = {int(linker.frame[c]): c for c in points}
+            place = {places[c]: c for c in points}
             span = range(min(place), max(place) + 1)
-            for f in span:
-                c = place.get(f)
-                shown = (*linker.xy[c].tolist(), float(minor[c]), True) if c is not None else (None, None, None, False)
-                rows.append((r[key], number, labels[f], times[f], *shown, len(place) / len(span)))
-        return pd.DataFrame(rows, columns=names)
+            found = [place.get(f) for f in span]
+            out["flight_id"] += [number] * len(span)
+            out["frame"] += labels[span.start : span.stop]
+            out["time_s"] += linker.clock[span.start : span.stop]
+            for name, values in (("x", linker.xs), ("y", linker.ys), ("minor", minor)):
+                out[name] += [None if c is None else values[c] for c in found]
+            out["detected"] += [c is not None for c in found]
+            out["confidence"] += [len(place) / len(span)] * len(span)
+        out[key] = [rows[key].iloc[0]] * len(out["frame"])
+        return pd.DataFrame(out)
 
     schema = f"`{key}` {kinds[key]}, flight_id int, frame {kind}, time_s double, x double, y double, minor double, detected boolean, confidence double"
-    return by_key(seen.unionByName(found, allowMissingColumns=True), key, [], one, schema)
+    return by_key(rows, key, [], one, schema)

@@ -228,6 +228,26 @@ def test_tracks_against_a_slow_tracker(seed, fps):
     assert len({c for t in got for c in t}) == sum(map(len, got))  # no candidate twice
 
 
+def linker_of(times, rows, row):
+    columns = {c: np.array([x[k] for x in rows], float) for k, c in ((1, "x"), (2, "y"), (3, "minor"), (4, "major"), (5, "orientation_deg"))}
+    return flights.Linker(times, np.array([x[0] for x in rows]), columns, flights.Scale(row[0], row[2:5], row[5]))
+
+
+def test_few_candidates_cost_no_calls_for_arrays(monkeypatch):
+    times, rows = clip(8, clutter=1)
+    monkeypatch.setattr(flights, "FEW", 0)
+    arrays = linker_of(times, rows, camera_row())
+    want = arrays.flights()
+    monkeypatch.undo()
+    calls = []
+    for name in ("solve", "lstsq", "pinv", "svd"):
+        monkeypatch.setattr(np.linalg, name, lambda *a, _f=getattr(np.linalg, name), **k: (calls.append(1), _f(*a, **k))[1])
+    one_by_one = linker_of(times, rows, camera_row())
+    one_by_one.run()
+    assert not calls and [t.points for t in one_by_one.tracks] == [t.points for t in arrays.tracks]
+    assert linker_of(times, rows, camera_row()).flights() == want and want
+
+
 def test_link_on_tables(spark):
     times, rows = clip(5)
     row = camera_row()
