@@ -6,6 +6,8 @@ side, with the camera known, say whether it can be a bounce on the ground or a c
 
 from __future__ import annotations
 
+from bisect import bisect, insort
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +20,7 @@ from motionlake.operators.ball import BREAK_RATIO, BREAK_SEPARATION, MAX_SPEED_M
 from motionlake.operators.court import DOUBLES_HALF, HALF_LENGTH
 from motionlake.operators.fits import Stretches
 from motionlake.operators.flights import Scale
-from motionlake.operators.groups import by_key, dealt
+from motionlake.operators.groups import by_keys, dealt
 
 #: Samples of a side, of a whole one, of a line's side, of both; least deviation of the single fit, floor of the noise.
 SIDE_LEAST, SIDE_WHOLE, LINE_SAMPLES, BOTH_LEAST, SINGLE_PX, NOISE_PX = 2, 3, 3, 6, 1.0, 0.5
@@ -62,12 +64,46 @@ class Breaks:
         inverse = np.linalg.pinv(basis.transpose(0, 2, 1) @ basis, hermitian=True) / unit[:, None] / unit
         return {"c": c / unit[:, None], "inverse": inverse, "rss": s.left(basis @ c), "n": hi - lo, "degree": degree}
 
+    def squares(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The rss of ``side`` alone."""
+        return Stretches(self.t, self.xy, lo, hi).polynomial(np.where(hi - lo <= LINE_SAMPLES, 1, 2))
+
+    def window(self, split: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The samples that judge a break between each ``split`` and the next one, within [low, high)."""
+        return np.maximum(self.near[split], low), np.minimum(self.far[np.minimum(split + 1, len(self.t) - 1)], high)
+
+    def share(self, split: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The share of squares that a break leaves; infinite where it cannot be judged, or is none beside a parabola alone.
+
+        Thrown balls come as near as a parabola or nearer, which only adds to the share.
+        """
+        lo, hi = self.window(split, low, high)
+        n, m = split + 1 - lo, hi - split - 1
+        share = np.full(len(split), np.inf)
+        k = np.flatnonzero((np.minimum(n, m) >= SIDE_LEAST) & (np.maximum(n, m) >= SIDE_WHOLE) & (n + m >= BOTH_LEAST))
+        for thrown in (False, True):
+            if not len(k):
+                break
+            a, b, c = lo[k], split[k] + 1, hi[k]
+            both = Stretches(self.t, self.xy, a, c)
+            if thrown:
+                one = np.minimum(one, both.thrown(free=False))
+            else:
+                one, two = both.polynomial(np.full(len(k), 2)), self.squares(a, b) + self.squares(b, c)
+            found = np.where((one > 0) & (np.sqrt(one / (c - a)) >= SINGLE_PX), two / np.maximum(one, 1e-300), np.inf)
+            good = found <= BREAK_RATIO
+            k, one, two = k[good], one[good], two[good]
+            found = found[good]
+        if len(k):
+            share[k] = found
+        return share
+
     def judge(self, split: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[dict, dict, np.ndarray]:
         """Fits before and after a break between each ``split`` and the next sample, within [low, high), and the share of squares left.
 
         The share is infinite where a break cannot be judged.
         """
-        lo, hi = np.maximum(self.near[split], low), np.minimum(self.far[np.minimum(split + 1, len(self.t) - 1)], high)
+        lo, hi = self.window(split, low, high)
         n, m = split + 1 - lo, hi - split - 1
         ok = (np.minimum(n, m) >= SIDE_LEAST) & (np.maximum(n, m) >= SIDE_WHOLE) & (n + m >= BOTH_LEAST)
         share = np.full(len(split), np.inf)
@@ -88,8 +124,7 @@ class Breaks:
         cuts = hi - lo - 2 * SIDE_LEAST + 1
         own = np.repeat(np.arange(len(split)), cuts)
         b = np.concatenate([np.arange(a + SIDE_LEAST, c - SIDE_LEAST + 1) for a, c in zip(lo, hi, strict=True)])
-        origin = self.t[b - 1]
-        left = self.side(lo[own], b, origin)["rss"] + self.side(b, hi[own], origin)["rss"]
+        left = self.squares(lo[own], b) + self.squares(b, hi[own])
         order = np.lexsort((b, left, own))
         return b[order[np.searchsorted(own, np.arange(len(split)))]] - 1
 
@@ -102,14 +137,24 @@ class Breaks:
         split = split[split + 1 < self.last[self.flight]]
         if not len(split):
             return split
-        share = self.judge(split, self.first[self.flight[split]], self.last[self.flight[split]])[2]
+        share = self.share(split, self.first[self.flight[split]], self.last[self.flight[split]])
         split, share = split[share <= BREAK_RATIO], share[share <= BREAK_RATIO]
         order = np.lexsort((split, self.t[split], share, self.flight[split]))
         waiting: dict[int, list[int]] = {}
         for k in split[order[::-1]].tolist():
             waiting.setdefault(int(self.flight[k]), []).append(k)
         taken: dict[int, list[int]] = {f: [] for f in waiting}
-        apart = lambda k, f: all(abs(k - c) >= BREAK_SEPARATION for c in taken[f])
+        rows: dict[int, list[int]] = {f: [] for f in waiting}  # the same in order, between bounds of the flight
+
+        def beside(k: int, f: int) -> tuple[int, int]:
+            """The nearest that are taken before a split and after it, or that lie far beyond the flight."""
+            at = bisect(rows[f], k)
+            return rows[f][at - 1] if at else -BREAK_SEPARATION - 1, rows[f][at] if at < len(rows[f]) else len(self.t) + BREAK_SEPARATION
+
+        def apart(k: int, f: int) -> bool:
+            before, after = beside(k, f)
+            return k - before >= BREAK_SEPARATION and after - k >= BREAK_SEPARATION
+
         while waiting:
             now, low, high = [], [], []
             for f in list(waiting):
@@ -120,20 +165,27 @@ class Breaks:
                     continue
                 k = waiting[f].pop()
                 now.append(k)
-                low.append(max((c + 1 for c in taken[f] if c < k), default=int(self.first[f])))
-                high.append(min((c + 1 for c in taken[f] if c > k), default=int(self.last[f])))
+                before, after = beside(k, f)
+                low.append(max(before + 1, int(self.first[f])))
+                high.append(min(after + 1, int(self.last[f])))
             if not now:
                 break
             now, low, high = (np.array(x) for x in (now, low, high))
-            clear = self.judge(now, low, high)[2] <= BREAK_RATIO
+            # those whose window none that is taken has cut were judged before
+            alone = self.window(now, self.first[self.flight[now]], self.last[self.flight[now]])
+            cut = np.flatnonzero((alone[0] < low) | (alone[1] > high))
+            clear = np.ones(len(now), bool)
+            clear[cut] = self.share(now[cut], low[cut], high[cut]) <= BREAK_RATIO
             now, low, high = now[clear], low[clear], high[clear]
             if not len(now):
                 continue
             moved = self.refine(now, low, high)
-            better = (moved != now) & (self.judge(moved, low, high)[2] <= BREAK_RATIO)
+            better = moved != now
+            better[better] = self.share(moved[better], low[better], high[better]) <= BREAK_RATIO
             for k, f in zip(np.where(better, moved, now).tolist(), self.flight[now].tolist(), strict=True):
                 if apart(k, f):
                     taken[f].append(k)
+                    insort(rows[f], k)
         self.taken = taken
         return np.array(sorted(k for own in taken.values() for k in own), np.int64)
 
@@ -321,12 +373,17 @@ def inside(points: np.ndarray, polygon: np.ndarray, margin: float) -> np.ndarray
     return (crosses.sum(axis=1) % 2 == 1) | near.any(axis=1)
 
 
+@cache
+def _picks(n: int, d: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), d)))
+
+
 def _corners(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Corners of the bounded sets {x: a x <= b} in two or three dimensions, (n, corners, d), and which of them are real."""
     size = np.maximum(np.linalg.norm(a, axis=2), 1e-300)
     a, b = a / size[:, :, None], b / size
     d = a.shape[2]
-    picks = np.array(list(combinations(range(a.shape[1]), d)))
+    picks = _picks(a.shape[1], d)
     faces, sides = a[:, picks], b[:, picks]
     if d == 2:
         (p, q), (r, s) = faces[:, :, 0].transpose(2, 0, 1), faces[:, :, 1].transpose(2, 0, 1)
@@ -338,8 +395,15 @@ def _corners(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = sum(sides[..., i, None] * c for i, c in enumerate(crossed))
     sound = np.abs(det) > 1e-12
     at = at / np.where(sound, det, 1.0)[..., None]
-    slack = 1e-7 * np.maximum(1.0, np.abs(b))
-    return at, sound & (at @ a.transpose(0, 2, 1) <= (b + slack)[:, None, :]).all(axis=2)
+    limit = b + 1e-7 * np.maximum(1.0, np.abs(b))
+    set_, corner = np.nonzero(sound)
+    for last in range(a.shape[1], 0, -8):  # the bounds come last; few corners are left after them
+        part = slice(max(0, last - 8), last)
+        keep = (np.einsum("ck,cfk->cf", at[set_, corner], a[set_, part]) <= limit[set_, part]).all(axis=1)
+        set_, corner = set_[keep], corner[keep]
+    real = np.zeros(sound.shape, bool)
+    real[set_, corner] = True
+    return at, real
 
 
 def can_bounce(jacobian: np.ndarray, before: np.ndarray, after: np.ndarray, px_per_m: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -552,14 +616,24 @@ EVENT = (
 )
 
 
-def session_events(flights: dict[int, np.ndarray], camera: Camera, hits: list[dict]) -> list[dict]:
+def _breaks(sessions: list[dict[int, np.ndarray]]) -> list[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """The breaks of each session, by the places of its flights in order; all flights are fitted together."""
+    every = [own[i] for own in sessions for i in sorted(own)]
+    kept = [f[_kept(f[:, 0], f[:, 1:])] for f in every]
+    ends = np.cumsum([len(k) for k in kept], dtype=np.int64)
+    rows = np.concatenate([np.zeros((0, 3)), *kept])
+    sizes = np.array([len(k) for k in kept], np.int64)
+    flight, found = Breaks(rows[:, 0], rows[:, 1:], ends - sizes, ends, np.array([_interval(f[:, 0]) for f in every])).events()
+    begins = np.cumsum([0, *(len(own) for own in sessions)])
+    places = np.searchsorted(flight, begins)
+    return [(flight[a:b] - begin, {c: v[a:b] for c, v in found.items()}) for a, b, begin in zip(places, places[1:], begins, strict=False)]
+
+
+def session_events(flights: dict[int, np.ndarray], camera: Camera, hits: list[dict], breaks: tuple[np.ndarray, dict[str, np.ndarray]] | None = None) -> list[dict]:
     """All events of a session's flights (arrays of time, x, y; no place where nothing was seen), in order of time, with their ids."""
     ids = sorted(flights)
     kept = [flights[i][_kept(flights[i][:, 0], flights[i][:, 1:])] for i in ids]
-    ends = np.cumsum([len(k) for k in kept]) if kept else np.zeros(0, np.int64)
-    rows = np.concatenate(kept) if kept else np.zeros((0, 3))
-    sizes = np.array([len(k) for k in kept], np.int64)
-    flight, found = Breaks(rows[:, 0], rows[:, 1:], ends - sizes, ends, np.array([_interval(flights[i][:, 0]) for i in ids])).events()
+    flight, found = breaks or _breaks([flights])[0]
     bare = {"end": None, "shot_type": None, "feet_u": None, "feet_v": None}
     events = []
     for j, f in enumerate(flight.tolist()):
@@ -599,23 +673,34 @@ def detect(flights: DataFrame, maps: DataFrame, hits: DataFrame, key: str) -> Da
     confidence, count as none and as 0.  A session is one group, bounded by what a recording can hold.
     """
     kind = dict(flights.dtypes)[key]
-    mapped = flights.select(key, "flight_id", F.col("time_s").cast("double").alias("time_s"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    mapped = mapped.where("flight_id is not null and time_s is not null").join(maps.select(key, "h", "projection", "cam_x", "cam_y", "cam_z", "focal_px"), key)
+    flown = flights.select(key, "flight_id", F.col("time_s").cast("double").alias("time_s"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    flown = flown.where("flight_id is not null and time_s is not null")
+    mapped = maps.select(key, "h", "projection", "cam_x", "cam_y", "cam_z", "focal_px")  # the rows without a time
     contacts = hits.where("time_s is not null and not isnan(time_s)").select(key, *HIT_COLUMNS)
     names = [key, *(x.split()[0] for x in EVENT.split(", "))]
 
-    def one(both: pd.DataFrame) -> pd.DataFrame:
-        seen = both["flight_id"].notna()
-        of, contact = both[seen], both[~seen]
-        if of.empty:
-            return pd.DataFrame(columns=names)
-        r = of.iloc[0]
-        camera = Camera(r["h"], r["projection"], (r["cam_x"], r["cam_y"], r["cam_z"]), r["focal_px"])
-        of = of.sort_values(["flight_id", "time_s", "x", "y"], kind="stable")
-        own = {int(i): g[["time_s", "x", "y"]].to_numpy(float) for i, g in of.groupby("flight_id")}
-        clean = lambda v: None if v is None or v != v else v
-        found = [{c: clean(v) for c, v in zip(HIT_COLUMNS, row, strict=True)} for row in contact[list(HIT_COLUMNS)].itertuples(index=False)]
-        rows = [e | {key: r[key]} for e in session_events(own, camera, [h | {"confidence": h["confidence"] or 0.0} for h in found])]
-        return pd.DataFrame(rows, columns=names)
-
-    return by_key(mapped.unionByName(contacts, allowMissingColumns=True), key, [], one, f"`{key}` {kind}, {EVENT}")
+    def own(both: pd.DataFrame) -> dict[int, np.ndarray]:
+        if both["time_s"].notna().all():
+            return {}
+        of = both[both["flight_id"].notna()].sort_values(["flight_id", "time_s", "x", "y"], kind="stable")
+        rows, ids = of[["time_s", "x", "y"]].to_numpy(float), of["flight_id"].to_numpy(np.int64)
+        begins = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
+        return dict(zip(ids[begins].tolist(), np.split(rows, begins[1:]), strict=True)) if len(ids) else {}
+
+    def many(sessions: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        flown = [own(both) for both in sessions]
+        out = []
+        for both, flights, breaks in zip(sessions, flown, _breaks(flown), strict=True):
+            if not flights:
+                continue
+            timed = both["time_s"].notna()
+            r, contact = both[~timed].iloc[0], both[timed & both["flight_id"].isna()]
+            camera = Camera(r["h"], r["projection"], (r["cam_x"], r["cam_y"], r["cam_z"]), r["focal_px"])
+            clean = lambda v: None if v is None or v != v else v
+            found = [{c: clean(v) for c, v in zip(HIT_COLUMNS, row, strict=True)} for row in contact[list(HIT_COLUMNS)].itertuples(index=False)]
+            rows = [e | {key: r[key]} for e in session_events(flights, camera, [h | {"confidence": h["confidence"] or 0.0} for h in found], breaks)]
+            out.append(pd.DataFrame(rows, columns=names))
+        return out
+
+    rows = flown.unionByName(contacts, allowMissingColumns=True).unionByName(mapped, allowMissingColumns=True)
+    return by_keys(rows, key, [], many, f"`{key}` {kind}, {EVENT}")

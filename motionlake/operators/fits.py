@@ -76,7 +76,7 @@ class Stretches:
             sign = np.sign(w)
             good = np.where(self.inside, np.abs(w) >= 1e-9, True).all(axis=1) & (np.where(self.inside, sign, -1).max(axis=1) - np.where(self.inside, sign, 1).min(axis=1) <= 0)
         else:
-            c = np.einsum("rij,rj->ri", np.linalg.pinv(system), np.concatenate([p[:, :, 0], p[:, :, 1]], axis=1))
+            c = _least_squares(system, np.concatenate([p[:, :, 0], p[:, :, 1]], axis=1))
             w = 1.0 + np.einsum("rsi,ri->rs", depth, c[:, 6:])
             good = np.where(self.inside, w > 1e-6, True).all(axis=1)
         w = np.where(self.inside & good[:, None], w, 1.0)
@@ -85,6 +85,19 @@ class Stretches:
         return np.where(good, squares, np.inf)
 
 
+def _least_squares(systems: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of each system, the shortest where there are several."""
+    if systems.shape[1] < systems.shape[2]:
+        return np.einsum("rij,rj->ri", np.linalg.pinv(systems), right)
+    q, r = np.linalg.qr(systems)
+    size = np.abs(np.diagonal(r, axis1=1, axis2=2))
+    sound = size.min(axis=1) > 1e-9 * size.max(axis=1)
+    out = np.empty((len(systems), systems.shape[2]))
+    out[sound] = np.linalg.solve(r[sound], np.einsum("rij,ri->rj", q[sound], right[sound])[:, :, None])[:, :, 0]
+    out[~sound] = np.einsum("rij,rj->ri", np.linalg.pinv(systems[~sound]), right[~sound])
+    return out
+
+
 def _parts(lo: np.ndarray, hi: np.ndarray):
     """Places of stretches of like length, TOGETHER at most."""
     order = np.argsort(hi - lo, kind="stable")

@@ -23,29 +23,44 @@ def dealt(df: DataFrame, key: str, *order) -> DataFrame:
     return df.repartition(parts, F.xxhash64(key)).sortWithinPartitions(key, *order)
 
 
+#: Rows whose keys are folded together, if these are smaller.
+GATHERED = 50_000
+
+
 def by_key(df: DataFrame, key: str, order: list, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """The rows that ``f`` makes of each key's rows, which come in order; rows with a null key are left out."""
+    return by_keys(df, key, order, lambda parts: [f(p) for p in parts], schema, gathered=0)
+
+
+def by_keys(df: DataFrame, key: str, order: list, f: Callable[[list[pd.DataFrame]], list[pd.DataFrame]], schema: str, gathered: int = GATHERED) -> DataFrame:
+    """The same for functions that take the rows of several keys, each whole and of its own, for work that arrays share."""
 
     def together(parts: list[pd.DataFrame]) -> dict[str, list]:
         parts = [p for p in parts if len(p)]
         return {c: [v for p in parts for v in p[c].tolist()] for c in parts[0].columns} if parts else {}
 
     def stream(batches):
-        held: list[pd.DataFrame] = []
+        held: list[pd.DataFrame] = []  # of the last key, which may go on
+        ready: list[pd.DataFrame] = []
+        rows = 0
         for batch in batches:
             if batch.empty:
                 continue
             keys = batch[key].to_numpy()
             begins = [0, *(j for j in range(1, len(keys)) if keys[j] != keys[j - 1]), len(keys)]
-            out = []
             for a, b in zip(begins, begins[1:], strict=False):
                 if held and held[0][key].iloc[0] != keys[a]:
-                    out.append(f(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)))
+                    ready.append(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True))
+                    rows += len(ready[-1])
                     held = []
                 held.append(batch.iloc[a:b])
-            if found := together(out):
-                yield pd.DataFrame(found)
-        if held and (found := together([f(pd.concat(held, ignore_index=True))])):
+            if ready and rows >= gathered:
+                found, ready, rows = together(f(ready)), [], 0
+                if found:
+                    yield pd.DataFrame(found)
+        if held:
+            ready.append(pd.concat(held, ignore_index=True))
+        if ready and (found := together(f(ready))):
             yield pd.DataFrame(found)
 
     return dealt(df.where(F.col(key).isNotNull()), key, *order).mapInPandas(stream, schema)

@@ -432,6 +432,23 @@ def test_events_of_a_session(spark):
     assert ballevents.detect(f.limit(0), spark.createDataFrame([(1, *row)], MAP), hits, "k").count() == 0
 
 
+def test_sessions_are_fitted_together(monkeypatch):
+    r, sessions = np.random.default_rng(4), []
+    for k in range(12):
+        t = np.arange(60 + k) / 30
+        zigzag = np.abs((t * 5) % 2 - 1)
+        sessions.append({0: np.column_stack([t, 500 + 300 * zigzag + r.normal(0, 0.3, len(t)), 400 + 200 * np.abs((t * 3) % 2 - 1)]), 3: np.column_stack([t, 900 + 90 * t, 300 + 200 * t * t])})
+    calls = []
+    share = ballevents.Breaks.share
+    monkeypatch.setattr(ballevents.Breaks, "share", lambda *a: (calls.append(1), share(*a))[1])
+    each = [ballevents._breaks([s])[0] for s in sessions]
+    alone, calls[:] = len(calls), []
+    together = ballevents._breaks(sessions)
+    assert len(calls) < alone / 4 and sum(len(f) for f, _ in each) > 24
+    for (f, found), (g, other) in zip(each, together, strict=True):
+        assert f.tolist() == g.tolist() and all(np.allclose(found[c], other[c], rtol=1e-9, atol=1e-9) for c in found)
+
+
 def test_labels_follow_the_order_of_play():
     e = lambda kind, conf, *flags: {"kind": kind, "confidence": conf, "flags": list(flags), "end": None}
     play = [e("hit", 0.9), e("hit", 0.2), e("hit", 0.9, "pose_hit"), e("bounce", 0.9), e("bounce", 0.25, "weak_bounce"), e("bounce", 0.9)]
