@@ -22,8 +22,8 @@ CORE_S, MOVE_S = 2.0, 0.5
 MARK = ["seq_id", "landmark"]
 
 
-def normalized(fr: DataFrame) -> DataFrame:
-    """(seq_id, landmark, frame, ts_s, x, y, vx, vy, ax, ay, visibility, valid): every landmark of every frame.
+def normalized(fr: DataFrame, landmarks: tuple[int, ...] | None = None) -> DataFrame:
+    """(seq_id, landmark, frame, ts_s, x, y, vx, vy, ax, ay, visibility, valid): every landmark, or those named, of every frame.
 
     Places are about the middle of the hips, upright, in torso lengths of the sequence (heights where it
     has none).  Gaps of up to three frames that are not valid are filled on the line, longer ones hold their
@@ -31,7 +31,9 @@ def normalized(fr: DataFrame) -> DataFrame:
     landmark carries all windows.
     """
     unit = F.coalesce(F.nullif(F.col("scale"), F.lit(0.0)), F.lit(1.0))
-    d = fr.join(torso_scale(fr), "seq_id").select("seq_id", "frame", "ts_s", "valid", unit.alias("unit"), F.posexplode("body").alias("landmark", "p"))
+    d = fr.join(torso_scale(fr), "seq_id").select("seq_id", "frame", "ts_s", "valid", unit.alias("unit"), F.posexplode_outer("body").alias("landmark", "p"))
+    # outer, as the filter that the optimiser infers for the other works out bodies within bodies, once a landmark and more
+    d = d.where(F.col("landmark").isNotNull() if landmarks is None else F.col("landmark").isin(*landmarks))
     d = d.select("seq_id", "landmark", "frame", "ts_s", "valid", F.col("p.v").alias("visibility"), (F.col("p.x") / F.col("unit")).alias("x"), (F.col("p.y") / F.col("unit")).alias("y"))
     for c in ("x", "y"):
         d = series.fill_short(d, MARK, "frame", c, "valid").drop(c, "pos").withColumnRenamed("filled", c)
@@ -132,9 +134,16 @@ def core_quality(fr: DataFrame, height: str = "height_px") -> DataFrame:
     )
 
 
-def marks_of(norm: DataFrame) -> DataFrame:
-    """(seq_id, frame, ts_s, pos, marks): the landmarks of each frame as one array, as the measures of a swing take them; seen are those visible by themselves."""
+def marks_of(norm: DataFrame, landmarks: tuple[int, ...] | None = None) -> DataFrame:
+    """(seq_id, frame, ts_s, pos, marks): the landmarks of each frame as one array, as the measures of a swing take them; seen are those visible by themselves.
+
+    If ``norm`` has only some ``landmarks``, the others' places are null.
+    """
     mark = F.struct("landmark", "x", "y", F.coalesce(F.col("visibility") >= VISIBLE, F.lit(False)).alias("seen"))
     d = norm.groupBy("seq_id", "frame", "ts_s").agg(F.array_sort(F.collect_list(mark)).alias("m"))  # 33 of them
     d = d.withColumn("pos", F.row_number().over(over("seq_id", "frame")) - 1)
-    return d.select("seq_id", "frame", "ts_s", "pos", F.transform("m", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["seen"].alias("seen"))).alias("marks"))
+    bare = lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["seen"].alias("seen"))
+    if landmarks is None:
+        return d.select("seq_id", "frame", "ts_s", "pos", F.transform("m", bare).alias("marks"))
+    at = {k: F.get("m", F.lit(i)) for i, k in enumerate(sorted(set(landmarks)))}
+    return d.select("seq_id", "frame", "ts_s", "pos", F.array(*(bare(at[k]) if k in at else F.lit(None) for k in range(33))).alias("marks"))

@@ -29,11 +29,11 @@ def frames(df: DataFrame, width: str = "width_px", height: str = "height_px") ->
     """Adds valid, the hip origin, torso length, and ``body``: landmarks about the hip, upright, in heights."""
     vis = sum((lm(k, "visibility") for k in CORE), F.lit(0.0)) / len(CORE)
     aspect = F.col(width) / F.col(height)
-    flat = F.transform("landmarks", lambda p: F.struct((p["x"] * aspect).alias("x"), (-p["y"]).alias("y"), p["visibility"].alias("v")))
-    df = df.withColumn("valid", F.col("detected") & (vis >= VISIBLE)).withColumn("flat", flat)
-    mid = lambda pair, c: (F.col("flat")[pair[0]][c] + F.col("flat")[pair[1]][c]) / 2.0
+    df = df.withColumn("valid", F.col("detected") & (vis >= VISIBLE))
+    flat = {"x": lambda p: p["x"] * aspect, "y": lambda p: -p["y"]}
+    mid = lambda pair, c: (flat[c](F.col("landmarks")[pair[0]]) + flat[c](F.col("landmarks")[pair[1]])) / 2.0
     df = df.withColumn("ox", mid(HIPS, "x")).withColumn("oy", mid(HIPS, "y")).withColumn("torso", F.hypot(mid(SHOULDERS, "x") - mid(HIPS, "x"), mid(SHOULDERS, "y") - mid(HIPS, "y")))
-    return df.withColumn("body", F.transform("flat", lambda p: F.struct((p["x"] - F.col("ox")).alias("x"), (p["y"] - F.col("oy")).alias("y"), p["v"].alias("v")))).drop("flat")
+    return df.withColumn("body", F.transform("landmarks", lambda p: F.struct((flat["x"](p) - F.col("ox")).alias("x"), (flat["y"](p) - F.col("oy")).alias("y"), p["visibility"].alias("v"))))
 
 
 def torso_scale(fr: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ f AS (SELECT seq_id, landmark, sum(step) AS path, arg_max(pos, {{'s': speed, 'p'
 g AS (SELECT s.seq_id, s.landmark, any_value(path) AS path, any_value(px) - arg_min(x, {{'s': speed, 'p': pos}}) AS way FROM s JOIN f USING (seq_id, landmark) WHERE pos <= peak GROUP BY ALL)
 SELECT seq_id, CASE WHEN arg_max(way, {{'p': path, 'l': landmark}}) < 0 THEN -1 ELSE 1 END AS direction FROM g GROUP BY seq_id""")
 def swing_direction(read):
-    return normalized.swing_direction(normalized.normalized(frames(read)))
+    return normalized.swing_direction(normalized.normalized(frames(read), pose.WRISTS))
 
 
 _ENDS = "(SELECT count(*) FROM k f WHERE f.seq_id = {0}.seq_id AND f.t < {1})"
