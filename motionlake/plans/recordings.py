@@ -717,12 +717,12 @@ def clip_summary(read):
 _TURN_SPAN = "pos BETWEEN 5 AND 30"
 
 
-def turned(read) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Normalised marks, phases at fixed frames, a contact and a direction for each sequence."""
-    norm = cut(normalized.normalized(frames(read)))
+def turned(read, *landmarks: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Normalised marks of some landmarks, phases at fixed frames, a contact and, given the wrists, a direction for each sequence."""
+    norm = cut(normalized.normalized(frames(read), landmarks))
     each = norm.select("seq_id").distinct()
     spans = F.array(*(F.struct(F.lit(n).alias("phase"), F.lit(a).alias("start"), F.lit(z).alias("end")) for n, a, z in (("takeback", 5, 12), ("forward_swing", 12, 20), ("follow_through", 22, 31))))
-    return normalized.marks_of(norm), each.select("seq_id", F.inline(spans)), each.withColumn("pos", F.lit(19)), normalized.swing_direction(norm)
+    return normalized.marks_of(norm, landmarks), each.select("seq_id", F.inline(spans)), each.withColumn("pos", F.lit(19)), normalized.swing_direction(norm)
 
 
 def _turn_sql(a: int, b: int, least: float, line: str) -> str:
@@ -737,19 +737,19 @@ SELECT seq_id, round(CASE WHEN n >= 5 THEN least(greatest(peak, 0), 90) END, 6)
 
 @query(_turn_sql(11, 12, swing.SHOULDER_LINE_TU, "shoulder_line"))
 def shoulder_turn(read):
-    marks, ph, _, _ = turned(read)
+    marks, ph, _, _ = turned(read, *pose.SHOULDERS)
     return swing.line_turn(marks, ph).withColumn("turn_deg", F.round("turn_deg", 6))
 
 
 @query(_turn_sql(23, 24, swing.HIP_LINE_TU, "hip_line"))
 def hip_turn(read):
-    marks, ph, _, _ = turned(read)
+    marks, ph, _, _ = turned(read, *pose.HIPS)
     return swing.hip_turn(marks, ph).withColumn("turn_deg", F.round("turn_deg", 6))
 
 
 @query()
 def knee_flexion(read):
-    marks, ph, at, ways = turned(read)
+    marks, ph, at, ways = turned(read, *pose.WRISTS, *pose.HIPS, *pose.KNEES, *pose.ANKLES)
     return swing.knee_flexion(marks, ph, at, ways)
 
 
