@@ -68,6 +68,7 @@ def analyze(candidates: DataFrame, frames: DataFrame, stability: DataFrame, maps
     events = seen.withColumnRenamed("time_s", "t").withColumn("kind", kind)
     events, _ = rallies.runs(events, spans, key)
     events, landings = landing.session_landings(events, mapped, key, doubles)
+    landings = cut(landings)
     ends = landing.flight_ends(found.select(key, "flight_id", F.col("time_s").alias("t"), F.col("x").alias("u"), F.col("y").alias("v"), "detected"), mapped, key)
     ended = spans.join(ends, [key, "flight_id"], "left")
     return Analysis(sessions, found, events, landings, rallies.segment(events, landings, ended, key), landing.summary(landings, key))

@@ -184,14 +184,17 @@ def played_on(events: DataFrame, found: DataFrame, key: str, within: float = PLA
 
 
 def session_landings(events: DataFrame, calibrations: DataFrame, key: str, doubles: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(events, landings): landings, once bounces that were hits are events of that kind."""
+    """(events, landings): landings, once bounces that were hits are events of that kind.
+
+    Landings are not written here, so that what a reader leaves out of them is not worked out.
+    """
     hits = cut(played_on(events, landings(events, calibrations, key, doubles), key).withColumnRenamed("end", "__end"))
     d = events.join(hits, [key, "event_id"], "left")
     was = F.col("__end").isNotNull()
     d = d.withColumn("kind", F.when(was, "hit").otherwise(F.col("kind"))).withColumn("end", F.when(was, F.col("__end")).otherwise(F.col("end")))
     d = d.withColumn("flags", F.when(was, F.array_append(F.coalesce("flags", F.array().cast("array<string>")), "out_bounce_relabelled_hit")).otherwise(F.col("flags"))).select(events.columns)
     d = cut(d)
-    return d, cut(landings(d, calibrations, key, doubles))
+    return d, landings(d, calibrations, key, doubles)
 
 
 def summary(found: DataFrame, key: str) -> DataFrame:

@@ -6,13 +6,13 @@ runs over one run of activity, which silence bounds.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructType
 
 from motionlake.functions import cut, over
 from motionlake.operators import rally
+from motionlake.operators.groups import dealt
 from motionlake.operators.rally import MAX_QUIET_S, NEAR_NET_M, RESTART_S
 
 #: Fixed values, in seconds: how long a ball is followed after a hit that counts, and how far an event may be from a track's end.
@@ -22,16 +22,17 @@ AFTER_POINT, AT_NET, IMPLAUSIBLE, UNCONFIRMED, LOST_TRACK, TWO_BALLS = "contacts
 
 
 def runs(events: DataFrame, flights: DataFrame, key: str, quiet: float = MAX_QUIET_S) -> tuple[DataFrame, DataFrame]:
-    """Events and flights (flight_id, t0, t1) with ``run``: activity without a longer silence than ``quiet``."""
-    spans = events.select(key, F.lit("e").alias("what"), F.col("event_id").cast("string").alias("id"), F.col("t").alias("t0"), F.col("t").alias("t1"))
-    spans = spans.unionByName(flights.select(key, F.lit("f").alias("what"), F.col("flight_id").cast("string").alias("id"), "t0", "t1"))
-    found = rally.activity_runs(spans, key, "t0", "t1", quiet).select(key, "what", "id", "run")
+    """Events and flights (flight_id, t0, t1) with ``run``: activity without a longer silence than ``quiet``.
 
-    def own(d: DataFrame, what: str, c: str) -> DataFrame:
-        ids = found.where(F.col("what") == what).select(key, F.col("id").alias("__id"), "run")
-        return d.withColumn("__id", F.col(c).cast("string")).join(ids, [key, "__id"]).drop("__id")
-
-    return own(events, "e", "event_id"), own(flights, "f", "flight_id")
+    Both travel whole through one window over a session, so that nothing is joined back; rows without a key
+    or an id are left out.
+    """
+    e, f = events.where(F.col(key).isNotNull() & F.col("event_id").isNotNull()), flights.where(F.col(key).isNotNull() & F.col("flight_id").isNotNull())
+    spans = e.select(key, F.col("t").alias("__t0"), F.col("t").alias("__t1"), F.struct(*events.columns).alias("__event"))
+    spans = spans.unionByName(f.select(key, F.col("t0").alias("__t0"), F.col("t1").alias("__t1"), F.struct(*flights.columns).alias("__flight")), allowMissingColumns=True)
+    found = cut(rally.activity_runs(spans, key, "__t0", "__t1", quiet).select(key, "__event", "__flight", "run"))
+    own = lambda c, d: found.where(F.col(c).isNotNull()).select(key, *(F.col(c)[x].alias(x) for x in d.columns if x != key), "run")
+    return own("__event", events), own("__flight", flights)
 
 
 def points(events: DataFrame, key: str, restart: float = RESTART_S) -> DataFrame:
@@ -39,36 +40,42 @@ def points(events: DataFrame, key: str, restart: float = RESTART_S) -> DataFrame
 
     ``events``: run, event_id, t, kind, half, verdict.  A bounce called out, or a second one in the same half without a
     hit between, ends a point; a hit some time later begins the next.  A bounce in the other half soon
-    after means that play went on, and the end did not count.
+    after means that play went on, and the end did not count.  Rows come dealt by key and sorted, and the walk
+    keeps nothing but its place in the run.
     """
-    schema = StructType(list(events.schema.fields)).add("point", IntegerType()).add("dropped", BooleanType())
-    order = [f.name for f in schema.fields]
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"], kind="stable")
-        number, dead, dead_half, prior, out, lost = 0, None, None, None, [], set()
-        for t, kind, half, verdict in zip(pdf["t"].tolist(), pdf["kind"].tolist(), pdf["half"].tolist(), pdf["verdict"].tolist()):
-            half = half if half in ("near", "far") else None
-            soon = dead is not None and t - dead < restart
-            if soon and kind == "bounce" and None not in (dead_half, half) and half != dead_half:
-                dead = None
-            if dead is not None:
-                if soon or kind != "hit":
-                    if kind != "kink":
-                        lost.add(number)
-                    out.append(None)
-                    continue
-                number, dead, prior = number + 1, None, None
-            out.append(number)
-            again = prior is not None and prior[0] == "bounce" and half is not None and prior[1] == half
-            if kind == "bounce" and (verdict == "out" or again):
-                dead, dead_half = t, half
-            if kind in ("hit", "bounce"):
-                prior = kind, half
-        pdf = pdf.assign(point=pd.array(out, dtype="Int32"), dropped=[p in lost if p is not None else False for p in out])
-        return pdf[order]
-
-    return events.groupBy(key, "run").applyInPandas(walk, schema)
+    walked = StructType(list(events.schema.fields)).add("__number", IntegerType()).add("__live", BooleanType()).add("__lost", BooleanType())
+
+    def walk(batches):
+        at = number = dead = dead_half = prior = None
+        for pdf in batches:
+            numbers, live, lost = [], [], []
+            for where, t, kind, half, verdict in zip(zip(pdf[key].tolist(), pdf["run"].tolist()), pdf["t"].tolist(), pdf["kind"].tolist(), pdf["half"].tolist(), pdf["verdict"].tolist()):
+                if where != at:
+                    at, number, dead, dead_half, prior = where, 0, None, None, None
+                half = half if half in ("near", "far") else None
+                soon = dead is not None and t - dead < restart
+                if soon and kind == "bounce" and None not in (dead_half, half) and half != dead_half:
+                    dead = None
+                if dead is not None:
+                    if soon or kind != "hit":
+                        numbers.append(number)
+                        live.append(False)
+                        lost.append(kind != "kink")
+                        continue
+                    number, dead, prior = number + 1, None, None
+                numbers.append(number)
+                live.append(True)
+                lost.append(False)
+                again = prior is not None and prior[0] == "bounce" and half is not None and prior[1] == half
+                if kind == "bounce" and (verdict == "out" or again):
+                    dead, dead_half = t, half
+                if kind in ("hit", "bounce"):
+                    prior = kind, half
+            yield pdf.assign(__number=numbers, __live=live, __lost=lost)
+
+    d = dealt(events, key, "run", F.col("t").asc_nulls_last(), F.col("event_id").asc_nulls_last()).mapInPandas(walk, walked)
+    dropped = F.max("__lost").over(Window.partitionBy(key, "run", "__number"))
+    return d.select(*events.columns, F.when(F.col("__live"), F.col("__number")).alias("point"), (F.col("__live") & dropped).alias("dropped"))
 
 
 def segment(events: DataFrame, landings: DataFrame, flights: DataFrame, key: str) -> DataFrame:
