@@ -1,7 +1,7 @@
 """Rallies of a session: runs of activity, points within them, lengths with their range, how each ended.
 
 Every step is a window or an aggregate over one rally's rows; the walk that finds where points end
-runs over one run of activity, which silence bounds.
+streams over a session's rows in order.
 """
 
 from __future__ import annotations
