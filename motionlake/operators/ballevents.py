@@ -24,6 +24,8 @@ from motionlake.operators.groups import by_keys, dealt
 
 #: Samples of a side, of a whole one, of a line's side, of both; least deviation of the single fit, floor of the noise.
 SIDE_LEAST, SIDE_WHOLE, LINE_SAMPLES, BOTH_LEAST, SINGLE_PX, NOISE_PX = 2, 3, 3, 6, 1.0, 0.5
+#: Stretches that are fitted together, so that they stay near the processor.
+PIECE = 2048
 #: Places tried for the time of a break, and samples of a side that give full confidence.
 GRID, FULL_SIDE = 41, 8
 #: Fixed values, in seconds, metres and metres a second: matching of hits, upward impulse, run-off, net, directions.
@@ -66,6 +68,10 @@ class Breaks:
 
     def squares(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The rss of ``side`` alone."""
+        if len(lo) > PIECE:
+            return np.concatenate([self.squares(lo[k : k + PIECE], hi[k : k + PIECE]) for k in range(0, len(lo), PIECE)])
+        if not len(lo):
+            return np.zeros(0)
         return Stretches(self.t, self.xy, lo, hi).polynomial(np.where(hi - lo <= LINE_SAMPLES, 1, 2))
 
     def window(self, split: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +83,8 @@ class Breaks:
 
         Thrown balls come as near as a parabola or nearer, which only adds to the share.
         """
+        if len(split) > PIECE:
+            return np.concatenate([self.share(*(v[k : k + PIECE] for v in (split, low, high))) for k in range(0, len(split), PIECE)])
         lo, hi = self.window(split, low, high)
         n, m = split + 1 - lo, hi - split - 1
         share = np.full(len(split), np.inf)
@@ -361,15 +369,67 @@ class Camera:
         return self.project(np.array([[-NET_SPAN, 0, 0], [NET_SPAN, 0, 0], [NET_SPAN, 0, NET_POST], [0, 0, NET_CENTRE], [-NET_SPAN, 0, NET_POST]], float))
 
 
+class Cameras:
+    """What ``Camera`` does, for places that have a camera each: ``of`` says which."""
+
+    def __init__(self, cameras: list[Camera], of: np.ndarray):
+        every = lambda f: np.array([f(c) for c in cameras])[of]
+        self.cameras, self.of = cameras, of
+        self.h, self.m, self.cam, self.focal = every(lambda c: c.h), every(lambda c: c.m), every(lambda c: c.cam), every(lambda c: c.focal)
+        self.front, self.far_scale = every(lambda c: c.front), every(lambda c: c.far_scale)
+
+    def only(self, k: np.ndarray) -> Cameras:
+        return Cameras(self.cameras, self.of[k])
+
+    @staticmethod
+    def _times(m: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Matrices (n, rows, d + 1) by places (n, d) and 1: (rows, n)."""
+        out = m[:, :, -1].T.copy()
+        for k in range(p.shape[1]):
+            out += m[:, :, k].T * p[:, k]
+        return out
+
+    def ground(self, uv: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            p = self._times(self.h, uv)
+            return np.where(np.sign(p[2]) == self.front, p[:2] / p[2], np.nan).T
+
+    def scale_of(self, uv: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            p = self._times(self.h, uv)
+            far = np.sqrt((p[0] / p[2] - self.cam[:, 0]) ** 2 + (p[1] / p[2] - self.cam[:, 1]) ** 2 + self.cam[:, 2] ** 2)
+            return np.nan_to_num(self.focal / far, nan=0.0, posinf=0.0)
+
+    def scale(self, uv: np.ndarray) -> np.ndarray:
+        return np.where(np.isfinite(self.ground(uv)).all(axis=1), self.scale_of(uv), self.far_scale)
+
+    def jacobian(self, xyz: np.ndarray) -> np.ndarray:
+        p = self._times(self.m, xyz)
+        uv = (p[:2] / p[2]).T
+        return (self.m[:, :2, :3] - uv[:, :, None] * self.m[:, 2:, :3]) / p[2][:, None, None]
+
+    def net_points(self, uv: np.ndarray) -> np.ndarray:
+        ray = np.linalg.solve(self.m[:, :, :3], np.concatenate([uv, np.ones((len(uv), 1))], axis=1)[:, :, None])[:, :, 0]
+        with np.errstate(all="ignore"):
+            reach = -self.cam[:, 1] / ray[:, 1]
+            at = self.cam + reach[:, None] * ray
+        good = (reach > 0) & (np.abs(at[:, 0]) <= NET_SPAN) & (at[:, 2] >= 0) & (at[:, 2] <= NET_POST)
+        at[:, 1] = 0.0
+        return np.where(good[:, None], at, np.nan)
+
+    def net_polygons(self) -> np.ndarray:
+        return np.array([c.net_polygon() for c in self.cameras]).reshape(-1, 5, 2)[self.of]
+
+
 def inside(points: np.ndarray, polygon: np.ndarray, margin: float) -> np.ndarray:
-    """Whether points are in a polygon, or within ``margin`` of an edge of it."""
-    a, b = polygon, np.roll(polygon, -1, axis=0)
+    """Whether points are in a polygon, one for all or one each, or within ``margin`` of an edge of it."""
+    (ax, ay), (bx, by) = np.moveaxis(polygon, -1, 0), np.moveaxis(np.roll(polygon, -1, axis=-2), -1, 0)
     x, y = points[:, :1], points[:, 1:]
-    d = b - a
+    dx, dy = bx - ax, by - ay
     with np.errstate(all="ignore"):
-        crosses = ((a[:, 1] > y) != (b[:, 1] > y)) & (x < a[:, 0] + (y - a[:, 1]) * d[:, 0] / d[:, 1])
-    s = np.clip(((x - a[:, 0]) * d[:, 0] + (y - a[:, 1]) * d[:, 1]) / np.maximum((d**2).sum(axis=1), 1e-300), 0, 1)
-    near = np.hypot(x - a[:, 0] - s * d[:, 0], y - a[:, 1] - s * d[:, 1]) <= margin
+        crosses = ((ay > y) != (by > y)) & (x < ax + (y - ay) * dx / dy)
+    s = np.clip(((x - ax) * dx + (y - ay) * dy) / np.maximum(dx**2 + dy**2, 1e-300), 0, 1)
+    near = np.hypot(x - ax - s * dx, y - ay - s * dy) <= margin
     return (crosses.sum(axis=1) % 2 == 1) | near.any(axis=1)
 
 
@@ -406,6 +466,59 @@ def _corners(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, real
 
 
+def _have_points(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each set {x: a x <= b} in two dimensions has a point, for rows (n, faces, 2) of length 1.
+
+    The first four faces are a box: x0 up to, x0 from, x1 up to, x1 from.  The point that is furthest along both axes is led
+    from face to face: one that it breaks bears the next point, as far as the faces before leave room on its line.
+    """
+    at, alive = np.stack([b[:, 0], b[:, 2]], axis=1), np.ones(len(a), bool)
+    for face in range(4, a.shape[1]):
+        broken = np.flatnonzero(alive & (a[:, face, 0] * at[:, 0] + a[:, face, 1] * at[:, 1] > b[:, face] + 1e-9))
+        if not len(broken):
+            continue
+        (x, y), limit = a[broken, face].T, b[broken, face]
+        across, down, rest = a[broken, :face, 0], a[broken, :face, 1], b[broken, :face]
+        along = down * x[:, None] - across * y[:, None]  # the line runs along (-y, x)
+        room = rest - (across * x[:, None] + down * y[:, None]) * limit[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            reach = room / along
+        lo = np.where(along < -1e-8, reach, -np.inf).max(axis=1)
+        hi = np.where(along > 1e-8, reach, np.inf).min(axis=1)
+        alive[broken] = (lo <= hi + 1e-9) & ~((np.abs(along) <= 1e-8) & (room < -1e-9 * np.maximum(1.0, np.abs(rest)))).any(axis=1)
+        step = np.where(x > y, hi, lo)
+        at[broken] = np.stack([x * limit - y * step, y * limit + x * step], axis=1)
+    return alive
+
+
+def _met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a corner of each set {x: a x <= b} in two dimensions is real; the last four faces are a box as ``can_bounce`` has it.
+
+    Corners are made only where a little more or less room decides.
+    """
+    size = np.hypot(a[:, :, 0], a[:, :, 1])
+    bare = (size == 0) & (b >= 0)  # no bound
+    plain = np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=1) & (bare | (size > 1e-9)).all(axis=1)
+    out = np.zeros(len(a), bool)
+    k = np.flatnonzero(plain)
+    unsure = np.flatnonzero(~plain)
+    if len(k):
+        bound = np.flatnonzero(~bare[k].all(axis=0))
+        order = np.concatenate([bound[-4:], bound[:-4]])
+        own = np.ix_(k, order)
+        unit = np.where(bare[own], 1.0, size[own])
+        faces, limits = a[own] / unit[:, :, None], np.where(bare[own], 1e6, b[own] / unit)
+        little = 1e-4 * np.maximum(1.0, np.abs(limits))
+        maybe = _have_points(faces, limits + little)
+        k, faces, limits, little = k[maybe], faces[maybe], limits[maybe], little[maybe]
+        sure = _have_points(faces, limits - little)
+        out[k[sure]] = True
+        unsure = np.concatenate([unsure, k[~sure]])
+    if len(unsure):
+        out[unsure] = _corners(a[unsure], b[unsure])[1].any(axis=1)
+    return out
+
+
 def can_bounce(jacobian: np.ndarray, before: np.ndarray, after: np.ndarray, px_per_m: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether the image velocities can be those of one bounce on the ground.
 
@@ -443,7 +556,7 @@ def can_bounce(jacobian: np.ndarray, before: np.ndarray, after: np.ndarray, px_p
         box = np.broadcast_to(np.array([[1.0, 0], [-1, 0], [0, 1], [0, -1]]), (len(k), 4, 2))
         away = y[k] >= 0
         limit = np.stack([np.full(len(k), GROUND_M_S), np.full(len(k), GROUND_M_S), np.where(away, GROUND_M_S, 0.0), np.where(away, 0.0, GROUND_M_S)], axis=1)
-        met = _corners(np.concatenate([a, box], axis=1), np.concatenate([b, limit], axis=1))[1].any(axis=1)
+        met = _met(np.concatenate([a, box], axis=1), np.concatenate([b, limit], axis=1))
         good[k[met]] = True
         undecided = k[~met]
     return good
@@ -489,39 +602,49 @@ def nearest_hit(event: dict, hits: list[dict], px_per_m: float) -> dict | None:
     return min(near, key=lambda x: x[:3])[3] if near else None
 
 
-def classify(events: list[dict], camera: Camera, hits: list[dict]) -> list[dict]:
-    """The events with kind, end, shot_type, feet and flags: a hit of the pose, else bounce, net_contact, hit or unknown_kink."""
-    if not events:
-        return []
-    get = lambda *names: np.array([[e[c] for c in names] for e in events], float)
-    uv, before, after = get("u", "v"), get("vbx", "vby"), get("vax", "vay")
-    scale, ground = camera.scale(uv), camera.ground(uv)
+def possible(cameras: Cameras, uv: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[list[float], list[str]]:
+    """Pixels a metre at each event, and what it is but for the pose: bounce, net_contact, hit or unknown_kink."""
+    scale, ground = cameras.scale(uv), cameras.ground(uv)
     on_court = np.isfinite(ground).all(axis=1) & (np.abs(ground[:, 0]) <= DOUBLES_HALF + RUNOFF_M) & (np.abs(ground[:, 1]) <= HALF_LENGTH + RUNOFF_M)
     upward = on_court & (after[:, 1] - before[:, 1] < -IMPULSE_M_S * scale)
-    bounce = np.zeros(len(events), bool)
+    bounce = np.zeros(len(uv), bool)
     k = np.flatnonzero(upward)
     if len(k):
         flat = np.concatenate([ground[k], np.zeros((len(k), 1))], axis=1)
-        bounce[k] = can_bounce(camera.jacobian(flat), before[k], after[k], camera.scale_of(*uv[k].T), ground[k, 1])
-    net = np.zeros(len(events), bool)
-    at = camera.net_points(uv)
-    k = np.flatnonzero(~bounce & inside(uv, camera.net_polygon(), NET_MARGIN_PX) & np.isfinite(at).all(axis=1))
+        bounce[k] = can_bounce(cameras.only(k).jacobian(flat), before[k], after[k], cameras.only(k).scale_of(uv[k]), ground[k, 1])
+    net = np.zeros(len(uv), bool)
+    k = np.flatnonzero(~bounce & inside(uv, cameras.net_polygons(), NET_MARGIN_PX))
+    at = cameras.only(k).net_points(uv[k])
+    seen = np.isfinite(at).all(axis=1)
+    k, at = k[seen], at[seen]
     if len(k):
-        net[k] = can_touch_net(camera.jacobian(at[k]), before[k], after[k], camera.focal / np.linalg.norm(at[k] - camera.cam, axis=1))
+        own = cameras.only(k)
+        net[k] = can_touch_net(own.jacobian(at), before[k], after[k], own.focal / np.linalg.norm(at - own.cam, axis=1))
     size = [np.hypot(*v.T) for v in (before, after)]
     with np.errstate(all="ignore"):
         faster = np.where(size[0] > 0, size[1] / size[0], np.inf) >= HIT_RATIO
     floor = DIRECTION_M_S * scale
     turned = (np.abs(before[:, 0]) >= floor) & (np.abs(after[:, 0]) >= floor) & ((before[:, 0] > 0) != (after[:, 0] > 0))
+    return scale.tolist(), np.select([bounce, net, faster | turned], ["bounce", "net_contact", "hit"], "unknown_kink").tolist()
+
+
+def classify(events: list[dict], camera: Camera, hits: list[dict], judged: tuple[list[float], list[str]] | None = None) -> list[dict]:
+    """The events with kind, end, shot_type, feet and flags: a hit of the pose, else what is ``possible``, ``judged`` before if that is given."""
+    if not events:
+        return []
+    if judged is None:
+        get = lambda *names: np.array([[e[c] for c in names] for e in events], float)
+        judged = possible(Cameras([camera], np.zeros(len(events), np.int64)), get("u", "v"), get("vbx", "vby"), get("vax", "vay"))
+    scale, kinds = judged
     out = []
     for j, e in enumerate(events):
         e = dict(e)
         if (h := nearest_hit(e, hits, scale[j])) is not None:
             e |= {"kind": "hit", "end": h["end"], "shot_type": h["shot_type"], "feet_u": h["feet_u"], "feet_v": h["feet_v"], "flags": _flag(e["flags"], "pose_hit")}
-        elif bounce[j]:
-            e |= {"kind": "bounce", "flags": _flag(e["flags"], "weak_bounce") if e["confidence"] < WEAK_BELOW else e["flags"]}
         else:
-            e["kind"] = "net_contact" if net[j] else "hit" if faster[j] or turned[j] else "unknown_kink"
+            e["kind"] = kinds[j]
+            if e["kind"] == "bounce" and e["confidence"] < WEAK_BELOW:
+                e["flags"] = _flag(e["flags"], "weak_bounce")
         out.append(e)
     return out
 
@@ -629,17 +752,18 @@ def _breaks(sessions: list[dict[int, np.ndarray]]) -> list[tuple[np.ndarray, dic
     return [(flight[a:b] - begin, {c: v[a:b] for c, v in found.items()}) for a, b, begin in zip(places, places[1:], begins, strict=False)]
 
 
-def session_events(flights: dict[int, np.ndarray], camera: Camera, hits: list[dict], breaks: tuple[np.ndarray, dict[str, np.ndarray]] | None = None) -> list[dict]:
+def session_events(flights: dict[int, np.ndarray], camera: Camera, hits: list[dict], breaks: tuple | None = None, judged: tuple | None = None) -> list[dict]:
     """All events of a session's flights (arrays of time, x, y; no place where nothing was seen), in order of time, with their ids."""
     ids = sorted(flights)
     kept = [flights[i][_kept(flights[i][:, 0], flights[i][:, 1:])] for i in ids]
     flight, found = breaks or _breaks([flights])[0]
     bare = {"end": None, "shot_type": None, "feet_u": None, "feet_v": None}
     events = []
-    for j, f in enumerate(flight.tolist()):
-        e = {c: float(found[c][j]) for c in FIELDS}
-        events.append(e | bare | {"flight_id": ids[f], "number": j, "flags": ["one_sided_bounce"] if found["one_sided"][j] else []})
-    events = merge_split(classify(events, camera, hits), camera)
+    values, one_sided = zip(*(found[c].tolist() for c in FIELDS), strict=True), found["one_sided"].tolist()
+    for j, (f, own) in enumerate(zip(flight.tolist(), values, strict=True)):
+        e = dict(zip(FIELDS, own, strict=True))
+        events.append(e | bare | {"flight_id": ids[f], "number": j, "flags": ["one_sided_bounce"] if one_sided[j] else []})
+    events = merge_split(classify(events, camera, hits, judged), camera)
     for i, own in zip(ids, kept, strict=True):
         if len(own) < 2:
             continue
@@ -679,28 +803,44 @@ def detect(flights: DataFrame, maps: DataFrame, hits: DataFrame, key: str) -> Da
     contacts = hits.where("time_s is not null and not isnan(time_s)").select(key, *HIT_COLUMNS)
     names = [key, *(x.split()[0] for x in EVENT.split(", "))]
 
-    def own(both: pd.DataFrame) -> dict[int, np.ndarray]:
-        if both["time_s"].notna().all():
-            return {}
-        of = both[both["flight_id"].notna()].sort_values(["flight_id", "time_s", "x", "y"], kind="stable")
-        rows, ids = of[["time_s", "x", "y"]].to_numpy(float), of["flight_id"].to_numpy(np.int64)
-        begins = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
-        return dict(zip(ids[begins].tolist(), np.split(rows, begins[1:]), strict=True)) if len(ids) else {}
-
-    def many(sessions: list[pd.DataFrame]) -> list[pd.DataFrame]:
-        flown = [own(both) for both in sessions]
-        out = []
-        for both, flights, breaks in zip(sessions, flown, _breaks(flown), strict=True):
-            if not flights:
-                continue
-            timed = both["time_s"].notna()
-            r, contact = both[~timed].iloc[0], both[timed & both["flight_id"].isna()]
-            camera = Camera(r["h"], r["projection"], (r["cam_x"], r["cam_y"], r["cam_z"]), r["focal_px"])
-            clean = lambda v: None if v is None or v != v else v
-            found = [{c: clean(v) for c, v in zip(HIT_COLUMNS, row, strict=True)} for row in contact[list(HIT_COLUMNS)].itertuples(index=False)]
-            rows = [e | {key: r[key]} for e in session_events(flights, camera, [h | {"confidence": h["confidence"] or 0.0} for h in found], breaks)]
-            out.append(pd.DataFrame(rows, columns=names))
-        return out
+    clean = lambda v: None if v is None or v != v else v
+
+    def parts(both: pd.DataFrame) -> tuple[dict[int, np.ndarray], Camera | None, list[dict]]:
+        """Flights, camera and hits of a session."""
+        time, ids = both["time_s"].to_numpy(float), both["flight_id"].to_numpy(float)
+        known, flying = np.flatnonzero(np.isnan(time)), np.flatnonzero(~np.isnan(ids))
+        if not len(known) or not len(flying):
+            return {}, None, []
+        x, y, ids = both["x"].to_numpy(float)[flying], both["y"].to_numpy(float)[flying], ids[flying].astype(np.int64)
+        order = np.lexsort((y, x, time[flying], ids))
+        rows, ids = np.stack([time[flying], x, y], axis=1)[order], ids[order]
+        begins = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)).tolist()
+        flights = {int(ids[a]): rows[a:b] for a, b in zip(begins, [*begins[1:], len(ids)], strict=True)}
+        h, projection, *cam, focal = (both[c].iat[known[0]] for c in ("h", "projection", "cam_x", "cam_y", "cam_z", "focal_px"))
+        contact = np.setdiff1d(np.arange(len(time)), np.concatenate([known, flying]))
+        columns = [[clean(v) for v in both[c].to_numpy()[contact].tolist()] for c in HIT_COLUMNS]
+        hits = [dict(zip(HIT_COLUMNS, row, strict=True)) for row in zip(*columns, strict=True)]
+        return flights, Camera(h, projection, cam, focal), [h | {"confidence": h["confidence"] or 0.0} for h in hits]
+
+    def many(sessions: list[pd.DataFrame]) -> list[dict]:
+        held = [(both[key].iat[0], *parts(both)) for both in sessions]
+        held = [x for x in held if x[1]]
+        if not held:
+            return []
+        breaks = _breaks([flights for _, flights, _, _ in held])
+        sizes = [len(flight) for flight, _ in breaks]
+        get = lambda *names: np.stack([np.concatenate([found[c] for _, found in breaks]) for c in names], axis=1)
+        cameras = Cameras([camera for _, _, camera, _ in held], np.repeat(np.arange(len(held)), sizes))
+        scale, kinds = possible(cameras, get("u", "v"), get("vbx", "vby"), get("vax", "vay"))
+        out: dict[str, list] = {c: [] for c in names}
+        at = 0
+        for (label, flights, camera, hits), size, own in zip(held, sizes, breaks, strict=True):
+            events = session_events(flights, camera, hits, own, (scale[at : at + size], kinds[at : at + size]))
+            at += size
+            for c in names[1:]:
+                out[c] += [e[c] for e in events]
+            out[key] += [label] * len(events)
+        return [out]
 
     rows = flown.unionByName(contacts, allowMissingColumns=True).unionByName(mapped, allowMissingColumns=True)
     return by_keys(rows, key, [], many, f"`{key}` {kind}, {EVENT}")

@@ -32,12 +32,16 @@ def by_key(df: DataFrame, key: str, order: list, f: Callable[[pd.DataFrame], pd.
     return by_keys(df, key, order, lambda parts: [f(p) for p in parts], schema, gathered=0)
 
 
-def by_keys(df: DataFrame, key: str, order: list, f: Callable[[list[pd.DataFrame]], list[pd.DataFrame]], schema: str, gathered: int = GATHERED) -> DataFrame:
-    """The same for functions that take the rows of several keys, each whole and of its own, for work that arrays share."""
+def by_keys(df: DataFrame, key: str, order: list, f: Callable[[list[pd.DataFrame]], list], schema: str, gathered: int = GATHERED) -> DataFrame:
+    """The same for functions that take the rows of several keys, each whole and of its own, for work that arrays share.
 
-    def together(parts: list[pd.DataFrame]) -> dict[str, list]:
-        parts = [p for p in parts if len(p)]
-        return {c: [v for p in parts for v in p[c].tolist()] for c in parts[0].columns} if parts else {}
+    What they return are frames, or columns as lists by their names.
+    """
+
+    def together(parts: list) -> dict[str, list]:
+        parts = [p if isinstance(p, dict) else {c: p[c].tolist() for c in p.columns} for p in parts]
+        parts = [p for p in parts if any(map(len, p.values()))]
+        return {c: [v for p in parts for v in p[c]] for c in parts[0]} if parts else {}
 
     def stream(batches):
         held: list[pd.DataFrame] = []  # of the last key, which may go on
