@@ -16,37 +16,36 @@ TOGETHER = 2048
 
 
 class Stretches:
-    """Padded rows of stretches, on a clock from the stretch's first sample and scaled to its span.
-
-    Arrays are held sample by sample, so that sums over the few samples of a stretch run over many stretches at once.
-    """
+    """Padded rows of stretches, on a clock from the stretch's first sample and scaled to its span."""
 
     def __init__(self, t: np.ndarray, xy: np.ndarray, lo: np.ndarray, hi: np.ndarray):
         self.of = t, xy, lo, hi
-        at = lo + np.arange(int((hi - lo).max()))[:, None]
-        self._inside = at < hi
+        at = lo[:, None] + np.arange(int((hi - lo).max()))
+        self.inside = at < hi[:, None]
         at = np.minimum(at, len(t) - 1)
         self.size = hi - lo
-        self._t, self._x, self._y = (np.where(self._inside, v[at], 0.0) for v in (t, xy[:, 0], xy[:, 1]))
-        self.inside, self.t = self._inside.T, self._t.T
+        self.t, self.xy = np.where(self.inside, t[at], 0.0), np.where(self.inside[:, :, None], xy[at], 0.0)
         self.start = t[lo]
         self.span = np.maximum(t[hi - 1] - self.start, 1e-9)
 
-    @property
-    def xy(self) -> np.ndarray:
-        return np.stack([self._x.T, self._y.T], axis=2)
-
     def left(self, fitted: np.ndarray) -> np.ndarray:
         """The sum of squares that fitted places leave."""
         return (((fitted - self.xy) * self.inside[:, :, None]) ** 2).sum(axis=(1, 2))
 
     def polynomial(self, degree: np.ndarray) -> np.ndarray:
         """The sum of squares beside a polynomial of each stretch's degree, 2 at most."""
-        s = np.where(self._inside, (self._t - self.start) / self.span, 0.0)
-        known, sizes = _orthogonal([self._inside.astype(float), s, s * s])
-        for d, (q, size) in enumerate(zip(known, sizes, strict=True)):
-            q *= (size > 1e-14) & (degree >= d)
-        return sum(_dot(v, v) for v in (_without(self._x, known), _without(self._y, known)))
+        s = np.where(self.inside, (self.t - self.start[:, None]) / self.span[:, None], 0.0)
+        x, y = self.xy[:, :, 0], self.xy[:, :, 1]
+        dot = lambda a, b: np.einsum("rs,rs->r", a, b)[:, None]
+        known: list[np.ndarray] = []
+        for d, power in enumerate((self.inside.astype(float), s, s * s)):
+            for q in known + known:  # twice, for what rounding leaves
+                power = power - dot(power, q) * q
+            size = np.sqrt(dot(power, power))
+            q = np.where((size > 1e-14) & (degree[:, None] >= d), power / np.maximum(size, 1e-14), 0.0)
+            x, y = x - dot(x, q) * q, y - dot(y, q) * q
+            known.append(q)
+        return (dot(x, x) + dot(y, y))[:, 0]
 
     def centred(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A clock from -1 to 1 about the mean time, places about their mean, and the size and mean of the latter."""
@@ -65,14 +64,12 @@ class Stretches:
         vector; else C is 1 + c1 t + c2 t^2 and the solution is least squares.  Infinite where C vanishes
         or changes sign within the stretch.
         """
-        if free or len(self._t) < 4:
+        if free or self.t.shape[1] < 4:
             return self._solved(free)
-        n, one = self.size, self._inside.astype(float)
-        t = np.where(self._inside, self._t - self._t.sum(axis=0) / n, 0.0)
-        t = t / np.maximum(np.abs(t).max(axis=0), 1e-9)
-        x, y = (np.where(self._inside, v - v.sum(axis=0) / n, 0.0) for v in (self._x, self._y))
-        scale = np.maximum(np.maximum(np.abs(x).max(axis=0), np.abs(y).max(axis=0)), 1.0)
-        x, y, square = x / scale, y / scale, t * t
+        t, p, scale, _ = self.centred()
+        # sample by sample, so that sums over the few samples of a stretch run over many stretches at once
+        inside, t, x, y = (np.ascontiguousarray(v.T) for v in (self.inside, t, p[:, :, 0], p[:, :, 1]))
+        one, square = inside.astype(float), t * t
         # beside A and B, which take up quadratics in either half, two unknowns are left
         known, sizes = _orthogonal([one, t, square])
         first, second, right = ([_without(v, known, known) for v in pair] for pair in ((-x * t, -y * t), (-x * square, -y * square), (x, y)))
@@ -86,7 +83,7 @@ class Stretches:
         sizes.append(np.sqrt(both(second, second)))
         c2 = both(second, right) / np.maximum(sizes[4] ** 2, 1e-300)
         c1 = (both(first, right) - shared * c2) / np.maximum(sizes[3], 1e-300)
-        w = np.where(self._inside, 1.0 + c1 * t + c2 * square, 1.0)
+        w = np.where(inside, 1.0 + c1 * t + c2 * square, 1.0)
         good = (w > 1e-6).all(axis=0)
         w = np.where(good, w, 1.0)
         off = [(sum(_dot(v * w, q) * q for q in known) / w - v) * scale for v in (x, y)]
