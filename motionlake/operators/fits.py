@@ -203,13 +203,12 @@ def rough_windows(t: np.ndarray, xy: np.ndarray, first: np.ndarray, last: np.nda
             break
         n = hi - lo
         stretch = np.repeat(np.arange(len(lo)), n - 1)
-        cut = np.concatenate([np.arange(1, k) for k in n])
+        cut = np.arange(len(stretch)) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1) + 1
         begin, end = lo[stretch], hi[stretch]
         a = deviation(t, xy, begin, begin + cut, spare=True, thrown=thrown)
         b = deviation(t, xy, begin + cut, end, spare=True, thrown=thrown)
         both = np.sqrt((a**2 * cut + b**2 * (end - begin - cut)) / (end - begin))
-        kinked = np.zeros(len(lo), bool)
-        np.logical_or.at(kinked, stretch, both <= SMOOTH_PX)
+        kinked = np.bincount(stretch[both <= SMOOTH_PX], minlength=len(lo)) > 0
         flight, lo, hi = flight[~kinked], lo[~kinked], hi[~kinked]
     return np.bincount(flight, minlength=len(first))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from motionlake.operators.ball import GATE_SHRINK, MAX_SPEED_M_S, MIN_EXTENT_PX, PER_FRAME, STEP_SAFETY, STITCH_GAP_S, STREAK_DEG
 from motionlake.operators.fits import SMOOTH_PX, smooth
-from motionlake.operators.groups import by_key
+from motionlake.operators.groups import by_keys
 
 #: Least gate in pixels, points that a step is led by, and the shape of a streak.
 LEAST_GATE_PX, LED_BY, STREAK_ASPECT, STREAK_MINOR_PX = 4.0, 5, 1.6, 3.0
@@ -26,6 +26,8 @@ COAST_S, DETECTIONS, DETECTIONS_SLOW, SLOW_FPS = 0.1, 6, 4, 45.0
 SEED_THIRDS, TRIAL, MAX_M_S2, NOISE_PX_PER_FRAME2 = 4, 6, 600.0, 3.0
 #: Products of tracks and candidates, or of three frames' candidates, up to which numbers one by one are faster than arrays.
 FEW = 64
+#: Candidates of a frame and open tracks of a clip up to which clips are linked side by side, and rows of those that are.
+PER_FRAME_FEW, SLOTS, GATHERED = 4, 8, 400_000
 _EPS = 1e-9
 
 
@@ -376,29 +378,306 @@ class Linker:
                 out.append(chain)
         return out
 
-    def accepted(self, flights: list[list[int]]) -> np.ndarray:
-        """Enough detections, enough extent, smooth."""
-        if not flights:
-            return np.zeros(0, bool)
-        sizes = np.array([len(f) for f in flights])
-        last = np.cumsum(sizes)
-        at = np.concatenate([np.array(f, np.int64) for f in flights])
-        extent = np.hypot(*(np.maximum.reduceat(self.xy[at], last - sizes) - np.minimum.reduceat(self.xy[at], last - sizes)).T)
-        ok = (sizes >= self.least) & (extent >= MIN_EXTENT_PX)
-        ok[ok] = smooth(self.at[at], self.xy[at], (last - sizes)[ok], last[ok])
-        return ok
+    def pieces(self) -> list[list[int]]:
+        """Candidates of each track that is left."""
+        return [t.points for t in self.tracks if t.points]
 
     def flights(self) -> list[list[int]]:
         """Candidates of each flight, by its first sample."""
-        self.run()
-        pieces = [t.points for t in self.tracks if t.points]
-        chains = self.chains(pieces) if pieces else []
-        whole = [[c for k in chain for c in pieces[k]] for chain in chains]
-        good = self.accepted(whole)
-        # a joined flight that fails is judged by its pieces
-        parts = [pieces[k] for chain, ok in zip(chains, good, strict=True) if not ok and len(chain) > 1 for k in chain]
-        out = [f for f, ok in zip(whole, good, strict=True) if ok] + [p for p, ok in zip(parts, self.accepted(parts), strict=True) if ok]
-        return sorted(out, key=lambda f: (self.at[f[0]], *self.xy[f[0]]))
+        return flights([self])[0]
+
+
+class Together:
+    """Clips whose frames have few candidates, linked side by side: what ``Linker.run`` does for one, frame by frame for all.
+
+    A track is a place among its clip's SLOTS, and its candidates are chained from the last one back.  A clip in
+    which more tracks are open at a time is left to ``Linker.run``.
+    """
+
+    def __init__(self, clips: list[Linker]):
+        self.clips = sorted(clips, key=lambda c: -len(c.times))
+        frames, found = np.array([len(c.times) for c in self.clips]), np.array([len(c.at) for c in self.clips])
+        self.longest, self.ends = int(frames.max()), np.sort(frames)
+        join = lambda f: np.concatenate([f(c) for c in self.clips])
+        self.first_time, self.offset = np.cumsum(frames) - frames, np.cumsum(found) - found
+        self.times, self.begin = join(lambda c: c.times), join(lambda c: c.begin[:-1]) + np.repeat(self.offset, frames)
+        self.beyond = join(lambda c: c.begin[1:]) + np.repeat(self.offset, frames)
+        # one candidate more, which is nobody's
+        more = lambda v: np.append(v, v.dtype.type(0))
+        self.x, self.y = more(join(lambda c: c.xy[:, 0])), more(join(lambda c: c.xy[:, 1]))
+        self.when, self.scale, self.streak, self.axis = more(join(lambda c: c.at)), more(join(lambda c: c.px_per_m)), more(join(lambda c: c.streak)), more(join(lambda c: c.axis))
+        self.frame = more(join(lambda c: c.frame))
+        self.unused = np.ones(len(self.x), bool)
+        self.back = np.full(len(self.x), -1)
+        self.dt, self.trial = np.array([c.dt for c in self.clips]), np.array([c.trial for c in self.clips])
+        self.h, self.cam, self.focal = np.array([c.scale.h for c in self.clips]), np.array([c.scale.cam for c in self.clips], float), np.array([c.scale.focal for c in self.clips])
+        n = len(self.clips)
+        whole = lambda: np.zeros((n, SLOTS), np.int64)
+        self.open, self.proven, self.may_jump = (np.zeros((n, SLOTS), bool) for _ in range(3))
+        # of each track: its number, last candidate, how many it has, how many lead, how many are on trial, and the one before these
+        self.number, self.last, self.count, self.led, self.tried, self.before = (whole() for _ in range(6))
+        self.known, self.crowded = np.zeros(n, np.int64), np.zeros(n, bool)
+        self.closed: list[tuple[np.ndarray, ...]] = []
+
+    def trail(self, last: np.ndarray, n: int) -> np.ndarray:
+        """The last ``n`` candidates up to ``last``, oldest first; whatever comes after the first has been passed."""
+        out = np.empty((n, len(last)), np.int64)
+        for k in range(n - 1, -1, -1):
+            out[k] = last
+            last = self.back[last]
+        return out
+
+    def along(self, c: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        streak = self.streak[c]
+        if not streak.any():
+            return ~streak
+        dx, dy = self.x[c] - x, self.y[c] - y
+        off = np.abs(self.axis[c] - np.degrees(np.arctan2(dy, dx))) % 180.0
+        return ~streak | ((dx == 0) & (dy == 0)) | (np.minimum(off, 180.0 - off) <= STREAK_DEG)
+
+    def leads(self, clip: np.ndarray, last: np.ndarray, led: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``Linker.lead_one`` of many tracks."""
+        x, y, end, dt = self.x[last], self.y[last], self.when[last], self.dt[clip]
+        own = self.trail(last, LED_BY)
+        inside = np.arange(LED_BY)[:, None] >= LED_BY - led
+        u = np.where(inside, (self.when[own] - end) / dt, 0.0)
+        v, w = np.where(inside, self.x[own] - x, 0.0), np.where(inside, self.y[own] - y, 0.0)
+        a, b, c, d, e, f = _parabolas(u, v, w, np.minimum(led, LED_BY))
+        two, s = led == 2, (now - end) / dt
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = v[-2] / u[-2], w[-2] / u[-2]
+        a, b, c, d, e, f = (np.where(led >= 3, z, np.where(two, line, 0.0)) for z, line in zip((a, b, c, d, e, f), (0.0, slope[0], 0.0, 0.0, slope[1], 0.0), strict=True))
+        return x + a + s * (b + s * c), y + d + s * (e + s * f)
+
+    def curves(self, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Whether the last ``n`` of candidates (samples, tracks) lie on one curve, and twice its acceleration's half."""
+        most = len(own)
+        inside = np.arange(most)[:, None] >= most - n
+        start = own[most - n, np.arange(own.shape[1])]
+        t, span = self.when[start], self.when[own[-1]] - self.when[start]
+        u = np.where(inside, (self.when[own] - t) / span, 0.0)
+        v, w = np.where(inside, self.x[own] - self.x[start], 0.0), np.where(inside, self.y[own] - self.y[start], 0.0)
+        a, b, c, d, e, f = _parabolas(u, v, w, n)
+        left = np.where(inside, (a + u * (b + u * c) - v) ** 2 + (d + u * (e + u * f) - w) ** 2, 0.0).sum(axis=0)
+        return np.sqrt(left / n) <= SMOOTH_PX, 2.0 * np.hypot(c, f) / span**2
+
+    def can_fly(self, clip: np.ndarray, own: np.ndarray, n: np.ndarray, acceleration: np.ndarray) -> np.ndarray:
+        inside = np.arange(len(own))[:, None] >= len(own) - n
+        x, y = (np.where(inside, v[own], 0.0).sum(axis=0) / n for v in (self.x, self.y))
+        h, cam = self.h[clip], self.cam[clip]
+        with np.errstate(all="ignore"):
+            g = [h[:, k, 0] * x + h[:, k, 1] * y + h[:, k, 2] for k in range(3)]
+            far = np.sqrt((g[0] / g[2] - cam[:, 0]) ** 2 + (g[1] / g[2] - cam[:, 1]) ** 2 + cam[:, 2] ** 2)
+            scale = np.where((g[2] != 0) & (far > 0), self.focal[clip] / far, 0.0)
+        return acceleration <= MAX_M_S2 * scale + NOISE_PX_PER_FRAME2 / self.dt[clip] ** 2
+
+    def close(self, clip: np.ndarray, slot: np.ndarray) -> None:
+        """Ends tracks; what is on trial is given back."""
+        own = clip, slot
+        kept, on_trial = self.proven[own], self.tried[own]
+        self.closed.append((clip, self.number[own], np.where(kept, self.last[own], self.before[own]), self.count[own] - np.where(kept, 0, on_trial)))
+        self.open[own] = False
+
+    def take(self, clip: np.ndarray, slot: np.ndarray, c: np.ndarray, jump: bool) -> None:
+        own = clip, slot
+        end = self.last[own]
+        if jump:
+            proven = self.proven[own]
+            self.before[own] = np.where(proven, end, self.before[own])
+            self.tried[own] = np.where(proven, 1, self.tried[own] + 1)
+            self.led[own], self.proven[own] = 2, False
+        else:
+            self.tried[own] += 1
+            self.led[own] += 1
+        self.may_jump[own] = not jump
+        self.back[c] = end
+        self.last[own] = c
+        self.count[own] += 1
+        self.unused[c] = False
+
+    def extend(self, n: int, frame: int, now: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``Linker.extend`` of the first ``n`` clips; the tracks that moved."""
+        clip, slot = np.nonzero(self.open[:n] & (here[:, 0] < len(self.x) - 1)[:, None])
+        if not len(clip):
+            return clip, slot
+        last, led, time = self.last[clip, slot], self.led[clip, slot], now[clip]
+        x, y = self.x[last], self.y[last]
+        reach = MAX_SPEED_M_S * STEP_SAFETY * self.scale[last] * (time - self.when[last])
+        gate = np.maximum(LEAST_GATE_PX, GATE_SHRINK * reach)
+        ahead_x, ahead_y = self.leads(clip, last, led, time)
+        c = here[clip]
+        cost = np.hypot(self.x[c] - ahead_x[:, None], self.y[c] - ahead_y[:, None])
+        good = (c < len(self.x) - 1) & self.along(c, x[:, None], y[:, None])
+        step = good & (cost <= gate[:, None])
+        jump = good & self.may_jump[clip, slot][:, None] & (np.hypot(self.x[c] - x[:, None], self.y[c] - y[:, None]) <= reach[:, None])
+        proven, moved = self.proven[clip, slot], np.zeros(len(clip), bool)
+        for tier in (proven, ~proven):
+            for offers, jumps in ((step, False), (jump, True)):
+                row, column = np.nonzero(offers & (tier & ~moved)[:, None])
+                if not len(row):
+                    continue
+                # offers by clip, then cost, track and candidate: the first of each clip is taken, until none is left
+                order = np.lexsort((column, self.number[clip[row], slot[row]], cost[row, column], clip[row]))
+                row, column = row[order], column[order]
+                while True:
+                    fresh = self.unused[c[row, column]] & ~moved[row]
+                    row, column = row[fresh], column[fresh]
+                    if not len(row):
+                        break
+                    first = np.flatnonzero(np.diff(clip[row], prepend=-1))
+                    r, k = row[first], c[row[first], column[first]]
+                    fine = np.ones(len(r), bool)
+                    if not jumps and tier is proven:
+                        asked = np.flatnonzero(led[r] >= LED_BY)
+                        if len(asked):
+                            own = np.concatenate([self.trail(last[r[asked]], LED_BY), k[asked][None]])
+                            fine[asked] = self.curves(own, np.full(len(asked), LED_BY + 1))[0]
+                    moved[r[fine]] = True
+                    self.take(clip[r[fine]], slot[r[fine]], k[fine], jumps)
+                    rest = np.ones(len(row), bool)
+                    rest[first] = False
+                    row, column = row[rest], column[rest]
+        return clip[moved], slot[moved]
+
+    def judge(self, clip: np.ndarray, slot: np.ndarray, frame: int) -> None:
+        """Tracks that have moved and are on trial for long enough."""
+        due = ~self.proven[clip, slot] & (self.tried[clip, slot] >= self.trial[clip])
+        clip, slot = clip[due], slot[due]
+        if not len(clip):
+            return
+        n = self.tried[clip, slot]
+        own = self.trail(self.last[clip, slot], int(n.max()))
+        smooth_, acceleration = self.curves(own, n)
+        good = smooth_ & self.can_fly(clip, own, n, acceleration)
+        self.proven[clip[good], slot[good]] = True
+        lost = own[:, ~good][np.arange(len(own))[:, None] >= len(own) - n[~good]]
+        self.close(clip[~good], slot[~good])
+        self.unused[lost[self.frame[lost] >= frame - 2]] = True
+
+    def seeds(self, n: int, frame: int, places: list[np.ndarray]) -> None:
+        """``Linker.seeds`` of the first ``n`` clips."""
+        few = [p[:n] for p in places]
+        free = [self.unused[p] & (p < len(self.x) - 1) for p in few]
+        clip = np.flatnonzero(np.all([f.any(axis=1) for f in free], axis=0))
+        if not len(clip):
+            return
+        a, b, c = (p[clip] for p in few)
+        fa, fb, fc = (f[clip] for f in free)
+        a, b, c = a[:, :, None, None], b[:, None, :, None], c[:, None, None, :]
+        t0, t1, t2 = (self.times[self.first_time[clip] + f][:, None, None, None] for f in (frame - 2, frame - 1, frame))
+        xa, ya, xb, yb, xc, yc = self.x[a], self.y[a], self.x[b], self.y[b], self.x[c], self.y[c]
+        reach = MAX_SPEED_M_S * STEP_SAFETY * self.scale[a]
+        step = reach * (t2 - t1)
+        gate = np.maximum(LEAST_GATE_PX, GATE_SHRINK * step)
+        dx, dy = xb - xa, yb - ya
+        pair = fa[:, :, None, None] & fb[:, None, :, None] & (np.hypot(dx, dy) <= reach * (t1 - t0)) & self.along(np.broadcast_to(b, dx.shape), xa, ya)
+        off = np.hypot(xc - (xb + dx * ((t2 - t1) / (t1 - t0))), yc - (yb + dy * ((t2 - t1) / (t1 - t0))))
+        good = pair & fc[:, None, None, :] & (off <= gate) & (np.hypot(xc - xb, yc - yb) <= step) & self.along(np.broadcast_to(c, off.shape), xb, yb)
+        off = np.where(good, off, np.inf)
+        third = off.argmin(axis=3)
+        off = off.min(axis=3).reshape(len(clip), -1)
+        r, k = np.nonzero(np.isfinite(off))
+        order = np.lexsort((k, off[r, k], r))
+        r, k = r[order], k[order]
+        i, j = k // PER_FRAME_FEW, k % PER_FRAME_FEW
+        three = np.stack([a[r, i, 0, 0], b[r, 0, j, 0], c[r, 0, 0, third[r, i, j]]])
+        while True:
+            fresh = self.unused[three].all(axis=0)
+            r, three = r[fresh], three[:, fresh]
+            if not len(r):
+                return
+            first = np.flatnonzero(np.diff(r, prepend=-1))
+            at, new = clip[r[first]], three[:, first]
+            slot = self.open[at].argmin(axis=1)
+            full = self.open[at, slot]
+            self.crowded[at[full]] = True
+            at, new, slot = at[~full], new[:, ~full], slot[~full]
+            self.unused[three[:, first]] = False
+            own = at, slot
+            self.back[new[0]], self.back[new[1]], self.back[new[2]] = -1, new[0], new[1]
+            self.open[own], self.proven[own], self.may_jump[own] = True, False, True
+            self.number[own], self.last[own], self.before[own] = self.known[at], new[2], -1
+            self.count[own] = self.led[own] = self.tried[own] = 3
+            self.known[at] += 1
+
+    def run(self) -> None:
+        """Gives each clip its tracks."""
+        nobody = len(self.x) - 1
+        places: list[np.ndarray] = []
+        for frame in range(self.longest):
+            n = len(self.ends) - int(np.searchsorted(self.ends, frame, "right"))
+            at = self.first_time[:n] + frame
+            now = self.times[at]
+            here = self.begin[at][:, None] + np.arange(PER_FRAME_FEW)
+            here = np.where(here < self.beyond[at][:, None], here, nobody)
+            last = self.when[self.last[:n]]
+            clip, slot = np.nonzero(self.open[:n] & ~(now[:, None] - last - self.dt[:n, None] <= COAST_S + _EPS))
+            if len(clip):
+                self.close(clip, slot)
+            self.judge(*self.extend(n, frame, now, here), frame)
+            places = [here, *places[:2]]
+            if frame >= 2:
+                self.seeds(n, frame, places[::-1])
+        self.close(*np.nonzero(self.open))
+        clip, number, last, count = (np.concatenate(v).tolist() for v in zip(*self.closed, strict=True))
+        back, offset = self.back.tolist(), self.offset.tolist()
+        for c in self.clips:
+            c.tracks = []
+        for g, _, end, size in sorted(zip(clip, number, last, count, strict=True)):
+            points = []
+            for _ in range(size):
+                points.append(end - offset[g])
+                end = back[end]
+            self.clips[g].tracks.append(Track(points[::-1]))
+        for c, full in zip(self.clips, self.crowded.tolist(), strict=True):
+            if full:
+                c.tracks = []
+                c.run()
+
+
+def _parabolas(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """``parabola`` of many, (samples, tracks), 0 where there is no sample."""
+    q = u * u
+    a, b, c, d, v0, v1, v2, w0, w1, w2 = (x.sum(axis=0) for x in (u, q, q * u, q * q, v, u * v, q * v, w, u * w, q * w))
+    i00, i01, i02, i11, i12, i22 = b * d - c * c, b * c - a * d, a * c - b * b, n * d - b * b, a * b - n * c, n * b - a * a
+    det = n * i00 + a * i01 + b * i02
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return [(i00 * p + i01 * q + i02 * r) / det if k == 0 else (i01 * p + i11 * q + i12 * r) / det if k == 1 else (i02 * p + i12 * q + i22 * r) / det for p, q, r in ((v0, v1, v2), (w0, w1, w2)) for k in range(3)]
+
+
+def accepted(clips: list[Linker], flights: list[list[list[int]]]) -> list[list[bool]]:
+    """Enough detections, enough extent, smooth: for the flights of each clip, all together."""
+    sizes = np.array([len(f) for own in flights for f in own], np.int64)
+    if not len(sizes):
+        return [[] for _ in flights]
+    last = np.cumsum(sizes)
+    at = [np.array([c for f in own for c in f], np.int64) for own in flights]
+    t, xy = (np.concatenate([v[k] for v, k in zip(values, at, strict=True)]) for values in ([c.at for c in clips], [c.xy for c in clips]))
+    extent = np.hypot(*(np.maximum.reduceat(xy, last - sizes) - np.minimum.reduceat(xy, last - sizes)).T)
+    ok = (sizes >= np.repeat([c.least for c in clips], [len(own) for own in flights])) & (extent >= MIN_EXTENT_PX)
+    ok[ok] = smooth(t, xy, (last - sizes)[ok], last[ok])
+    ends = np.cumsum([len(own) for own in flights]).tolist()
+    return [ok[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def flights(clips: list[Linker]) -> list[list[list[int]]]:
+    """Candidates of each flight of each clip, by its first sample."""
+    few = [c for c in clips if len(c.at) and len(c.times) >= 3 and np.diff(c.begin).max() <= PER_FRAME_FEW and np.isfinite(c.xy).all()]
+    if len(few) > 1:
+        Together(few).run()
+    alone = set(map(id, clips)) - set(map(id, few)) if len(few) > 1 else set(map(id, clips))
+    for c in clips:
+        if id(c) in alone:
+            c.run()
+    pieces = [c.pieces() for c in clips]
+    chains = [c.chains(p) if p else [] for c, p in zip(clips, pieces, strict=True)]
+    whole = [[[x for k in chain for x in p[k]] for chain in own] for p, own in zip(pieces, chains, strict=True)]
+    good = accepted(clips, whole)
+    # a joined flight that fails is judged by its pieces
+    parts = [[p[k] for chain, ok in zip(own, fine, strict=True) if not ok and len(chain) > 1 for k in chain] for p, own, fine in zip(pieces, chains, good, strict=True)]
+    kept = accepted(clips, parts)
+    pick = lambda some, fine: [f for f, ok in zip(some, fine, strict=True) if ok]
+    return [sorted(pick(w, g) + pick(p, k), key=lambda f, c=c: (c.at[f[0]], *c.xy[f[0]])) for c, w, g, p, k in zip(clips, whole, good, parts, kept, strict=True)]
 
 
 _COLUMNS = ("x", "y", "minor", "major", "orientation_deg", "colour_score", "contrast")
@@ -428,11 +707,12 @@ def link(candidates: DataFrame, frames: DataFrame, maps: DataFrame, key: str, fr
     kind = dict(frames.dtypes)[frame]
     names = [key, "flight_id", "frame", "time_s", "x", "y", "minor", "detected", "confidence"]
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    def clip(rows: pd.DataFrame) -> tuple | None:
+        """The key, labels of the frames, places of the candidates, their minor axes, and the clip; none without a frame, a map or a candidate."""
         of, labels = rows["__of"].to_numpy(), rows["frame"].to_numpy()
         clip, mapped = np.flatnonzero(of == 0), np.flatnonzero(of == 2)
         if not len(clip) or not len(mapped) or not (of == 1).any():
-            return pd.DataFrame(columns=names)
+            return None
         times = rows["time_s"].to_numpy(float)
         clip = clip[np.lexsort((times[clip], labels[clip]))]
         later = np.ones(len(clip), bool)
@@ -446,31 +726,35 @@ def link(candidates: DataFrame, frames: DataFrame, maps: DataFrame, key: str, fr
         at = np.minimum(np.searchsorted(labels, taken[own]), len(labels) - 1)
         own, at = own[labels[at] == taken[own]], at[labels[at] == taken[own]]
         if not len(own):
-            return pd.DataFrame(columns=names)
+            return None
         columns = {c: rows[c].to_numpy(float)[own] for c in _COLUMNS}
         down = lambda c: np.where(np.isnan(columns[c]), np.inf, -columns[c])
         best = np.lexsort((columns["y"], columns["x"], down("contrast"), down("colour_score"), at))
         rank = np.arange(len(best)) - np.searchsorted(at[best], at[best])
         best = best[rank < PER_FRAME]
         best = best[np.lexsort((columns["y"][best], columns["x"][best], at[best]))]
-        r = rows.iloc[mapped[0]]
+        h, *cam, focal = (rows[c].iat[mapped[0]] for c in ("h", "cam_x", "cam_y", "cam_z", "focal_px"))
         columns = {c: v[best] for c, v in columns.items()}
-        linker = Linker(times, at[best], columns, Scale(r["h"], (r["cam_x"], r["cam_y"], r["cam_z"]), r["focal_px"]))
-        places, minor, out = at[best].tolist(), columns["minor"].tolist(), {c: [] for c in names}
-        labels = labels.tolist()
-        for number, points in enumerate(linker.flights()):
-            place = {places[c]: c for c in points}
-            span = range(min(place), max(place) + 1)
-            found = [place.get(f) for f in span]
-            out["flight_id"] += [number] * len(span)
-            out["frame"] += labels[span.start : span.stop]
-            out["time_s"] += linker.clock[span.start : span.stop]
-            for name, values in (("x", linker.xs), ("y", linker.ys), ("minor", minor)):
-                out[name] += [None if c is None else values[c] for c in found]
-            out["detected"] += [c is not None for c in found]
-            out["confidence"] += [len(place) / len(span)] * len(span)
-        out[key] = [rows[key].iloc[0]] * len(out["frame"])
-        return pd.DataFrame(out)
+        linker = Linker(times, at[best], columns, Scale(h, tuple(cam), focal))
+        return rows[key].iat[0], labels.tolist(), at[best].tolist(), columns["minor"].tolist(), linker
+
+    def many(parts: list[pd.DataFrame]) -> list[dict]:
+        clips = [c for c in map(clip, parts) if c]
+        out: dict[str, list] = {c: [] for c in names}
+        for (label, labels, places, minor, linker), found in zip(clips, flights([c[-1] for c in clips]), strict=True):
+            for number, points in enumerate(found):
+                place = {places[c]: c for c in points}
+                span = range(min(place), max(place) + 1)
+                own = [place.get(f) for f in span]
+                out[key] += [label] * len(span)
+                out["flight_id"] += [number] * len(span)
+                out["frame"] += labels[span.start : span.stop]
+                out["time_s"] += linker.clock[span.start : span.stop]
+                for name, values in (("x", linker.xs), ("y", linker.ys), ("minor", minor)):
+                    out[name] += [None if c is None else values[c] for c in own]
+                out["detected"] += [c is not None for c in own]
+                out["confidence"] += [len(place) / len(span)] * len(span)
+        return [out]
 
     schema = f"`{key}` {kinds[key]}, flight_id int, frame {kind}, time_s double, x double, y double, minor double, detected boolean, confidence double"
-    return by_key(rows, key, [], one, schema)
+    return by_keys(rows, key, [], many, schema, GATHERED)
