@@ -11,7 +11,6 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +25,8 @@ from motionlake.operators.groups import by_keys, dealt
 SIDE_LEAST, SIDE_WHOLE, LINE_SAMPLES, BOTH_LEAST, SINGLE_PX, NOISE_PX = 2, 3, 3, 6, 1.0, 0.5
 #: Stretches that are fitted together, so that they stay near the processor.
 PIECE = 2048
+#: Rows whose sessions are judged together.
+GATHERED = 400_000
 #: Places tried for the time of a break, and samples of a side that give full confidence.
 GRID, FULL_SIDE = 41, 8
 #: Fixed values, in seconds, metres and metres a second: matching of hits, upward impulse, run-off, net, directions.
@@ -213,7 +214,9 @@ class Breaks:
             before = self.taken[f][: self.taken[f].index(k)]
             low[j] = max((c + 1 for c in before if c < k), default=int(self.first[f]))
             high[j] = min((c + 1 for c in before if c > k), default=int(self.last[f]))
-        b, a, share = self.judge(split, low, high)
+        pieces = [self.judge(*(v[k : k + PIECE] for v in (split, low, high))) for k in range(0, len(split), PIECE)]
+        b, a = ({c: np.concatenate([p[j][c] for p in pieces]) for c in ("c", "inverse", "rss", "n", "degree")} for j in (0, 1))
+        share = np.concatenate([p[2] for p in pieces])
         interval = self.interval[flight]
         left, right = self.t[split], self.t[split + 1]
         lo, hi, middle = -interval, right - left + interval, (right - left) / 2
@@ -472,22 +475,23 @@ def _have_points(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     The first four faces are a box: x0 up to, x0 from, x1 up to, x1 from.  The point that is furthest along both axes is led
     from face to face: one that it breaks bears the next point, as far as the faces before leave room on its line.
     """
-    at, alive = np.stack([b[:, 0], b[:, 2]], axis=1), np.ones(len(a), bool)
-    for face in range(4, a.shape[1]):
-        broken = np.flatnonzero(alive & (a[:, face, 0] * at[:, 0] + a[:, face, 1] * at[:, 1] > b[:, face] + 1e-9))
+    (across, down), rest = a.transpose(2, 1, 0).copy(), b.T.copy()  # face by face
+    x, y, alive = rest[0].copy(), rest[2].copy(), np.ones(len(a), bool)
+    for face in range(4, len(rest)):
+        broken = np.flatnonzero(alive & (across[face] * x + down[face] * y > rest[face] + 1e-9))
         if not len(broken):
             continue
-        (x, y), limit = a[broken, face].T, b[broken, face]
-        across, down, rest = a[broken, :face, 0], a[broken, :face, 1], b[broken, :face]
-        along = down * x[:, None] - across * y[:, None]  # the line runs along (-y, x)
-        room = rest - (across * x[:, None] + down * y[:, None]) * limit[:, None]
+        p, q, limit = across[face, broken], down[face, broken], rest[face, broken]
+        u, v, w = (m[:face].take(broken, axis=1) for m in (across, down, rest))
+        along = v * p - u * q  # the line runs along (-q, p)
+        room = w - (u * p + v * q) * limit
         with np.errstate(divide="ignore", invalid="ignore"):
             reach = room / along
-        lo = np.where(along < -1e-8, reach, -np.inf).max(axis=1)
-        hi = np.where(along > 1e-8, reach, np.inf).min(axis=1)
-        alive[broken] = (lo <= hi + 1e-9) & ~((np.abs(along) <= 1e-8) & (room < -1e-9 * np.maximum(1.0, np.abs(rest)))).any(axis=1)
-        step = np.where(x > y, hi, lo)
-        at[broken] = np.stack([x * limit - y * step, y * limit + x * step], axis=1)
+        lo = np.where(along < -1e-8, reach, -np.inf).max(axis=0)
+        hi = np.where(along > 1e-8, reach, np.inf).min(axis=0)
+        alive[broken] = (lo <= hi + 1e-9) & ~((np.abs(along) <= 1e-8) & (room < -1e-9 * np.maximum(1.0, np.abs(w)))).any(axis=0)
+        step = np.where(p > q, hi, lo)
+        x[broken], y[broken] = p * limit - q * step, q * limit + p * step
     return alive
 
 
@@ -528,6 +532,8 @@ def can_bounce(jacobian: np.ndarray, before: np.ndarray, after: np.ndarray, px_p
     ground; they are met if one of their corners is.
     """
     n = len(y)
+    if n > PIECE:
+        return np.concatenate([can_bounce(*(v[k : k + PIECE] for v in (jacobian, before, after, px_per_m, y))) for k in range(0, n, PIECE)])
     out = np.isfinite(before).all(axis=1) & np.isfinite(after).all(axis=1) & np.isfinite(jacobian).all(axis=(1, 2))
     slack = [TOLERANCE * np.hypot(*v.T) + TOLERANCE_M_S * px_per_m for v in (before, after)]
     lowest, highest = VERTICAL_M_S
@@ -805,25 +811,26 @@ def detect(flights: DataFrame, maps: DataFrame, hits: DataFrame, key: str) -> Da
 
     clean = lambda v: None if v is None or v != v else v
 
-    def parts(both: pd.DataFrame) -> tuple[dict[int, np.ndarray], Camera | None, list[dict]]:
+    def parts(both: dict[str, np.ndarray]) -> tuple[dict[int, np.ndarray], Camera | None, list[dict]]:
         """Flights, camera and hits of a session."""
-        time, ids = both["time_s"].to_numpy(float), both["flight_id"].to_numpy(float)
-        known, flying = np.flatnonzero(np.isnan(time)), np.flatnonzero(~np.isnan(ids))
+        time, ids = both["time_s"].astype(float), both["flight_id"].astype(float)
+        still, flown = np.isnan(time), ~np.isnan(ids)
+        known, flying = np.flatnonzero(still), np.flatnonzero(flown)
         if not len(known) or not len(flying):
             return {}, None, []
-        x, y, ids = both["x"].to_numpy(float)[flying], both["y"].to_numpy(float)[flying], ids[flying].astype(np.int64)
+        x, y, ids = both["x"].astype(float)[flying], both["y"].astype(float)[flying], ids[flying].astype(np.int64)
         order = np.lexsort((y, x, time[flying], ids))
         rows, ids = np.stack([time[flying], x, y], axis=1)[order], ids[order]
         begins = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)).tolist()
         flights = {int(ids[a]): rows[a:b] for a, b in zip(begins, [*begins[1:], len(ids)], strict=True)}
-        h, projection, *cam, focal = (both[c].iat[known[0]] for c in ("h", "projection", "cam_x", "cam_y", "cam_z", "focal_px"))
-        contact = np.setdiff1d(np.arange(len(time)), np.concatenate([known, flying]))
-        columns = [[clean(v) for v in both[c].to_numpy()[contact].tolist()] for c in HIT_COLUMNS]
+        h, projection, *cam, focal = (both[c][known[0]] for c in ("h", "projection", "cam_x", "cam_y", "cam_z", "focal_px"))
+        contact = np.flatnonzero(~still & ~flown)
+        columns = [[clean(v) for v in both[c][contact].tolist()] for c in HIT_COLUMNS]
         hits = [dict(zip(HIT_COLUMNS, row, strict=True)) for row in zip(*columns, strict=True)]
         return flights, Camera(h, projection, cam, focal), [h | {"confidence": h["confidence"] or 0.0} for h in hits]
 
-    def many(sessions: list[pd.DataFrame]) -> list[dict]:
-        held = [(both[key].iat[0], *parts(both)) for both in sessions]
+    def many(sessions: list[dict[str, np.ndarray]]) -> list[dict]:
+        held = [(both[key][0], *parts(both)) for both in sessions]
         held = [x for x in held if x[1]]
         if not held:
             return []
@@ -843,4 +850,4 @@ def detect(flights: DataFrame, maps: DataFrame, hits: DataFrame, key: str) -> Da
         return [out]
 
     rows = flown.unionByName(contacts, allowMissingColumns=True).unionByName(mapped, allowMissingColumns=True)
-    return by_keys(rows, key, [], many, f"`{key}` {kind}, {EVENT}")
+    return by_keys(rows, key, [], many, f"`{key}` {kind}, {EVENT}", GATHERED, arrays=True)

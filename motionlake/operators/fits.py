@@ -11,8 +11,8 @@ import numpy as np
 #: The largest deviation of a smooth path in pixels, its stretch in seconds, the samples
 #: that a stretch needs, those that the image of a thrown ball needs, and the duration of a long flight.
 SMOOTH_PX, SMOOTH_S, SMOOTH_SAMPLES, THROWN_SAMPLES, LONG_S = 3.0, 0.25, 5, 6, 1.0
-#: Stretches that are fitted together.
-TOGETHER = 2048
+#: Stretches that are fitted together, and samples of the flights that are judged together.
+TOGETHER, SAMPLES = 2048, 20_000
 
 
 class Stretches:
@@ -205,8 +205,13 @@ def rough_windows(t: np.ndarray, xy: np.ndarray, first: np.ndarray, last: np.nda
         stretch = np.repeat(np.arange(len(lo)), n - 1)
         cut = np.arange(len(stretch)) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1) + 1
         begin, end = lo[stretch], hi[stretch]
-        a = deviation(t, xy, begin, begin + cut, spare=True, thrown=thrown)
-        b = deviation(t, xy, begin + cut, end, spare=True, thrown=thrown)
+        # a piece that ends one stretch begins another as a rule
+        sides = np.stack([begin, begin + cut]), np.stack([cut, end - begin - cut])
+        long = sides[1] > 2
+        piece, place = np.unique(sides[0][long] * (int(n.max()) + 1) + sides[1][long], return_inverse=True)
+        at, size = np.divmod(piece, int(n.max()) + 1)
+        a, b = off = np.zeros(sides[0].shape)
+        off[long] = deviation(t, xy, at, at + size, spare=True, thrown=thrown)[place]
         both = np.sqrt((a**2 * cut + b**2 * (end - begin - cut)) / (end - begin))
         kinked = np.bincount(stretch[both <= SMOOTH_PX], minlength=len(lo)) > 0
         flight, lo, hi = flight[~kinked], lo[~kinked], hi[~kinked]
@@ -216,4 +221,5 @@ def rough_windows(t: np.ndarray, xy: np.ndarray, first: np.ndarray, last: np.nda
 def smooth(t: np.ndarray, xy: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Whether each flight is smooth: no rough stretch, or one in a flight of LONG_S or more."""
     allowed = np.where((last > first) & (t[np.maximum(last - 1, 0)] - t[np.minimum(first, len(t) - 1)] >= LONG_S), 1, 0) if len(t) else np.zeros(len(first), int)
-    return rough_windows(t, xy, first, last) <= allowed
+    parts = np.split(np.arange(len(first)), np.flatnonzero(np.diff(np.cumsum(last - first) // SAMPLES)) + 1)
+    return np.concatenate([rough_windows(t, xy, first[k], last[k]) for k in parts]) <= allowed

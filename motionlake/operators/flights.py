@@ -10,7 +10,6 @@ from __future__ import annotations
 from math import atan2, degrees, hypot, sqrt
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +25,8 @@ COAST_S, DETECTIONS, DETECTIONS_SLOW, SLOW_FPS = 0.1, 6, 4, 45.0
 SEED_THIRDS, TRIAL, MAX_M_S2, NOISE_PX_PER_FRAME2 = 4, 6, 600.0, 3.0
 #: Products of tracks and candidates, or of three frames' candidates, up to which numbers one by one are faster than arrays.
 FEW = 64
-#: Candidates of a frame and open tracks of a clip up to which clips are linked side by side, and rows of those that are.
-PER_FRAME_FEW, SLOTS, GATHERED = 4, 8, 400_000
+#: Candidates of a frame and open tracks of a clip up to which clips are linked side by side, clips that are at least, and their rows.
+PER_FRAME_FEW, SLOTS, SIDE_BY_SIDE, GATHERED = 4, 8, 10, 400_000
 _EPS = 1e-9
 
 
@@ -662,12 +661,14 @@ def accepted(clips: list[Linker], flights: list[list[list[int]]]) -> list[list[b
 
 def flights(clips: list[Linker]) -> list[list[list[int]]]:
     """Candidates of each flight of each clip, by its first sample."""
-    few = [c for c in clips if len(c.at) and len(c.times) >= 3 and np.diff(c.begin).max() <= PER_FRAME_FEW and np.isfinite(c.xy).all()]
-    if len(few) > 1:
+    few = sorted((c for c in clips if len(c.at) and len(c.times) >= 3 and np.diff(c.begin).max() <= PER_FRAME_FEW and np.isfinite(c.xy).all()), key=lambda c: -len(c.times))
+    # those that would go on for long after the others go alone, as the rest do
+    few = [c for c in few if len(c.times) <= 2 * len(few[SIDE_BY_SIDE - 1].times)] if len(few) >= SIDE_BY_SIDE else []
+    if few:
         Together(few).run()
-    alone = set(map(id, clips)) - set(map(id, few)) if len(few) > 1 else set(map(id, clips))
+    linked = set(map(id, few))
     for c in clips:
-        if id(c) in alone:
+        if id(c) not in linked:
             c.run()
     pieces = [c.pieces() for c in clips]
     chains = [c.chains(p) if p else [] for c, p in zip(clips, pieces, strict=True)]
@@ -707,13 +708,13 @@ def link(candidates: DataFrame, frames: DataFrame, maps: DataFrame, key: str, fr
     kind = dict(frames.dtypes)[frame]
     names = [key, "flight_id", "frame", "time_s", "x", "y", "minor", "detected", "confidence"]
 
-    def clip(rows: pd.DataFrame) -> tuple | None:
+    def clip(rows: dict[str, np.ndarray]) -> tuple | None:
         """The key, labels of the frames, places of the candidates, their minor axes, and the clip; none without a frame, a map or a candidate."""
-        of, labels = rows["__of"].to_numpy(), rows["frame"].to_numpy()
+        of, labels = rows["__of"], rows["frame"]
         clip, mapped = np.flatnonzero(of == 0), np.flatnonzero(of == 2)
         if not len(clip) or not len(mapped) or not (of == 1).any():
             return None
-        times = rows["time_s"].to_numpy(float)
+        times = rows["time_s"].astype(float)
         clip = clip[np.lexsort((times[clip], labels[clip]))]
         later = np.ones(len(clip), bool)
         later[1:] = times[clip][1:] > np.maximum.accumulate(times[clip])[:-1]
@@ -727,18 +728,18 @@ def link(candidates: DataFrame, frames: DataFrame, maps: DataFrame, key: str, fr
         own, at = own[labels[at] == taken[own]], at[labels[at] == taken[own]]
         if not len(own):
             return None
-        columns = {c: rows[c].to_numpy(float)[own] for c in _COLUMNS}
+        columns = {c: rows[c].astype(float)[own] for c in _COLUMNS}
         down = lambda c: np.where(np.isnan(columns[c]), np.inf, -columns[c])
         best = np.lexsort((columns["y"], columns["x"], down("contrast"), down("colour_score"), at))
         rank = np.arange(len(best)) - np.searchsorted(at[best], at[best])
         best = best[rank < PER_FRAME]
         best = best[np.lexsort((columns["y"][best], columns["x"][best], at[best]))]
-        h, *cam, focal = (rows[c].iat[mapped[0]] for c in ("h", "cam_x", "cam_y", "cam_z", "focal_px"))
+        h, *cam, focal = (rows[c][mapped[0]] for c in ("h", "cam_x", "cam_y", "cam_z", "focal_px"))
         columns = {c: v[best] for c, v in columns.items()}
         linker = Linker(times, at[best], columns, Scale(h, tuple(cam), focal))
-        return rows[key].iat[0], labels.tolist(), at[best].tolist(), columns["minor"].tolist(), linker
+        return rows[key][0], labels.tolist(), at[best].tolist(), columns["minor"].tolist(), linker
 
-    def many(parts: list[pd.DataFrame]) -> list[dict]:
+    def many(parts: list[dict[str, np.ndarray]]) -> list[dict]:
         clips = [c for c in map(clip, parts) if c]
         out: dict[str, list] = {c: [] for c in names}
         for (label, labels, places, minor, linker), found in zip(clips, flights([c[-1] for c in clips]), strict=True):
@@ -757,4 +758,4 @@ def link(candidates: DataFrame, frames: DataFrame, maps: DataFrame, key: str, fr
         return [out]
 
     schema = f"`{key}` {kinds[key]}, flight_id int, frame {kind}, time_s double, x double, y double, minor double, detected boolean, confidence double"
-    return by_keys(rows, key, [], many, schema, GATHERED)
+    return by_keys(rows, key, [], many, schema, GATHERED, arrays=True)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +33,11 @@ def by_key(df: DataFrame, key: str, order: list, f: Callable[[pd.DataFrame], pd.
     return by_keys(df, key, order, lambda parts: [f(p) for p in parts], schema, gathered=0)
 
 
-def by_keys(df: DataFrame, key: str, order: list, f: Callable[[list[pd.DataFrame]], list], schema: str, gathered: int = GATHERED) -> DataFrame:
+def by_keys(df: DataFrame, key: str, order: list, f: Callable[[list], list], schema: str, gathered: int = GATHERED, arrays: bool = False) -> DataFrame:
     """The same for functions that take the rows of several keys, each whole and of its own, for work that arrays share.
 
-    What they return are frames, or columns as lists by their names.
+    What they return are frames, or columns as lists by their names.  With ``arrays`` they take columns as arrays by
+    their names, which costs less than frames where keys are many and small.
     """
 
     def together(parts: list) -> dict[str, list]:
@@ -43,27 +45,34 @@ def by_keys(df: DataFrame, key: str, order: list, f: Callable[[list[pd.DataFrame
         parts = [p for p in parts if any(map(len, p.values()))]
         return {c: [v for p in parts for v in p[c]] for c in parts[0]} if parts else {}
 
+    def whole(held: list):
+        if arrays:
+            return {c: np.concatenate([h[c] for h in held]) for c in held[0]} if len(held) > 1 else held[0]
+        return pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+
     def stream(batches):
-        held: list[pd.DataFrame] = []  # of the last key, which may go on
-        ready: list[pd.DataFrame] = []
-        rows = 0
+        held: list = []  # of the last key, which may go on
+        ready: list = []
+        rows, last = 0, None
         for batch in batches:
             if batch.empty:
                 continue
-            keys = batch[key].to_numpy()
-            begins = [0, *(j for j in range(1, len(keys)) if keys[j] != keys[j - 1]), len(keys)]
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
+            keys = columns[key]
+            begins = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
             for a, b in zip(begins, begins[1:], strict=False):
-                if held and held[0][key].iloc[0] != keys[a]:
-                    ready.append(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True))
-                    rows += len(ready[-1])
+                if held and last != keys[a]:
+                    ready.append(whole(held))
                     held = []
-                held.append(batch.iloc[a:b])
+                last = keys[a]
+                held.append({c: v[a:b] for c, v in columns.items()} if arrays else batch.iloc[a:b])
+                rows += b - a
             if ready and rows >= gathered:
                 found, ready, rows = together(f(ready)), [], 0
                 if found:
                     yield pd.DataFrame(found)
         if held:
-            ready.append(pd.concat(held, ignore_index=True))
+            ready.append(whole(held))
         if ready and (found := together(f(ready))):
             yield pd.DataFrame(found)
 

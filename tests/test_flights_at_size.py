@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from test_flights import camera_row
 
-from motionlake.operators import flights
+from motionlake.operators import fits, flights
 
 
 def clip(seed, most=4, n=150):
@@ -30,7 +30,7 @@ def clip(seed, most=4, n=150):
     return flights.Linker(times, at, columns, flights.Scale(row[0], row[2:5], row[5]))
 
 
-@pytest.mark.parametrize("slots", [8, 4])
+@pytest.mark.parametrize("slots", [8, 2])
 def test_clips_side_by_side(monkeypatch, slots):
     monkeypatch.setattr(flights, "SLOTS", slots)
     each = [(k, n) for k, n in zip(range(24), [150, 3, 40, 2, 150, 90] * 4, strict=True)]
@@ -60,3 +60,25 @@ def test_many_candidates_are_linked_alone():
     crowd = [clip(k, most=9, n=40) for k in (1, 2)]
     same = [clip(k, most=9, n=40) for k in (1, 2)]
     assert flights.flights(crowd) == [c.flights() for c in same] and flights.flights([]) == []
+
+
+def test_long_clips_are_linked_alone(monkeypatch):
+    clips, run, runs = [clip(k, n=40) for k in range(11)] + [clip(11, n=300)], flights.Linker.run, []
+    monkeypatch.setattr(flights.Linker, "run", lambda self: (runs.append(len(self.times)), run(self))[1])
+    found = flights.flights(clips)
+    assert runs == [300] and found == [c.flights() for c in [clip(k, n=40) for k in range(11)] + [clip(11, n=300)]]
+
+
+def test_pieces_are_fitted_once(monkeypatch):
+    """Pieces of one size from one place are fitted once, for all stretches that they are part of."""
+    r, asked = np.random.default_rng(5), []
+    t = np.arange(400) / 60
+    xy = np.cumsum(np.where(r.random((400, 1)) < 0.2, r.normal(0, 60, (400, 2)), [5.0, 2.0]), axis=0)
+    deviation = fits.deviation
+    monkeypatch.setattr(fits, "deviation", lambda t, xy, lo, hi, **how: (asked.append((lo, hi, how)), deviation(t, xy, lo, hi, **how))[1])
+    first, last = np.array([0, 150]), np.array([150, 400])
+    got = fits.smooth(t, xy, first, last)
+    monkeypatch.setattr(fits, "SAMPLES", 100)
+    assert got.tolist() == fits.smooth(t, xy, first, last).tolist()
+    cut = [(lo, hi) for lo, hi, how in asked if how.get("spare") and not how["thrown"]][0]
+    assert len(set(zip(*map(np.ndarray.tolist, cut), strict=True))) == len(cut[0]) > 400
