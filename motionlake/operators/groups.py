@@ -9,8 +9,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def dealt(df: DataFrame, key: str, *order) -> DataFrame:
@@ -55,10 +58,13 @@ def by_keys(df: DataFrame, key: str, order: list, f: Callable[[list], list], sch
         ready: list = []
         rows, last = 0, None
         for batch in batches:
-            if batch.empty:
+            if not len(batch):
                 continue
-            columns = {c: batch[c].to_numpy() for c in batch.columns}
-            keys = columns[key]
+            if arrays:
+                columns = {c: v.to_numpy(zero_copy_only=False) for c, v in zip(batch.schema.names, batch.columns, strict=True)}
+                keys = columns[key]
+            else:
+                keys = batch[key].to_numpy()
             begins = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
             for a, b in zip(begins, begins[1:], strict=False):
                 if held and last != keys[a]:
@@ -70,10 +76,17 @@ def by_keys(df: DataFrame, key: str, order: list, f: Callable[[list], list], sch
             if ready and rows >= gathered:
                 found, ready, rows = together(f(ready)), [], 0
                 if found:
-                    yield pd.DataFrame(found)
+                    yield made(found)
         if held:
             ready.append(whole(held))
         if ready and (found := together(f(ready))):
-            yield pd.DataFrame(found)
+            yield made(found)
 
-    return dealt(df.where(F.col(key).isNotNull()), key, *order).mapInPandas(stream, schema)
+    def made(found: dict[str, list]):
+        if not arrays:
+            return pd.DataFrame(found)
+        return pa.RecordBatch.from_arrays([pa.array(found[x.name], x.type, from_pandas=True) for x in to_arrow_schema(kinds)], schema=to_arrow_schema(kinds))
+
+    kinds = StructType.fromDDL(schema) if arrays else None
+    rows = dealt(df.where(F.col(key).isNotNull()), key, *order)
+    return rows.mapInArrow(stream, schema) if arrays else rows.mapInPandas(stream, schema)
